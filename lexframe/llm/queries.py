@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_dedup, quality_rules, simhash
+from . import bpe, decontam, licenses, line_dedup, quality_pu, quality_rules, simhash, suffix_dedup, toxicity, warc
+from .common import cut, scratch
+from .features import held_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return df.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -36,6 +48,59 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arc, archive = scratch(spark, "arc"), scratch(spark, "warc")
+    warc.write_arc(_table(spark, sf_dir, "pages"), arc)
+    warc.convert(spark, arc, archive)
+    records = cut(warc.read_warc(spark, archive, payloads=False), "records")
+    return warc.resolve(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP3_SQL = r"""
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body FROM pages
+), d AS (
+  SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha1(body) AS hex FROM p
+), bits AS (
+  SELECT *, list_reduce(list_transform(range(1, 41), lambda i: right('000' || bin(strpos('0123456789abcdef', hex[i]) - 1), 4)), lambda a, b: a || b) AS b FROM d
+), named AS (
+  SELECT page_id, payload_bytes, list_reduce(list_transform(range(0, 32), lambda i:
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + 16 * b[5*i+1]::INT + 8 * b[5*i+2]::INT + 4 * b[5*i+3]::INT + 2 * b[5*i+4]::INT + b[5*i+5]::INT]),
+         lambda x, y: x || y) AS payload_digest FROM bits
+), firsts AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS f FROM named
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> f THEN f END AS refers_to
+FROM firsts
+"""
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared = bpe.share(spark, tokenizer_path())
+    df = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), shared), shared)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return df.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def _verdicts(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _verdicts(toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels"))), 0.5)
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = suffix_dedup.strip_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return df.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.apply_policy(quality_rules.ledger(_table(spark, sf_dir, "documents").select("doc_id", "text")))
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "fail_bits", "base_failed", "kept")
@@ -71,14 +136,21 @@ FROM bits
 ).replace("{all}", str(sum(quality_rules.bit(r) for r in quality_rules.BASE) | quality_rules.mask(quality_rules.CURRENT)))
 
 
+def op9_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _verdicts(quality_pu.score(docs, quality_pu.train(docs, _table(spark, sf_dir, "labels"))), 0.3)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES = {
-    "op2_line_dedup": op2_line_dedup,
-    "op8_quality_rules": op8_quality_rules,
-    "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    f.__name__: f
+    for f in (
+        op1_decontamination, op2_line_dedup, op3_warc, op4_bpe, op5_toxicity, op6_suffix_dedup, op7_license_scan, op8_quality_rules, op9_quality_pu,
+        op10_simhash_near_dedup,
+    )
 }
-ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op8_quality_rules": OP8_SQL}
+ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op8_quality_rules": OP8_SQL}

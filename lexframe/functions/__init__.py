@@ -1,0 +1 @@
+"""Column functions: text normalisation, tokens, and polymorphic JSON."""

@@ -3,7 +3,7 @@
 Line keys are hashed to 128 bits. Documents arrive in batches, those with the largest ids first. A batch's hashes
 merge-anti-join the sorted runs: hashes that no run holds enter with their keeper, the others only add to the counts. Each
 batch leaves one sorted, bucketed run; FANOUT runs of a level are compacted into one of the next. Runs are bucketed tables,
-so that joins and compactions read them in place; only 128-bit hashes are ever shuffled for them, pre-aggregated. In the end
+which the anti-joins read in place; only 128-bit hashes are ever shuffled for them, pre-aggregated. In the end
 each document gets the positions of its lines that go, and is rebuilt once.
 
 Defined cases: a null or empty text is one empty line; rows with a null id are returned unchanged and count for nothing; rows
@@ -47,15 +47,21 @@ class Runs:
     """Sorted runs of line hashes (h1, h2, n_docs, keeper) in levels; a run is a bucketed and sorted table."""
 
     def __init__(self, spark, fanout: int = FANOUT):
-        self.spark, self.fanout, self.levels = spark, fanout, {}
+        self.spark, self.fanout, self.levels, self.paths = spark, fanout, {}, {}
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _write(self, df: DataFrame) -> str:
         name = f"lexframe_run_{uuid.uuid4().hex}"
+        self.paths[name] = scratch(self.spark, "run")
         ready = df.repartition(self.buckets, "h1", "h2")
-        ready.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", scratch(self.spark, "run")).saveAsTable(name)
+        ready.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", self.paths[name]).saveAsTable(name)
         return name
 
+    def _files(self, name: str) -> DataFrame:
+        """A run as plain files. A union of bucketed tables would claim their partitioning without bringing equal hashes of
+        several tables together, and a sum over it would then miss some."""
+        return self.spark.read.schema(self.spark.table(name).schema).parquet(self.paths[name])
+
     def tables(self) -> list[DataFrame]:
         return [self.spark.table(n) for k in sorted(self.levels) for n in self.levels[k]]
 
@@ -65,8 +71,7 @@ class Runs:
             drop(table)
             self.spark.sql(f"DROP TABLE {n}")
 
-    @staticmethod
-    def _merged(tables: list[DataFrame]) -> DataFrame:
+    def _merged(self, tables: list[DataFrame]) -> DataFrame:
         out = tables[0]
         for t in tables[1:]:
             out = out.unionByName(t)
@@ -85,14 +90,14 @@ class Runs:
         level = 0
         while len(self.levels[level]) >= self.fanout:
             names = self.levels.pop(level)
-            self.levels.setdefault(level + 1, []).append(self._write(self._merged([self.spark.table(n) for n in names])))
+            self.levels.setdefault(level + 1, []).append(self._write(self._merged([self._files(n) for n in names])))
             self._gone(names)
             level += 1
             self.levels.setdefault(level, [])
         self.levels = {k: v for k, v in self.levels.items() if v}
 
     def all(self) -> DataFrame:
-        return self._merged(self.tables())
+        return self._merged([self._files(n) for names in self.levels.values() for n in names])
 
     def close(self) -> None:
         self._gone([n for names in self.levels.values() for n in names])
@@ -118,13 +123,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     out = ["n_lines", "n_dropped", "kept_text"]
     rest = [c for c in docs.columns if c not in out]
     gone = dropped_lines(docs, id_col, text, min_chars, min_docs, batches, fanout).select(F.col("doc_id").alias("_id"), F.col("th").alias("_t"), F.col("drops").alias("_drops"))
-    docs = docs.select(*(F.col(f"`{c}`") for c in rest))
-    df = docs.withColumn("_th", F.xxhash64(F.col(f"`{text}`"))).join(gone, (F.col(f"`{id_col}`") == F.col("_id")) & (F.col("_th") == F.col("_t")), "left")
-    df = df.select(*(F.col(f"`{c}`") for c in rest), _lines(F.col(f"`{text}`")).alias("_lines"), F.coalesce("_drops", F.array().cast("array<int>")).alias("_drops"))
+    # Other columns travel as one, whatever their names.
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_row"), F.col(f"`{id_col}`").alias("_own"), F.col(f"`{text}`").alias("_text"))
+    df = row.withColumn("_th", F.xxhash64("_text")).join(gone, (F.col("_own") == F.col("_id")) & (F.col("_th") == F.col("_t")), "left")
+    df = df.select("_row", _lines(F.col("_text")).alias("_lines"), F.coalesce("_drops", F.array().cast("array<int>")).alias("_drops"))
     # One flag byte for each line up to the last that goes, so that a line is looked up in constant time.
     flags = F.array_join(F.zip_with("_drops", F.concat(F.array(F.lit(-1)), F.col("_drops")), lambda p, q: F.when(p.isNull(), "").otherwise(F.concat(F.repeat(F.lit("0"), p - q - 1), F.lit("1")))), "")
-    df = df.select(*(F.col(f"`{c}`") for c in rest), "_lines", F.size("_drops").cast("long").alias("n_dropped"), F.encode(flags, "US-ASCII").alias("_flags"))
+    df = df.select("_row", "_lines", F.size("_drops").cast("long").alias("n_dropped"), F.encode(flags, "US-ASCII").alias("_flags"))
     stays = F.filter("_lines", lambda x, i: F.substring(F.col("_flags"), i + 1, F.lit(1)) != F.lit(bytearray(b"1")))
     # The length is there so that _flags stays in a projection of its own.
     kept = F.when(F.length("_flags") == 0, F.array_join("_lines", "\n")).otherwise(F.array_join(stays, "\n"))
-    return df.select(*(F.col(f"`{c}`") for c in rest), F.size("_lines").cast("long").alias("n_lines"), "n_dropped", kept.alias("kept_text"))
+    return df.select("_row.*", F.size("_lines").cast("long").alias("n_lines"), "n_dropped", kept.alias("kept_text"))

@@ -60,18 +60,19 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     """
     out = ["n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_repeat_words"]
     rest = [F.col(f"`{c}`") for c in df.columns if c not in out]
+    row = F.struct(*rest).alias("_row")  # other columns travel as one, whatever their names
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     no = lambda array: F.array().cast(array)
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
     df = df.select(
-        *rest,
+        row,
         words(F.col(f"`{text}`")).alias("_w"),
         F.length(F.translate(t, BLANKS, "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.length(t) - F.length(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_upper"),
         lines.alias("_lines"),
     )
-    keep = [*rest, "word_chars", "n_symbols", "n_upper"]
+    keep = ["_row", "word_chars", "n_symbols", "n_upper"]
     df = df.select(
         *keep, F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
@@ -90,13 +91,12 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.select(*keep, starts.otherwise(no("array<int>")).alias("_p"))
     inner = F.aggregate(_pairs("_p", lambda a, b: F.least(F.lit(WINDOW), b - a)), F.lit(0), lambda s, x: s + x)
     covered = F.when(F.size("_p") > 0, inner + WINDOW).otherwise(0)
-    return df.select(*rest, *(c for c in out if c != "n_repeat_words"), covered.cast("long").alias("n_repeat_words"))
+    return df.select("_row.*", *(c for c in out if c != "n_repeat_words"), covered.cast("long").alias("n_repeat_words"))
 
 
 def ledger(df: DataFrame, text: str = "text") -> DataFrame:
     """measure() and the failure bits of all rules, each evaluated once, as fail_bits."""
-    if "fail_bits" in df.columns:
-        df = df.drop("fail_bits")
+    df = df.drop("fail_bits")
     bits = sum((F.when(F.expr(rule), F.lit(bit(name))).otherwise(F.lit(0)) for name, rule in RULES.items()), F.lit(0))
     return measure(df, text).withColumn("fail_bits", bits.cast("long"))
 

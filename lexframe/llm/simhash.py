@@ -243,4 +243,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **sett
     """docs without the rows that are not the first of their component; rows without an id stay."""
     found = near_duplicates(docs, id_col, text, **settings)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

@@ -25,8 +25,8 @@ def matched_words(questions: DataFrame, lexicon: DataFrame, words: Column | None
     return each.join(best, "w").select("qid", "word_pos", "m.word", "m.links")
 
 
-def in_corpus(terms: DataFrame, chunks: DataFrame, text: str = "text") -> DataFrame:
-    """Terms (term) that stand in some chunk, blanks aside.
+def in_corpus(terms: DataFrame, chunks: DataFrame, text: str = "text", keep=None) -> DataFrame:
+    """Terms (term) that stand in some chunk, blanks aside. keep may write a table and return it as read back.
 
     A term of two or more characters can only stand in chunks that hold its rarest pair of characters, so candidates come from
     an equi-join on that pair; a term of one character joins on itself. Texts travel once, to the candidates by their key.
@@ -40,6 +40,7 @@ def in_corpus(terms: DataFrame, chunks: DataFrame, text: str = "text") -> DataFr
     letters = body.select("_k", chars(F.col("_b")).alias("_c"))
     grams = letters.select("_k", F.explode(F.array_distinct(F.concat(pairs(F.col("_c")), F.col("_c")))).alias("gram"))
     held = grams.join(wanted.select("gram").distinct(), "gram", "left_semi").distinct()
+    held = held if keep is None else keep(held)
     rare = wanted.join(held.groupBy("gram").agg(F.count("*").alias("n")), "gram").groupBy("term", "_t", "needed").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count("*").alias("found"))
     candidates = rare.where("found = needed").join(held, "gram").groupBy("_k").agg(F.collect_list(F.struct("term", "_t")).alias("_terms"))
     hits = F.filter("_terms", lambda t: F.contains(F.col("_b"), t["_t"]))

@@ -27,22 +27,21 @@ class Index:
     mean_length: float
 
 
-def document_terms(chunks: DataFrame, pos: str = "pos", text: str = "text", runs: str = TOKEN_RUNS) -> DataFrame:
-    """(pos, length, terms array) of every chunk; empty ones too."""
-    df = chunks.select(F.col(f"`{pos}`").alias("pos"), bigrams(F.col(f"`{text}`"), runs).alias("terms"))
-    return df.select("pos", F.size("terms").alias("length"), "terms")
-
-
-def build_index(chunks: DataFrame, pos: str = "pos", text: str = "text", runs: str = TOKEN_RUNS) -> Index:
-    """idf = ln(1 + (n - df + 0.5) / (df + 0.5)); empty chunks count in n and in the mean length."""
-    docs = document_terms(chunks, pos, text, runs)
-    figures = docs.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
-    postings = docs.select("pos", "length", F.explode("terms").alias("term")).groupBy("pos", "length", "term").agg(F.count("*").alias("tf"))
+def build_index(chunks: DataFrame, pos: str = "pos", text: str = "text", runs: str = TOKEN_RUNS, keep=None) -> Index:
+    """idf = ln(1 + (n - df + 0.5) / (df + 0.5)); empty chunks count in n and in the mean length.
+
+    keep(postings) may write the postings and return them as read back, such as sources.scratch.written: texts are then taken
+    apart once, whatever the number of searches.
+    """
+    docs = chunks.select(F.col(f"`{pos}`").alias("pos"), bigrams(F.col(f"`{text}`"), runs).alias("terms"))
+    postings = docs.select("pos", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("pos", "length", "term").agg(F.count("*").alias("tf"))
     postings = postings.select("term", "pos", "tf", "length")
-    n = F.lit(float(figures["n"]))
+    if keep is not None:
+        postings = keep(postings)
+    n, total = chunks.count(), postings.agg(F.sum("tf")).first()[0] or 0
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    terms = df.withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    return Index(postings, terms, figures["n"], figures["mean"] or 0.0)
+    terms = df.withColumn("idf", F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    return Index(postings, terms, n, total / n if n else 0.0)
 
 
 def query_terms(questions: DataFrame, expansions: DataFrame | None = None, weight: float = 0.5, qid: str = "qid", text: str = "question", runs: str = TOKEN_RUNS) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import dense, evaluate, expand, fuse, lexical, lookup
+from ..sources.scratch import written
 
 QUERIES, SQL = {}, {}
 FAMILY = lookup.LawFamily("근로기준법", "근로기준법 시행령", "근로기준법 시행규칙", ("근기법", "법"))
@@ -54,7 +55,7 @@ top AS (SELECT qid, pos, round(score, 6) AS score, row_number() OVER (PARTITION
 
 
 def _index(spark: SparkSession, sf_dir: str) -> lexical.Index:
-    return lexical.build_index(table(spark, sf_dir, "documents"), "doc_id")
+    return lexical.build_index(table(spark, sf_dir, "documents"), "doc_id", keep=lambda p: written(p, "postings"))
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +102,7 @@ def _expansions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = ends.select("word", F.array(link("a", F.lit("동의어")), link("b", F.when(F.length("b") % 5 == 0, expand.ANTONYM).otherwise("동의어"))).alias("links"))
     matched = expand.matched_words(questions, lexicon, F.regexp_extract_all(F.lower("question"), F.lit("[a-z]{4,}"), F.lit(0)))
     terms = matched.select(F.explode("links").alias("l")).select("l.term").distinct()
-    return expand.expand_questions(matched, expand.in_corpus(terms, table(spark, sf_dir, "documents")))
+    return expand.expand_questions(matched, expand.in_corpus(terms, table(spark, sf_dir, "documents"), keep=lambda h: written(h, "grams")))
 
 
 @query(f"WITH {LEXICON} SELECT qid, term, term_pos FROM expanded")

@@ -97,6 +97,31 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents
+), w AS (
+  SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS s FROM d, unnest(range(0, n - 199)) AS t(i)
+), starts AS (
+  SELECT doc_id, i FROM w WHERE s IN (SELECT s FROM w GROUP BY s HAVING count(*) > 1)
+), marked AS (
+  SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM starts
+), islands AS (
+  SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM marked
+), spans AS (
+  SELECT doc_id, min(i) AS lo, max(i) + 200 AS hi FROM islands GROUP BY doc_id, g
+), cuts AS (
+  SELECT s.*, d.h, coalesce(lag(hi) OVER (PARTITION BY s.doc_id ORDER BY lo), 0) AS last FROM spans s JOIN d USING (doc_id)
+), kept AS (
+  SELECT doc_id, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans,
+         string_agg(substr(h, 2 * last + 1, 2 * (lo - last)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS k
+  FROM cuts GROUP BY doc_id
+)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -153,4 +178,4 @@ QUERIES = {
         op10_simhash_near_dedup,
     )
 }
-ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op8_quality_rules": OP8_SQL}
+ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op6_suffix_dedup": OP6_SQL, "op8_quality_rules": OP8_SQL}

@@ -26,52 +26,50 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import cut
+from .common import cut, drop
 
-WINDOW, GRAM, GROUP, BLOCK = 200, 16, 1024, 1 << 20
+WINDOW, GRAM, GROUP, BLOCK = 200, 48, 1024, 1 << 18
 CHUNK = 1 << 20
-_M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
-
-
-def gram_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of each run of GRAM bytes."""
-    n = len(data) - GRAM + 1
-    u = np.ndarray((n + 8,), "<u8", data, strides=(1,))
-    h = u[:n] * _M1
-    h ^= h >> np.uint64(32)
-    h += u[8 : n + 8]
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def gram_hashes(data: bytes, gram: int = GRAM) -> np.ndarray:
+    """A 64-bit hash of each run of `gram` bytes, a multiple of 8."""
+    n = len(data) - gram + 1
+    u = np.ndarray((n + gram - 8,), "<u8", data, strides=(1,))
+    h = np.zeros(n, np.uint64)
+    for at in range(0, gram, 8):
+        h += u[at : n + at]
+        h *= _M1
+        h ^= h >> np.uint64(29)
     h *= _M2
-    h ^= h >> np.uint64(29)
-    h *= _M3
     h ^= h >> np.uint64(32)
     return h
 
 
-def segments(data: bytes, window: int = WINDOW):
-    """Arrays (start, windows, anchor offset, anchor hash, byte hash) of the segments of a text."""
-    out = [[], [], [], [], []]
+def segments(data: bytes, window: int = WINDOW, gram: int = GRAM):
+    """Arrays (start, windows, anchor hash, byte hash) of the segments of a text."""
+    out = [[], [], [], []]
     for at in range(0, len(data) - window + 1, CHUNK):
         part = data[at : at + CHUNK + window - 1]
-        h = gram_hashes(part)
+        h = gram_hashes(part, gram)
         least = (h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64)
-        width = 1
-        while 2 * width <= window - GRAM + 1:
+        width, grams = 1, window - gram + 1
+        while 2 * width <= grams:
             least = np.minimum(least[:-width], least[width:])
             width *= 2
-        more = window - GRAM + 1 - width
+        more = grams - width
         least = np.minimum(least[: len(least) - more], least[more:])
         anchor = (least & np.uint64(0xFFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
         size = np.diff(np.r_[first, len(anchor)])
-        a = anchor[first]
         ends = first + size + window - 1
         out[0].append(first + at)
         out[1].append(size)
-        out[2].append(a - first)
-        out[3].append(h[a].view(np.int64))
-        out[4].append(np.array([xxhash.xxh3_64_intdigest(part[s:e]) for s, e in zip(first.tolist(), ends.tolist(), strict=True)], np.uint64).view(np.int64))
+        out[2].append(h[anchor[first]].view(np.int64))
+        out[3].append(np.array([xxhash.xxh3_64_intdigest(part[s:e]) for s, e in zip(first.tolist(), ends.tolist(), strict=True)], np.uint64).view(np.int64))
     return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
 
 
@@ -166,52 +164,62 @@ def repeated_starts(parts: list[bytes], window: int = WINDOW) -> list[np.ndarray
     return [np.flatnonzero(again[s : s + n]) for s, n in zip(starts, lens, strict=True)]
 
 
-def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """docs with k1 and k2, which tell different rows apart; equal rows may share them."""
-    ident = F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(-(1 << 63)))
-    return docs.withColumn("_k1", F.xxhash64(F.col(f"`{text}`"))).withColumn("_k2", ident)
+def keyed(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(_row, _k, _t, _data): other columns as one, the bytes, and _k and _t, which tell different rows apart; equal rows share
+    them. _k is the id, or a hash of the text where there is none; _t is 16 more bits of the text, for rows that share an id."""
+    t = F.col(f"`{text}`")
+    key = F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.xxhash64(t))
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), key.alias("_k"), F.xxhash64(F.lit(1), t).bitwiseAND(F.lit(0xFFFF)).alias("_t"), F.encode(t, "UTF-8").alias("_data"))
+
+
+def _start(loc: Column) -> Column:
+    return F.shiftright(loc, 32).cast("int")
+
 
+def _windows(loc: Column) -> Column:
+    return F.shiftright(loc, 16).bitwiseAND(F.lit(0xFFFF)).cast("int")
+
+
+def _tail(loc: Column) -> Column:
+    return loc.bitwiseAND(F.lit(0xFFFF))
+
+
+def _all_segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """(k, loc, h1, h2): loc packs the start (32 bits), the number of windows (16) and _t (16)."""
 
-def _all_segments(docs: DataFrame, text: str, window: int) -> DataFrame:
     def run(batches):
-        names = ["k1", "k2", "s", "n", "off", "h1", "h2"]
         for batch in batches:
             for i in range(0, len(batch), 128):
-                part = batch.slice(i, 128)
-                cols = [[] for _ in names]
-                for k1, k2, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
-                    data = data.as_buffer() if data.is_valid else None
+                part, cols = batch.slice(i, 128), [[], [], [], []]
+                for k, t, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
+                    data = data.as_py()
                     if data is None or len(data) < window:
                         continue
-                    s, n, off, h1, h2 = segments(data.to_pybytes(), window)
-                    for c, x in zip(cols, (np.full(len(s), k1), np.full(len(s), k2), s, n, off, h1, h2), strict=True):
+                    s, n, h1, h2 = segments(data, window, gram)
+                    for c, x in zip(cols, (np.full(len(s), k), s << 32 | n << 16 | t, h1, h2), strict=True):
                         c.append(x)
                 if cols[0]:
-                    flat = [np.concatenate(c) for c in cols]
-                    types = [np.int64, np.int64, np.int32, np.int16, np.int16, np.int64, np.int64]
-                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(flat, types, strict=True)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["k", "loc", "h1", "h2"])
 
-    return docs.select("_k1", "_k2", F.encode(F.col(f"`{text}`"), "UTF-8").alias("data")).mapInArrow(run, "k1 bigint, k2 bigint, s int, n smallint, off smallint, h1 bigint, h2 bigint")
+    return docs.select("_k", "_t", "_data").mapInArrow(run, "k bigint, loc bigint, h1 bigint, h2 bigint")
 
 
-def _cut_out(docs: DataFrame, wanted: DataFrame, text: str, window: int) -> DataFrame:
-    """(k1, k2, s, h1, many, once, off, part): the bytes of the wanted segments, fetched from their documents."""
-    lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "n", "off", "h1", "many", "once")).alias("want"))
-    one = docs.select("_k1", "_k2", F.encode(F.col(f"`{text}`"), "UTF-8").alias("data")).join(lists, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")))
+def _cut_out(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """wanted (k, loc, h1, many, once) with part, the bytes of the segment, fetched from its document."""
+    lists = wanted.groupBy("k", _tail(F.col("loc")).alias("t")).agg(F.collect_list(F.struct("loc", "h1", "many", "once")).alias("want"))
+    one = docs.select("_k", "_t", F.col("_data").alias("data")).join(lists, (F.col("_k") == F.col("k")) & (F.col("_t") == F.col("t")))
 
     def run(batches):
-        names = ["k1", "k2", "s", "h1", "many", "once", "off", "part"]
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.int16(), pa.binary()]
+        types = [("k", pa.int64()), ("loc", pa.int64()), ("h1", pa.int64()), ("many", pa.bool_()), ("once", pa.bool_()), ("part", pa.binary())]
         for batch in batches:
-            for i in range(0, len(batch), 64):
+            for i in range(0, len(batch), 32):
                 rows = []
-                for r in batch.slice(i, 64).to_pylist():
-                    rows += [(r["k1"], r["k2"], w["s"], w["h1"], w["many"], w["once"], w["off"], r["data"][w["s"] : w["s"] + w["n"] + window - 1]) for w in r["want"]]
+                for r in batch.slice(i, 32).to_pylist():
+                    rows += [(r["k"], w["loc"], w["h1"], w["many"], w["once"], r["data"][w["loc"] >> 32 : (w["loc"] >> 32) + (w["loc"] >> 16 & 0xFFFF) + window - 1]) for w in r["want"]]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), types, strict=True)], [n for n, _ in types])
 
-    found = one.select("k1", "k2", "want", "data").mapInArrow(run, "k1 bigint, k2 bigint, s int, h1 bigint, many boolean, once boolean, off smallint, part binary")
-    return found
+    return one.select("k", "want", "data").mapInArrow(run, "k bigint, loc bigint, h1 bigint, many boolean, once boolean, part binary")
 
 
 def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
@@ -222,100 +230,120 @@ def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[np.r_[0, cuts + 1]].tolist(), starts[np.r_[cuts, len(starts) - 1]].tolist(), strict=True))
 
 
+RANGES = [("k", pa.int64()), ("t", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]
+
+
 def _by_suffix_arrays(parts: DataFrame, window: int, block: int) -> DataFrame:
-    """(k1, k2, lo, hi) of what repeats in part, from parts sorted by anchor in each partition."""
+    """(k, t, lo, hi) of what repeats in part, from parts sorted by anchor in each partition."""
 
     def solve(rows):
         out = []
-        for (k1, k2, s, _, once, _), starts in zip(rows, repeated_starts([r[5] for r in rows], window), strict=True):
+        for (k, loc, _, once, _), starts in zip(rows, repeated_starts([r[4] for r in rows], window), strict=True):
             if once:
-                out += [(k1, k2, s + a, s + b + window) for a, b in _runs(starts)]
+                out += [(k, loc & 0xFFFF, (loc >> 32) + a, (loc >> 32) + b + window) for a, b in _runs(starts)]
         columns = list(zip(*out, strict=True)) if out else [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)], ["k1", "k2", "lo", "hi"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, RANGES, strict=True)], [n for n, _ in RANGES])
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "s", "h1", "once", "part")), strict=True):
-                if size >= block and held[-1][3] != row[3]:
-                    yield solve(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[5])
+            for i in range(0, len(batch), 512):
+                part = batch.slice(i, 512)
+                for row in zip(*(part.column(c).to_pylist() for c in ("k", "loc", "h1", "once", "part")), strict=True):
+                    if size >= block and held[-1][2] != row[2]:
+                        yield solve(held)
+                        held, size = [], 0
+                    held.append(row)
+                    size += len(row[4])
         if held:
             yield solve(held)
 
     n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ready = parts.repartition(n, "h1").sortWithinPartitions("h1").select("k1", "k2", "s", "h1", "once", "part")
-    return ready.mapInArrow(run, "k1 bigint, k2 bigint, lo int, hi int")
+    ready = parts.repartition(n, "h1").sortWithinPartitions("h1").select("k", "loc", "h1", "once", "part")
+    return ready.mapInArrow(run, "k bigint, t bigint, lo int, hi int")
 
 
 def _by_counting(parts: DataFrame, window: int) -> DataFrame:
-    """The same for anchors with very many segments: (k1, k2, lo, hi) of windows whose hashes occur again."""
+    """The same for anchors with very many segments, by counting the windows' hashes."""
 
     def run(batches):
-        names = ["h1", "w1", "w2", "k1", "k2", "s", "once"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
+        types = [("w1", pa.int64()), ("w2", pa.int64()), ("k", pa.int64()), ("t", pa.int64()), ("s", pa.int32()), ("once", pa.bool_())]
         for batch in batches:
-            for i in range(0, len(batch), 256):
+            for i in range(0, len(batch), 64):
                 rows = []
-                for r in batch.slice(i, 256).to_pylist():
-                    for d in range(len(r["part"]) - window + 1):
-                        h = xxhash.xxh3_128_intdigest(r["part"][d : d + window])
-                        rows.append((r["h1"], (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), r["k1"], r["k2"], r["s"] + d, r["once"]))
+                for k, loc, once, data in zip(*(batch.slice(i, 64).column(c).to_pylist() for c in ("k", "loc", "once", "part")), strict=True):
+                    for d in range(len(data) - window + 1):
+                        h = xxhash.xxh3_128_intdigest(data[d : d + window])
+                        rows.append(((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), k, loc & 0xFFFF, (loc >> 32) + d, once))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), types, strict=True)], [n for n, _ in types])
 
-    each = parts.mapInArrow(run, "h1 bigint, w1 bigint, w2 bigint, k1 bigint, k2 bigint, s int, once boolean")
-    each = cut(each, "windows")
+    each = cut(parts.select("k", "loc", "once", "part").mapInArrow(run, "w1 bigint, w2 bigint, k bigint, t bigint, s int, once boolean"), "windows")
     again = cut(each.groupBy("w1", "w2").agg(F.count("*").alias("m")).where("m > 1").select("w1", "w2"), "again")
-    return each.where("once").join(again, ["w1", "w2"], "left_semi").select("k1", "k2", F.col("s").alias("lo"), (F.col("s") + window).alias("hi"))
+    return each.where("once").join(again, ["w1", "w2"], "left_semi").select("k", "t", F.col("s").alias("lo"), (F.col("s") + window).alias("hi"))
+
 
+def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP, block: int = BLOCK) -> DataFrame:
+    """(k, t, lo, hi): byte ranges of keyed docs that are covered by strings of window bytes that start elsewhere too.
 
-def repeated_ranges(docs: DataFrame, text: str = "text", window: int = WINDOW, group: int = GROUP, block: int = BLOCK) -> DataFrame:
-    """(k1, k2, lo, hi): byte ranges of keyed docs that are covered by strings of window bytes that start elsewhere too."""
-    found = cut(_all_segments(docs, text, window), "segments")
-    kinds = found.groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "s", "n", "off")).alias("one"))
-    kinds = cut(kinds.select("h1", "h2", "copies", "one.*"), "kinds")
+    Tables are deleted as soon as the next one is written, which bounds the disk that is in use at a time.
+    """
+    found = cut(_all_segments(docs, window, gram), "segments")
+    kinds = cut(found.groupBy("h1", "h2").agg(F.count("*").alias("copies")), "kinds")
     anchors = kinds.groupBy("h1").agg(F.count("*").alias("kinds"), F.min("copies").alias("least"))
     mixed = cut(anchors.where("kinds > 1 AND least = 1").select("h1", (F.col("kinds") > group).alias("many")), "mixed")
-    wanted = kinds.join(mixed, "h1").select("k1", "k2", "s", "n", "off", "h1", "many", (F.col("copies") == 1).alias("once"))
-    parts = cut(_cut_out(docs, wanted, text, window), "parts")
+    of_use = kinds.join(mixed, "h1", "left").where("copies > 1 OR many IS NOT NULL")
+    of_use = cut(of_use.select("h1", "h2", "many", (F.col("copies") == 1).alias("once")), "of-use")
+    drop(kinds)
+    drop(mixed)
+    hits = cut(found.join(of_use, ["h1", "h2"]), "hits")
+    drop(found)
+    drop(of_use)
+    # One copy of each segment stands for all of them.
+    one = hits.where("many IS NOT NULL").groupBy("h1", "h2", "many", "once").agg(F.min(F.struct("k", "loc")).alias("one"))
+    parts = cut(_cut_out(docs, one.select("one.k", "one.loc", "h1", "many", "once"), window), "parts")
+    loc = F.col("loc")
+    whole = hits.where("NOT once").select("k", _tail(loc).alias("t"), _start(loc).alias("lo"), (_start(loc) + _windows(loc) + (window - 1)).alias("hi"))
     partial = _by_suffix_arrays(parts.where("NOT many"), window, block).unionByName(_by_counting(parts.where("many"), window))
-    again = cut(kinds.where("copies > 1").select("h1", "h2"), "again")
-    whole = found.join(again, ["h1", "h2"], "left_semi").select("k1", "k2", F.col("s").alias("lo"), (F.col("s") + F.col("n") + (window - 1)).cast("int").alias("hi"))
-    return whole.unionByName(partial)
+    ranges = cut(whole.unionByName(partial), "ranges")
+    drop(hits)
+    drop(parts)
+    return ranges
 
 
-def _strip(data: bytes | None, ranges: list | None) -> tuple[int, int, int, bytes]:
+def _strip(data: bytes, ranges: list) -> tuple[int, int, int, bytes]:
     """Bytes, bytes removed, runs removed, and what is left."""
-    data = data or b""
-    if not ranges:
-        return len(data), 0, 0, data
     kept, at, removed, runs, last = [], 0, 0, 0, -1
     for lo, hi in sorted(ranges):
         if lo > last:
             runs += 1
             kept.append(data[at:lo])
-        if hi > last:
-            removed += hi - max(lo, last if last >= 0 else lo)
+            removed += hi - lo
+            last = at = hi
+        elif hi > last:
+            removed += hi - last
             last = at = hi
     kept.append(data[at:])
     return len(data), removed, runs, b"".join(kept)
 
 
-def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, group: int = GROUP, block: int = BLOCK) -> DataFrame:
+def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, group: int = GROUP, block: int = BLOCK) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept (binary, as a cut may fall inside a character)."""
-    out = ["n_bytes", "n_removed", "n_spans", "kept"]
+    out = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary()}
     rest = [c for c in docs.columns if c not in out]
-    keyed = _keyed(docs.select(*(F.col(f"`{c}`") for c in rest)), id_col, text)
-    ranges = repeated_ranges(keyed, text, window, group, block)
-    lists = ranges.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    joined = keyed.join(lists, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left")
+    docs = docs.select(*(F.col(f"`{c}`") for c in rest))
+    rows = keyed(docs, id_col, text)
+    ranges = repeated_ranges(rows, window, gram, group, block)
+    lists = ranges.groupBy("k", "t").agg(F.collect_set(F.struct("lo", "hi")).alias("_ranges"))
+    joined = rows.join(lists, (F.col("_k") == F.col("k")) & (F.col("_t") == F.col("t")), "left").select("_row", "_data", "_ranges")
 
-    def run(data: pa.Array, ranges: pa.Array) -> pa.Array:
-        rows = [_strip(d.as_py(), [(x["lo"], x["hi"]) for x in r.as_py() or ()]) for d, r in zip(data, ranges, strict=True)]
-        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=out)
+    def run(batches):
+        for batch in batches:
+            for i in range(0, len(batch), 128):
+                part = batch.slice(i, 128)
+                found = [_strip(d.as_py() or b"", [(x["lo"], x["hi"]) for x in r.as_py() or ()]) for d, r in zip(part.column("_data"), part.column("_ranges"), strict=True)]
+                columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), out.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("_row"), *columns], ["_row", *out])
 
-    strip = F.arrow_udf(run, "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
-    return joined.select(*(F.col(f"`{c}`") for c in rest), strip(F.encode(F.col(f"`{text}`"), "UTF-8"), "ranges").alias("_s")).select(*(F.col(f"`{c}`") for c in rest), "_s.*")
+    schema = T.StructType([T.StructField("_row", docs.schema), *(T.StructField(n, T.BinaryType() if n == "kept" else T.LongType()) for n in out)])
+    return joined.mapInArrow(run, schema).select("_row.*", *out)

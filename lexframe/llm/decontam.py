@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,14 +48,17 @@ def pack(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def near_values(value: int, bits: int, radius: int) -> np.ndarray:
-    """All values of `bits` bits within the radius of a value."""
-    found = {value}
-    edge = {value}
+def near_masks(bits: int, radius: int) -> np.ndarray:
+    """All masks of `bits` bits with at most `radius` of them set."""
+    found = np.zeros(1, np.int64)
     for _ in range(radius):
-        edge = {v ^ (1 << b) for v in edge for b in range(bits)} - found
-        found |= edge
-    return np.fromiter(found, np.int64)
+        found = np.unique(np.concatenate([found, (found[:, None] ^ (1 << np.arange(bits))).ravel()]))
+    return found
+
+
+def among(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which keys a sorted table has."""
+    return table[np.minimum(np.searchsorted(table, keys), len(table) - 1)] == keys if len(keys) else np.zeros(0, bool)
 
 
 class Items:
@@ -65,13 +69,15 @@ class Items:
         self.prints = pack(np.array([sum(map(word_bits, w)) for w in words]))
         self.shingles = [Counter(tuple(w[i : i + self.k]) for i in range(length - self.k + 1)) for w in words]
         self.radius, self.blocks, self.width = radius, blocks, 64 // blocks
+        self.keys = np.zeros(0, np.uint64)
         self.tables = []
+        masks = near_masks(self.width, radius // blocks)
         for b in range(blocks):
-            pairs = [(v, n) for n, p in enumerate(self.prints) for v in near_values(int(p) >> (b * self.width) & ((1 << self.width) - 1), self.width, radius // blocks)]
-            pairs.sort()
-            values, owners = np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64)
-            starts = np.searchsorted(values, np.arange((1 << self.width) + 1))
-            self.tables.append((starts, owners))
+            own = (self.prints >> np.uint64(b * self.width)).astype(np.int64) & ((1 << self.width) - 1)
+            values = (own[:, None] ^ masks).ravel()
+            order = np.argsort(values, kind="stable")
+            starts = np.searchsorted(values[order], np.arange((1 << self.width) + 1))
+            self.tables.append((starts.astype(np.int32), (order // len(masks)).astype(np.int32)))
 
     def candidates(self, prints: np.ndarray) -> list[tuple[int, int]]:
         """(window, item) pairs within the radius: all of them."""
@@ -101,41 +107,57 @@ class Benchmark:
                 for t in w:
                     self.vocabulary.setdefault(t, len(self.vocabulary) + 1)
         self.bits = np.array([np.zeros(64, np.int32), *map(word_bits, self.vocabulary)])
-        self.known = {k: self._shingle_keys([[self.vocabulary[t] for t in s] for x in self.items if x.k == k for c in x.shingles for s in c], k) for k in {x.k for x in self.items}}
+        for x in self.items:
+            x.keys = self._shingle_keys([[self.vocabulary[t] for t in s] for c in x.shingles for s in c], x.k)
+        self.known = {k: np.unique(np.concatenate([x.keys for x in self.items if x.k == k])) for k in {x.k for x in self.items}}
 
     @staticmethod
-    def _mix(codes: np.ndarray, k: int) -> np.ndarray:
-        """A key for each run of k codes."""
-        key = np.zeros(max(0, len(codes) - k + 1), np.uint64)
+    def _mix_at(codes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+        """A key for each run of k codes that starts at one of the places."""
+        key = np.zeros(len(at), np.uint64)
         for j in range(k):
-            key = (key + codes[j : j + len(key)].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            key = (key + codes[at + j].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)
         return key
 
     def _shingle_keys(self, shingles: list[list[int]], k: int) -> np.ndarray:
-        return np.unique(np.concatenate([self._mix(np.array(s), k) for s in shingles]))
+        return np.unique(np.concatenate([self._mix_at(np.array(s), np.zeros(1, np.int64), k) for s in shingles]))
+
+    def _hits(self, codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and keys of the shingles that some item has. Only those whose words are all known are looked up."""
+        n = max(0, len(codes) - k + 1)
+        known = codes[:n] > 0
+        for j in range(1, k):
+            known &= codes[j : n + j] > 0
+        at = np.flatnonzero(known)
+        keys = self._mix_at(codes, at, k)
+        real = among(keys, self.known[k])
+        return at[real], keys[real]
 
     def matches(self, text: str | None) -> list[tuple]:
         """(item id, similarity, first word, words, differing bits) of the best window for each item found."""
         words = tokens(text)
-        get = self.vocabulary.get
-        codes = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
+        codes = np.array(list(map(self.vocabulary.get, words, repeat(0))), np.int64)
         best: dict = {}
-        hits: dict[int, np.ndarray] = {}
+        hits: dict[int, tuple] = {}
         for items in self.items:
             n, k = items.length, items.k
             if n > len(words):
                 break
             if k not in hits:
-                known = np.isin(self._mix(codes, k), self.known[k])
-                for j in range(k):
-                    known &= codes[j : j + len(known)] > 0
-                hits[k] = np.r_[0, np.cumsum(known)]
-            if not hits[k][-1]:
-                continue
+                hits[k] = self._hits(codes, k)
+            at, keys = hits[k]
             total = n - k + 1
-            inside = hits[k][total:] - hits[k][: len(words) - n + 1]
-            starts = np.flatnonzero(inside >= self.similarity * total)
+            least = self.similarity * total
+            if len(at) < least:
+                continue
+            at = at[among(keys, items.keys)]
+            if len(at) < least:
+                continue
+            here = np.zeros(len(words) - k + 2, np.int32)
+            here[at + 1] = 1
+            here = np.cumsum(here)
+            starts = np.flatnonzero(here[total:] - here[: len(words) - n + 1] >= least)
             # Starts close to each other share their sums; a group spans a bounded part of the text.
             for group in np.split(starts, np.flatnonzero((np.diff(starts) > n) | (np.diff(starts // SPAN) > 0)) + 1) if len(starts) else ():
                 self._verify(items, words, codes, group, total, best)
@@ -159,6 +181,18 @@ class Benchmark:
                     best[id_] = got
 
 
+_built: dict[tuple, Benchmark] = {}
+
+
+def _benchmark(items: list[tuple], *settings) -> Benchmark:
+    """One Benchmark for all tasks of a Python worker."""
+    key = (hash(tuple(items)), settings)
+    if key not in _built:
+        _built.clear()
+        _built[key] = Benchmark(items, *settings)
+    return _built[key]
+
+
 def _passes(benchmark: DataFrame, item_id: str, text: str, pass_mb: int):
     """The items in blocks of about pass_mb of text, so that what is broadcast is bounded whatever the benchmark holds."""
     items = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{text}`").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
@@ -175,13 +209,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     out = None
     for items in _passes(benchmark, item_id, item_text, pass_mb):
         shared = spark.sparkContext.broadcast(items)
-        memo: dict[str, Benchmark] = {}
 
-        def run(batches, shared=shared, memo=memo):
-            if not memo:
-                memo["b"] = Benchmark(shared.value, similarity, radius, blocks)
+        def run(batches, shared=shared):
+            known = _benchmark(shared.value, similarity, radius, blocks)
             for batch in batches:
-                rows = [(id_.as_py(), *m) for id_, t in zip(batch.column(0), batch.column(1), strict=True) for m in memo["b"].matches(t.as_py())]
+                rows = [(id_.as_py(), *m) for id_, t in zip(batch.column(0), batch.column(1), strict=True) for m in known.matches(t.as_py())]
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
                 types = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "item_id", "similarity", "start_word", "n_words", "differing_bits"])
@@ -195,4 +227,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """docs in which no benchmark item is found; rows without an id stay."""
     leaks = find_leaks(docs, benchmark, id_col, text, **settings).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, F.col(f"`{id_col}`") == F.col("_leak"), "left_anti")
+    return docs.join(leaks, docs[id_col] == leaks["_leak"], "left_anti")

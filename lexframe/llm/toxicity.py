@@ -2,9 +2,9 @@
 
 score = sigmoid(bias + sum w_i + sum_{i<j} <v_i, v_j>) over the distinct hashed terms of a text that the model knows: linear
 weights for what is toxic by itself, and rank-RANK factors for pairs, such as an insult together with a mention of a group,
-that linear weights can only add up. It is fitted by AdaGrad on at most features.TRAIN_ROWS labelled rows, whose terms are
-extracted on the executors; terms are first chosen by how much their frequency differs between the classes, which keeps the
-long tail of chance words out. The fitted model is a few hundred KB and is broadcast; scoring is one pass without a shuffle.
+that linear weights can only add up. It is fitted by AdaGrad on at most features.TRAIN_ROWS labelled rows. Terms
+are first counted on the executors and chosen by how much their frequency differs between the classes, which keeps the long
+tail of chance words out and what comes to the driver small. The fitted model is a few hundred KB and is broadcast; scoring is one pass without a shuffle.
 
 Defined cases: null and empty texts have no terms and score sigmoid(bias); a table without labelled rows gives a model
 that scores every text all but 0; rows that repeat an id are scored each; an empty table gives an empty result; other columns
@@ -17,8 +17,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import cut, drop
 from .features import TRAIN_ROWS, Terms, segment_sum, sigmoid, spans, training_sample
 
 PREFIXES, RANK, KNOWN, EPOCHS = (4, 5, 6, 7), 8, 4096, 30
@@ -45,28 +46,16 @@ def _margin(bias, w, v, rows, bounds):
     return bias + linear + 0.5 * (s**2 - q).sum(axis=1), s
 
 
-def fit(lists: list[np.ndarray], labels: np.ndarray, known: int = KNOWN, rank: int = RANK, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 2e-5) -> Machine:
+def fit(keys: np.ndarray, lists: list[np.ndarray], labels: np.ndarray, rank: int = RANK, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 2e-5) -> Machine:
+    """keys: the known terms in order; lists: those of each text."""
     n = len(labels)
     if not n or labels.min() == labels.max():
         return Machine(np.zeros(0, np.int32), -60.0 if not n or not labels.any() else 60.0, np.zeros(1), np.zeros((1, rank)))
     terms, bounds = spans(lists)
-    keys, at = np.unique(terms, return_inverse=True)
-    owner = np.repeat(np.arange(n), np.diff(bounds))
-    df1 = np.bincount(at[labels[owner] == 1], minlength=len(keys))
-    df0 = np.bincount(at[labels[owner] == 0], minlength=len(keys))
-    n1, n0 = labels.sum(), n - labels.sum()
-    p = (df1 + df0 + 1) / (n + 2)
-    z = np.abs(df1 / n1 - df0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    z[df1 + df0 < 3] = 0
-    best = np.argsort(-z, kind="stable")[:known]
-    best = np.sort(best[z[best] > 3])
-    rows = np.full(len(keys), -1)
-    rows[best] = np.arange(len(best))
-    rows = rows[at]
-    keep = rows >= 0
-    rows, bounds = rows[keep], np.concatenate([[0], np.cumsum(keep)])[bounds]
+    rows = np.searchsorted(keys, terms)
     rng = np.random.default_rng(7)
-    bias, w, v = float(np.log(n1 / n0)), np.zeros(max(1, len(best))), rng.normal(0, 0.01, (max(1, len(best)), rank))
+    n1 = labels.sum()
+    bias, w, v = float(np.log(n1 / (n - n1))), np.zeros(max(1, len(keys))), rng.normal(0, 0.01, (max(1, len(keys)), rank))
     gb, gw, gv = 1e-8, np.full_like(w, 1e-8), np.full_like(v, 1e-8)
     for _ in range(epochs):
         order = rng.permutation(n)
@@ -87,28 +76,56 @@ def fit(lists: list[np.ndarray], labels: np.ndarray, known: int = KNOWN, rank: i
             bias -= rate * db / np.sqrt(gb)
             w -= rate * dw / np.sqrt(gw)
             v -= rate / 5 * dv / np.sqrt(gv)
-    return Machine(keys[best], bias, w, v)
+    return Machine(keys, bias, w, v)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> Machine:
-    """Fit on the bounded training sample. Only its hashed terms, in the order of ids, come to the driver."""
+def telling_terms(sample: DataFrame, known: int = KNOWN, least_z: float = 3.0, least_docs: int = 3) -> np.ndarray:
+    """The hashed terms, at most `known`, whose shares of the texts of either class differ most, by the two-sample z score.
+    They are counted on the executors, with map-side sums."""
 
     def run(batches):
         terms = Terms(PREFIXES)
         for batch in batches:
             for i in range(0, len(batch), 256):
                 part = batch.slice(i, 256)
-                found = [terms(t.as_py()) for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "label", "terms"])
+                found, bounds = spans([terms(t.as_py()) for t in part.column("text")])
+                toxic = np.repeat(part.column("label").to_numpy(), np.diff(bounds)) == 1
+                keys, at = np.unique(found, return_inverse=True)
+                df1 = np.bincount(at, toxic, len(keys)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(df1), pa.array(np.bincount(at, minlength=len(keys)).astype(np.int64) - df1)], ["term", "df1", "df0"])
+
+    sizes = sample.agg(F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") != 1).alias("n0")).first()
+    n1, n0 = sizes.n1, sizes.n0
+    if not n1 or not n0:
+        return np.zeros(0, np.int32)
+    counts = sample.mapInArrow(run, "term int, df1 bigint, df0 bigint").groupBy("term").agg(F.sum("df1").alias("df1"), F.sum("df0").alias("df0"))
+    p = (F.col("df1") + F.col("df0") + 1) / F.lit(n1 + n0 + 2)
+    z = F.abs(F.col("df1") / n1 - F.col("df0") / n0) / F.sqrt(p * (1 - p) * F.lit(1 / n1 + 1 / n0))
+    best = counts.where(F.col("df1") + F.col("df0") >= least_docs).withColumn("z", z).where(F.col("z") > least_z)
+    rows = best.orderBy(F.desc(F.round("z", 9)), "term").limit(known).select("term").collect()
+    return np.sort(np.array([r.term for r in rows], np.int32))
 
-    sample = training_sample(docs, labels, label, id_col, text, rows).mapInArrow(run, "doc_id bigint, label int, terms array<int>").toArrow()
-    sample = sample.sort_by("doc_id")
-    lists = [x.values.to_numpy() for x in sample.column("terms")]
-    return fit(lists, sample.column("label").to_numpy().astype(np.int64))
 
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> Machine:
+    """Fit on the bounded training sample. Only its known terms, in the order of ids, come to the driver."""
+    sample = cut(training_sample(docs, labels, label, id_col, text, rows), "sample")
+    keys = telling_terms(sample)
 
-def score(docs: DataFrame, machine: Machine, text: str = "text", out: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1."""
+    def run(batches):
+        terms = Terms(PREFIXES, keys)
+        for batch in batches:
+            for i in range(0, len(batch), 256):
+                part = batch.slice(i, 256)
+                found = pa.array([terms(t.as_py()) for t in part.column("text")], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), found], ["doc_id", "label", "terms"])
+
+    known = sample.mapInArrow(run, "doc_id bigint, label int, terms array<int>").toArrow().sort_by("doc_id")
+    drop(sample)
+    return fit(keys, [np.array(x.as_py(), np.int32) for x in known.column("terms")], known.column("label").to_numpy().astype(np.int64))
+
+
+def scorer(docs: DataFrame, machine: Machine, text: str = "text") -> Column:
+    """The score of a text, from 0 to 1, as a column of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     memo: dict[str, Terms] = {}
 
@@ -117,9 +134,13 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", out: str = "sco
             memo["terms"] = Terms(PREFIXES, shared.value.keys)
         return pa.array(shared.value.scores([memo["terms"](t.as_py()) for t in texts]), pa.float64())
 
-    return docs.withColumn(out, F.arrow_udf(run, "double")(F.col(f"`{text}`")))
+    return F.arrow_udf(run, "double")(F.col(f"`{text}`"))
+
+
+def score(docs: DataFrame, machine: Machine, text: str = "text", out: str = "score") -> DataFrame:
+    return docs.withColumn(out, scorer(docs, machine, text))
 
 
 def keep_clean(docs: DataFrame, machine: Machine, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """docs that score below the threshold, with their own columns."""
-    return score(docs, machine, text, "_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+    return docs.where(scorer(docs, machine, text) < threshold)

@@ -11,8 +11,8 @@ Consecutive windows with one anchor form a segment.
    suffixes smaller than their successors are sorted directly, the rest is induced by bucket scans, and windows whose common
    prefix with a neighbour is WINDOW bytes or more repeat.
 4. Anchors with over GROUP different segments, such as those at the ends of a passage that a third of all documents holds,
-   would make a group too large for a task. Their windows are counted one by one by 128-bit hash instead, again with map-side
-   sums: the same result without gathering a group.
+   would make a group too large for a task. Their windows are compared by 128-bit hash instead: windows that meet in a batch
+   are settled there, and one of each goes on, packed and dealt by hash. The same result without gathering a group.
 5. The byte ranges found are gathered per document, and each document is rebuilt once.
 
 Defined cases: a null text has no bytes; texts of fewer than WINDOW bytes lose nothing; equal rows are elsewhere for each
@@ -263,24 +263,85 @@ def _by_suffix_arrays(parts: DataFrame, window: int, block: int) -> DataFrame:
     return ready.mapInArrow(run, "k bigint, t bigint, lo int, hi int")
 
 
+#: One window: its 128-bit hash, its document and place, whether its segment occurs once, and whether it is known to repeat.
+WINDOWS = np.dtype([("w1", "<i8"), ("w2", "<i8"), ("k", "<i8"), ("s", "<i4"), ("t", "<u2"), ("once", "?"), ("done", "?")])
+
+
+def _meeting(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in the order of their hashes; which have a partner; which are the first of theirs."""
+    rows = rows[np.lexsort((rows["w2"], rows["w1"]))]
+    same = (rows["w1"][1:] == rows["w1"][:-1]) & (rows["w2"][1:] == rows["w2"][:-1])
+    return rows, np.r_[False, same] | np.r_[same, False], np.r_[True, ~same]
+
+
+def _as_ranges(rows: np.ndarray, window: int) -> pa.RecordBatch:
+    """The byte ranges of windows; consecutive ones of a document in one."""
+    rows = rows[np.lexsort((rows["s"], rows["t"], rows["k"]))]
+    new = (rows["k"][1:] != rows["k"][:-1]) | (rows["t"][1:] != rows["t"][:-1]) | (rows["s"][1:] != rows["s"][:-1] + 1)
+    first, last = np.flatnonzero(np.r_[True, new]), np.flatnonzero(np.r_[new, True])
+    columns = [rows["k"][first], rows["t"][first], rows["s"][first], rows["s"][last] + window]
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype())) for c, (_, t) in zip(columns, RANGES, strict=True)], [n for n, _ in RANGES])
+
+
 def _by_counting(parts: DataFrame, window: int) -> DataFrame:
-    """The same for anchors with very many segments, by counting the windows' hashes."""
+    """The same for anchors with very many segments, by the windows' hashes. Windows that meet in a batch are settled there;
+    one of each is then dealt by hash, packed by hundreds into a row for each bucket, and meets those of other batches. However
+    often a window occurs, a batch sends it once."""
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def run(batches):
-        types = [("w1", pa.int64()), ("w2", pa.int64()), ("k", pa.int64()), ("t", pa.int64()), ("s", pa.int32()), ("once", pa.bool_())]
+    def deal(batches):
         for batch in batches:
-            for i in range(0, len(batch), 64):
-                rows = []
-                for k, loc, once, data in zip(*(batch.slice(i, 64).column(c).to_pylist() for c in ("k", "loc", "once", "part")), strict=True):
-                    for d in range(len(data) - window + 1):
-                        h = xxhash.xxh3_128_intdigest(data[d : d + window])
-                        rows.append(((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), k, loc & 0xFFFF, (loc >> 32) + d, once))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), types, strict=True)], [n for n, _ in types])
+            for i in range(0, len(batch), 1024):
+                part = batch.slice(i, 1024)
+                k, loc, once, data = (part.column(c).to_pylist() for c in ("k", "loc", "once", "part"))
+                sizes = np.array([len(d) - window + 1 for d in data])
+                if not len(sizes):
+                    continue
+                rows = np.zeros(sizes.sum(), WINDOWS)
+                digests = b"".join(xxhash.xxh3_128_digest(d[j : j + window]) for d, m in zip(data, sizes.tolist(), strict=True) for j in range(m))
+                rows["w1"], rows["w2"] = np.frombuffer(digests, "<i8").reshape(-1, 2).T
+                rows["k"], rows["once"] = np.repeat(k, sizes), np.repeat(once, sizes)
+                rows["t"] = np.repeat(np.array(loc) & 0xFFFF, sizes)
+                inside = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                rows["s"] = np.repeat(np.array(loc) >> 32, sizes) + inside
+                rows, again, first = _meeting(rows)
+                rows["done"] = again
+                settled, rest = rows[again & rows["once"]], rows[first]
+                bucket = (rest["w1"].view(np.uint64) % np.uint64(n)).astype(np.int32)
+                by = np.argsort(bucket, kind="stable")
+                rest, bucket = rest[by], bucket[by]
+                starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+                blobs = [rest[a:b].tobytes() for a, b in zip(starts, np.r_[starts[1:], len(rest)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([-1, *bucket[starts].tolist()], pa.int32()), pa.array([settled.tobytes(), *blobs], pa.binary())], ["bucket", "packed"])
+
+    def unpack(batches):
+        for batch in batches:
+            for packed in batch.column("packed"):
+                if rows := packed.as_py():
+                    yield _as_ranges(np.frombuffer(rows, WINDOWS), window)
+
+    def meet(batches):
+        held, last = [], None
+
+        def settle():
+            rows, again, _ = _meeting(np.frombuffer(b"".join(held), WINDOWS))
+            rows = rows[again & rows["once"] & ~rows["done"]]
+            return [_as_ranges(rows, window)] if len(rows) else []
+
+        for batch in batches:
+            for bucket, packed in zip(batch.column("bucket").to_pylist(), batch.column("packed"), strict=True):
+                if held and bucket != last:
+                    yield from settle()
+                    held = []
+                last = bucket
+                held.append(packed.as_py())
+        if held:
+            yield from settle()
 
-    each = cut(parts.select("k", "loc", "once", "part").mapInArrow(run, "w1 bigint, w2 bigint, k bigint, t bigint, s int, once boolean"), "windows")
-    again = cut(each.groupBy("w1", "w2").agg(F.count("*").alias("m")).where("m > 1").select("w1", "w2"), "again")
-    return each.where("once").join(again, ["w1", "w2"], "left_semi").select("k", "t", F.col("s").alias("lo"), (F.col("s") + window).alias("hi"))
+    ddl = "k bigint, t bigint, lo int, hi int"
+    dealt = cut(parts.select("k", "loc", "once", "part").mapInArrow(deal, "bucket int, packed binary"), "windows")
+    across = dealt.where("bucket >= 0").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, ddl)
+    return dealt.where("bucket < 0").select("packed").mapInArrow(unpack, ddl).unionByName(across)
 
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP, block: int = BLOCK) -> DataFrame:

@@ -1,7 +1,8 @@
 """Byte-level BPE by forced-boundary splitting.
 
 A byte pair that stands inside no token of the vocabulary can never be merged over, so every occurrence of it is a certain
-cut. A text is split at the special tokens and by the pre-tokenizer's pattern, each piece is cut at all its forced boundaries,
+cut. A text is split at the special tokens and by the pre-tokenizer (by its pattern, or by the installed library's own where
+versions of Unicode could differ), each piece is cut at all its forced boundaries,
 and the resulting fragments are encoded independently (and remembered, as fragments recur) and concatenated. Cuts keep the
 fragments short whatever the text is; what is left long is merged with a heap in O(n log n).
 
@@ -16,15 +17,39 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
+import struct
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from tokenizers.pre_tokenizers import ByteLevel
 
-MAX_FILE_MB, MEMO = 64, 1 << 17
-#: Fixed value: the pattern of the tokenizer's byte-level pre-tokenizer.
+MAX_FILE_MB, MEMO, NONE = 64, 1 << 17, 1 << 62
+#: Fixed value: the pattern of byte-level pre-tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for texts of ASCII characters.
+ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
+
+#: Characters outside of scripts that all versions of Unicode class alike: texts with them go to the installed library.
+UNSURE = "[^\x00-\u0557\u2010-\u2027\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]"
+
+
+class Memo(dict):
+    """Results by key, of bounded number: what was not met since the last turn is forgotten."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.older = size, {}
+
+    def keep(self, key, value):
+        if len(key) <= 64:
+            if len(self) >= self.size:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
 
 
 def byte_symbols() -> list[str]:
@@ -48,10 +73,16 @@ class Tokenizer:
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
         self.table = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
         self.byte_ids = [ids[c] for c in symbols]
+        #: Pair of ids -> rank and merged id in one number, which sorts by rank.
         self.merges = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges.setdefault((ids[left], ids[right]), (rank, ids[left + right]))
+            self.merges.setdefault((ids[left], ids[right]), rank << 32 | ids[left + right])
+        self.pair_keys = np.array([a << 32 | b for a, b in self.merges], np.int64)
+        order = np.argsort(self.pair_keys)
+        self.pair_keys, self.pair_values = self.pair_keys[order], np.array(list(self.merges.values()), np.int64)[order]
+        self.byte_table = np.array(self.byte_ids, np.int64)
+        self.byte_pairs = self._pair_ranks(np.repeat(self.byte_table, 256), np.tile(self.byte_table, 256))
         #: joins[256 * a + b]: byte b follows byte a inside some token; if not, there is a forced boundary between them.
         self.joins = np.zeros(65536, bool)
         for i, token in self.bytes_of.items():
@@ -59,10 +90,10 @@ class Tokenizer:
                 codes = np.frombuffer(token, np.uint8).astype(np.int32)
                 self.joins[256 * codes[:-1] + codes[1:]] = True
         self.pair_joins = self.joins.tolist()
-        self.pieces = regex.compile(PATTERN)
-        self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.memo: dict[str, bytes] = {}
-        self.fragment_memo: dict[bytes, list[int]] = {}
+        self.ascii_pieces, self.all_pieces, self.unsure = re.compile(ASCII_PATTERN), regex.compile(PATTERN), re.compile(UNSURE)
+        self.pre_tokenizer = ByteLevel(add_prefix_space=False)
+        self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.pieces, self.parts = Memo(2 * MEMO), Memo(MEMO)
 
     def fragments(self, piece: bytes) -> list[bytes]:
         """The piece, cut at all its forced boundaries."""
@@ -81,65 +112,121 @@ class Tokenizer:
 
     def merge(self, fragment: bytes) -> list[int]:
         """The ids of one fragment: the adjacent pair of least rank, leftmost first, is merged until none is left."""
-        out, merges = [self.byte_ids[b] for b in fragment], self.merges
-        if len(out) > 48:
+        out, get = [self.byte_ids[b] for b in fragment], self.merges.get
+        if len(out) > 64:
             return self._merge_long(out)
-        while len(out) > 1:
-            best = None
-            for i in range(len(out) - 1):
-                found = merges.get((out[i], out[i + 1]))
-                if found and (best is None or found[0] < best[0]):
-                    best, at = found, i
-            if best is None:
+        ranks = [get(pair, NONE) for pair in zip(out, out[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == NONE:
                 break
-            out[at : at + 2] = [best[1]]
+            i = ranks.index(best)
+            new = best & 0xFFFFFFFF
+            out[i : i + 2] = [new]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((out[i - 1], new), NONE)
+            if i < len(ranks):
+                ranks[i] = get((new, out[i + 1]), NONE)
         return out
 
     def _merge_long(self, out: list[int]) -> list[int]:
-        merges, n = self.merges, len(out)
+        get, n = self.merges.get, len(out)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(f[0], i, f[1], out[i], out[i + 1]) for i in range(n - 1) if (f := merges.get((out[i], out[i + 1])))]
+        heap = [(f, i, out[i], out[i + 1]) for i in range(n - 1) if (f := get((out[i], out[i + 1])))]
         heapq.heapify(heap)
         while heap:
-            _, i, new, left, right = heapq.heappop(heap)
+            found, i, left, right = heapq.heappop(heap)
             j = after[i] if out[i] == left else n
             if j >= n or out[j] != right:
                 continue  # one of the two has been merged meanwhile
-            out[i], out[j], after[i] = new, -1, after[j]
+            out[i], out[j], after[i] = found & 0xFFFFFFFF, -1, after[j]
             if after[j] < n:
                 before[after[j]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and (f := merges.get((out[a], out[b]))):
-                    heapq.heappush(heap, (f[0], a, f[1], out[a], out[b]))
+                if a >= 0 and b < n and (f := get((out[a], out[b]))):
+                    heapq.heappush(heap, (f, a, out[a], out[b]))
         return [x for x in out if x >= 0]
 
-    def _piece(self, piece: str) -> bytes:
-        ids: list[int] = []
-        for fragment in self.fragments(piece.encode()):
-            got = self.fragment_memo.get(fragment)
-            if got is None:
-                got = self.merge(fragment)
-                if len(fragment) <= 64:
-                    if len(self.fragment_memo) >= MEMO:
-                        self.fragment_memo.clear()
-                    self.fragment_memo[fragment] = got
-            ids += got
-        out = np.array(ids, np.int32).tobytes()
-        if len(piece) <= 64:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[piece] = out
+    def merge_many(self, fragments: list[bytes]) -> list[bytes]:
+        """merge() of many short fragments at once: each step merges the best pair of every fragment that has one left."""
+        out: list[bytes] = [b""] * len(fragments)
+        by_length = sorted(range(len(fragments)), key=lambda i: len(fragments[i]))
+        for at in range(0, len(by_length), 2048):
+            chosen = np.array(by_length[at : at + 2048])
+            width = len(fragments[chosen[-1]])
+            codes = np.frombuffer(b"".join(fragments[i].ljust(width, b"\0") for i in chosen), np.uint8).reshape(-1, width).astype(np.int64)
+            lengths = np.array([len(fragments[i]) for i in chosen])
+            ids = np.concatenate([np.where(np.arange(width) < lengths[:, None], self.byte_table[codes], -1), np.full((len(chosen), 1), -1)], axis=1)
+            ranks = np.full((len(chosen), width), NONE)
+            ranks[:, :-1] = np.where(np.arange(1, width) < lengths[:, None], self.byte_pairs[256 * codes[:, :-1] + codes[:, 1:]], NONE)
+            columns = np.arange(width)
+            while True:
+                i = ranks.argmin(axis=1)
+                best = ranks[np.arange(len(i)), i]
+                over = best == NONE
+                if over.any():
+                    done = ids[over]
+                    flat, ends = done[done >= 0].astype("<i4").tobytes(), np.cumsum((done >= 0).sum(axis=1)) * 4
+                    for j, lo, hi in zip(chosen[over].tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                        out[j] = flat[lo:hi]
+                    if over.all():
+                        break
+                    chosen, ids, ranks, i, best = chosen[~over], ids[~over], ranks[~over], i[~over], best[~over]
+                rows = np.arange(len(i))
+                ids[:, :-1] = np.take_along_axis(ids, columns + (columns > i[:, None]), axis=1)
+                ids[rows, i] = best & 0xFFFFFFFF
+                ranks[:, :-1] = np.take_along_axis(ranks, columns[:-1] + (columns[:-1] >= i[:, None]), axis=1)
+                ranks[:, -1] = NONE
+                ranks[rows, i] = self._pair_ranks(ids[rows, i], ids[rows, i + 1])
+                left = i > 0
+                ranks[rows[left], i[left] - 1] = self._pair_ranks(ids[rows[left], i[left] - 1], ids[rows[left], i[left]])
         return out
 
-    def encode(self, text: str) -> np.ndarray:
-        memo, parts = self.memo, []
-        for run in self.specials.split(text) if self.specials else [text]:
-            if run in self.special:
-                parts.append(np.int32(self.special[run]).tobytes())
+    def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where((self.pair_keys[at] == keys) & (right >= 0), self.pair_values[at], NONE)
+
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids, as bytes, of all pieces; those that are not remembered are encoded together."""
+        known_pieces, out, get, older, cut = {}, {}, self.pieces.get, self.pieces.older, {}
+        for p in pieces:
+            if (got := get(p)) is not None:
+                known_pieces[p] = got
+            elif (got := older.get(p)) is not None:
+                out[p] = got
             else:
-                for piece in self.pieces.findall(run):
-                    parts.append(memo.get(piece) or self._piece(piece))
-        return np.frombuffer(b"".join(parts), np.int32)
+                cut[p] = self.fragments(p.encode())
+        wanted = {f for fs in cut.values() for f in fs if f not in self.parts}
+        short = [f for f in wanted if len(f) <= 48]
+        known = dict(zip(short, self.merge_many(short), strict=True))
+        known |= {f: struct.pack(f"<{len(x)}i", *x) for f in wanted if len(f) > 48 for x in [self.merge(f)]}
+        for p, fs in cut.items():
+            out[p] = b"".join([known[f] if f in known else self.parts[f] for f in fs])
+        for f, x in known.items():
+            self.parts.keep(f, x)
+        for p, x in out.items():
+            self.pieces.keep(p, x)
+        return known_pieces | out
+
+    def split(self, text: str) -> list[str]:
+        """Pieces of the pre-tokenizer."""
+        if text.isascii():
+            return self.ascii_pieces.findall(text)
+        if not self.unsure.search(text):
+            return self.all_pieces.findall(text)
+        return [text[a:b] for _, (a, b) in self.pre_tokenizer.pre_tokenize_str(text)]
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        runs = [self.specials.split(t) if self.specials else [t] for t in texts]
+        split = [[[r] if r in self.special else self.split(r) for r in rs] for rs in runs]
+        ids = self.learn({p for t in split for ps in t for p in ps})
+        ids |= {name: struct.pack("<i", i) for name, i in self.special.items()}
+        return [np.frombuffer(b"".join([ids[p] for ps in t for p in ps]), np.int32) for t in split]
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_many([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")
@@ -172,7 +259,9 @@ def encode(df: DataFrame, shared, text: str = "text", ids: str = "ids") -> DataF
 
     def run(texts: pa.Array) -> pa.Array:
         tokenizer = _tokenizer(shared)
-        found = [tokenizer.encode(t.as_py()) if t.is_valid else np.zeros(0, np.int32) for t in texts]
+        texts, found = [t.as_py() or "" for t in texts], []
+        for i in range(0, len(texts), 128):
+            found += tokenizer.encode_many(texts[i : i + 128])
         offsets = np.zeros(len(found) + 1, np.int32)
         np.cumsum([len(x) for x in found], out=offsets[1:])
         values = np.concatenate(found) if found else np.zeros(0, np.int32)

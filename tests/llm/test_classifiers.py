@@ -97,3 +97,10 @@ def test_clean_documents_stay(spark):
     assert kept.columns == docs.columns
     clean = {i for i, y in labels if not y}
     assert len(clean - {r.doc_id for r in kept.collect()}) <= 0.03 * len(clean)
+
+
+def test_digits_of_the_whole_text_count():
+    share = lambda text: quality_pu.measurements(text)[13]
+    assert share("word7 " * 1000) == 1 / 6
+    text = "a word " * 3000
+    assert share(text[:1] + "123456789" + text[1:]) == 9 / (len(text) + 9) and share("ab 12 " * 3000) == 1 / 3

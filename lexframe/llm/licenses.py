@@ -1,12 +1,15 @@
 """Licence scans by sentence rules.
 
 Texts are split into sentences at line ends and after sentence marks; a normalised sentence is looked up in a table of known
-licence sentences. The identifiers found, in the order of the text, are matched against ordered licence rules: a rule is a
+licence sentences. A sentence that is wrapped over several lines is known by its pieces: each piece is looked up among the runs
+of words of the known sentences, and pieces of neighbouring places that continue each other to a whole sentence are one. A
+blank line, or a mark that does not go on with a digit or a small letter, ends it. The identifiers found, in the order of the text, are matched against ordered licence rules: a rule is a
 sequence of identifiers that follow each other with at most its gap of other sentences between neighbours. Longer rules are
 tried first, and a sentence serves one match.
 
-The sentence table is fixed and small (see SENTENCES), so it is broadcast; matching works on the known sentences of one
-document at a time.
+The tables of sentences and of their runs of words are fixed and small (see SENTENCES), so they are broadcast; matching works
+on the known pieces of one document at a time. Comment leaders without letters, as * or #, are no words; gaps count pieces,
+blank lines among them.
 
 Defined cases: null and empty texts hold no sentence; rows that repeat an id are scanned each and reported once per row, and
 equal findings of one id are reported once; a null id is reported as null; ties go to the rule that is listed first; an empty
@@ -15,6 +18,9 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+from functools import cache
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -79,46 +85,87 @@ def normalise(sentence: Column) -> Column:
 
 
 def sentences(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, th, pos, sentence): normalised sentences that are not empty, by place."""
+    """(doc_id, th, pos, sentence, ends, goes_on): normalised pieces that are not empty, by place; whether a piece ends with a
+    mark, and whether it begins with a digit or a small letter."""
     split = F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), SPLIT, -1)
     each = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("th"), F.posexplode(split).alias("pos", "raw"))
-    # Short and long sentences cannot be known ones; the bounds come from the table.
-    return each.where(F.length("raw") >= 12).select("doc_id", "th", "pos", normalise(F.col("raw")).alias("sentence")).where("sentence <> ''")
-
-
-def known_sentences(docs: DataFrame) -> DataFrame:
-    """(sid, sentence): the table, normalised by the same expressions as texts."""
-    rows = F.array(*(F.struct(F.lit(k).alias("sid"), F.lit(v).alias("raw")) for k, v in SENTENCES.items()))
-    return docs.sparkSession.range(1).select(F.explode(rows).alias("r")).select("r.sid", normalise(F.col("r.raw")).alias("sentence"))
-
-
-def match(found: list[tuple[int, str]]) -> list[tuple[str, str, int, int]]:
-    """(licence, rule, first, last sentence) of the rules that fit identifiers (place, sid) in the order of a text."""
+    ends, goes_on = F.col("raw").rlike(r"[.!?:;]\s*$"), F.col("raw").rlike(r"^[\s*#/;%|>-]*[a-z0-9]")
+    return each.select("doc_id", "th", "pos", normalise(F.col("raw")).alias("sentence"), ends.alias("ends"), goes_on.alias("goes_on")).where("sentence <> ''")
+
+
+def known_pieces(docs: DataFrame) -> DataFrame:
+    """(sentence): every run of words of the known sentences, normalised by the same expressions as texts."""
+    rows = docs.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, SENTENCES.values()))).alias("raw"))
+    w = rows.select(F.split(normalise(F.col("raw")), " ").alias("w"))
+    w = w.select("w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("a"))
+    w = w.select("w", "a", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("a") + 1)).alias("n"))
+    return w.select(F.array_join(F.slice("w", F.col("a"), F.col("n")), " ").alias("sentence")).distinct()
+
+
+@cache
+def _runs() -> tuple[dict[str, int], dict[str, list[tuple[str, int, int]]]]:
+    """Words of each sentence, and for each run of words the places (sid, first, end) where sentences have it."""
+    sizes, runs = {}, {}
+    for sid, sentence in SENTENCES.items():
+        w = re.sub("[^a-z0-9]+", " ", sentence.lower()).split()
+        sizes[sid] = len(w)
+        for a in range(len(w)):
+            for b in range(a + 1, len(w) + 1):
+                runs.setdefault(" ".join(w[a:b]), []).append((sid, a, b))
+    return sizes, runs
+
+
+def joined(pieces: list[tuple[int, str, bool, bool]]) -> list[tuple[int, str, int]]:
+    """(first place, sid, last place) of the sentences in pieces (place, run, ends, goes on) in the order of a text. Of those
+    that begin at one piece the longest counts, and none begins inside another."""
+    sizes, runs = _runs()
+    out, i = [], 0
+    while i < len(pieces):
+        open_, j, best = {(sid, b) for sid, a, b in runs.get(pieces[i][1], ()) if a == 0}, i, None
+        while open_:
+            for sid, b in open_:
+                if b == sizes[sid]:
+                    best = (j, sid)
+            if j + 1 == len(pieces) or pieces[j + 1][0] != pieces[j][0] + 1 or (pieces[j][2] and not pieces[j + 1][3]):
+                break
+            j += 1
+            open_ = {(sid, b) for sid, a, b in runs.get(pieces[j][1], ()) if (sid, a) in open_}
+        if best:
+            out.append((pieces[i][0], best[1], pieces[best[0]][0]))
+            i = best[0]
+        i += 1
+    return out
+
+
+def match(found: list[tuple]) -> list[tuple[str, str, int, int]]:
+    """(licence, rule, first, last sentence) of the rules that fit identifiers (place, sid) or (first place, sid, last place) in
+    the order of a text."""
+    end = lambda x: x[2] if len(x) > 2 else x[0]
     free, out = set(range(len(found))), []
     for rule, licence, wanted, gap in sorted(RULES, key=lambda r: -len(r[2])):
         starts = [i for i in range(len(found)) if i in free and found[i][1] == wanted[0]]
         for i in starts:
             chosen = [i]
             for sid in wanted[1:]:
-                last = found[chosen[-1]][0]
+                last = end(found[chosen[-1]])
                 nxt = next((j for j in range(chosen[-1] + 1, len(found)) if found[j][0] - last - 1 <= gap and j in free and found[j][1] == sid), None)
                 if nxt is None:
                     break
                 chosen.append(nxt)
             else:
                 free -= set(chosen)
-                out.append((licence, rule, found[chosen[0]][0], found[chosen[-1]][0]))
+                out.append((licence, rule, found[chosen[0]][0], end(found[chosen[-1]])))
     return sorted(out, key=lambda x: (x[2], x[3], x[1]))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, licence, rule, first_sentence, last_sentence): places count the pieces of a text from 0."""
-    found = sentences(docs, id_col, text).join(F.broadcast(known_sentences(docs)), "sentence").select("doc_id", "th", "pos", "sid")
-    lists = found.distinct().groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("pos", "sid"))).alias("found"))
+    found = sentences(docs, id_col, text).join(F.broadcast(known_pieces(docs)), "sentence").select("doc_id", "th", "pos", "sentence", "ends", "goes_on")
+    lists = found.distinct().groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("pos", "sentence", "ends", "goes_on"))).alias("found"))
     row = pa.struct([("licence", pa.string()), ("rule", pa.string()), ("first_sentence", pa.int32()), ("last_sentence", pa.int32())])
 
     def run(lists: pa.Array) -> pa.Array:
-        rows = [[dict(zip(row.names, m, strict=True)) for m in match([(x["pos"], x["sid"]) for x in r.as_py()])] for r in lists]
+        rows = [[dict(zip(row.names, m, strict=True)) for m in match(joined([tuple(x.values()) for x in r.as_py()]))] for r in lists]
         return pa.array(rows, pa.list_(row))
 
     matches = F.arrow_udf(run, "array<struct<licence:string,rule:string,first_sentence:int,last_sentence:int>>")

@@ -1,3 +1,5 @@
+import textwrap
+
 from helpers import documents
 
 from lexframe.llm import licenses as L
@@ -27,3 +29,21 @@ def test_order_and_gaps():
     assert [m[1] for m in L.match(ids("mit_grant", "mit_notice", "as_is", "mit_grant", "mit_notice"))] == ["mit_text", "mit_grant_notice"]
     assert L.match([]) == [] and L.match(ids("as_is")) == []
     assert {s for _, _, seq, _ in L.RULES for s in seq} <= set(S)
+
+
+def test_wrapped_texts(spark):
+    def wrap(*paragraphs, leader=""):
+        return "\n".join(f"{leader}{line}".rstrip() for p in paragraphs for line in [*textwrap.wrap(p, 70), ""])
+
+    mit = (S["mit_grant"] + ":", S["mit_notice"] + ".", S["as_is"] + ". IN NO EVENT SHALL THE AUTHORS BE LIABLE.")
+    apache = (S["apache_grant"] + ". " + S["apache_copy"], "http://www.apache.org/licenses/LICENSE-2.0", S["apache_basis"] + ". " + S["apache_see"] + ".")
+    rows = [
+        (1, wrap("Copyright (c) 2020 A", *mit)), (2, wrap(*apache, leader=" * ")), (3, wrap(S["gpl3_free"] + ".", f"{S['gpl_hope']}. {S['gpl_see']}.", leader="# ")), (4, wrap(f"{S['gpl2_free']}. {S['gpl_hope']}. {S['gpl_see']}.")),
+        (5, wrap(S["bsd_use"] + ":", f"1. {S['bsd_source']}.", f"2. {S['bsd_binary']}.")), (6, "Released under\n\nthe MIT License"), (7, "Released under. The\nMIT License"), (8, "Licensed under the Apache License, Version 2.0\n(the \"License\"); you may not use this file except in compliance with the License."),
+        (9, "This project is\nlicensed under the MIT License."), (10, "Released under the MIT\nLicense in all"), (11, S["mpl_terms"].replace("v. ", "v.\n")),
+    ]
+    got = sorted((r.doc_id, r.licence, r.rule) for r in L.scan(documents(spark, rows)).collect())
+    assert got == [
+        (1, "MIT", "mit_text"), (2, "Apache-2.0", "apache_header"), (3, "GPL-3.0-or-later", "gpl3_header"), (4, "GPL-2.0-or-later", "gpl2_header"), (5, "BSD-2-Clause", "bsd2_text"),
+        (8, "Apache-2.0", "apache_grant"), (9, "MIT", "mit_this"), (11, "MPL-2.0", "mpl_terms"),
+    ]

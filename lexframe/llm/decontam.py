@@ -14,7 +14,8 @@ The benchmark is broadcast in blocks of bounded size, each of which is a pass ov
 shuffled nor sampled. Words are runs of letters, digits and underscores in lower case.
 
 Defined cases: null and empty texts match nothing; items without words, null items and items with a null id are no queries;
-items of fewer than SHINGLE words have one shingle, the whole sequence; rows that repeat an id are looked at each and
+items of fewer than SHINGLE words have one shingle, the whole sequence; with shorter=True, as the registered queries have
+it, a document of fewer words than an item is one window, which must hold SIMILARITY of the item's shingles; rows that repeat an id are looked at each and
 reported once, with the best window; ties go to the first window; empty tables give an empty result; other columns are
 ignored.
 """
@@ -93,8 +94,8 @@ class Items:
 
 
 class Benchmark:
-    def __init__(self, items: list[tuple], similarity: float = SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS):
-        self.similarity = similarity
+    def __init__(self, items: list[tuple], similarity: float = SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS, shorter: bool = False):
+        self.similarity, self.shorter = similarity, shorter
         by_length: dict[int, list] = {}
         for id_, text in items:
             if id_ is not None and (w := tokens(text)):
@@ -142,13 +143,15 @@ class Benchmark:
         hits: dict[int, tuple] = {}
         for items in self.items:
             n, k = items.length, items.k
-            if n > len(words):
+            total = n - k + 1
+            least = self.similarity * total
+            # A shorter document has at most one shingle for each of its words but the last k - 1.
+            if n > len(words) and (not self.shorter or len(words) - k + 1 < least):
                 break
+            n = min(n, len(words))
             if k not in hits:
                 hits[k] = self._hits(codes, k)
             at, keys = hits[k]
-            total = n - k + 1
-            least = self.similarity * total
             if len(at) < least:
                 continue
             at = at[among(keys, items.keys)]
@@ -157,25 +160,25 @@ class Benchmark:
             here = np.zeros(len(words) - k + 2, np.int32)
             here[at + 1] = 1
             here = np.cumsum(here)
-            starts = np.flatnonzero(here[total:] - here[: len(words) - n + 1] >= least)
+            starts = np.flatnonzero(here[n - k + 1 :] - here[: len(words) - n + 1] >= least)
             # Starts close to each other share their sums; a group spans a bounded part of the text.
             for group in np.split(starts, np.flatnonzero((np.diff(starts) > n) | (np.diff(starts // SPAN) > 0)) + 1) if len(starts) else ():
-                self._verify(items, words, codes, group, total, best)
+                self._verify(items, words, codes, group, n, total, best)
         return [(id_, -x[0], *x[1:]) for id_, x in sorted(best.items())]
 
-    def _verify(self, items: Items, words: list[str], codes: np.ndarray, starts: np.ndarray, total: int, best: dict) -> None:
-        lo, hi = int(starts[0]), int(starts[-1]) + items.length
+    def _verify(self, items: Items, words: list[str], codes: np.ndarray, starts: np.ndarray, n: int, total: int, best: dict) -> None:
+        lo, hi = int(starts[0]), int(starts[-1]) + n
         bits = self.bits[codes[lo:hi]]
         for i in np.flatnonzero(codes[lo:hi] == 0):
             bits[i] = word_bits(words[lo + i])
         sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
-        prints = pack(sums[starts - lo + items.length] - sums[starts - lo])
+        prints = pack(sums[starts - lo + n] - sums[starts - lo])
         for window, item in items.candidates(prints):
             s = int(starts[window])
-            shingles = Counter(tuple(words[i : i + items.k]) for i in range(s, s + total))
+            shingles = Counter(tuple(words[i : i + items.k]) for i in range(s, s + n - items.k + 1))
             similar = (shingles & items.shingles[item]).total() / total
             if similar >= self.similarity:
-                got = (-similar, s, items.length, int(np.bitwise_count(prints[window] ^ items.prints[item])))
+                got = (-similar, s, n, int(np.bitwise_count(prints[window] ^ items.prints[item])))
                 id_ = items.ids[item]
                 if id_ not in best or got < best[id_]:
                     best[id_] = got
@@ -202,8 +205,9 @@ def _passes(benchmark: DataFrame, item_id: str, text: str, pass_mb: int):
         yield [tuple(r) for r in (items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)).collect()]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS, pass_mb: int = PASS_MB) -> DataFrame:
-    """(doc_id, item_id, similarity, start_word, n_words, differing_bits): for each document and item, the best window."""
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS, pass_mb: int = PASS_MB, shorter: bool = False) -> DataFrame:
+    """(doc_id, item_id, similarity, start_word, n_words, differing_bits): for each document and item, the best window.
+    shorter: documents of fewer words than an item are compared with it as a whole."""
     spark: SparkSession = docs.sparkSession
     plain = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     out = None
@@ -211,7 +215,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches, shared=shared):
-            known = _benchmark(shared.value, similarity, radius, blocks)
+            known = _benchmark(shared.value, similarity, radius, blocks, shorter)
             for batch in batches:
                 rows = [(id_.as_py(), *m) for id_, t in zip(batch.column(0), batch.column(1), strict=True) for m in known.matches(t.as_py())]
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * 6

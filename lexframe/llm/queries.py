@@ -20,7 +20,7 @@ def tokenizer_path() -> str:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.find_leaks(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return decontam.find_leaks(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), shorter=True)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

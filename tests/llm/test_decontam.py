@@ -71,3 +71,19 @@ def test_filter_and_empty(spark):
     assert [r.doc_id for r in kept.orderBy("doc_id").collect()] == [None, 2] and kept.columns == docs.columns
     assert D.find_leaks(documents(spark, []), bench).count() == 0
     assert D.find_leaks(docs, items(spark, [])).count() == 0
+
+
+def test_documents_shorter_than_an_item(spark):
+    rng = random.Random(5)
+    bench = [(j, words(rng, n)) for j, n in enumerate([50, 60, 8, 3])]
+    cuts = [(0, 0, 49), (0, 1, 50), (0, 3, 47), (0, 8, 50), (1, 0, 50), (1, 0, 48), (1, 6, 60), (2, 0, 7), (3, 0, 2)]
+    docs = [(i, " ".join(bench[j][1].split()[a:b])) for i, (j, a, b) in enumerate(cuts)] + [(98, ""), (99, None)]
+    want = {}
+    for i, (j, a, b) in enumerate(cuts):
+        n = len(bench[j][1].split())
+        k = min(5, n)
+        if (score := max(0, b - a - k + 1) / (n - k + 1)) >= 0.8:
+            want[i, j] = (score, b - a)
+    got = D.find_leaks(documents(spark, docs), items(spark, bench), shorter=True).collect()
+    assert {(r.doc_id, r.item_id): (r.similarity, r.n_words) for r in got} == want and {(0, 0), (1, 0), (4, 1)} <= set(want)
+    assert {r.doc_id for r in D.keep_uncontaminated(documents(spark, docs), items(spark, bench), shorter=True).collect()} == {i for i, _ in docs} - {i for i, _ in want}

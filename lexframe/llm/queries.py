@@ -78,7 +78,7 @@ FROM firsts
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = bpe.share(spark, tokenizer_path())
-    df = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), shared), shared)
+    df = bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), shared)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return df.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

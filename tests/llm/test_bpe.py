@@ -1,3 +1,4 @@
+import json
 import os
 import random
 
@@ -54,15 +55,27 @@ def test_fragments_join_to_the_piece(both):
 def test_memory_is_bounded(both, monkeypatch):
     with open(PATH, "rb") as f:
         small = bpe.Tokenizer(f.read())
-    small.pieces, small.parts = bpe.Memo(4), bpe.Memo(4)
-    text = words(random.Random(1), 300)
-    assert small.encode(text).tolist() == both[0].encode(text).tolist() and len(small.pieces) <= 4
+    monkeypatch.setattr(bpe, "KNOWN", 4)
+    for seed in range(3):
+        text = words(random.Random(seed), 300)
+        assert small.encode(text).tolist() == both[0].encode(text).tolist() and len(small.pieces) <= 300
+
+
+def test_other_tokenizers_are_refused():
+    with open(PATH, "rb") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"ignore_merges": True}}):
+        with pytest.raises(ValueError):
+            bpe.Tokenizer(json.dumps(spec | change).encode())
 
 
 def test_columns(spark, both):
     rows = [(1, "one two"), (2, None), (3, ""), (1, "one two"), (None, "x <|endoftext|> y"), (4, words(random.Random(2), 30000))]
     shared = bpe.share(spark, PATH)
     got = bpe.decode(bpe.encode(documents(spark, rows), shared), shared)
+    once = bpe.round_trip(documents(spark, rows), shared)
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, got.select(*once.columns).collect()))
+    assert once._jdf.queryExecution().executedPlan().toString().count("run(") == 1
     for r, (i, text) in zip(sorted(got.collect(), key=lambda r: (str(r.doc_id), r.text or "")), sorted(rows, key=lambda r: (str(r[0]), r[1] or "")), strict=True):
         assert r.doc_id == i and list(r.ids) == both[1].encode(text or "", add_special_tokens=False).ids and r.decoded == (text or "")
     assert bpe.decode(bpe.encode(documents(spark, []), shared), shared).count() == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,10 +15,15 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset, as in tests."""
+    """The folder that all executors share: spark.checkpoint.dir. Only where Spark runs in one process, as in tests, a temporary
+    folder takes its place; a cluster without that setting is refused."""
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    return (base or f"{tempfile.gettempdir()}/lexframe").rstrip("/")
+    if base is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"{tempfile.gettempdir()}/lexframe"
+    return base.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -30,16 +36,21 @@ def cut(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*by) if by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in the shared folder."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def drop(df: DataFrame) -> None:
-    """Delete the files of a table that cut() wrote and that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    """Delete the files of a table as cut() returned it, when nothing reads it any more."""
+    remove(df.sparkSession, df.scratch_path)
 
 
 def lower_ascii(text: Column) -> Column:

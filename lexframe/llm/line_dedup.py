@@ -17,7 +17,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BLANKS, cut, drop, lower_ascii, scratch
+from .common import BLANKS, cut, drop, lower_ascii, remove, scratch
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 4, 2
 
@@ -67,9 +67,8 @@ class Runs:
 
     def _gone(self, names: list[str]) -> None:
         for n in names:
-            table = self.spark.table(n)
-            drop(table)
             self.spark.sql(f"DROP TABLE {n}")
+            remove(self.spark, self.paths.pop(n))
 
     def _merged(self, tables: list[DataFrame]) -> DataFrame:
         out = tables[0]

@@ -1,28 +1,41 @@
-"""SimHash near-dedup with Gray-order hierarchical indexes.
-
-Shingle hashes are computed in the JVM, bit majorities in Arrow batches. Equal fingerprints collapse first. Two fingerprints
-within RADIUS bits agree on at least one of RADIUS + 1 blocks, so distinct fingerprints are dealt to tasks by block value; a
-block that still holds more than SPLIT fingerprints is dealt again by the blocks of its remaining bits. In a task every group
-is sorted by Gray rank and indexed: leaves of neighbouring fingerprints, bit patterns that all members of a node share
-factored into the node and masked out below it. A search adds up differences on its way down and prunes whole groups beyond
-the radius. A group reports a spanning star of each component it sees, never all pairs; components are then joined by
-alternating star contractions over tables in the shared folder.
-
-Defined cases: null and empty texts have fingerprint zero and are linked like any other; rows with a null id keep their
-fingerprint and form components of their own with a null component; rows that repeat an id are returned each; ties go to the
-smallest id; an empty table gives an empty result.
+"""SimHash near-dedup with a Gray-order hierarchical index.
+
+Equal fingerprints collapse first. The distinct ones are cut by Gray rank into ranges of about equal size. The upper levels of
+the index have a node for each range and nodes over those: a node has the bits that all its members share (mask) and their
+values, less what the node above has already. A fingerprint goes down these levels, adds up its differences, and reaches the
+ranges that may hold one within the radius; whole groups of ranges beyond it are pruned. There the lower levels, built by the
+task over the range's own fingerprints in Gray order, are searched in the same way. A range's members go to DEALS tasks each,
+its visitors to one of them, so that no task has a share of all fingerprints. A task reports a spanning forest of the
+pairs that it finds, the nearest pairs first, never all pairs; components are then joined by alternating star contractions
+over tables in the shared folder.
+
+near_duplicates() links documents by the fingerprints of their shingles alone. near_copies() is for near copies by similarity:
+TABLES fingerprints of the words of a text, COPY_BITS bits each, are candidates only, as one changed word moves few of their
+bits, and a pair is linked if the sets of its five-word shingles have a Jaccard similarity of 0.8 or more, computed exactly.
+
+Defined cases: null and empty texts have fingerprint zero and are linked like any other, and are copies of each other; rows
+with a null id keep their fingerprint and form components of their own with a null component, and are always kept; rows that
+repeat an id are returned each, and kept or removed together if their words are equal too; ties go to the smallest id; an empty
+table gives an empty result. near_copies() names a text by a 64-bit hash of its words.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut, drop, lower_ascii, words
+from .common import UPPER, cut, drop, lower_ascii, words
 
-SHINGLE, RADIUS, SPLIT = 3, 3, 4096
-LEAF, FAN = 16, 8
+SHINGLE, RADIUS = 3, 3
+#: Members of a leaf, children of a node; ranges at least, members of a range at most, tasks that share a range's visitors.
+LEAF, FAN, RANGES, RANGE_ROWS, DEALS = 8, 4, 64, 1 << 22, 16
+#: near_copies(): fingerprints of a text, their bits, and how often a repeated word counts at most.
+TABLES, COPY_BITS, COPY_SHINGLE, SIMILARITY, REPEATS = 6, 48, 5, 0.8, 3
+FRONTIER = 1 << 22
 
 
 def shingle_hashes(text: Column, k: int = SHINGLE) -> Column:
@@ -72,94 +85,120 @@ def gray_rank(v: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Over distinct fingerprints in Gray order. levels[0] are the leaves; a node has the bits that its members share, less
-    those that its parent has already (mask), and their values (bits)."""
-
-    def __init__(self, sorted_fps: np.ndarray):
-        self.fps = sorted_fps
-        ones, zeros, fan = sorted_fps, ~sorted_fps, LEAF
-        self.levels = []
-        while len(ones) > 1 or not self.levels:
-            at = np.arange(0, len(ones), fan)
-            ones, zeros, fan = np.bitwise_and.reduceat(ones, at), np.bitwise_and.reduceat(zeros, at), FAN
+    """Over nodes in Gray order, each with the bits that its members share as ones and as zeros. levels[0] is the lowest; a
+    node's mask leaves out what the node above it has already."""
+
+    def __init__(self, ones: np.ndarray, zeros: np.ndarray):
+        self.levels = [(ones | zeros, ones)]
+        while len(ones) > 1:
+            at = np.arange(0, len(ones), FAN)
+            ones, zeros = np.bitwise_and.reduceat(ones, at), np.bitwise_and.reduceat(zeros, at)
             self.levels.append((ones | zeros, ones))
         for d in range(len(self.levels) - 1):
             mask, bits = self.levels[d]
-            above = np.repeat(self.levels[d + 1][0], FAN)[: len(mask)]  # not yet reduced itself
-            self.levels[d] = (mask & ~above, bits)
-
-    def search(self, queries: np.ndarray, radius: int):
-        """(query, member) index pairs within the radius, by chunks of queries."""
-        for q0 in range(0, len(queries), 256):
-            chunk = queries[q0 : q0 + 256]
-            mask, bits = self.levels[-1]
-            q = np.repeat(np.arange(len(chunk)), len(mask))
-            node = np.tile(np.arange(len(mask)), len(chunk))
-            far = np.zeros(len(q), np.int64)
+            self.levels[d] = (mask & ~np.repeat(self.levels[d + 1][0], FAN)[: len(mask)], bits)  # the one above is whole still
+
+    def reach(self, queries: np.ndarray, radius: int, after: np.ndarray):
+        """(query, lowest node, differences) for all nodes that may have members within the radius. Only nodes from `after` on
+        are looked for, a number for each query. Chunks of queries shrink where many nodes are reached."""
+        todo = [(a, min(a + 1024, len(queries))) for a in range(0, len(queries), 1024)][::-1]
+        while todo:
+            a, b = todo.pop()
+            chunk = queries[a:b]
+            q, node, far, fan = np.arange(b - a), np.zeros(b - a, np.int64), np.zeros(b - a, np.int64), 1
             for d in range(len(self.levels) - 1, -1, -1):
                 mask, bits = self.levels[d]
-                far = far + np.bitwise_count((chunk[q] ^ bits[node]) & mask[node])
-                near = far <= radius
-                q, node, far = q[near], node[near], far[near]
-                fan, n = (FAN, len(self.levels[d - 1][0])) if d else (LEAF, len(self.fps))
                 q, far = np.repeat(q, fan), np.repeat(far, fan)
                 node = (node[:, None] * fan + np.arange(fan)).ravel()
-                real = node < n
+                fan = FAN
+                real = (node < len(mask)) & ((node + 1) * FAN**d > after[a:b][q])
                 q, node, far = q[real], node[real], far[real]
-            hit = np.bitwise_count(chunk[q] ^ self.fps[node]) <= radius
-            yield q[hit] + q0, node[hit]
-
-
-def local_roots(fps: np.ndarray, radius: int) -> np.ndarray:
-    """For fingerprints in Gray order: the index of the first member of each one's component."""
-    root = np.arange(len(fps))
-    for a, b in GrayIndex(fps).search(fps, radius):
-        a, b = root[a], root[b]
-        while len(a):
-            lo, hi = np.minimum(a, b), np.maximum(a, b)
+                far = far + np.bitwise_count((chunk[q] ^ bits[node]) & mask[node])
+                near = far <= radius
+                q, node, far = q[near], node[near], far[near]
+                if len(q) > FRONTIER // LEAF and b - a > 1:
+                    todo += [((a + b) // 2, b), (a, (a + b) // 2)]
+                    break
+            else:
+                yield q + a, node, far
+
+
+def local_index(fps: np.ndarray) -> GrayIndex:
+    """The levels over fingerprints in Gray order; the lowest nodes are leaves of LEAF."""
+    at = np.arange(0, len(fps), LEAF)
+    return GrayIndex(np.bitwise_and.reduceat(fps, at), np.bitwise_and.reduceat(~fps, at))
+
+
+def search(index: GrayIndex, fps: np.ndarray, queries: np.ndarray, radius: int, after: np.ndarray | None = None):
+    """(query, member, differing bits) of all members of the index within the radius; of those behind `after` if given."""
+    least = np.full(len(queries), -1) if after is None else after
+    for q, leaf, _ in index.reach(queries, radius, least // LEAF):
+        q = np.repeat(q, LEAF)
+        member = (leaf[:, None] * LEAF + np.arange(LEAF)).ravel()
+        real = (member < len(fps)) & (member > least[q])
+        q, member = q[real], member[real]
+        far = np.bitwise_count(queries[q] ^ fps[member])
+        near = far <= radius
+        if near.any():
+            yield q[near], member[near], far[near]
+
+
+def forest(root: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Places of the pairs (a, b) that make a spanning forest of least weight, beyond what root joins already; root is updated.
+    Each round takes the lightest pair of every component (Boruvka), pairs being numbered by weight."""
+    order = np.argsort(weight, kind="stable")
+    a, b, place, out = a[order], b[order], order, []
+    while True:
+        ra, rb = root[a], root[b]
+        live = ra != rb
+        if not live.any():
+            return np.concatenate(out) if out else np.zeros(0, np.int64)
+        a, b, place, ra, rb = a[live], b[live], place[live], ra[live], rb[live]
+        ends, at = np.unique(np.concatenate([ra, rb]), return_inverse=True)
+        first = np.full(len(ends), len(a))
+        np.minimum.at(first, at, np.tile(np.arange(len(a)), 2))
+        chosen = np.unique(first)
+        out.append(place[chosen])
+        lo, hi = ra[chosen], rb[chosen]
+        while len(lo):
+            lo, hi = np.minimum(lo, hi), np.maximum(lo, hi)
             differ = lo < hi
-            if not differ.any():
-                break
             lo, hi = lo[differ], hi[differ]
             np.minimum.at(root, hi, lo)
             while (root[root] != root).any():
-                root = root[root]
-            a, b = root[lo], root[hi]
-    return root
-
-
-def _stars(radius: int):
-    """From rows (key, fp), sorted by key and Gray rank: (a, b) links of each fp to the root of its component in its group."""
-
-    def of(keys: np.ndarray, fps: np.ndarray):
-        starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1])])
-        for s, e in zip(starts, np.r_[starts[1:], len(keys)], strict=True):
-            if e - s > 1:
-                group = fps[s:e]
-                if e - s <= LEAF:  # one leaf, looked through as a whole
-                    near = np.bitwise_count(group[:, None] ^ group[None, :]) <= radius
-                    if near.sum() == e - s:
-                        continue
-                root = local_roots(group, radius)
-                linked = np.flatnonzero(root != np.arange(e - s))
-                if len(linked):
-                    yield group[linked].view(np.int64), group[root[linked]].view(np.int64)
-
-    def run(batches):
-        held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        for batch in batches:
-            k = np.concatenate([held_k, batch.column("key").to_numpy()])
-            f = np.concatenate([held_f, batch.column("fp").to_numpy().view(np.uint64)])
-            if not len(k):
-                continue
-            last = len(k) - int(np.argmax(np.r_[k[::-1] != k[-1], True]))  # where the last key, which may go on, begins
-            held_k, held_f = k[last:], f[last:]
-            for a, b in of(k[:last], f[:last]):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-        for a, b in of(held_k, held_f):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    return run
+                root[:] = root[root]
+            lo, hi = root[lo], root[hi]
+
+
+def _gathered(arrays, least: int = 1 << 13):
+    """The same numbers in fewer arrays."""
+    held, size = [], 0
+    for x in arrays:
+        held.append(x)
+        size += len(x)
+        if size >= least:
+            yield np.concatenate(held)
+            held, size = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def _found(own: np.ndarray, mine: np.ndarray, visitors, radius: int):
+    """(a, b) arrays of a spanning forest of the pairs within the radius: of the members `mine` (places) with later members of
+    the range, and of the visitors, an iterable of arrays, with members."""
+    index, root = local_index(own), np.arange(len(own))
+    for q, m, far in search(index, own, own[mine], radius, mine):
+        chosen = forest(root, mine[q], m, far)
+        if len(chosen):
+            yield own[mine[q[chosen]]], own[m[chosen]]
+    for v in _gathered(visitors):
+        for q, m, far in search(index, own, v, radius):
+            # The visitors of a batch are nodes behind the members; the next batch forgets them.
+            seen, node = np.unique(q, return_inverse=True)
+            both = np.concatenate([root, len(own) + np.arange(len(seen))])
+            chosen = forest(both, m, len(own) + node, far)
+            root[:] = both[: len(own)]
+            yield v[q[chosen]], own[m[chosen]]
 
 
 def gray_rank_col(fp: Column) -> Column:
@@ -169,40 +208,119 @@ def gray_rank_col(fp: Column) -> Column:
     return fp
 
 
-def _blocks(n: int, width: int) -> list[tuple[int, int]]:
-    """(start, length) of n blocks of all but equal length."""
-    ends = [width * i // n for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-
+def _ranges(ranked: DataFrame) -> dict[int, tuple[np.ndarray, GrayIndex]]:
+    """For each table t of (t, fp, rank): the ranks at which its ranges begin, and the upper levels of its index over them. What
+    comes to the driver is a few numbers for each range; ranges grow in number with the fingerprints."""
+    n = ranked.groupBy("t").count().agg(F.max("count")).first()[0] or 0
+    parts = max(RANGES, -(-n // RANGE_ROWS))
+    cuts = F.percentile_approx("rank", [i / parts for i in range(1, parts)], 100 * parts)
+    bounds = {r.t: np.unique(np.array(r.cuts, np.int64)) for r in ranked.groupBy("t").agg(cuts.alias("cuts")).collect()}
+    shared = ranked.sparkSession.sparkContext.broadcast(bounds)
 
-def _block(fp: Column, start: int, length: int) -> Column:
-    return F.shiftrightunsigned(fp, start).bitwiseAND(F.lit((1 << length) - 1))
+    def run(batches):
+        for batch in batches:
+            t, fp, rank = (batch.column(c).to_numpy() for c in ("t", "fp", "rank"))
+            for k in np.unique(t):
+                here = t == k
+                place = np.searchsorted(shared.value[k], rank[here], "right")
+                order = np.argsort(place, kind="stable")
+                place, own = place[order], fp[here][order]
+                at = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+                columns = [np.full(len(at), k), place[at], np.bitwise_and.reduceat(own, at), np.bitwise_and.reduceat(~own, at)]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["t", "place", "ones", "zeros"])
+
+    nodes = ranked.mapInArrow(run, "t bigint, place bigint, ones bigint, zeros bigint").groupBy("t", "place").agg(F.expr("bit_and(ones)").alias("ones"), F.expr("bit_and(zeros)").alias("zeros"))
+    out = {t: (np.full(len(b) + 1, -1), np.full(len(b) + 1, -1)) for t, b in bounds.items()}
+    for r in nodes.collect():
+        out[r.t][0][r.place], out[r.t][1][r.place] = r.ones, r.zeros
+    return {t: (bounds[t], GrayIndex(*(x.view(np.uint64) for x in out[t]))) for t in bounds}
+
+
+def _deal(fps: np.ndarray) -> np.ndarray:
+    """Which of the tasks of a range looks up a fingerprint there."""
+    return ((fps * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % DEALS
+
+
+def links(distinct_fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(t, a, b) links that connect every two distinct fingerprints (fp) of a table (t, 0 where there is no such column) that are
+    within the radius, directly or through others."""
+    fp = F.col("fp")
+    t = F.col("t").cast("bigint") if "t" in distinct_fps.columns else F.lit(0).cast("bigint")
+    ranked = distinct_fps.select(t.alias("t"), "fp", gray_rank_col(fp).bitwiseXOR(F.lit(-(1 << 63))).alias("rank"))
+    upper = ranked.sparkSession.sparkContext.broadcast(_ranges(ranked))
+    names = ["t", "place", "deal", "kind", "packed"]
+
+    def route(batches):
+        """Members (kind 0) to all tasks of their range, visitors (kind 1) to one task of each later range that they reach."""
+
+        def packed(k, kind, place, deal, fps):
+            if not len(fps):
+                return None
+            key = place * DEALS + deal
+            order = np.argsort(key, kind="stable")
+            key, fps = key[order], fps[order]
+            at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            blobs = [fps[i:j].tobytes() for i, j in zip(at, np.r_[at[1:], len(fps)], strict=True)]
+            if not kind:
+                place, deal, blobs = np.repeat(key[at] // DEALS, DEALS), np.tile(np.arange(DEALS), len(at)), [x for x in blobs for _ in range(DEALS)]
+            else:
+                place, deal = key[at] // DEALS, key[at] % DEALS
+            n = len(blobs)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, k)), pa.array(place), pa.array(deal), pa.array(np.full(n, kind)), pa.array(blobs, pa.binary())], names)
+
+        def send(t, fps, ranks):
+            for k in np.unique(t):
+                bounds, index = upper.value[k]
+                own = fps[t == k]
+                place = np.searchsorted(bounds, ranks[t == k], "right")
+                yield packed(k, 0, place, np.zeros(len(own), np.int64), own)
+                for q, node, _ in index.reach(own, radius, place + 1):
+                    yield packed(k, 1, node, _deal(own[q]), own[q])
+
+        held, size = [], 0
+        for batch in batches:
+            held.append([batch.column(c).to_numpy() for c in ("t", "fp", "rank")])
+            size += len(batch)
+            if size >= 1 << 17:
+                t, f, r = (np.concatenate(c) for c in zip(*held, strict=True))
+                yield from (x for x in send(t, f.view(np.uint64), r) if x is not None)
+                held, size = [], 0
+        if size:
+            t, f, r = (np.concatenate(c) for c in zip(*held, strict=True))
+            yield from (x for x in send(t, f.view(np.uint64), r) if x is not None)
+
+    def tasks(batches):
+        """(key, member blobs, iterator of visitors) of each range and deal, from rows sorted by key and kind."""
+        rows = ((r[:3], r[3], r[4]) for b in batches for r in zip(*(b.column(c).to_pylist() for c in names[:4]), (x.as_py() for x in b.column("packed")), strict=True))
+        row = next(rows, None)
+        while row is not None:
+            key, own = row[0], []
+            while row is not None and row[0] == key and row[1] == 0:
+                own.append(row[2])
+                row = next(rows, None)
+
+            def visitors(key=key):
+                nonlocal row
+                while row is not None and row[0] == key:
+                    yield np.frombuffer(row[2], np.uint64)
+                    row = next(rows, None)
+
+            stream = visitors()
+            yield key, own, stream
+            for _ in stream:
+                pass
 
+    def run(batches):
+        for (k, _, deal), blobs, visitors in tasks(batches):
+            own = np.frombuffer(b"".join(blobs), np.uint64)
+            own = own[np.argsort(gray_rank(own))]
+            for a, b in _found(own, np.flatnonzero(_deal(own) == deal), visitors, radius) if len(own) else ():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), k)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["t", "a", "b"])
 
-def links(distinct_fps: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
-    """(a, b) links that connect every two distinct fingerprints within the radius, directly or through others."""
-    fp = F.col("fp")
-    blocks = _blocks(radius + 1, 64)
-    first = F.array(*(F.struct(F.lit(i).alias("i"), _block(fp, s, n).alias("v")) for i, (s, n) in enumerate(blocks)))
-    dealt = distinct_fps.select("fp", F.explode(first).alias("k")).select("fp", "k.i", "k.v")
-    large = dealt.groupBy("i", "v").agg(F.count("*").alias("n")).where(F.col("n") > split).withColumn("large", F.lit(True)).drop("n")
-    large = cut(large, "large")
-    dealt = dealt.join(large, ["i", "v"], "left")
-    # A large block's remaining bits are cut into as many blocks again: within the radius, one of them agrees as well.
-    again = F.lit(None).cast("array<struct<j:int,u:bigint>>")
-    for i, (s, n) in enumerate(blocks):
-        rest = fp.bitwiseAND(F.lit((1 << s) - 1))
-        if s + n < 64:
-            rest = rest.bitwiseXOR(F.shiftleft(F.shiftrightunsigned(fp, s + n), s))
-        parts = F.array(*(F.struct(F.lit(j).alias("j"), _block(rest, a, b).alias("u")) for j, (a, b) in enumerate(_blocks(radius + 1, 64 - n))))
-        again = F.when(F.col("i") == i, parts).otherwise(again)
-    one = F.array(F.struct(F.lit(-1).alias("j"), F.lit(0).cast("bigint").alias("u")))
-    dealt = dealt.select("fp", "i", "v", F.explode(F.when(F.col("large"), again).otherwise(one)).alias("k"))
-    # A clash of two keys would only lead to more comparisons.
-    dealt = dealt.select(F.xxhash64("i", "v", "k.j", "k.u").alias("key"), "fp", gray_rank_col(fp).bitwiseXOR(F.lit(-(1 << 63))).alias("rank"))
-    n = int(distinct_fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ready = dealt.repartition(n, "key").sortWithinPartitions("key", "rank").select("key", "fp")
-    return ready.mapInArrow(_stars(radius), "a bigint, b bigint").distinct()
+    n = int(ranked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    routed = ranked.mapInArrow(route, "t bigint, place bigint, deal bigint, kind bigint, packed binary")
+    ready = routed.repartition(n, "t", "place", "deal").sortWithinPartitions("t", "place", "deal", "kind")
+    return ready.mapInArrow(run, "t bigint, a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -227,11 +345,11 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = SHINGLE, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) of every row: component_id is the smallest id linked to it, directly or through others."""
     prints = cut(fingerprints(docs, id_col, text, k), "prints")
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
-    roots = components(links(classes.select("fp"), radius, split)).select(F.col("node").alias("fp"), "root")
+    roots = components(links(classes.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
     rooted = classes.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("members"))
     # Only what has company: the documents alone in their component need no lookup.
@@ -239,8 +357,89 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return prints.join(known, "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _sequence(text: Column) -> Column:
+    """A hash that names the words of a text in their order."""
+    return F.xxhash64(F.array_join(words(lower_ascii(text)), " "))
+
+
+_BLANK_RUN = re.compile(r"[\x20\x09-\x0D]+")
+_LOWER = str.maketrans(UPPER, UPPER.lower())
+
+
+def word_prints(texts: pa.Array, memo: dict) -> np.ndarray:
+    """A row of TABLES fingerprints of COPY_BITS bits for each text, as uint64: majorities over the hashes of its words, each of
+    which counts as often as it stands there, but REPEATS times at most."""
+    out = np.zeros((len(texts), TABLES), np.uint64)
+    width = TABLES * COPY_BITS
+    for at in range(0, len(texts), 64):
+        rows, weights, sizes = [], [], []
+        for text in texts[at : at + 64]:
+            counts: dict[str, int] = {}
+            for w in _BLANK_RUN.split((text.as_py() or "").translate(_LOWER)):
+                counts[w] = counts.get(w, 0) + 1
+            counts.pop("", None)
+            for w in counts:
+                if (got := memo.get(w)) is None:
+                    got = b"".join(xxhash.xxh64_intdigest(w.encode(), seed=t).to_bytes(8, "little")[: COPY_BITS // 8] for t in range(TABLES))
+                    if len(w) <= 64:
+                        if len(memo) >= 1 << 17:
+                            memo.clear()
+                        memo[w] = got
+                rows.append(got)
+            weights += [min(n, REPEATS) for n in counts.values()]
+            sizes.append(len(counts))
+        sizes = np.array(sizes)
+        full = np.flatnonzero(sizes)
+        if not len(full):
+            continue
+        bits = np.unpackbits(np.frombuffer(b"".join(rows), np.uint8).reshape(-1, width // 8), axis=1, bitorder="little")
+        weights = np.array(weights, np.uint8)
+        starts = (np.cumsum(sizes) - sizes)[full]
+        sums = np.add.reduceat(bits * weights[:, None], starts, axis=0, dtype=np.int32)
+        over = (2 * sums > np.add.reduceat(weights, starts, dtype=np.int32)[:, None]).reshape(len(full), TABLES, COPY_BITS)
+        packed = np.zeros((len(full), TABLES, 8), np.uint8)
+        packed[:, :, : COPY_BITS // 8] = np.packbits(over, axis=2, bitorder="little")
+        out[at + full] = packed.view(np.uint64)[:, :, 0]
+    return out
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = COPY_SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """(h, least, component_id) of the texts, named by their hash h, that have company: least is the smallest id of a text, and
+    component_id the smallest id of the texts that are linked to it, directly or through others."""
+    memo: dict = {}
+
+    def run(texts: pa.Array) -> pa.Array:
+        found = word_prints(texts, memo)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * TABLES), pa.array(found.view(np.int64).ravel()))
+
+    known = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id IS NOT NULL").withColumn("h", _sequence(F.col("text")))
+    names = [f"f{t}" for t in range(TABLES)]
+    rows = known.select("h", "doc_id", F.arrow_udf(run, "array<bigint>")("text").alias("f")).select("h", "doc_id", *(F.col("f")[t].alias(n) for t, n in enumerate(names)))
+    named = cut(cut(rows, "rows").groupBy("h").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), *(F.first(n).alias(n) for n in names)), "texts")
+    prints = named.select("h", F.posexplode(F.array(*names)).alias("t", "fp"))
+    # Texts with one fingerprint are linked to the first of them, and those to each other.
+    first = cut(prints.groupBy("t", "fp").agg(F.min("h").alias("first")), "classes")
+    stars = prints.join(first, ["t", "fp"]).where("h <> first").select(F.col("h").alias("a"), F.col("first").alias("b"))
+    side = lambda c: first.select("t", F.col("fp").alias(c), F.col("first").alias(f"h{c}"))
+    near = cut(links(first.select("t", "fp"), radius), "links").join(side("a"), ["t", "a"]).join(side("b"), ["t", "b"]).select(F.col("ha").alias("a"), F.col("hb").alias("b"))
+    pairs = cut(stars.unionByName(near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    # One document for each text that is a candidate, the one with the smallest id.
+    ends = cut(named.join(ends, "h", "left_semi").select("h", F.col("least").alias("doc_id")), "ends")
+    sets = known.join(ends, ["h", "doc_id"], "left_semi").select("h", words(lower_ascii(F.col("text"))).alias("w"))
+    sets = cut(sets.select("h", F.array_distinct(shingle_hashes(F.col("w"), k)).alias("s")).dropDuplicates(["h"]), "shingles")
+    both = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("sb")), "b")
+    both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n"))
+    alike = both.where(F.col("n") >= F.lit(similarity) * (F.col("na") + F.col("nb") - F.col("n")) - 1e-9).select("a", "b")
+    roots = components(alike).select(F.col("node").alias("h"), "root")
+    rooted = named.join(roots, "h", "left").select("h", "least", "n", F.coalesce("root", "h").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("members"))
+    return rooted.join(least.where("members > 1"), "root").select("h", "least", "component_id")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """docs without the rows that are not the first of their component; rows without an id stay."""
-    found = near_duplicates(docs, id_col, text, **settings)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """docs without the rows that near_copies() finds to be copies of one with a smaller id; rows without an id stay."""
+    found = cut(near_copies(docs, id_col, text, **settings).select(F.col("h").alias("_h"), F.col("component_id").alias("_first"), (F.col("least") == F.col("component_id")).alias("_stays")), "found")
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{id_col}`").alias("_id"), _sequence(F.col(f"`{text}`")).alias("_own"))
+    gone = (F.col("_own") == F.col("_h")) & F.col("_id").isNotNull() & (~F.col("_stays") | (F.col("_id") != F.col("_first")))
+    return row.join(found, gone, "left_anti").select("_row.*")

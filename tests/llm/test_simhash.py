@@ -44,27 +44,101 @@ def near(rng, n, flips):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_local_index(seed):
+def test_range_index(seed):
+    """All pairs within the radius are found, and each once: of members with later ones, of visitors with members."""
     rng = random.Random(seed)
     base = rng.getrandbits(64)
     fps = np.unique(np.array(near(rng, 40, 4) + [base ^ (1 << rng.randrange(20)) ^ (1 << rng.randrange(64)) for _ in range(300)], np.uint64))
     fps = fps[np.argsort(S.gray_rank(fps))]
-    root = S.local_roots(fps, 3)
-    want = roots(fps)
-    assert [root[i] == root[j] for i in range(0, len(fps), 7) for j in range(len(fps))] == [want[i] == want[j] for i in range(0, len(fps), 7) for j in range(len(fps))]
+    own, visitors = fps[: len(fps) // 2], fps[len(fps) // 2 :]
+    index = S.local_index(own)
+    found = [(q, m, f) for x in S.search(index, own, own, 3, np.arange(len(own))) for q, m, f in zip(*x, strict=True)]
+    assert sorted(found) == [(i, j, f) for i in range(len(own)) for j in range(i + 1, len(own)) if (f := int(own[i] ^ own[j]).bit_count()) <= 3]
+    found = [(q, m, f) for x in S.search(index, own, visitors, 3) for q, m, f in zip(*x, strict=True)]
+    assert sorted(found) == [(i, j, f) for i in range(len(visitors)) for j in range(len(own)) if (f := int(visitors[i] ^ own[j]).bit_count()) <= 3]
 
 
-@pytest.mark.parametrize("split", [4096, 2])
-def test_components_of_fingerprints(spark, split):
+def test_index_has_levels_and_prunes():
+    fps = np.unique(np.random.default_rng(3).integers(0, 1 << 63, 100_000, dtype=np.uint64))
+    fps = fps[np.argsort(S.gray_rank(fps))]
+    index = S.local_index(fps)
+    assert len(index.levels) >= 6
+    reached = sum(len(q) for q, _, _ in index.reach(fps[:2000], 3, np.full(2000, -1)))
+    assert reached * S.LEAF < 0.1 * 2000 * len(fps)
+
+
+def test_frontier_is_bounded(monkeypatch):
+    monkeypatch.setattr(S, "FRONTIER", 64)
+    fps = np.arange(200, dtype=np.uint64)
+    fps = fps[np.argsort(S.gray_rank(fps))]
+    found = {(int(a), int(b)) for q, m, _ in S.search(S.local_index(fps), fps, fps, 3) for a, b in zip(fps[q], fps[m], strict=True)}
+    assert found == {(a, b) for a in range(200) for b in range(200) if (a ^ b).bit_count() <= 3}
+
+
+def test_forest_takes_the_lightest_pairs():
+    rng = np.random.default_rng(1)
+    a, b, w = rng.integers(0, 40, 300), rng.integers(0, 40, 300), rng.integers(0, 4, 300)
+    root = np.arange(40)
+    chosen = S.forest(root, a, b, w)
+    parts, total = list(range(40)), 0
+    for i in np.argsort(w, kind="stable"):
+        x, y = parts[a[i]], parts[b[i]]
+        if x != y:
+            total += w[i]
+            parts = [x if p == y else p for p in parts]
+    assert w[chosen].sum() == total and len(chosen) == 40 - len(set(parts)) and len(set(root)) == len(set(parts))
+
+
+@pytest.mark.parametrize("rows", [1 << 22, 16])
+def test_components_of_fingerprints(spark, monkeypatch, rows):
+    monkeypatch.setattr(S, "RANGE_ROWS", rows)
     rng = random.Random(9)
-    fps = sorted(set(near(rng, 60, 4)) | {0, 1, 7, (1 << 64) - 1, 1 << 63})
+    fps = sorted(set(near(rng, 400, 4)) | {0, 1, 7, (1 << 64) - 1, 1 << 63})
     signed = [int(np.uint64(f).astype(np.int64)) for f in fps]
-    edges = S.links(spark.createDataFrame([(f,) for f in signed], "fp bigint"), split=split)
+    edges = S.links(spark.createDataFrame([(f,) for f in signed], "fp bigint"))
     found = {r.node: r.root for r in S.components(edges).collect()}
     got, want = [found.get(f, f) for f in signed], roots(fps)
     assert len(set(got)) == len(set(want)) and len(set(zip(got, want, strict=True))) == len(set(want))
 
 
+def copies(rows, similarity=0.8):
+    """Brute force over (id, text): the smallest id of each row's group of copies."""
+    sets = []
+    for _, t in rows:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))))
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if len(a & b) >= similarity * len(a | b) and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    least = {}
+    for (i, _), r in zip(rows, root, strict=True):
+        least[r] = min(i, least.get(r, i))
+    return [least[r] for r in root]
+
+
+def test_near_copies(spark):
+    """Words changed, dropped and added, at the head, inside and at the end, down to the similarity."""
+    rng = random.Random(4)
+    rows = []
+    for g in range(40):
+        base = words(rng, rng.randint(30, 300)).split()
+        for _ in range(rng.randint(1, 4)):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 60))):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randint(0, 2)] = words(rng, rng.randint(0, 2)).split()
+            if rng.random() < 0.3:
+                w = w[rng.randint(0, len(w) // 12) :]
+            rows.append((1000 * g + rng.randrange(1000), " ".join(w)))
+    rows = list({i: (i, t) for i, t in rows}.values())
+    kept = {r.doc_id for r in S.keep_one(documents(spark, rows)).collect()}
+    want = {i for (i, _), c in zip(rows, copies(rows), strict=True) if i == c}
+    assert len(want) < len(rows) - 20 and want <= kept and len(kept - want) <= 1
+
+
 def test_documents(spark):
     rng = random.Random(2)
     long = words(rng, 300)
@@ -81,9 +155,12 @@ def test_documents(spark):
     assert sorted(((r.doc_id, int(np.int64(r.fp).astype(np.uint64)), r.component_id) for r in got), key=str) == want
     kept = S.keep_one(documents(spark, rows))
     ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted(i for i, _, c in want if i is not None and i == c) and ids.count(None) == 2
+    known = [(i, t) for i, t in rows if i is not None]
+    assert sorted(i for i in ids if i is not None) == sorted(i for (i, _), c in zip(known, copies(known), strict=True) if i == c) and ids.count(None) == 2
+    other = [(7, long), (7, words(rng, 80)), (3, long)]  # one id, two texts: only the copy goes
+    assert sorted((r.doc_id, r.text) for r in S.keep_one(documents(spark, other)).collect()) == sorted(other[1:])
     assert kept.columns == documents(spark, rows).columns
 
 
 def test_empty(spark):
-    assert S.near_duplicates(documents(spark, [])).count() == 0
+    assert S.near_duplicates(documents(spark, [])).count() == 0 and S.keep_one(documents(spark, [])).count() == 0

@@ -2,29 +2,30 @@
 
 Every WINDOW-byte string of the corpus has an anchor: the GRAM-byte string in it with the least hash, the first of equal ones.
 Equal strings have equal anchors at equal distances, so only texts around equal anchors need comparing, wherever they stand.
-Consecutive windows with one anchor form a segment.
-
-1. Per document, segments with the hashes of their anchor and of their bytes; no text is moved.
-2. Segments are counted by both hashes, with map-side sums. Those that occur again repeat as a whole.
-3. Where an anchor has several different segments and one of them occurs once, that one may repeat in part: one copy of each
-   such segment is cut out of its document and dealt by anchor. Tasks build suffix arrays over blocks of whole groups: only
-   suffixes smaller than their successors are sorted directly, the rest is induced by bucket scans, and windows whose common
-   prefix with a neighbour is WINDOW bytes or more repeat.
-4. Anchors with over GROUP different segments, such as those at the ends of a passage that a third of all documents holds,
-   would make a group too large for a task. Their windows are compared by 128-bit hash instead: windows that meet in a batch
-   are settled there, and one of each goes on, packed and dealt by hash. The same result without gathering a group.
-5. The byte ranges found are gathered per document, and each document is rebuilt once.
+Consecutive windows with one anchor form a segment. Hashes only tell what cannot repeat, and which segments are copies of each
+other; that a window repeats is always decided by the common prefix of neighbours in sorted order.
+
+1. Per document, segments with the hashes of their anchor and of their bytes; no text is moved. They are counted, with map-side
+   sums. A segment whose anchor occurs once cannot repeat.
+2. Of the others, one copy of each segment, and a second where there is one, is cut out of its document and dealt by anchor.
+3. Tasks build suffix arrays over blocks of whole groups: only suffixes smaller than their successors are sorted directly, the
+   rest is induced by bucket scans, and windows whose common prefix with a neighbour is WINDOW bytes or more repeat.
+4. A group of over GROUP different segments, as at the ends of a passage that a third of all documents holds, is too full a
+   bucket. It is split by the windows themselves: blocks of it are sorted as above, windows that meet there are settled, and one
+   of each, with its bytes, goes on to the bucket of its prefix, where windows of other blocks meet it in sorted order.
+5. What repeats in a segment holds for all its copies: byte ranges are gathered per document, and each is rebuilt once.
 
 Defined cases: a null text has no bytes; texts of fewer than WINDOW bytes lose nothing; equal rows are elsewhere for each
 other, also with equal or null ids; an empty table gives an empty result; other columns pass through, and columns with the
-output names are replaced. Identities of segments rest on two 64-bit hashes of different bytes, a chance of a clash of about
-1e-18 at 1e10 segments.
+output names are replaced. Ids may be of any type. Copies of segments are told by two 64-bit hashes of different bytes, a chance
+of a clash of about 1e-18 at 1e10 segments, and rows by 88 bits of a hash of id and text, about 1e-7 at 1e10 rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -143,8 +144,9 @@ def suffix_array(text: np.ndarray, depth: int = WINDOW) -> np.ndarray:
     return sa
 
 
-def repeated_starts(parts: list[bytes], window: int = WINDOW) -> list[np.ndarray]:
-    """For each part: the starts of its windows that start elsewhere in the parts too. No window crosses parts."""
+def sorted_windows(parts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of the parts in sorted order, as part, start in it, and whether a window equals the one before. No window
+    crosses parts."""
     lens = np.array([len(p) for p in parts])
     text = np.frombuffer(b"\xff".join([*parts, b""]), np.uint8)  # a byte that UTF-8 never has
     sa = suffix_array(text, window)
@@ -152,40 +154,53 @@ def repeated_starts(parts: list[bytes], window: int = WINDOW) -> list[np.ndarray
     part = np.searchsorted(ends, np.arange(len(text)), "left")
     whole = ends[np.minimum(part, len(parts) - 1)] - np.arange(len(text)) >= window
     sa = sa[whole[sa]]
-    words = _words(np.concatenate([text, np.zeros(window + 512, np.uint8)]))
-    a, b = sa[:-1], sa[1:]
+    same = common_prefix(_words(np.concatenate([text, np.zeros(window + 512, np.uint8)])), sa, window)
+    return part[sa], sa - (ends - lens)[part[sa]], same
+
+
+def common_prefix(words: np.ndarray, order: np.ndarray, window: int) -> np.ndarray:
+    """Whether the suffixes in this order have a common prefix of window bytes or more with the one before."""
+    a, b = order[:-1], order[1:]
     left = np.arange(len(a))
-    # Common prefixes of neighbours, as far as the window.
     for d in [*range(0, window - 7, 8), *([window - 8] if window % 8 else [])]:
         left = left[words[a[left] + d] == words[b[left] + d]]
-    again = np.zeros(len(text), bool)
-    again[a[left]] = again[b[left]] = True
-    starts = ends - lens
-    return [np.flatnonzero(again[s : s + n]) for s, n in zip(starts, lens, strict=True)]
+    same = np.zeros(len(order), bool)
+    same[left + 1] = True
+    return same
+
+
+def _repeats(same: np.ndarray) -> np.ndarray:
+    """Windows that equal the one before or the one behind."""
+    return same | np.r_[same[1:], False] if len(same) else same
+
+
+def repeated_starts(parts: list[bytes], window: int = WINDOW) -> list[np.ndarray]:
+    """For each part: the starts of its windows that start elsewhere in the parts too."""
+    part, start, same = sorted_windows(parts, window)
+    again = _repeats(same)
+    part, start = part[again], start[again]
+    by = np.lexsort((start, part))
+    return np.split(start[by], np.searchsorted(part[by], np.arange(1, len(parts))))
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_row, _k, _t, _data): other columns as one, the bytes, and _k and _t, which tell different rows apart; equal rows share
-    them. _k is the id, or a hash of the text where there is none; _t is 16 more bits of the text, for rows that share an id."""
-    t = F.col(f"`{text}`")
-    key = F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.xxhash64(t))
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), key.alias("_k"), F.xxhash64(F.lit(1), t).bitwiseAND(F.lit(0xFFFF)).alias("_t"), F.encode(t, "UTF-8").alias("_data"))
+    """(_row, _k, _t, _data): other columns as one, the bytes, and _k and _t, 64 and 24 bits of hashes of id and text, which tell
+    different rows apart; equal rows share them."""
+    i, t = F.col(f"`{id_col}`"), F.col(f"`{text}`")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    return docs.select(row, F.xxhash64(F.lit(3), i, t).alias("_k"), F.xxhash64(F.lit(1), t, i).bitwiseAND(F.lit(0xFFFFFF)).alias("_t"), F.encode(t, "UTF-8").alias("_data"))
 
 
 def _start(loc: Column) -> Column:
     return F.shiftright(loc, 32).cast("int")
 
 
-def _windows(loc: Column) -> Column:
-    return F.shiftright(loc, 16).bitwiseAND(F.lit(0xFFFF)).cast("int")
-
-
 def _tail(loc: Column) -> Column:
-    return loc.bitwiseAND(F.lit(0xFFFF))
+    return loc.bitwiseAND(F.lit(0xFFFFFF))
 
 
 def _all_segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(k, loc, h1, h2): loc packs the start (32 bits), the number of windows (16) and _t (16)."""
+    """(k, loc, h1, h2): loc packs the start (32 bits), the number of windows (8) and _t (24)."""
 
     def run(batches):
         for batch in batches:
@@ -196,7 +211,7 @@ def _all_segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     if data is None or len(data) < window:
                         continue
                     s, n, h1, h2 = segments(data, window, gram)
-                    for c, x in zip(cols, (np.full(len(s), k), s << 32 | n << 16 | t, h1, h2), strict=True):
+                    for c, x in zip(cols, (np.full(len(s), k), s << 32 | n << 24 | t, h1, h2), strict=True):
                         c.append(x)
                 if cols[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["k", "loc", "h1", "h2"])
@@ -204,144 +219,164 @@ def _all_segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.select("_k", "_t", "_data").mapInArrow(run, "k bigint, loc bigint, h1 bigint, h2 bigint")
 
 
+PARTS = [("h1", pa.int64()), ("h2", pa.int64()), ("many", pa.bool_()), ("first", pa.bool_()), ("part", pa.binary())]
+
+
 def _cut_out(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """wanted (k, loc, h1, many, once) with part, the bytes of the segment, fetched from its document."""
-    lists = wanted.groupBy("k", _tail(F.col("loc")).alias("t")).agg(F.collect_list(F.struct("loc", "h1", "many", "once")).alias("want"))
+    """(h1, h2, many, first, part) of wanted (k, loc, h1, h2, many, first): part is the segment's bytes, out of its document."""
+    lists = wanted.groupBy("k", _tail(F.col("loc")).alias("t")).agg(F.collect_list(F.struct("loc", "h1", "h2", "many", "first")).alias("want"))
     one = docs.select("_k", "_t", F.col("_data").alias("data")).join(lists, (F.col("_k") == F.col("k")) & (F.col("_t") == F.col("t")))
 
     def run(batches):
-        types = [("k", pa.int64()), ("loc", pa.int64()), ("h1", pa.int64()), ("many", pa.bool_()), ("once", pa.bool_()), ("part", pa.binary())]
         for batch in batches:
             for i in range(0, len(batch), 32):
                 rows = []
                 for r in batch.slice(i, 32).to_pylist():
-                    rows += [(r["k"], w["loc"], w["h1"], w["many"], w["once"], r["data"][w["loc"] >> 32 : (w["loc"] >> 32) + (w["loc"] >> 16 & 0xFFFF) + window - 1]) for w in r["want"]]
+                    rows += [(w["h1"], w["h2"], w["many"], w["first"], r["data"][w["loc"] >> 32 : (w["loc"] >> 32) + (w["loc"] >> 24 & 0xFF) + window - 1]) for w in r["want"]]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), types, strict=True)], [n for n, _ in types])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), PARTS, strict=True)], [n for n, _ in PARTS])
 
-    return one.select("k", "want", "data").mapInArrow(run, "k bigint, loc bigint, h1 bigint, many boolean, once boolean, part binary")
+    return one.select("want", "data").mapInArrow(run, "h1 bigint, h2 bigint, many boolean, first boolean, part binary")
 
 
-def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
-    """First and last of each run of consecutive numbers."""
-    if not len(starts):
-        return []
-    cuts = np.flatnonzero(np.diff(starts) > 1)
-    return list(zip(starts[np.r_[0, cuts + 1]].tolist(), starts[np.r_[cuts, len(starts) - 1]].tolist(), strict=True))
+RANGES = [("h1", pa.int64()), ("h2", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]
+RANGES_DDL = "h1 bigint, h2 bigint, lo int, hi int"
+#: One window: the hashes of its segment, its place there, whether the segment speaks for its copies, and whether it is settled.
+PLACE = [("h1", "<i8"), ("h2", "<i8"), ("s", "<i4"), ("first", "?"), ("done", "?")]
+
+
+def _as_ranges(rows: np.ndarray, window: int) -> pa.RecordBatch:
+    """The byte ranges, within their segments, of windows; consecutive ones of a segment in one."""
+    rows = rows[np.lexsort((rows["s"], rows["h2"], rows["h1"]))]
+    new = (rows["h1"][1:] != rows["h1"][:-1]) | (rows["h2"][1:] != rows["h2"][:-1]) | (rows["s"][1:] > rows["s"][:-1] + 1)
+    first, last = np.flatnonzero(np.r_[True, new][: len(rows)]), np.flatnonzero(np.r_[new, True][: len(rows)])
+    columns = [rows["h1"][first], rows["h2"][first], rows["s"][first], rows["s"][last] + window]
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype())) for c, (_, t) in zip(columns, RANGES, strict=True)], [n for n, _ in RANGES])
 
 
-RANGES = [("k", pa.int64()), ("t", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]
+def _places(h1: np.ndarray, h2: np.ndarray, first: np.ndarray, part: np.ndarray, start: np.ndarray) -> np.ndarray:
+    rows = np.zeros(len(part), PLACE)
+    rows["h1"], rows["h2"], rows["first"], rows["s"] = h1[part], h2[part], first[part], start
+    return rows
 
 
-def _by_suffix_arrays(parts: DataFrame, window: int, block: int) -> DataFrame:
-    """(k, t, lo, hi) of what repeats in part, from parts sorted by anchor in each partition."""
+def _by_groups(parts: DataFrame, window: int, block: int) -> DataFrame:
+    """(h1, h2, lo, hi) of what repeats, by suffix arrays over blocks of whole groups of an anchor."""
 
-    def solve(rows):
-        out = []
-        for (k, loc, _, once, _), starts in zip(rows, repeated_starts([r[4] for r in rows], window), strict=True):
-            if once:
-                out += [(k, loc & 0xFFFF, (loc >> 32) + a, (loc >> 32) + b + window) for a, b in _runs(starts)]
-        columns = list(zip(*out, strict=True)) if out else [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, RANGES, strict=True)], [n for n, _ in RANGES])
+    def solve(batches):
+        h1, h2, first = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in batches]) for c in ("h1", "h2", "first"))
+        part, start, same = sorted_windows([x for b in batches for x in b.column("part").to_pylist()], window)
+        rows = _places(h1, h2, first, part, start)
+        return _as_ranges(rows[_repeats(same) & rows["first"]], window)
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            for i in range(0, len(batch), 512):
-                part = batch.slice(i, 512)
-                for row in zip(*(part.column(c).to_pylist() for c in ("k", "loc", "h1", "once", "part")), strict=True):
-                    if size >= block and held[-1][2] != row[2]:
-                        yield solve(held)
-                        held, size = [], 0
-                    held.append(row)
-                    size += len(row[4])
+            h1 = batch.column("h1").to_numpy()
+            ends = np.r_[np.flatnonzero(h1[1:] != h1[:-1]) + 1, len(h1)].tolist()
+            if held and len(h1) and size >= block and held[-1].column("h1")[-1].as_py() != h1[0]:
+                yield solve(held)
+                held, size = [], 0
+            at = 0
+            offsets = np.r_[0, np.cumsum(pc.binary_length(batch.column("part")).to_numpy())]
+            for i, end in enumerate(ends):
+                # Up to the end of a group; the last of a batch may go on in the next.
+                if i < len(ends) - 1 and size + offsets[end] - offsets[at] >= block:
+                    yield solve([*held, batch.slice(at, end - at)])
+                    held, size, at = [], 0, end
+            if at < len(h1):
+                held.append(batch.slice(at))
+                size += int(offsets[-1] - offsets[at])
         if held:
             yield solve(held)
 
     n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ready = parts.repartition(n, "h1").sortWithinPartitions("h1").select("k", "loc", "h1", "once", "part")
-    return ready.mapInArrow(run, "k bigint, t bigint, lo int, hi int")
+    ready = parts.repartition(n, "h1").sortWithinPartitions("h1").select("h1", "h2", "first", "part")
+    return ready.mapInArrow(run, RANGES_DDL)
 
 
-#: One window: its 128-bit hash, its document and place, whether its segment occurs once, and whether it is known to repeat.
-WINDOWS = np.dtype([("w1", "<i8"), ("w2", "<i8"), ("k", "<i8"), ("s", "<i4"), ("t", "<u2"), ("once", "?"), ("done", "?")])
-
-
-def _meeting(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows in the order of their hashes; which have a partner; which are the first of theirs."""
-    rows = rows[np.lexsort((rows["w2"], rows["w1"]))]
-    same = (rows["w1"][1:] == rows["w1"][:-1]) & (rows["w2"][1:] == rows["w2"][:-1])
-    return rows, np.r_[False, same] | np.r_[same, False], np.r_[True, ~same]
-
-
-def _as_ranges(rows: np.ndarray, window: int) -> pa.RecordBatch:
-    """The byte ranges of windows; consecutive ones of a document in one."""
-    rows = rows[np.lexsort((rows["s"], rows["t"], rows["k"]))]
-    new = (rows["k"][1:] != rows["k"][:-1]) | (rows["t"][1:] != rows["t"][:-1]) | (rows["s"][1:] != rows["s"][:-1] + 1)
-    first, last = np.flatnonzero(np.r_[True, new]), np.flatnonzero(np.r_[new, True])
-    columns = [rows["k"][first], rows["t"][first], rows["s"][first], rows["s"][last] + window]
-    return pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype())) for c, (_, t) in zip(columns, RANGES, strict=True)], [n for n, _ in RANGES])
-
-
-def _by_counting(parts: DataFrame, window: int) -> DataFrame:
-    """The same for anchors with very many segments, by the windows' hashes. Windows that meet in a batch are settled there;
-    one of each is then dealt by hash, packed by hundreds into a row for each bucket, and meets those of other batches. However
-    often a window occurs, a batch sends it once."""
+def _by_windows(parts: DataFrame, window: int, block: int) -> DataFrame:
+    """The same for groups that are too large for a task. Windows that meet in a block are settled there; one of each is then
+    dealt by its bytes, packed by hundreds into a row for each bucket, and meets those of other blocks. However often a window
+    occurs, a block sends it once."""
     n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = np.dtype([("bytes", f"V{window}"), *PLACE])
+    buckets = 8 * n
+
+    def solve(batches):
+        h1, h2, first = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in batches]) for c in ("h1", "h2", "first"))
+        texts = [x for b in batches for x in b.column("part").to_pylist()]
+        part, start, same = sorted_windows(texts, window)
+        places, again = _places(h1, h2, first, part, start), _repeats(same)
+        places["done"] = again
+        settled = places[again & places["first"]]
+        # One of equal windows goes on: one that speaks for its segment, if any does; the others are settled.
+        keep = np.flatnonzero(~same)
+        rest = np.zeros(len(keep), sent)
+        for name, _ in PLACE:
+            rest[name] = places[name][keep]
+        ends = np.cumsum([0, *map(len, texts)])
+        all_bytes = np.frombuffer(b"".join(texts), np.uint8)
+        if len(keep):
+            rest["bytes"] = np.lib.stride_tricks.sliding_window_view(all_bytes, window)[ends[part[keep]] + start[keep]].copy().view(f"V{window}")[:, 0]
+            key = np.ndarray((len(rest), window // 8), "<u8", rest["bytes"].tobytes(), strides=(window, 8))
+            mixed = np.zeros(len(rest), np.uint64)
+            for c in range(window // 8):
+                mixed = (mixed ^ key[:, c]) * _M1
+                mixed ^= mixed >> np.uint64(29)
+            bucket = (mixed % np.uint64(buckets)).astype(np.int32)
+            by = np.argsort(bucket, kind="stable")
+            rest, bucket = rest[by], bucket[by]
+            at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            blobs = [rest[a:b].tobytes() for a, b in zip(at, np.r_[at[1:], len(rest)], strict=True)]
+            numbers = bucket[at].tolist()
+        else:
+            blobs, numbers = [], []
+        return pa.RecordBatch.from_arrays([pa.array([-1, *numbers], pa.int32()), pa.array([settled.tobytes(), *blobs], pa.binary())], ["bucket", "packed"])
 
     def deal(batches):
+        held, size = [], 0
         for batch in batches:
-            for i in range(0, len(batch), 1024):
-                part = batch.slice(i, 1024)
-                k, loc, once, data = (part.column(c).to_pylist() for c in ("k", "loc", "once", "part"))
-                sizes = np.array([len(d) - window + 1 for d in data])
-                if not len(sizes):
-                    continue
-                rows = np.zeros(sizes.sum(), WINDOWS)
-                digests = b"".join(xxhash.xxh3_128_digest(d[j : j + window]) for d, m in zip(data, sizes.tolist(), strict=True) for j in range(m))
-                rows["w1"], rows["w2"] = np.frombuffer(digests, "<i8").reshape(-1, 2).T
-                rows["k"], rows["once"] = np.repeat(k, sizes), np.repeat(once, sizes)
-                rows["t"] = np.repeat(np.array(loc) & 0xFFFF, sizes)
-                inside = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                rows["s"] = np.repeat(np.array(loc) >> 32, sizes) + inside
-                rows, again, first = _meeting(rows)
-                rows["done"] = again
-                settled, rest = rows[again & rows["once"]], rows[first]
-                bucket = (rest["w1"].view(np.uint64) % np.uint64(n)).astype(np.int32)
-                by = np.argsort(bucket, kind="stable")
-                rest, bucket = rest[by], bucket[by]
-                starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-                blobs = [rest[a:b].tobytes() for a, b in zip(starts, np.r_[starts[1:], len(rest)], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([-1, *bucket[starts].tolist()], pa.int32()), pa.array([settled.tobytes(), *blobs], pa.binary())], ["bucket", "packed"])
+            for i in range(0, len(batch), 256):
+                held.append(batch.slice(i, 256))
+                size += held[-1].column("part").nbytes
+                if size >= block:
+                    yield solve(held)
+                    held, size = [], 0
+        if held:
+            yield solve(held)
 
     def unpack(batches):
         for batch in batches:
             for packed in batch.column("packed"):
                 if rows := packed.as_py():
-                    yield _as_ranges(np.frombuffer(rows, WINDOWS), window)
+                    yield _as_ranges(np.frombuffer(rows, PLACE), window)
+
+    def settle(blobs):
+        rows = np.frombuffer(b"".join(blobs), sent)
+        text = np.concatenate([np.frombuffer(rows["bytes"].tobytes(), np.uint8), np.zeros(window + 512, np.uint8)])
+        words = _words(text)
+        order = _direct_sort(words, np.arange(len(rows)) * window, window)
+        again = _repeats(common_prefix(words, order, window))
+        rows = rows[order // window][again]
+        rows = rows[rows["first"] & ~rows["done"]]
+        return [_as_ranges(rows, window)] if len(rows) else []
 
     def meet(batches):
         held, last = [], None
-
-        def settle():
-            rows, again, _ = _meeting(np.frombuffer(b"".join(held), WINDOWS))
-            rows = rows[again & rows["once"] & ~rows["done"]]
-            return [_as_ranges(rows, window)] if len(rows) else []
-
         for batch in batches:
             for bucket, packed in zip(batch.column("bucket").to_pylist(), batch.column("packed"), strict=True):
                 if held and bucket != last:
-                    yield from settle()
+                    yield from settle(held)
                     held = []
                 last = bucket
                 held.append(packed.as_py())
         if held:
-            yield from settle()
+            yield from settle(held)
 
-    ddl = "k bigint, t bigint, lo int, hi int"
-    dealt = cut(parts.select("k", "loc", "once", "part").mapInArrow(deal, "bucket int, packed binary"), "windows")
-    across = dealt.where("bucket >= 0").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, ddl)
-    return dealt.where("bucket < 0").select("packed").mapInArrow(unpack, ddl).unionByName(across)
+    dealt = cut(parts.select("h1", "h2", "first", "part").mapInArrow(deal, "bucket int, packed binary"), "windows")
+    across = dealt.where("bucket >= 0").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, RANGES_DDL)
+    return dealt.where("bucket < 0").select("packed").mapInArrow(unpack, RANGES_DDL).unionByName(across)
 
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP, block: int = BLOCK) -> DataFrame:
@@ -349,26 +384,28 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, gro
 
     Tables are deleted as soon as the next one is written, which bounds the disk that is in use at a time.
     """
+    if window - gram + 1 > 255:
+        raise ValueError("a window has at most 255 places for its anchor")
     found = cut(_all_segments(docs, window, gram), "segments")
     kinds = cut(found.groupBy("h1", "h2").agg(F.count("*").alias("copies")), "kinds")
-    anchors = kinds.groupBy("h1").agg(F.count("*").alias("kinds"), F.min("copies").alias("least"))
-    mixed = cut(anchors.where("kinds > 1 AND least = 1").select("h1", (F.col("kinds") > group).alias("many")), "mixed")
-    of_use = kinds.join(mixed, "h1", "left").where("copies > 1 OR many IS NOT NULL")
-    of_use = cut(of_use.select("h1", "h2", "many", (F.col("copies") == 1).alias("once")), "of-use")
+    anchors = kinds.groupBy("h1").agg(F.count("*").alias("kinds"), F.sum("copies").alias("segments")).where("segments > 1")
+    # Anchors that occur once are most of all: only the others are looked up.
+    anchors = cut(anchors.select("h1", (F.col("kinds") > group).alias("many")), "anchors")
     drop(kinds)
-    drop(mixed)
-    hits = cut(found.join(of_use, ["h1", "h2"]), "hits")
+    hits = cut(found.join(anchors, "h1"), "hits")
     drop(found)
-    drop(of_use)
-    # One copy of each segment stands for all of them.
-    one = hits.where("many IS NOT NULL").groupBy("h1", "h2", "many", "once").agg(F.min(F.struct("k", "loc")).alias("one"))
-    parts = cut(_cut_out(docs, one.select("one.k", "one.loc", "h1", "many", "once"), window), "parts")
+    drop(anchors)
+    # Two copies of each segment stand for all of them.
+    two = hits.groupBy("h1", "h2", "many").agg(F.min(F.struct("k", "loc")).alias("one"), F.max(F.struct("k", "loc")).alias("other"))
+    copies = F.when(F.col("one") == F.col("other"), F.array(F.struct("one.*", F.lit(True).alias("first")))).otherwise(F.array(F.struct("one.*", F.lit(True).alias("first")), F.struct("other.*", F.lit(False).alias("first"))))
+    parts = cut(_cut_out(docs, two.select("h1", "h2", "many", F.explode(copies).alias("c")).select("c.k", "c.loc", "h1", "h2", "many", "c.first"), window), "parts")
+    spans = cut(_by_groups(parts.where("NOT many"), window, block).unionByName(_by_windows(parts.where("many"), window, block)), "spans")
+    drop(parts)
     loc = F.col("loc")
-    whole = hits.where("NOT once").select("k", _tail(loc).alias("t"), _start(loc).alias("lo"), (_start(loc) + _windows(loc) + (window - 1)).alias("hi"))
-    partial = _by_suffix_arrays(parts.where("NOT many"), window, block).unionByName(_by_counting(parts.where("many"), window))
-    ranges = cut(whole.unionByName(partial), "ranges")
+    ranges = hits.select("k", "loc", "h1", "h2").join(spans, ["h1", "h2"]).select("k", _tail(loc).alias("t"), (_start(loc) + F.col("lo")).alias("lo"), (_start(loc) + F.col("hi")).alias("hi"))
+    ranges = cut(ranges, "ranges")
     drop(hits)
-    drop(parts)
+    drop(spans)
     return ranges
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import Column, functions as F
 CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳"
 #: A tag in angle brackets that holds a date such as 2024.1.31; group 1 is what the brackets hold.
 DATED_TAG = r"<([^<>]*(?U:\d){4}\.(?U:\d){1,2}\.(?U:\d){1,2}[^<>]*)>"
-#: Runs of Hangul, of ASCII letters, of digits.
-TOKEN_RUNS = r"[가-힣]+|[a-zA-Z]+|[0-9]+"
+#: Runs of Hangul, of ASCII letters, of digits of any script.
+TOKEN_RUNS = r"[가-힣]+|[a-zA-Z]+|\p{Nd}+"
 
 
 def strip(text: Column) -> Column:

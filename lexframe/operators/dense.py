@@ -1,21 +1,23 @@
 """Dense retrieval: incremental embedding through a pluggable encoder, and exact top-k by inner product.
 
-Question vectors are taken in blocks of at most BLOCK, each broadcast to a pass over the chunk vectors: a matrix product per
-Arrow batch and a running top-k per task, so that only winners are shuffled.
+Chunk vectors are packed and dealt to groups, each of which a task holds; packs of question vectors go to every group and stream
+past it: a matrix product for each pack, and only winners are shuffled. Nothing passes through the driver, vectors are read once
+whatever the number of questions, and a group's memory is bounded.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import text_key
-from .lexical import top_k
+from .topk import Winners, top_k
 
-BLOCK, DIGITS, BATCH = 4096, 6, 16
+#: Vectors in a pack, packs that a group of chunks holds at most, chunks of a product at a time.
+PACK, GROUP_PACKS, SLICE, DIGITS, BATCH = 1024, 512, 2048, 6, 16
 Encoder = Callable[[list[str]], np.ndarray]
 
 
@@ -47,52 +49,69 @@ def with_vectors(texts: DataFrame, cache: DataFrame, text: str = "text") -> Data
     return texts.withColumn("text_key", text_key(F.col(text))).join(once, "text_key")
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return column.values.to_numpy().astype(np.float64)[column.offsets[0].as_py() : column.offsets[-1].as_py()].reshape(-1, width)
+def _packs(rows: DataFrame, pack: int) -> DataFrame:
+    """(ids, vecs, width, n): so many vectors of (id, vec) in a row, as bytes."""
 
+    def run(batches):
+        held = []
+
+        def packed():
+            ids = np.concatenate([i for i, _ in held])
+            v = np.concatenate([v for _, v in held])
+            for at in range(0, len(ids), pack):
+                part = v[at : at + pack]
+                yield pa.RecordBatch.from_arrays([pa.array([ids[at : at + pack].tobytes()], pa.binary()), pa.array([part.tobytes()], pa.binary()), pa.array([part.shape[1]], pa.int32())], ["ids", "vecs", "width"])
+
+        for b in batches:
+            if len(b):
+                vec = b.column("vec")
+                if held and (vec.value_lengths()[0].as_py() != held[0][1].shape[1] or sum(len(i) for i, _ in held) >= 16 * pack):
+                    yield from packed()
+                    held = []
+                held.append((b.column("id").to_numpy(), vec.flatten().to_numpy().astype(np.float64).reshape(len(b), -1)))
+        if held:
+            yield from packed()
+
+    return rows.select(F.col("id").cast("bigint"), F.col("vec").cast("array<double>")).where("id IS NOT NULL AND vec IS NOT NULL").mapInArrow(run, "ids binary, vecs binary, width int")
 
-def block_top_k(chunks: DataFrame, questions: Iterable[tuple], k: int, digits: int = DIGITS) -> DataFrame:
-    """(qid, pos, score) local winners for one block of (qid, vector) pairs. chunks: pos (bigint), vec."""
-    pairs = list(questions)
-    ids = np.array([p[0] for p in pairs], np.int64)
-    shared = chunks.sparkSession.sparkContext.broadcast((ids, np.array([p[1] for p in pairs], np.float64)))
 
-    def best(pos, scores):
-        keep = np.lexsort((pos, -scores))[:k]
-        return pos[keep], scores[keep]
+def _vectors(ids: bytes, vecs: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(ids, np.int64), np.frombuffer(vecs, np.float64).reshape(-1, width)
+
+
+def dense_topk(chunks: DataFrame, questions: DataFrame, k: int, pack: int = PACK, digits: int = DIGITS) -> DataFrame:
+    """(qid, pos, score, rank): exact top-k by inner product of chunks (pos, vec) for questions (qid, vec), rounded to `digits`;
+    ties go to the smaller position. Rows without an id or a vector take no part."""
+    spark = chunks.sparkSession
+    own = _packs(chunks.select(F.col("pos").alias("id"), "vec"), pack)
+    asked = _packs(questions.select(F.col("qid").alias("id"), "vec"), pack)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(n, -(-chunks.count() // (pack * GROUP_PACKS)))
+    names = ["g", "kind", "ids", "vecs", "width"]
+    own = own.select(F.pmod(F.xxhash64("ids"), F.lit(groups)).alias("g"), F.lit(0).alias("kind"), "ids", "vecs", "width")
+    asked = asked.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))).alias("g"), F.lit(1).alias("kind"), "ids", "vecs", "width")
 
     def run(batches):
-        ids, q = shared.value
-        held = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
+        group, held = None, []
         for b in batches:
-            for at in range(0, len(b), 2048):
-                part = b.slice(at, 2048)
-                pos = part.column("pos").to_numpy()
-                scores = np.round(q @ _matrix(part.column("vec"), q.shape[1]).T, digits)
-                for i, row in enumerate(scores):
-                    near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
-                    held[i] = best(np.concatenate([held[i][0], pos[near]]), np.concatenate([held[i][1], row[near]]))
-        sizes = [len(p) for p, _ in held]
-        if sum(sizes):
-            columns = [np.repeat(ids, sizes), np.concatenate([p for p, _ in held]), np.concatenate([s for _, s in held])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["qid", "pos", "score"])
-
-    return chunks.select(F.col("pos").cast("bigint"), F.col("vec").cast("array<double>")).where("pos IS NOT NULL AND vec IS NOT NULL").mapInArrow(run, "qid bigint, pos bigint, score double")
-
-
-def dense_topk(chunks: DataFrame, questions: DataFrame, k: int, block: int = BLOCK, digits: int = DIGITS) -> DataFrame:
-    """(qid, pos, score, rank): exact top-k by inner product of chunks (pos, vec) for questions (qid, vec), rounded to `digits`;
-    ties go to the smaller position."""
-    out, held = None, []
-    for row in questions.select(F.col("qid").cast("bigint"), F.col("vec").cast("array<double>")).where("qid IS NOT NULL AND vec IS NOT NULL").toLocalIterator():
-        held.append((row[0], row[1]))
-        if len(held) == block:
-            part = block_top_k(chunks, held, k, digits)
-            out, held = part if out is None else out.unionByName(part), []
-    if held or out is None:
-        part = block_top_k(chunks, held, k, digits) if held else chunks.sparkSession.createDataFrame([], "qid bigint, pos bigint, score double")
-        out = part if out is None else out.unionByName(part)
-    return top_k(out, k, later_first=False, digits=digits)
+            for i in range(len(b)):
+                g, kind, *packed = (b.column(c)[i].as_py() for c in names)
+                if g != group:
+                    group, held = g, []
+                if kind == 0:
+                    held.append(_vectors(*packed))
+                    continue
+                ids, q = _vectors(*packed)
+                best = Winners(len(ids), k, digits, later_first=False)
+                for pos, v in held:
+                    for at in range(0, len(pos), SLICE):
+                        best.add(np.round(q @ v[at : at + SLICE].T, digits), pos[at : at + SLICE])
+                j, pos, score = best.all()
+                if len(j):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(pos), pa.array(score)], ["qid", "pos", "score"])
+
+    ready = own.unionByName(asked).repartition(n, "g").sortWithinPartitions("g", "kind").select(*names)
+    return top_k(ready.mapInArrow(run, "qid bigint, pos bigint, score double"), k, later_first=False, digits=digits)
 
 
 def near_duplicate_candidates(left: DataFrame, right: DataFrame, k: int = 1) -> DataFrame:

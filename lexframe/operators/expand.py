@@ -6,11 +6,17 @@ is a hit without links.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import eojeols, normalize_name, prefixes
+from ..sources.scratch import written
 
-ANTONYM = "반의어"
+ANTONYM, BLOCK = "반의어", 200_000
 
 
 def matched_words(questions: DataFrame, lexicon: DataFrame, words: Column | None = None) -> DataFrame:
@@ -25,26 +31,38 @@ def matched_words(questions: DataFrame, lexicon: DataFrame, words: Column | None
     return each.join(best, "w").select("qid", "word_pos", "m.word", "m.links")
 
 
-def in_corpus(terms: DataFrame, chunks: DataFrame, text: str = "text", keep=None) -> DataFrame:
-    """Terms (term) that stand in some chunk, blanks aside. keep may write a table and return it as read back.
+def in_corpus(terms: DataFrame, chunks: DataFrame, text: str = "text", keep: Callable[[DataFrame], DataFrame] = lambda df: written(df, "terms"), block: int = BLOCK) -> DataFrame:
+    """Terms (term) that stand in some chunk, blanks aside. keep writes a table and returns it as read back.
 
-    A term of two or more characters can only stand in chunks that hold its rarest pair of characters, so candidates come from
-    an equi-join on that pair; a term of one character joins on itself. Texts travel once, to the candidates by their key.
+    Blocks of at most about `block` terms are broadcast, one after the other; a task looks for all of a block's terms in one pass
+    over each text and reports each once, so that texts are never shuffled.
     """
-    bare = terms.select("term", normalize_name(F.col("term")).alias("_t")).where("_t <> ''").distinct()
-    chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
-    pairs = lambda a: F.zip_with(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, F.lit(2), F.size(a)), lambda x, y: F.concat(x, y))
-    own = F.array_distinct(F.when(F.length("_t") == 1, F.array("_t")).otherwise(pairs(chars(F.col("_t")))))
-    wanted = bare.select("term", "_t", F.size(own).alias("needed"), F.explode(own).alias("gram"))
-    body = chunks.select(normalize_name(F.coalesce(F.col(text), F.lit(""))).alias("_b")).where("_b <> ''").withColumn("_k", F.xxhash64("_b"))
-    letters = body.select("_k", chars(F.col("_b")).alias("_c"))
-    grams = letters.select("_k", F.explode(F.array_distinct(F.concat(pairs(F.col("_c")), F.col("_c")))).alias("gram"))
-    held = grams.join(wanted.select("gram").distinct(), "gram", "left_semi").distinct()
-    held = held if keep is None else keep(held)
-    rare = wanted.join(held.groupBy("gram").agg(F.count("*").alias("n")), "gram").groupBy("term", "_t", "needed").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count("*").alias("found"))
-    candidates = rare.where("found = needed").join(held, "gram").groupBy("_k").agg(F.collect_list(F.struct("term", "_t")).alias("_terms"))
-    hits = F.filter("_terms", lambda t: F.contains(F.col("_b"), t["_t"]))
-    return candidates.join(body, "_k").select(F.explode(hits).alias("t")).select("t.term").distinct()
+    bare = keep(terms.select("term", normalize_name(F.col("term")).alias("t")).where("t <> ''").distinct())
+    body = chunks.select(normalize_name(F.col(text)).alias("b")).where("b <> ''")
+    blocks = max(1, -(-bare.count() // block))
+    found = []
+    for i in range(blocks):
+        rows = (bare if blocks == 1 else bare.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == i)).toArrow()
+        shared = chunks.sparkSession.sparkContext.broadcast((rows.column("t").to_pylist(), rows.column("term").to_pylist()))
+
+        def run(batches, shared=shared):
+            wanted = {}
+            for t, term in zip(*shared.value, strict=True):
+                wanted.setdefault(t, []).append(term)
+            automaton = ahocorasick.Automaton()
+            for t in wanted:
+                automaton.add_word(t, t)
+            automaton.make_automaton()
+            seen = set()
+            for batch in batches if wanted else ():
+                for b in batch.column("b"):
+                    if len(seen) < len(wanted):
+                        seen.update(t for _, t in automaton.iter(b.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array([x for t in seen for x in wanted[t]], pa.string())], ["term"])
+
+        part = body.mapInArrow(run, "term string")
+        found.append(part if blocks == 1 else keep(part))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def expand_questions(matched: DataFrame, present: DataFrame, drop_relations: tuple[str, ...] = (ANTONYM,)) -> DataFrame:

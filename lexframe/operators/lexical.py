@@ -1,77 +1,139 @@
 """Character-bigram BM25 for batches of questions.
 
-The index is a table of postings (term, pos, tf, length); questions are a table of weighted terms. Common bigrams hold most
-postings, so the join on term is skewed by nature. Question terms are broadcast while their number is at most
-MAX_BROADCAST_TERMS, which is counted first; postings are then never shuffled. Beyond it, postings are salted by document and
-question terms repeated for each salt, so that no term lands in one task.
+The index stays by document: a row holds a document's distinct bigrams and their counts, taken apart once. Questions are a table
+of weighted terms; blocks of at most MAX_BROADCAST_TERMS of them are broadcast, one block after the other. A task
+multiplies batches of documents with the block and keeps a running top-k for each question, so that no pair of a question and a
+document is ever shuffled but the winners of each task. Common bigrams, which hold most postings, therefore skew nothing.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import TOKEN_RUNS, bigrams
+from ..functions.text import TOKEN_RUNS
+from ..sources.scratch import written
+from .topk import Winners, top_k
 
-MAX_BROADCAST_TERMS, SALTS, DIGITS = 1_000_000, 32, 9
+MAX_BROADCAST_TERMS, CELLS, DIGITS = 1_000_000, 1 << 22, 9
+COUNTED = "struct<length:int,terms:array<string>,tfs:array<int>>"
 
 
 @dataclass
 class Index:
-    """postings (term, pos, tf, length), terms (term, df, idf), and the two corpus figures."""
+    """docs (pos, length, terms, tfs), terms (term, df, idf), and the two corpus figures."""
 
-    postings: DataFrame
+    docs: DataFrame
     terms: DataFrame
     n_docs: int
     mean_length: float
 
 
-def build_index(chunks: DataFrame, pos: str = "pos", text: str = "text", runs: str = TOKEN_RUNS, keep=None) -> Index:
+def counted(text: Column, runs: str = TOKEN_RUNS) -> Column:
+    """The number of bigrams of a text, its distinct ones and their counts, see functions.text.bigrams; null has none."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        find = re.compile(runs.replace(r"\p{Nd}", r"\d")).findall  # the same digits, as Python writes them
+        codes, counts = [], []
+        for t in texts:
+            # Runs with a zero around each: two neighbours that are not zero are a bigram, one between zeros is a run of its own.
+            a = np.frombuffer("\0".join(["", *find(t.as_py() or ""), ""]).encode("utf-32-le"), np.uint32).astype(np.int64)
+            before, here, after = a[:-2], a[1:-1], a[2:]
+            found = np.concatenate([(here << 21 | after)[(here > 0) & (after > 0)], here[(before == 0) & (here > 0) & (after == 0)] << 21])
+            code, n = np.unique(found, return_counts=True)
+            codes.append(code)
+            counts.append(n)
+        ends = np.cumsum([0, *map(len, codes)], dtype=np.int32)
+        totals = pa.array([int(n.sum()) for n in counts], pa.int32())
+        flat = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+        distinct, at = np.unique(flat, return_inverse=True)
+        names = pa.array([chr(c >> 21) + (chr(c & 0x1FFFFF) if c & 0x1FFFFF else "") for c in distinct.tolist()], pa.string())
+        terms = pa.ListArray.from_arrays(pa.array(ends), names.take(pa.array(at)))
+        tfs = pa.ListArray.from_arrays(pa.array(ends), pa.array((np.concatenate(counts) if counts else flat).astype(np.int32)))
+        return pa.StructArray.from_arrays([totals, terms, tfs], ["length", "terms", "tfs"])
+
+    return F.arrow_udf(run, COUNTED)(text)
+
+
+def build_index(chunks: DataFrame, pos: str = "pos", text: str = "text", runs: str = TOKEN_RUNS, keep: Callable[[DataFrame], DataFrame] = lambda df: written(df, "index")) -> Index:
     """idf = ln(1 + (n - df + 0.5) / (df + 0.5)); empty chunks count in n and in the mean length.
 
-    keep(postings) may write the postings and return them as read back, such as sources.scratch.written: texts are then taken
-    apart once, whatever the number of searches.
+    keep(table) writes a table and returns it as read back: texts are taken apart once, whatever the number of searches.
     """
-    docs = chunks.select(F.col(f"`{pos}`").alias("pos"), bigrams(F.col(f"`{text}`"), runs).alias("terms"))
-    postings = docs.select("pos", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("pos", "length", "term").agg(F.count("*").alias("tf"))
-    postings = postings.select("term", "pos", "tf", "length")
-    if keep is not None:
-        postings = keep(postings)
-    n, total = chunks.count(), postings.agg(F.sum("tf")).first()[0] or 0
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    docs = keep(chunks.select(F.col(f"`{pos}`").cast("bigint").alias("pos"), counted(F.col(f"`{text}`"), runs).alias("c")).select("pos", "c.*"))
+    figures = docs.agg(F.count("*"), F.sum("length")).first()
+    n, total = figures[0], figures[1] or 0
+    df = docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     terms = df.withColumn("idf", F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    return Index(postings, terms, n, total / n if n else 0.0)
+    return Index(docs, terms, n, total / n if n else 0.0)
 
 
 def query_terms(questions: DataFrame, expansions: DataFrame | None = None, weight: float = 0.5, qid: str = "qid", text: str = "question", runs: str = TOKEN_RUNS) -> DataFrame:
     """(qid, term, qf): a question's own terms weigh 1 for each occurrence, those of expansions (qid, term) weigh `weight`."""
-    own = questions.select(F.col(qid).alias("qid"), F.explode(bigrams(F.col(text), runs)).alias("term"), F.lit(1.0).alias("w"))
+    both = questions.select(F.col(qid).alias("qid"), counted(F.col(text), runs).alias("c"), F.lit(1.0).alias("w"))
     if expansions is not None:
-        own = own.unionByName(expansions.select("qid", F.explode(bigrams(F.col("term"), runs)).alias("term"), F.lit(float(weight)).alias("w")))
-    return own.groupBy("qid", "term").agg(F.sum("w").alias("qf"))
-
-
-def bm25_scores(index: Index, terms: DataFrame, k1: float = 1.5, b: float = 0.75, max_broadcast: int = MAX_BROADCAST_TERMS, salts: int = SALTS) -> DataFrame:
-    """(qid, pos, score) of all pairs that share a term."""
-    weighted = terms.join(index.terms.select("term", "idf"), "term").select("qid", "term", (F.col("qf") * F.col("idf")).alias("w"))
-    if terms.limit(max_broadcast + 1).count() <= max_broadcast:
-        joined = index.postings.join(F.broadcast(weighted), "term")
-    else:
-        salted = weighted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = index.postings.withColumn("_salt", F.pmod(F.xxhash64("pos"), F.lit(salts)).cast("int")).join(salted, ["term", "_salt"])
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(index.mean_length))
-    part = F.col("w") * F.col("tf") * (k1 + 1) / norm
-    return joined.groupBy("qid", "pos").agg(F.sum(part).alias("score")).where("score > 0")
-
-
-def top_k(scores: DataFrame, k: int, later_first: bool = True, digits: int = DIGITS) -> DataFrame:
-    """(qid, pos, score, rank): the k best of each question. Sums differ in their last bits with the order of addition, so
-    scores are compared after rounding; ties go to the later position, or to the earlier one."""
-    rounded = F.round("score", digits)
-    order = Window.partitionBy("qid").orderBy(rounded.desc(), F.col("pos").desc() if later_first else F.col("pos").asc())
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def bm25_search(index: Index, terms: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    return top_k(bm25_scores(index, terms, k1, b), k)
+        both = both.unionByName(expansions.select("qid", counted(F.col("term"), runs).alias("c"), F.lit(float(weight)).alias("w")))
+    each = both.select("qid", "w", F.explode(F.arrays_zip("c.terms", "c.tfs")).alias("t"))
+    return each.groupBy("qid", F.col("t.terms").alias("term")).agg(F.sum(F.col("w") * F.col("t.tfs")).alias("qf"))
+
+
+def _block_scores(index: Index, block: DataFrame, k: int, k1: float, b: float, digits: int) -> DataFrame:
+    """(qid, pos, score): each task's winners for one block of (qid, term, w), which is bounded and broadcast."""
+    got = block.toArrow()
+    ids, q = np.unique(got.column("q").to_numpy(), return_inverse=True)
+    by = np.argsort(got.column("term").to_numpy(), kind="stable")
+    terms, at = np.unique(got.column("term").to_numpy()[by].astype(object), return_index=True)
+    shared = block.sparkSession.sparkContext.broadcast((ids, terms.tolist(), np.r_[at, len(by)], q[by], got.column("w").to_numpy()[by]))
+    mean = index.mean_length or 1.0
+
+    def run(batches):
+        ids, names, ends, owner, weight = shared.value
+        vocabulary, sizes, n = pa.array(names, pa.string()), np.diff(ends), len(ids)
+        if not n:
+            return
+        best = Winners(n, k, digits, later_first=True)
+        step = max(1, CELLS // n)
+        for batch in batches:
+            for i in range(0, len(batch), step):
+                part = batch.slice(i, step)
+                lists, length = part.column("terms"), part.column("length").to_numpy()
+                term = pc.fill_null(pc.index_in(lists.flatten(), vocabulary), -1).to_numpy()
+                tf = part.column("tfs").flatten().to_numpy()
+                doc = np.repeat(np.arange(len(part)), np.diff(lists.offsets.to_numpy()))
+                known = term >= 0
+                term, tf, doc = term[known], tf[known], doc[known]
+                value = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / mean))
+                scores = np.zeros(n * len(part))
+                # A bounded number of products at a time.
+                cuts = np.searchsorted(np.cumsum(sizes[term]), np.arange(CELLS, sizes[term].sum() + CELLS, CELLS), "right")
+                for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(term)], strict=True):
+                    t, m = term[lo:hi], sizes[term[lo:hi]]
+                    place = np.repeat(ends[t] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+                    scores += np.bincount(owner[place] * len(part) + np.repeat(doc[lo:hi], m), np.repeat(value[lo:hi], m) * weight[place], len(scores))
+                best.add(scores.reshape(n, len(part)), part.column("pos").to_numpy(), 0.0)
+        q, pos, score = best.all()
+        if len(q):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(pos), pa.array(score)], ["q", "pos", "score"])
+
+    return index.docs.select("pos", "length", "terms", "tfs").mapInArrow(run, "q bigint, pos bigint, score double")
+
+
+def bm25_search(index: Index, terms: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, max_broadcast: int = MAX_BROADCAST_TERMS, digits: int = DIGITS, keep: Callable[[DataFrame], DataFrame] = lambda df: written(df, "terms")) -> DataFrame:
+    """(qid, pos, score, rank): the k best documents of each question that share a term with it, exactly."""
+    weighted = keep(terms.join(index.terms.select("term", "idf"), "term").select("qid", F.xxhash64("qid").alias("q"), "term", (F.col("qf") * F.col("idf")).alias("w")))
+    blocks = max(1, -(-weighted.count() // max(1, max_broadcast // 2)))
+    found = []
+    for i in range(blocks):
+        block = weighted if blocks == 1 else weighted.where(F.pmod("q", F.lit(blocks)) == i)
+        part = _block_scores(index, block.select("q", "term", "w"), k, k1, b, digits)
+        # Several blocks run in turn, and only their winners stay.
+        found.append(part if blocks == 1 else keep(part))
+    names = weighted.select("q", "qid").distinct()
+    return top_k(reduce(DataFrame.unionByName, found).join(F.broadcast(names) if blocks == 1 else names, "q").select("qid", "pos", "score"), k, True, digits)

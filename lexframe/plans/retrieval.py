@@ -6,7 +6,6 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import dense, evaluate, expand, fuse, lexical, lookup
-from ..sources.scratch import written
 
 QUERIES, SQL = {}, {}
 FAMILY = lookup.LawFamily("근로기준법", "근로기준법 시행령", "근로기준법 시행규칙", ("근기법", "법"))
@@ -28,7 +27,7 @@ def query(sql: str | None = None):
 
 #: (doc, length, term, tf) of documents and the corpus figures, by character bigrams.
 INDEX = r"""
-runs AS (SELECT doc_id AS pos, unnest(regexp_extract_all(text, '[가-힣]+|[a-zA-Z]+|[0-9]+')) AS w FROM documents),
+runs AS (SELECT doc_id AS pos, unnest(regexp_extract_all(text, '[가-힣]+|[a-zA-Z]+|\p{Nd}+')) AS w FROM documents),
 toks AS (
   SELECT pos, w AS term FROM runs WHERE length(w) = 1
   UNION ALL SELECT pos, substr(w, i, 2) FROM runs, unnest(range(1, length(w))) AS t(i) WHERE length(w) > 1
@@ -39,7 +38,7 @@ figures AS (SELECT count(*)::DOUBLE AS n, avg(len) AS mean FROM lens),
 idfs AS (SELECT term, count(*) AS df, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tfs, figures GROUP BY term)
 """
 OWN_TERMS = r"""
-qruns AS (SELECT item_id AS qid, unnest(regexp_extract_all(text, '[가-힣]+|[a-zA-Z]+|[0-9]+')) AS w FROM benchmark),
+qruns AS (SELECT item_id AS qid, unnest(regexp_extract_all(text, '[가-힣]+|[a-zA-Z]+|\p{Nd}+')) AS w FROM benchmark),
 own AS (
   SELECT qid, w AS term, 1.0 AS wt FROM qruns WHERE length(w) = 1
   UNION ALL SELECT qid, substr(w, i, 2), 1.0 FROM qruns, unnest(range(1, length(w))) AS t(i) WHERE length(w) > 1
@@ -55,7 +54,7 @@ top AS (SELECT qid, pos, round(score, 6) AS score, row_number() OVER (PARTITION
 
 
 def _index(spark: SparkSession, sf_dir: str) -> lexical.Index:
-    return lexical.build_index(table(spark, sf_dir, "documents"), "doc_id", keep=lambda p: written(p, "postings"))
+    return lexical.build_index(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +101,7 @@ def _expansions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = ends.select("word", F.array(link("a", F.lit("동의어")), link("b", F.when(F.length("b") % 5 == 0, expand.ANTONYM).otherwise("동의어"))).alias("links"))
     matched = expand.matched_words(questions, lexicon, F.regexp_extract_all(F.lower("question"), F.lit("[a-z]{4,}"), F.lit(0)))
     terms = matched.select(F.explode("links").alias("l")).select("l.term").distinct()
-    return expand.expand_questions(matched, expand.in_corpus(terms, table(spark, sf_dir, "documents"), keep=lambda h: written(h, "grams")))
+    return expand.expand_questions(matched, expand.in_corpus(terms, table(spark, sf_dir, "documents")))
 
 
 @query(f"WITH {LEXICON} SELECT qid, term, term_pos FROM expanded")

@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path under spark.checkpoint.dir. Only where Spark runs in one process, as in tests, a temporary folder takes its
+    place; a cluster without that setting is refused."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"{tempfile.gettempdir()}/lexframe"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table under spark.checkpoint.dir (a temporary folder where that is unset): it is computed once, and executors
-    that are lost later cost no recomputation."""
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/lexframe"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """df as a table in the shared folder: it is computed once, and executors that are lost later cost no recomputation."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

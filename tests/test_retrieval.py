@@ -4,7 +4,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from lexframe.functions.text import bigrams
 from lexframe.operators import dense, evaluate, expand, fuse, lexical, lookup
 
 FAMILY = lookup.LawFamily("시험법", "시험법 시행령", "시험법 시행규칙", ("시법", "법"))
@@ -14,7 +16,7 @@ def chunks(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "pos bigint, text string")
 
 
-@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+@pytest.mark.parametrize("broadcast", [1_000_000, 4])
 def test_bm25_against_brute_force(spark, broadcast):
     rng = random.Random(3)
     texts = ["".join(rng.choice("가나다라 ") for _ in range(rng.randint(0, 30))) for _ in range(40)] + ["가나 다라"] * 3
@@ -34,11 +36,27 @@ def test_bm25_against_brute_force(spark, broadcast):
     index = lexical.build_index(chunks(spark, texts))
     terms = lexical.query_terms(spark.createDataFrame(list(enumerate(questions)), "qid int, question string"))
     got = {q: [] for q in want}
-    for r in lexical.top_k(lexical.bm25_scores(index, terms, max_broadcast=broadcast, salts=3), 5).orderBy("qid", "rank").collect():
+    for r in lexical.bm25_search(index, terms, 5, max_broadcast=broadcast).orderBy("qid", "rank").collect():
         got[r.qid].append(r.pos)
     assert got == want
 
 
+def test_digits_of_any_script_are_terms(spark):
+    q = spark.createDataFrame([(1, "제１２３조 a1"), (2, None)], "qid int, question string")
+    assert {r.term for r in lexical.query_terms(q).collect()} == {"제", "１２", "２３", "조", "a", "1"}
+    assert {t for r in q.select(bigrams(q.question).alias("b")).collect() for t in r.b} == {"제", "１２", "２３", "조", "a", "1"}
+
+
+def test_bm25_shuffles_winners_only(spark):
+    """A task sends k rows for a question at most, however many documents share a term with it."""
+    texts = ["가나 다라"] * 500
+    index = lexical.build_index(chunks(spark, texts).repartition(3))
+    terms = lexical.query_terms(spark.createDataFrame([(i, "가나 다") for i in range(4)], "qid int, question string"))
+    block = terms.join(index.terms, "term").select(F.xxhash64("qid").alias("q"), "term", F.lit(1.0).alias("w"))
+    assert lexical._block_scores(index, block, 5, 1.5, 0.75, 9).count() <= 5 * 4 * index.docs.rdd.getNumPartitions()
+    assert [r.pos for r in lexical.bm25_search(index, terms, 5).where("qid = 2").orderBy("rank").collect()] == [499, 498, 497, 496, 495]
+
+
 def test_expansion(spark):
     lexicon = spark.createDataFrame([
         ("월급", [("임금", "동의어"), ("봉급 표", "상위어"), ("벌금", "반의어")]), ("월급을", None), ("해고", []), ("해", [("x", "동의어")]), ("휴가", [("연차", "동의어"), ("임금", "동의어")]),
@@ -71,14 +89,14 @@ def test_embedding_is_incremental(spark):
     assert len(rows) == 3 and all(abs(np.linalg.norm(r.vec) - 1) < 1e-6 for r in rows)
 
 
-@pytest.mark.parametrize("block", [4096, 2])
-def test_dense_topk(spark, block):
+@pytest.mark.parametrize("pack", [1024, 2])
+def test_dense_topk(spark, pack):
     rng = np.random.default_rng(0)
     v = np.round(rng.normal(size=(60, 4)), 1)
     v[10:14] = v[3]
     frame = lambda name: spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], f"{name} bigint, vec array<double>")
     got = {}
-    for r in dense.dense_topk(frame("pos").repartition(3), frame("qid").where("qid < 5"), 7, block=block).orderBy("qid", "rank").collect():
+    for r in dense.dense_topk(frame("pos").repartition(3), frame("qid").where("qid < 5"), 7, pack=pack).orderBy("qid", "rank").collect():
         got.setdefault(r.qid, []).append(r.pos)
     s = np.round(v @ v.T, 6)
     assert got == {q: np.lexsort((np.arange(60), -s[q]))[:7].tolist() for q in range(5)}

@@ -7,8 +7,10 @@ other; that a window repeats is always decided by the common prefix of neighbour
 
 1. Per document, segments with the hashes of their anchor and of their bytes; no text is moved. They are counted, with map-side
    sums. A segment whose anchor occurs once cannot repeat.
-2. Of the others, one copy of each segment, and a second where there is one, is cut out of its document and dealt by anchor.
-3. Tasks build suffix arrays over blocks of whole groups: only suffixes smaller than their successors are sorted directly, the
+2. Of the others, one copy of each segment, and a second where there is one, is cut out of its document and dealt by anchor. Two
+   copies are compared as neighbours: where two suffixes have a common prefix, the next two have all of it but a byte, so that
+   every window of equal segments repeats, and one of the two goes on.
+3. Where an anchor has several different segments, tasks build suffix arrays over blocks of whole groups: only suffixes smaller than their successors are sorted directly, the
    rest is induced by bucket scans, and windows whose common prefix with a neighbour is WINDOW bytes or more repeat.
 4. A group of over GROUP different segments, as at the ends of a passage that a third of all documents holds, is too full a
    bucket. It is split by the windows themselves: blocks of it are sorted as above, windows that meet there are settled, and one
@@ -260,14 +262,37 @@ def _places(h1: np.ndarray, h2: np.ndarray, first: np.ndarray, part: np.ndarray,
     return rows
 
 
+def _segments_of(batches) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """(h1, h2, first, bytes, whole) of the different segments in batches where copies follow each other: whole says that a copy
+    has the same bytes."""
+    h1, h2, first = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in batches]) for c in ("h1", "h2", "first"))
+    texts = [x for b in batches for x in b.column("part").to_pylist()]
+    same = np.r_[False, (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])][: len(h1)]
+    copy = np.array([s and texts[i] == texts[i - 1] for i, s in enumerate(same.tolist())], bool)
+    own = np.flatnonzero(~copy)
+    whole = np.r_[copy, False][own + 1]
+    speaks = np.bitwise_or.reduceat(first, own) if len(own) else first[:0]
+    return h1[own], h2[own], speaks, [texts[i] for i in own.tolist()], whole
+
+
+def _whole_ranges(h1: np.ndarray, h2: np.ndarray, texts: list[bytes], chosen: np.ndarray, window: int) -> pa.RecordBatch:
+    ends = np.array([len(texts[i]) for i in chosen.tolist()], np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(h1[chosen]), pa.array(h2[chosen]), pa.array(np.zeros(len(chosen), np.int32)), pa.array(ends)], [n for n, _ in RANGES])
+
+
 def _by_groups(parts: DataFrame, window: int, block: int) -> DataFrame:
     """(h1, h2, lo, hi) of what repeats, by suffix arrays over blocks of whole groups of an anchor."""
 
     def solve(batches):
-        h1, h2, first = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in batches]) for c in ("h1", "h2", "first"))
-        part, start, same = sorted_windows([x for b in batches for x in b.column("part").to_pylist()], window)
-        rows = _places(h1, h2, first, part, start)
-        return _as_ranges(rows[_repeats(same) & rows["first"]], window)
+        h1, h2, first, texts, whole = _segments_of(batches)
+        yield _whole_ranges(h1, h2, texts, np.flatnonzero(whole & first), window)
+        # An anchor with one segment has nothing to compare it with.
+        near = np.r_[False, h1[1:] == h1[:-1]]
+        mixed = np.flatnonzero(near | np.r_[near[1:], False])
+        if len(mixed):
+            part, start, same = sorted_windows([texts[i] for i in mixed.tolist()], window)
+            rows = _places(h1[mixed], h2[mixed], (first & ~whole)[mixed], part, start)
+            yield _as_ranges(rows[_repeats(same) & rows["first"]], window)
 
     def run(batches):
         held, size = [], 0
@@ -275,23 +300,23 @@ def _by_groups(parts: DataFrame, window: int, block: int) -> DataFrame:
             h1 = batch.column("h1").to_numpy()
             ends = np.r_[np.flatnonzero(h1[1:] != h1[:-1]) + 1, len(h1)].tolist()
             if held and len(h1) and size >= block and held[-1].column("h1")[-1].as_py() != h1[0]:
-                yield solve(held)
+                yield from solve(held)
                 held, size = [], 0
             at = 0
             offsets = np.r_[0, np.cumsum(pc.binary_length(batch.column("part")).to_numpy())]
             for i, end in enumerate(ends):
                 # Up to the end of a group; the last of a batch may go on in the next.
                 if i < len(ends) - 1 and size + offsets[end] - offsets[at] >= block:
-                    yield solve([*held, batch.slice(at, end - at)])
+                    yield from solve([*held, batch.slice(at, end - at)])
                     held, size, at = [], 0, end
             if at < len(h1):
                 held.append(batch.slice(at))
                 size += int(offsets[-1] - offsets[at])
         if held:
-            yield solve(held)
+            yield from solve(held)
 
     n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ready = parts.repartition(n, "h1").sortWithinPartitions("h1").select("h1", "h2", "first", "part")
+    ready = parts.repartition(n, "h1").sortWithinPartitions("h1", "h2").select("h1", "h2", "first", "part")
     return ready.mapInArrow(run, RANGES_DDL)
 
 
@@ -304,13 +329,12 @@ def _by_windows(parts: DataFrame, window: int, block: int) -> DataFrame:
     buckets = 8 * n
 
     def solve(batches):
-        h1, h2, first = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in batches]) for c in ("h1", "h2", "first"))
-        texts = [x for b in batches for x in b.column("part").to_pylist()]
+        h1, h2, first, texts, whole = _segments_of(batches)
         part, start, same = sorted_windows(texts, window)
-        places, again = _places(h1, h2, first, part, start), _repeats(same)
-        places["done"] = again
-        settled = places[again & places["first"]]
-        # One of equal windows goes on: one that speaks for its segment, if any does; the others are settled.
+        places = _places(h1, h2, first, part, start)
+        places["done"] = _repeats(same) | whole[part]
+        settled = places[places["done"] & places["first"]]
+        # One of equal windows goes on.
         keep = np.flatnonzero(~same)
         rest = np.zeros(len(keep), sent)
         for name, _ in PLACE:
@@ -374,7 +398,8 @@ def _by_windows(parts: DataFrame, window: int, block: int) -> DataFrame:
         if held:
             yield from settle(held)
 
-    dealt = cut(parts.select("h1", "h2", "first", "part").mapInArrow(deal, "bucket int, packed binary"), "windows")
+    spread = parts.repartition(n, "h1", "h2").sortWithinPartitions("h1", "h2").select("h1", "h2", "first", "part")
+    dealt = cut(spread.mapInArrow(deal, "bucket int, packed binary"), "windows")
     across = dealt.where("bucket >= 0").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, RANGES_DDL)
     return dealt.where("bucket < 0").select("packed").mapInArrow(unpack, RANGES_DDL).unionByName(across)
 

@@ -162,8 +162,9 @@ FROM bits
 
 
 def op9_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _verdicts(quality_pu.score(docs, quality_pu.train(docs, _table(spark, sf_dir, "labels"))), 0.3)
+    measured = quality_pu.measure(_table(spark, sf_dir, "documents"))
+    network = quality_pu.train_measured(measured, _table(spark, sf_dir, "labels"))
+    return _verdicts(quality_pu.score_measured(measured, network), 0.3)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

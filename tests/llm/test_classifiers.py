@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -99,6 +100,54 @@ def test_clean_documents_stay(spark):
     assert len(clean - {r.doc_id for r in kept.collect()}) <= 0.03 * len(clean)
 
 
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.8])
+def test_prior_of_known_mixtures(share):
+    """From positives and unlabelled rows alone, also where the classes overlap a little."""
+    rng = np.random.default_rng(8)
+    make = lambda n, at: rng.normal(at, 1, (n, 4))
+    positive, web = make(3000, 1.5), np.concatenate([make(int(8000 * share), 1.5), make(int(8000 * (1 - share)), -1.5)])
+    network, others = quality_pu.told_apart(positive, web)
+    assert abs(quality_pu.best_bin(quality_pu.histogram(network, others), quality_pu.histogram(network, web)) - share) < 0.05
+
+
+def test_risk_and_gradient_against_brute_force():
+    rng = np.random.default_rng(2)
+    layers = [rng.normal(size=(3, quality_pu.HIDDEN)), rng.normal(size=quality_pu.HIDDEN), rng.normal(size=quality_pu.HIDDEN), rng.normal(size=1)]
+    p, u = rng.normal(1, 1, (20, 3)), rng.normal(0, 1, (30, 3))
+
+    def brute(layers, prior):
+        f = lambda x: sum(layers[2][j] * math.tanh(sum(x[i] * layers[0][i, j] for i in range(3)) + layers[1][j]) for j in range(quality_pu.HIDDEN)) + layers[3][0]
+        loss = lambda z: math.log1p(math.exp(-z))
+        return prior * sum(loss(f(x)) for x in p) / 20, sum(loss(-f(x)) for x in u) / 30 - prior * sum(loss(-f(x)) for x in p) / 20
+
+    for prior in (0.2, 1.5):  # the second makes the estimate on negatives negative
+        kept, negative = brute(layers, prior)
+        assert np.allclose(quality_pu.risk(layers, p, u, prior), (kept, negative))
+        assert (negative < 0) == (prior > 1)
+        total, gradient = quality_pu._as_negatives(layers, u)
+        got = quality_pu.step_gradient(layers, p, prior, total / 30, [g / 30 for g in gradient])
+        for k in range(4):
+            for at in list(np.ndindex(layers[k].shape))[:5]:
+                moved = [[x.copy() for x in layers] for _ in range(2)]
+                moved[0][k][at] += 1e-5
+                moved[1][k][at] -= 1e-5
+                value = [sum(brute(m, prior)) if negative >= 0 else -brute(m, prior)[1] for m in moved]
+                assert abs((value[0] - value[1]) / 2e-5 - got[k][at]) < 1e-5
+
+
+def test_negative_labels_are_not_used(spark):
+    rows, labels = corpus("quality", 300)
+    docs = documents(spark, rows)
+    scores = [{r.doc_id: r.score for r in quality_pu.score(docs, quality_pu.train(docs, labelled(spark, ls, "quality"))).collect()} for ls in (labels, [x for x in labels if x[1]])]
+    assert all(abs(scores[0][i] - scores[1][i]) < 1e-9 for i in scores[0])
+
+
+def test_a_repeated_id_counts_once(spark):
+    rows, labels = corpus("quality", 200)
+    docs = documents(spark, rows + [rows[1]] * 500)
+    assert quality_pu.train(docs, labelled(spark, labels, "quality")).prior is not None
+
+
 def test_digits_of_the_whole_text_count():
     share = lambda text: quality_pu.measurements(text)[13]
     assert share("word7 " * 1000) == 1 / 6

@@ -25,11 +25,13 @@ def held_out(doc_id: Column) -> Column:
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, text, label) of at most `rows` labelled rows that are not held out. A document with several labels has the
-    largest of them; null labels are none. The sampled ids are bounded by `rows`, so they are broadcast."""
+    largest of them, one with several texts that of the least hash; null labels are none. The sampled ids are bounded by `rows`, so
+    they are broadcast."""
     ids = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label")).where("_id IS NOT NULL AND label IS NOT NULL")
     ids = ids.where(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return docs.join(F.broadcast(ids), docs["doc_id"] == ids["_id"]).select("doc_id", "text", "label")
+    rows = docs.join(F.broadcast(ids), docs["doc_id"] == ids["_id"])
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("label").alias("label"))
 
 
 class Terms:

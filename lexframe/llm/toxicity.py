@@ -4,7 +4,9 @@ score = sigmoid(bias + sum w_i + sum_{i<j} <v_i, v_j>) over the distinct hashed
 weights for what is toxic by itself, and rank-RANK factors for pairs, such as an insult together with a mention of a group,
 that linear weights can only add up. It is fitted by AdaGrad on at most features.TRAIN_ROWS labelled rows. Terms
 are first counted on the executors and chosen by how much their frequency differs between the classes, which keeps the long
-tail of chance words out and what comes to the driver small. The fitted model is a few hundred KB and is broadcast; scoring is one pass without a shuffle.
+tail of chance words out and what comes to the driver small. Pairs of the PAIR_TERMS most frequent words of that sample are
+counted too: where the frequency of a pair differs by much more than that of either word, both words are known as well, although
+neither tells anything by itself. The fitted model is a few hundred KB and is broadcast; scoring is one pass without a shuffle.
 
 Defined cases: null and empty texts have no terms and score sigmoid(bias); a table without labelled rows gives a model
 that scores every text all but 0; rows that repeat an id are scored each; an empty table gives an empty result; other columns
@@ -23,6 +25,8 @@ from .common import cut, drop
 from .features import TRAIN_ROWS, Terms, segment_sum, sigmoid, spans, training_sample
 
 PREFIXES, RANK, KNOWN, EPOCHS = (4, 5, 6, 7), 8, 4096, 30
+#: Words whose pairs are counted, pairs that are used at most, least z score of a pair, and how much it exceeds those of its words.
+PAIR_TERMS, PAIRS, PAIR_Z, PAIR_GAIN = 1024, 256, 5.0, 3.0
 
 
 @dataclass
@@ -79,12 +83,17 @@ def fit(keys: np.ndarray, lists: list[np.ndarray], labels: np.ndarray, rank: int
     return Machine(keys, bias, w, v)
 
 
-def telling_terms(sample: DataFrame, known: int = KNOWN, least_z: float = 3.0, least_docs: int = 3) -> np.ndarray:
-    """The hashed terms, at most `known`, whose shares of the texts of either class differ most, by the two-sample z score.
-    They are counted on the executors, with map-side sums."""
+def z_scores(df1, df0, n1: int, n0: int):
+    """Two-sample z of the shares of either class that hold a term."""
+    p = (df1 + df0 + 1) / (n1 + n0 + 2)
+    return np.abs(df1 / n1 - df0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+
+
+def _counted(sample: DataFrame, prefixes: tuple[int, ...]) -> DataFrame:
+    """(term, df1, df0): texts of either class with a term, counted on the executors with map-side sums."""
 
     def run(batches):
-        terms = Terms(PREFIXES)
+        terms = Terms(prefixes)
         for batch in batches:
             for i in range(0, len(batch), 256):
                 part = batch.slice(i, 256)
@@ -94,16 +103,52 @@ def telling_terms(sample: DataFrame, known: int = KNOWN, least_z: float = 3.0, l
                 df1 = np.bincount(at, toxic, len(keys)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(df1), pa.array(np.bincount(at, minlength=len(keys)).astype(np.int64) - df1)], ["term", "df1", "df0"])
 
+    return sample.mapInArrow(run, "term int, df1 bigint, df0 bigint").groupBy("term").agg(F.sum("df1").alias("df1"), F.sum("df0").alias("df0"))
+
+
+def telling_terms(sample: DataFrame, known: int = KNOWN, least_z: float = 3.0, least_docs: int = 3) -> np.ndarray:
+    """The hashed terms, at most `known`, whose shares of the texts of either class differ most, by the two-sample z score, and
+    the words of telling_pairs()."""
     sizes = sample.agg(F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") != 1).alias("n0")).first()
     n1, n0 = sizes.n1, sizes.n0
     if not n1 or not n0:
         return np.zeros(0, np.int32)
-    counts = sample.mapInArrow(run, "term int, df1 bigint, df0 bigint").groupBy("term").agg(F.sum("df1").alias("df1"), F.sum("df0").alias("df0"))
     p = (F.col("df1") + F.col("df0") + 1) / F.lit(n1 + n0 + 2)
     z = F.abs(F.col("df1") / n1 - F.col("df0") / n0) / F.sqrt(p * (1 - p) * F.lit(1 / n1 + 1 / n0))
-    best = counts.where(F.col("df1") + F.col("df0") >= least_docs).withColumn("z", z).where(F.col("z") > least_z)
+    best = _counted(sample, PREFIXES).where(F.col("df1") + F.col("df0") >= least_docs).withColumn("z", z).where(F.col("z") > least_z)
     rows = best.orderBy(F.desc(F.round("z", 9)), "term").limit(known).select("term").collect()
-    return np.sort(np.array([r.term for r in rows], np.int32))
+    return np.unique(np.concatenate([np.array([r.term for r in rows], np.int32), telling_pairs(sample, n1, n0).ravel()]))
+
+
+def telling_pairs(sample: DataFrame, n1: int, n0: int, words: int = PAIR_TERMS, pairs: int = PAIRS) -> np.ndarray:
+    """Rows of two hashed words that stand together in much more texts of one class than their own frequencies tell. A task
+    sums the pairs of its texts as products of matrices; at most words^2 / 2 sums leave it."""
+    top = _counted(sample, ()).orderBy(F.desc(F.col("df1") + F.col("df0")), "term").limit(words).toArrow().sort_by("term")
+    keys = top.column("term").to_numpy()
+    own = z_scores(top.column("df1").to_numpy(), top.column("df0").to_numpy(), n1, n0)
+
+    def run(batches):
+        terms, totals = Terms((), keys), np.zeros((2, len(keys), len(keys)), np.float32)
+        for batch in batches:
+            for i in range(0, len(batch), 512):
+                part = batch.slice(i, 512)
+                found, bounds = spans([terms(t.as_py()) for t in part.column("text")])
+                held = np.zeros((len(part), len(keys)), np.float32)
+                held[np.repeat(np.arange(len(part)), np.diff(bounds)), np.searchsorted(keys, found)] = 1
+                toxic = part.column("label").to_numpy() == 1
+                for c in (0, 1):
+                    totals[c] += held[toxic == c].T @ held[toxic == c]
+        a, b = np.nonzero(np.triu(totals.sum(axis=0), 1))
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.array(totals[c][a, b].astype(np.int64)) for c in (1, 0))], ["a", "b", "df1", "df0"])
+
+    both = sample.mapInArrow(run, "a bigint, b bigint, df1 bigint, df0 bigint").groupBy("a", "b").agg(F.sum("df1").alias("df1"), F.sum("df0").alias("df0")).toArrow()
+    a, b, df1, df0 = (both.column(c).to_numpy() for c in ("a", "b", "df1", "df0"))
+    z = z_scores(df1, df0, n1, n0)
+    gain = z - np.maximum(own[a], own[b])
+    chosen = np.flatnonzero((z > PAIR_Z) & (gain > PAIR_GAIN))
+    chosen = chosen[np.lexsort((b[chosen], a[chosen], -np.round(gain[chosen], 9)))][:pairs]
+    return np.stack([keys[a[chosen]], keys[b[chosen]]], axis=1) if len(chosen) else np.zeros((0, 2), np.int32)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> Machine:

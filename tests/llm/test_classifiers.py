@@ -45,6 +45,31 @@ def test_interactions_are_learned(spark):
     assert np.mean([(cut[i] >= 0.5) == y[i] for i in held]) < 0.97
 
 
+def test_pairs_of_words_that_tell_nothing_alone(spark):
+    """Toxic if one of two words stands without the other: each alone is as frequent in both classes."""
+    rng, rows, labels = random.Random(3), [], []
+    for i in range(3000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        w = [rng.choice(["one", "two", "three", "four", "five", "six"]) for _ in range(5)] + ["glimp"] * a + ["frund"] * b
+        rng.shuffle(w)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(a != b)))
+    docs = documents(spark, rows)
+    machine = toxicity.train(docs, labelled(spark, labels, "toxic"))
+    scored = {r.doc_id: r.score for r in toxicity.score(docs, machine).collect()}
+    assert np.mean([(scored[i] >= 0.5) == y for i, y in labels if fold(i) == 0]) > 0.97
+
+
+def test_margin_against_all_pairs():
+    rng = np.random.default_rng(4)
+    w, v = rng.normal(size=30), rng.normal(size=(30, 5))
+    lists = [rng.choice(30, n, replace=False) for n in (0, 1, 2, 7, 30)]
+    rows, bounds = features.spans([np.array(x, np.int32) for x in lists])
+    got = toxicity._margin(0.3, w, v, rows, bounds)[0]
+    want = [0.3 + sum(w[i] for i in x) + sum(float(v[x[i]] @ v[x[j]]) for i in range(len(x)) for j in range(i + 1, len(x))) for x in lists]
+    assert np.allclose(got, want)
+
+
 def test_quality(spark):
     rows, labels = corpus("quality")
     network = quality_pu.train(documents(spark, rows), labelled(spark, labels, "quality"))
@@ -88,6 +113,8 @@ def test_folds(spark):
 def test_sample_is_bounded(spark):
     docs, labels = documents(spark, [(i, "t") for i in range(100)]), labelled(spark, [(i, i % 2) for i in range(100)], "toxic")
     assert features.training_sample(docs, labels, "toxic", rows=10).count() == 10
+    many = documents(spark, [(7, f"text {i}") for i in range(50)])
+    assert features.training_sample(many, labels, "toxic").count() <= 1
 
 
 def test_clean_documents_stay(spark):

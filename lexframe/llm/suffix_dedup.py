@@ -326,7 +326,6 @@ def _by_windows(parts: DataFrame, window: int, block: int) -> DataFrame:
     occurs, a block sends it once."""
     n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = np.dtype([("bytes", f"V{window}"), *PLACE])
-    buckets = 8 * n
 
     def solve(batches):
         h1, h2, first, texts, whole = _segments_of(batches)
@@ -348,7 +347,7 @@ def _by_windows(parts: DataFrame, window: int, block: int) -> DataFrame:
             for c in range(window // 8):
                 mixed = (mixed ^ key[:, c]) * _M1
                 mixed ^= mixed >> np.uint64(29)
-            bucket = (mixed % np.uint64(buckets)).astype(np.int32)
+            bucket = (mixed % np.uint64(n)).astype(np.int32)
             by = np.argsort(bucket, kind="stable")
             rest, bucket = rest[by], bucket[by]
             at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])

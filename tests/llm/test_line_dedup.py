@@ -39,11 +39,58 @@ def test_empty(spark):
     assert line_dedup.dedup_lines(documents(spark, [])).count() == 0
 
 
-def test_runs_are_compacted(spark):
-    runs = line_dedup.Runs(spark, fanout=2)
+def rows_of(spark, rows):
+    return spark.createDataFrame(rows, "h1 bigint, h2 bigint, n_docs bigint, keeper bigint")
+
+
+def test_runs_are_compacted_and_opened_again(spark, tmp_path):
+    path = str(tmp_path / "runs")
     for i in range(4):
-        runs.add(spark.createDataFrame([(1, 1, 1, 10 - i), (2 + i, 0, 1, 10 - i)], "h1 bigint, h2 bigint, n_docs bigint, keeper bigint"))
-    assert {k: len(v) for k, v in runs.levels.items()} == {2: 1}
+        runs = line_dedup.Runs(spark, path, fanout=2)  # the folder alone says what there is
+        runs.add(rows_of(spark, [(1, 1, 1, 10 - i), (2 + i, 0, 1, 10 - i)]))
+        runs.close()
+    runs = line_dedup.Runs(spark, path, fanout=2)
+    assert [c[:3] for c in runs.runs.values()] == [(1, 4, 2)]
     got = {(r.h1, r.n_docs, r.keeper) for r in runs.all().collect()}
     runs.close()
     assert got == {(1, 4, 10), (2, 1, 10), (3, 1, 9), (4, 1, 8), (5, 1, 7)}
+
+
+def test_the_anti_join_decides_who_keeps(spark, tmp_path, monkeypatch):
+    """A hash keeps the document it entered with, also if a later batch has a larger id; without the anti-join it would not."""
+    runs = line_dedup.Runs(spark, str(tmp_path / "a"), fanout=9)
+    for keeper in (5, 9, 7):
+        runs.add(rows_of(spark, [(1, 1, 1, keeper), (keeper, 0, 2, keeper)]))
+    assert {(r.h1, r.n_docs, r.keeper) for r in runs.all().collect()} == {(1, 3, 5), (5, 2, 5), (9, 2, 9), (7, 2, 7)}
+    assert runs.fresh(rows_of(spark, [(1, 1, 1, 3), (8, 8, 1, 3)])).count() == 1
+    held = sum(r.n for r in (runs.table(n).where("keeper IS NOT NULL AND h1 = 1").selectExpr("count(*) AS n").first() for n in runs.runs))
+    assert held == 1
+    runs.close()
+
+
+def test_runs_are_neither_shuffled_nor_sorted(spark, tmp_path):
+    runs = line_dedup.Runs(spark, str(tmp_path / "b"), fanout=9)
+    for i in range(2):
+        runs.add(rows_of(spark, [(j, i, 1, j) for j in range(50)]))
+    with line_dedup._setting(spark, *line_dedup.SORTED_SCANS):
+        for df, joins in ((runs.fresh(rows_of(spark, [(1, 5, 1, 3)])), 2), (runs.merged(sorted(runs.runs)), 1)):
+            df.collect()
+            plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+            assert plan.count("SortMergeJoin") == joins
+            lines = [x for x in plan.split("\n") if x.strip(" :+-*()0123456789").startswith(("Sort ", "Exchange", "FileScan", "SortMergeJoin", "LocalTableScan", "Scan"))]
+            above = lines[: max(i for i, x in enumerate(lines) if "FileScan" in x) + 1]
+            runs_side = [x for i, x in enumerate(above) if "FileScan" in x and any(k in above[i - 1] for k in ("Sort ", "Exchange")) and "SortMergeJoin" not in above[i - 1]]
+            assert not runs_side
+    runs.close()
+
+
+def test_a_run_left_behind_by_a_lost_compaction_is_dropped(spark, tmp_path):
+    path = str(tmp_path / "c")
+    runs = line_dedup.Runs(spark, path, fanout=9)
+    for i in range(2):
+        runs.add(rows_of(spark, [(1, 1, 1, 9 - i)]))
+    runs._add_run(runs.merged(sorted(runs.runs)), 1, 2, 1)  # and the driver ends before the two have gone
+    runs.close()
+    again = line_dedup.Runs(spark, path)
+    assert [tuple(r) for r in again.all().collect()] == [(1, 1, 2, 9)]
+    again.close()

@@ -35,17 +35,15 @@ def objects(v: Column) -> Column:
     return F.filter(as_list(v), is_object)
 
 
-def _joined(v: Column, part) -> Column:
-    """A list is joined by line ends without its empty parts; other values are texts."""
-    parts = F.filter(F.transform(get(v, "$", _NONE), part), lambda t: t != "")
-    return F.when(is_nothing(v), "").when(get(v, "$", _NONE).isNotNull(), F.array_join(parts, "\n")).otherwise(F.coalesce(get(v, "$", "string"), F.lit("")))
+#: The leaves of a JSON list in their order: objects, texts, other values but null.
+LEAVES = r'\{[^{}]*\}|"(?:[^"\\]|\\.)*"|[^\[\]{},":\s]+'
 
 
-def flatten_text(v: Column, depth: int = 2) -> Column:
-    """The text of a value: lists, nested to the given depth, are joined by line ends."""
-    if depth == 0:
-        return F.when(is_nothing(v), "").otherwise(F.coalesce(get(v, "$", "string"), F.lit("")))
-    return _joined(v, lambda x: flatten_text(x, depth - 1))
+def flatten_text(v: Column) -> Column:
+    """The text of a value: lists, however deeply nested, are joined by line ends without their empty parts."""
+    leaf = lambda x: F.when(x.startswith('"'), get(F.parse_json(x), "$", "string")).when(x != "null", x).otherwise("")
+    leaves = F.filter(F.transform(F.regexp_extract_all(F.to_json(v), F.lit(LEAVES), F.lit(0)), leaf), lambda t: t != "")
+    return F.when(is_nothing(v), "").when(get(v, "$", _NONE).isNotNull(), F.array_join(leaves, "\n")).otherwise(F.coalesce(get(v, "$", "string"), F.lit("")))
 
 
 def text(v: Column, name: str) -> Column:

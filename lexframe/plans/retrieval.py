@@ -262,16 +262,21 @@ ranks AS (
 """
 
 
-def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ranks(spark: SparkSession, sf_dir: str, runs: dict[str, int | None] | None = None) -> DataFrame:
+    """runs: the number of dimensions that each run looks at, all where it is None."""
     rows = table(spark, sf_dir, "embeddings")
     article = F.struct(F.lit("law").alias("law"), F.col("label").cast("string").alias("article"))
     questions = rows.where(F.col("vec_id") % 100 == 0).select(
         F.col("vec_id").alias("qid"), F.concat(F.lit("c"), (F.floor(F.col("vec_id") / 100) % 3).cast("string")).alias("category"), F.array(article).alias("gold"),
         F.when(F.col("vec_id") % 300 == 0, "refuse").alias("expected"),
     )
-    found = _dense(spark, sf_dir, 50).where("pos <> qid")
+    found = None
+    for run, dims in (runs or {"": None}).items():
+        part = _dense(spark, sf_dir, 50, dims).where("pos <> qid").withColumn("run", F.lit(run))
+        found = part if found is None else found.unionByName(part)
     ranking = found.join(rows.select(F.col("vec_id").alias("pos"), F.lit("law").alias("law"), F.col("label").cast("string").alias("article")), "pos")
-    return evaluate.question_ranks(questions, ranking.select("qid", "law", "article", "rank"))
+    keys = ["run"] if runs else []
+    return evaluate.question_ranks(questions, ranking.select(*keys, "qid", "law", "article", "rank"), keys)
 
 
 @query(f"""WITH {RANKS} SELECT count(*) AS questions, count(*) FILTER (gold_rank <= 1) AS hits_1, count(*) FILTER (gold_rank <= 3) AS hits_3, count(*) FILTER (gold_rank <= 5) AS hits_5,

@@ -30,13 +30,22 @@ def raise_errors(errors: DataFrame) -> None:
         raise ValueError("; ".join(f"{r.doc_key}: {r.error_kind}: {r.error_msg}" for r in found))
 
 
-def read_questions(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Questions of JSON-lines files by split; blank lines are ignored."""
+def read_questions(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(questions, bad lines) of JSON-lines files by split; blank lines are ignored. Bad lines (split, line) are no JSON objects
+    with an id; what is wrong with one is for the caller to say, as raise_bad_lines() does."""
     out = None
     for split, path in paths.items():
-        part = spark.read.schema(QUESTION).json(path).where("id IS NOT NULL").withColumn("split", F.lit(split))
+        part = spark.read.text(path).where(~F.col("value").rlike(r"(?U)^\s*$")).withColumn("split", F.lit(split))
         out = part if out is None else out.unionByName(part)
-    return out
+    parsed = out.select("split", F.col("value").alias("line"), F.from_json("value", f"{QUESTION}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("q"))
+    good = F.col("q.id").isNotNull() & F.col("q._bad").isNull()
+    return parsed.where(good).select("q.*", "split").drop("_bad"), parsed.where(~F.coalesce(good, F.lit(False))).select("split", "line")
+
+
+def raise_bad_lines(bad: DataFrame) -> None:
+    """Strict mode: the first bad lines, if there are any, as an exception."""
+    if found := bad.take(5):
+        raise ValueError("; ".join(f"{r.split}: {r.line[:200]}" for r in found))
 
 
 def read_version_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

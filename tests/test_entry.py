@@ -7,11 +7,11 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from lexframe.plans import grounded, retrieval, statutes
+from lexframe.plans import grounded, landing, retrieval, statutes
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CORE = retrieval.QUERIES | statutes.QUERIES | grounded.QUERIES
+CORE = retrieval.QUERIES | statutes.QUERIES | grounded.QUERIES | landing.QUERIES
 
 pytestmark = pytest.mark.skipif(not os.path.exists(f"{DATA}/documents.parquet"), reason="no test tables")
 

@@ -35,7 +35,9 @@ def test_bigrams_words_prefixes(spark):
 
 def test_variants(spark):
     flat = lambda s: one(spark, V.flatten_text(V.key(F.parse_json("t"), "x")), t=s)
-    assert [flat(s) for s in ('{"x":"a"}', '{"x":["a","",["b",["c"]],null]}', '{"x":7}', '{"x":null}', "{}", '{"x":"[주] a"}')] == ["a", 'a\nb\n["c"]', "7", "", "", "[주] a"]
+    assert [flat(s) for s in ('{"x":"a"}', '{"x":["a","",["b",["c"]],null]}', '{"x":7}', '{"x":null}', "{}", '{"x":"[주] a"}')] == ["a", "a\nb\nc", "7", "", "", "[주] a"]
+    deep = '{"x":[["\\"q\\" \\\\",[["\\uac00, [b]"]]],[1.5,true,[[[]]],""],{"k":"v"}]}'
+    assert flat(deep) == '"q" \\\n가, [b]\n1.5\ntrue\n{"k":"v"}'
     size = lambda s: one(spark, F.size(V.as_list(V.key(F.parse_json("t"), "x"))), t=s)
     assert [size(s) for s in ('{"x":[1,2]}', '{"x":{"a":1}}', '{"x":""}', "{}", '{"x":null}', '{"x":"a"}', '{"x":[]}')] == [2, 1, 0, 0, 0, 1, 0]
     assert one(spark, F.size(V.objects(V.key(F.parse_json("t"), "x"))), t='{"x":[1,{"a":1},"s"]}') == 1

@@ -155,7 +155,15 @@ def test_version_pages(spark, tmp_path):
 def test_questions_and_lexicon(spark, tmp_path):
     q = {"id": "q1", "category": "c", "question": "언제?", "gold": [{"law": "시험법", "article": "제1조"}], "note": ""}
     (tmp_path / "dev.jsonl").write_text(json.dumps(q, ensure_ascii=False) + "\n\n" + json.dumps(q | {"id": "q2", "expected": "refuse", "gold": []}) + "\n", encoding="utf-8")
-    rows = readers.read_questions(spark, {"dev": str(tmp_path / "dev.jsonl")}).orderBy("id").collect()
+    good, bad = readers.read_questions(spark, {"dev": str(tmp_path / "dev.jsonl")})
+    rows = good.orderBy("id").collect()
+    assert bad.count() == 0
+    readers.raise_bad_lines(bad)
+    (tmp_path / "test.jsonl").write_text('{"id": "q3", \n[1]\n{"category": "c"}\n', encoding="utf-8")
+    none, bad = readers.read_questions(spark, {"test": str(tmp_path / "test.jsonl")})
+    assert none.count() == 0 and {r.line for r in bad.collect()} == {'{"id": "q3", ', "[1]", '{"category": "c"}'}
+    with pytest.raises(ValueError, match="q3"):
+        readers.raise_bad_lines(bad)
     assert [(r.id, r.expected, len(r.gold), r.split) for r in rows] == [("q1", None, 1, "dev"), ("q2", "refuse", 0, "dev")]
     (tmp_path / "lex.json").write_text(json.dumps({"월급": [{"term": "임금", "rel": "동의어"}], "없음": None, "빈": []}, ensure_ascii=False), encoding="utf-8")
     lex = {r.word: r.links for r in readers.read_lexicon(spark, str(tmp_path / "lex.json")).collect()}

@@ -2,16 +2,16 @@
 
 Every benchmark item has a SimHash of its words. Documents are looked at through windows of as many words as an item has, one
 for each start; a window's SimHash comes from running sums, so its cost does not depend on its length. Fingerprints are cut
-into BLOCKS blocks; within RADIUS bits, some block differs by at most RADIUS // BLOCKS bits, so tables of all block values
-that near give every item within the radius, without a miss. Candidates within the radius are then verified exactly: the
+into BLOCKS blocks; within RADIUS bits, some block differs by at most RADIUS // BLOCKS bits, so all block values that near,
+looked up one by one in the items' own, give every item within the radius, without a miss. Candidates within the radius are then verified exactly: the
 shingles of window and item, weighted by their counts, must agree to at least SIMILARITY of an item's weight (a window has as
 many shingles as its item, so this is their Dice coefficient).
 
 Windows that share too few shingles with the whole benchmark to reach the similarity cannot be reported and are not
 fingerprinted; that bound is exact.
 
-The benchmark is broadcast in blocks of bounded size, each of which is a pass over all documents; documents are neither
-shuffled nor sampled. Words are runs of letters, digits and underscores in lower case.
+The benchmark is broadcast in blocks of bounded size, each of which is a pass over all documents, one after the other; documents
+are neither shuffled nor sampled. Ids are integers. Words are runs of letters, digits and underscores in lower case.
 
 Defined cases: null and empty texts match nothing; items without words, null items and items with a null id are no queries;
 items of fewer than SHINGLE words have one shingle, the whole sequence; with shorter=True, as the registered queries have
@@ -31,6 +31,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .common import cut
+
 SHINGLE, SIMILARITY, RADIUS, BLOCKS, PASS_MB, SPAN = 5, 0.8, 15, 4, 16, 1 << 14
 WORD = re.compile(r"\w+")
 
@@ -63,7 +65,7 @@ def among(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """The items of one length: fingerprints, and for each block a table from block values to the items near them."""
+    """The items of one length: fingerprints, and for each block its values in order with the items that have them."""
 
     def __init__(self, length: int, ids: list, words: list[list[str]], radius: int, blocks: int):
         self.length, self.ids, self.k = length, ids, min(SHINGLE, length)
@@ -72,24 +74,29 @@ class Items:
         self.radius, self.blocks, self.width = radius, blocks, 64 // blocks
         self.keys = np.zeros(0, np.uint64)
         self.tables = []
-        masks = near_masks(self.width, radius // blocks)
+        self.masks = near_masks(self.width, radius // blocks)
         for b in range(blocks):
-            own = (self.prints >> np.uint64(b * self.width)).astype(np.int64) & ((1 << self.width) - 1)
-            values = (own[:, None] ^ masks).ravel()
-            order = np.argsort(values, kind="stable")
-            starts = np.searchsorted(values[order], np.arange((1 << self.width) + 1))
-            self.tables.append((starts.astype(np.int32), (order // len(masks)).astype(np.int32)))
+            own = self._block(self.prints, b)
+            order = np.argsort(own, kind="stable")
+            self.tables.append((own[order], order))
+
+    def _block(self, prints: np.ndarray, b: int) -> np.ndarray:
+        return (prints >> np.uint64(b * self.width)).astype(np.int64) & ((1 << self.width) - 1)
 
     def candidates(self, prints: np.ndarray) -> list[tuple[int, int]]:
         """(window, item) pairs within the radius: all of them."""
-        found = []
-        for b, (starts, owners) in enumerate(self.tables):
-            v = (prints >> np.uint64(b * self.width)).astype(np.int64) & ((1 << self.width) - 1)
-            n = starts[v + 1] - starts[v]
-            window = np.repeat(np.arange(len(prints)), n)
-            item = owners[np.repeat(starts[v] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())] if n.sum() else np.zeros(0, np.int64)
-            near = np.bitwise_count(prints[window] ^ self.prints[item]) <= self.radius
-            found.append(np.stack([window[near], item[near]], 1))
+        found = [np.zeros((0, 2), np.int64)]
+        for at in range(0, len(prints), 256):
+            part = prints[at : at + 256]
+            for b, (values, owners) in enumerate(self.tables):
+                near = (self._block(part, b)[:, None] ^ self.masks).ravel()
+                first = np.searchsorted(values, near, "left")
+                n = np.searchsorted(values, near, "right") - first
+                window = np.repeat(np.arange(len(near)), n)
+                item = owners[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+                window = window // len(self.masks)
+                close = np.bitwise_count(part[window] ^ self.prints[item]) <= self.radius
+                found.append(np.stack([window[close] + at, item[close]], 1))
         return sorted(map(tuple, np.unique(np.concatenate(found), axis=0).tolist()))
 
 
@@ -202,7 +209,7 @@ def _passes(benchmark: DataFrame, item_id: str, text: str, pass_mb: int):
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // (pass_mb << 20)))
     for i in range(n):
-        yield [tuple(r) for r in (items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)).collect()]
+        yield n, [tuple(r) for r in (items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)).collect()]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS, pass_mb: int = PASS_MB, shorter: bool = False) -> DataFrame:
@@ -211,7 +218,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     spark: SparkSession = docs.sparkSession
     plain = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     out = None
-    for items in _passes(benchmark, item_id, item_text, pass_mb):
+    for n, items in _passes(benchmark, item_id, item_text, pass_mb):
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches, shared=shared):
@@ -223,6 +230,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "item_id", "similarity", "start_word", "n_words", "differing_bits"])
 
         found = plain.mapInArrow(run, "doc_id bigint, item_id bigint, similarity double, start_word int, n_words int, differing_bits int")
+        if n > 1:  # one pass after the other, so that one block of the benchmark is held at a time
+            found = cut(found, "leaks")
+            shared.unpersist()
         out = found if out is None else out.unionByName(found)
     best = out.groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start_word", "n_words", "differing_bits")).alias("m"))
     return best.select("doc_id", "item_id", (-F.col("m.s")).alias("similarity"), "m.start_word", "m.n_words", "m.differing_bits")

@@ -8,7 +8,11 @@ ISO timestamp from the 14 digits, the record type, and block and payload digests
 Equal payloads are found by digest: counts and smallest ids per digest are pre-aggregated, and only digests that occur more
 than once are joined back, so the pages of a huge group of copies are never gathered. Files are written by Spark's text
 writer, whose line separator closes each record: any file system that Spark knows will do, and a lost task is written again.
-A writer's row holds whole records up to about SEGMENT bytes, and a file holds FILE_ROWS such rows.
+A writer's row holds whole records up to about SEGMENT bytes, and a file holds FILE_ROWS such rows. Files are read whole, so a
+file of over 2 GB must be cut before; contents are never shuffled.
+
+A header that does not fit the version block, a length that is no number, and a payload that ends early give an error row of
+read_arc() each; reading goes on at the next line that is a header. convert() leaves them out.
 
 Defined cases: a null html is an empty payload; a null url is written as "-"; ids are written in decimal, and a null id as
 "-", read back as null; repeated rows with one id are records of their own; ties of equal payloads go to the smallest id; an
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import cut
 
-SEGMENT, FILE_ROWS = 4 << 20, 16
+SEGMENT, FILE_ROWS, LISTED = 4 << 20, 16, 1 << 20
 CRLF = b"\r\n"
 #: The record header fields of the two ARC versions.
 ARC_FIELDS = {
@@ -59,7 +63,7 @@ def _segments(records, head: bytes, between: bytes):
 def _write(rows: DataFrame, path: str, separator: str) -> None:
     """rows: one binary column. The text writer takes bytes as they are."""
     out = rows.select(F.col("data").cast("string").alias("value")).write.option("lineSep", separator).option("maxRecordsPerFile", FILE_ROWS)
-    out.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
+    out.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").mode("append").text(path)
 
 
 def version_block(version: int) -> bytes:
@@ -91,27 +95,48 @@ def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url: str = "
     _write(cols.mapInArrow(run, "data binary"), path, "\n")
 
 
+def _arc_header(line: bytes, names: list[str]) -> dict | None:
+    """The fields of a record header by name, or None if the line is none: their number, date and length must be right."""
+    parts = line.rstrip(b"\r\n").decode("utf-8", "replace").split(" ")
+    if len(parts) > len(names):  # blanks inside the first field
+        extra = len(parts) - len(names)
+        parts = [" ".join(parts[: extra + 1]), *parts[extra + 1 :]]
+    if len(parts) != len(names) or not re.fullmatch("[0-9]+", parts[-1]):
+        return None
+    fields = dict(zip(names, parts, strict=True))
+    return fields if re.fullmatch("[0-9]{14}", fields["Archive-date"]) else None
+
+
 def parse_arc(stream):
-    """(fields, payload) of each record of an ARC stream; fields by the names of the version block in force."""
+    """(fields, payload, error) of each record of an ARC stream; fields by the names of the version block in force. For what is
+    no record, fields are None and error says why."""
     names: list[str] = []
+    lost = False
     while line := stream.readline():
         if not line.strip():
             continue
-        parts = line.rstrip(b"\r\n").decode("utf-8", "replace").split(" ")
-        length = int(parts[-1])
-        payload = stream.read(length)
-        if len(payload) < length:
-            raise ValueError(f"a record declares {length} bytes, {len(payload)} are left: {line[:200]!r}")
-        if parts[0].startswith("filedesc:"):
-            first, second, *_ = payload.decode("utf-8", "replace").split("\n")
-            names = second.split(" ")
-            if first.split(" ")[0] not in ("1", "2") or names[-1] != "Archive-length":
-                raise ValueError(f"unknown version block: {payload[:200]!r}")
+        first = line.startswith(b"filedesc:")
+        length = re.fullmatch(rb"[^\r\n]* ([0-9]+)\r?\n?", line) if first else None
+        fields = _arc_header(line, names) if names and not first else None
+        if not length and not fields:
+            if not lost:  # the lines of a lost record give one error
+                yield None, b"", f"{'not a header' if names or first else 'no version block before'}: {line[:200]!r}"
+            lost = True
             continue
-        if len(parts) > len(names):  # blanks inside the first field
-            extra = len(parts) - len(names)
-            parts = [" ".join(parts[: extra + 1]), *parts[extra + 1 :]]
-        yield dict(zip(names, parts, strict=True)), payload
+        size = int(length[1]) if first else int(fields["Archive-length"])
+        payload = stream.read(size)
+        if len(payload) < size:
+            yield None, b"", f"a record declares {size} bytes, {len(payload)} are left: {line[:200]!r}"
+            return
+        lost = False
+        if not first:
+            yield fields, payload, None
+            continue
+        lines = payload.decode("utf-8", "replace").split("\n")
+        names = lines[1].strip().split(" ") if len(lines) > 1 else []
+        if lines[0].split(" ")[0] not in ("1", "2") or names[-1:] != ["Archive-length"] or "Archive-date" not in names:
+            names = []
+            yield None, b"", f"unknown version block: {payload[:200]!r}"
 
 
 def _http(payload: bytes) -> tuple[bytes, bytes]:
@@ -128,7 +153,7 @@ def _page_id(text: str | None) -> int | None:
     return int(text) if text and re.fullmatch(r"-?\d+", text) else None
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
+def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
@@ -152,12 +177,15 @@ def _out(rows, schema: pa.Schema, limit: int = 4 << 20):
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
-ARC_ROW = pa.schema([("file", pa.string()), ("place", pa.int64()), ("record_id", pa.string()), ("page_id", pa.int64()), ("uri", pa.string()), ("date", pa.string()), ("mime", pa.string()), ("http_head", pa.binary()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
-ARC_DDL = "file string, place bigint, record_id string, page_id bigint, uri string, date string, mime string, http_head binary, payload binary, payload_bytes bigint, payload_digest string"
+ARC_ROW = pa.schema([("file", pa.string()), ("place", pa.int64()), ("record_id", pa.string()), ("page_id", pa.int64()), ("uri", pa.string()), ("date", pa.string()), ("mime", pa.string()), ("http_head", pa.binary()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("error", pa.string())])
+ARC_DDL = "file string, place bigint, record_id string, page_id bigint, uri string, date string, mime string, http_head binary, payload binary, payload_bytes bigint, payload_digest string, error string"
 
 
 def _arc_rows(file: str, stream, payloads: bool):
-    for n, (fields, block) in enumerate(parse_arc(stream)):
+    for n, (fields, block, error) in enumerate(parse_arc(stream)):
+        if error:
+            yield {"file": file, "place": n, "error": error}
+            continue
         head, body = _http(block)
         d, digest = fields["Archive-date"], base32_sha1(body)
         name = f"{file.rpartition('/')[2]} {n} {fields['URL']} {d} {digest}"
@@ -171,7 +199,7 @@ def _arc_rows(file: str, stream, payloads: bool):
 
 def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """The records of ARC files with the synthesised WARC identifier, timestamp and payload digest; file and place say where
-    a record stands."""
+    a record stands. error, where it is not null, says why there is no record."""
 
     def run(batches):
         yield from _out((r for file, stream in _each_file(batches) for r in _arc_rows(file, stream, payloads)), ARC_ROW)
@@ -203,14 +231,20 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int
     """ARC files to gzipped WARC files. Of records with equal payloads of least_bytes or more, the one with the smallest id is
     a response and the others revisit it; all others are responses.
 
-    Payloads are not shuffled: what a file's revisits refer to is joined to the file as a list, and only compressed files move.
+    Payloads are not shuffled: what a file's revisits refer to is joined to the file as a list. Error rows are left out.
     """
-    digests = cut(read_arc(spark, arc_path, payloads=False).select("file", "place", "record_id", "page_id", "payload_bytes", "payload_digest"), "digests")
+    digests = cut(read_arc(spark, arc_path, payloads=False).where("error IS NULL").select("file", "place", "record_id", "page_id", "payload_bytes", "payload_digest"), "digests")
     copies = cut(first_copies(digests, least_bytes), "copies")
     again = digests.join(copies, ["payload_digest", "payload_bytes"]).where("record_id <> first_record AND page_id IS NOT NULL")
     again = cut(again.select("file", "place", "first_record"), "again")
-    lists = again.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("place", "first_record"))).alias("refers"))
-    files = _files(spark, arc_path).withColumnRenamed("path", "file").join(lists, "file", "left")
+    # Lists are broadcast, so that no file's content moves: files are taken together up to LISTED records that revisit others.
+    sizes = digests.groupBy("file").agg(F.count("*").alias("records")).orderBy("file").collect()
+    groups, held = [[]], 0
+    for r in sizes:
+        if groups[-1] and held + r.records > LISTED:
+            groups, held = [*groups, []], 0
+        groups[-1].append(r.file)
+        held += r.records
 
     def run(batches):
         def records():
@@ -219,13 +253,19 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int
                 for i, (file, stream) in enumerate(_each_file([batch])):
                     known = dict(refers[i] or ())
                     for r in _arc_rows(file, stream, payloads=True):
+                        if r.get("error"):
+                            continue
                         first = known.get(r["place"])
                         yield _warc_record("revisit" if first else "response", r, first)
 
         for data in _segments(records(), b"", CRLF + CRLF):
             yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["data"])
 
-    _write(files.select("file", "content", "refers").mapInArrow(run, "data binary"), warc_path, "\r\n\r\n")
+    for names in groups:
+        files = _files(spark, names if len(groups) > 1 else arc_path).withColumnRenamed("path", "file")
+        mine = again if len(groups) == 1 else again.where(F.col("file").isin(names))
+        lists = mine.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("place", "first_record"))).alias("refers"))
+        _write(files.join(F.broadcast(lists), "file", "left").select("file", "content", "refers").mapInArrow(run, "data binary"), warc_path, "\r\n\r\n")
 
 
 def parse_warc(stream):

@@ -56,9 +56,40 @@ def test_parsers():
     old = b"filedesc://x.arc 0.0.0.0 20010203040506 text/plain %d\n" % 76
     body = b"1 0 someone\nURL IP-address Archive-date Content-type Archive-length\n\n"
     old = b"filedesc://x.arc 0.0.0.0 20010203040506 text/plain %d\n" % len(body) + body + b"\nhttp://a b 1.2.3.4 20010203040506 text/html 3\nabc\n"
-    (fields, payload), = W.parse_arc(io.BytesIO(old))
-    assert fields["URL"] == "http://a b" and fields["IP-address"] == "1.2.3.4" and payload == b"abc"
-    with pytest.raises(ValueError, match="declares"):
-        list(W.parse_arc(io.BytesIO(old[:-3])))
+    (fields, payload, error), = W.parse_arc(io.BytesIO(old))
+    assert fields["URL"] == "http://a b" and fields["IP-address"] == "1.2.3.4" and payload == b"abc" and error is None
+    (none, _, error), = W.parse_arc(io.BytesIO(old[:-3]))
+    assert none is None and "declares" in error
     with pytest.raises(ValueError, match="WARC version"):
         list(W.parse_warc(io.BytesIO(gzip.decompress(gzip.compress(b"nonsense\n")))))
+
+
+def test_malformed_headers_give_error_rows(spark, tmp_path):
+    body = b"1 0 someone\nURL IP-address Archive-date Content-type Archive-length\n"
+    block = b"filedesc://x.arc 0.0.0.0 20010203040506 text/plain %d\n" % len(body) + body + b"\n"
+    good = b"http://a 1.2.3.4 20010203040506 text/html 3\nabc\n"
+    cases = {
+        "few.arc": block + b"http://b 20010203040506 4\nlost\n" + good, "length.arc": block + b"http://b 1.2.3.4 20010203040506 text/html x9\nlost\n\n" + good,
+        "date.arc": block + b"http://b 1.2.3.4 yesterday text/html 4\nlost\n" + good, "none.arc": good, "version.arc": block.replace(b"1 0 someone", b"7 0 someone") + good, "empty.arc": b"", "desc.arc": b"filedesc://x\n" + block + good,
+    }
+    for name, data in cases.items():
+        (tmp_path / name).write_bytes(data)
+    found = {}
+    for r in W.read_arc(spark, str(tmp_path)).collect():
+        found.setdefault(r.file.rpartition("/")[2], []).append(r.error and r.error.split(":")[0])
+    found = {k: sorted(v, key=str) for k, v in found.items()}
+    assert found == {
+        "few.arc": [None, "not a header"], "length.arc": [None, "not a header"], "date.arc": [None, "not a header"], "none.arc": ["no version block before"],
+        "version.arc": ["no version block before", "unknown version block"], "desc.arc": [None, "not a header"],
+    }
+    W.convert(spark, str(tmp_path), str(tmp_path / "out"))
+    assert W.read_warc(spark, str(tmp_path / "out")).where("intact").count() == 4
+
+
+def test_files_are_taken_in_groups(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "LISTED", 3)
+    arc, out = str(tmp_path / "arc"), str(tmp_path / "warc")
+    W.write_arc(spark.createDataFrame([(i, "http://a", "same") for i in range(12)], "page_id bigint, url string, html string").repartition(5), arc)
+    W.convert(spark, arc, out)
+    got = W.resolve(W.read_warc(spark, out)).collect()
+    assert {(r.page_id, r.refers_to) for r in got} == {(i, 0 if i else None) for i in range(12)}

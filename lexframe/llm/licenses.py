@@ -7,9 +7,10 @@ blank line, or a mark that does not go on with a digit or a small letter, ends i
 sequence of identifiers that follow each other with at most its gap of other sentences between neighbours. Longer rules are
 tried first, and a sentence serves one match.
 
-The tables of sentences and of their runs of words are fixed and small (see SENTENCES), so they are broadcast; matching works
-on the known pieces of one document at a time. Comment leaders without letters, as * or #, are no words; gaps count pieces,
-blank lines among them.
+Sentences and rules are tables, given or the built-in ones: texts of common licences, statements of the form "this work is
+released under ..." for the names in NAMES, SPDX lines, and copyright notices with any year and holder. Their runs of words are
+counted, and broadcast as hashes while there are at most MAX_RUNS; matching works on the known pieces of one document at a time.
+Comment leaders without letters, as * or #, are no words; gaps count pieces, blank lines among them.
 
 Defined cases: null and empty texts hold no sentence; rows that repeat an id are scanned each and reported once per row, and
 equal findings of one id are reported once; a null id is reported as null; ties go to the rule that is listed first; an empty
@@ -19,10 +20,11 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
-from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+MAX_RUNS = 4_000_000
 
 #: Identifier -> sentence, as it is written; normalise() applies to these and to texts.
 SENTENCES = {
@@ -56,14 +58,44 @@ SENTENCES = {
     "cc_by_sa_work": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
     "mpl_terms": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "lgpl_free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "lgpl_hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+    "lgpl_see": "See the GNU Lesser General Public License for more details",
+    "agpl3_free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl_see": "See the GNU Affero General Public License for more details",
+    "isc_grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "isc_as_is": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS",
+    "zlib_as_is": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib_grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "boost_short": "Distributed under the Boost Software License, Version 1.0",
     "unlicense": "This is free and unencumbered software released into the public domain",
 }
+#: Licence -> its name in statements.
+NAMES = {
+    "MIT": "the MIT License", "Apache-2.0": "the Apache License, Version 2.0", "BSD-2-Clause": "the BSD 2-Clause License", "BSD-3-Clause": "the BSD 3-Clause License", "ISC": "the ISC License",
+    "GPL-2.0-only": "the GNU General Public License, version 2", "GPL-3.0-only": "the GNU General Public License, version 3", "LGPL-3.0-only": "the GNU Lesser General Public License, version 3",
+    "AGPL-3.0-only": "the GNU Affero General Public License, version 3", "MPL-2.0": "the Mozilla Public License 2.0", "EPL-2.0": "the Eclipse Public License 2.0", "BSL-1.0": "the Boost Software License 1.0",
+    "CC-BY-4.0": "CC BY 4.0", "CC-BY-SA-4.0": "CC BY-SA 4.0", "CC-BY-NC-4.0": "CC BY-NC 4.0", "CC0-1.0": "CC0 1.0", "Unlicense": "the Unlicense",
+}
+#: Licences that SPDX lines name, besides those of NAMES.
+SPDX = (
+    "0BSD", "AGPL-3.0-or-later", "Artistic-2.0", "CDDL-1.0", "EUPL-1.2", "GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "MS-PL", "NCSA", "OFL-1.1", "PostgreSQL",
+    "Python-2.0", "WTFPL", "Zlib",
+)
+COPYRIGHT = "copyright"
+#: A copyright notice, normalised.
+NOTICE = r"^(c )?copyright (c |by )*[0-9]{4}\b.*"
 #: (rule, licence, sentence identifiers in order, gap). A sentence that runs over a mark, as "v. 2.0", is known by its parts.
 RULES = [
     ("mit_text", "MIT", ("mit_grant", "mit_notice", "as_is"), 3),
     ("mit_grant_notice", "MIT", ("mit_grant", "mit_notice"), 3),
     ("apache_header", "Apache-2.0", ("apache_grant", "apache_copy", "apache_basis", "apache_see"), 3),
     ("apache_grant_basis", "Apache-2.0", ("apache_grant", "apache_basis"), 5),
+    ("lgpl_header", "LGPL-2.1-or-later", ("lgpl_free", "lgpl_hope", "lgpl_see"), 2),
+    ("agpl3_header", "AGPL-3.0-or-later", ("agpl3_free", "gpl_hope", "agpl_see"), 2),
+    ("isc_text", "ISC", ("isc_grant", "isc_as_is"), 3),
+    ("zlib_text", "Zlib", ("zlib_as_is", "zlib_grant"), 6),
+    ("mit_file", "MIT", (COPYRIGHT, "mit_grant", "mit_notice", "as_is"), 3),
     ("gpl3_header", "GPL-3.0-or-later", ("gpl3_free", "gpl_hope", "gpl_see"), 2),
     ("gpl2_header", "GPL-2.0-or-later", ("gpl2_free", "gpl_hope", "gpl_see"), 2),
     ("bsd3_text", "BSD-3-Clause", ("bsd_use", "bsd_source", "bsd_binary", "bsd_name"), 3),
@@ -72,11 +104,100 @@ RULES = [
         ("MIT", ("mit_released", "mit_licensed", "mit_this", "mit_grant")), ("Apache-2.0", ("apache_short", "apache_this", "apache_grant")),
         ("GPL-3.0-only", ("gpl3_work", "gpl3_program")), ("GPL-2.0-only", ("gpl2_work",)), ("GPL-3.0-or-later", ("gpl3_free",)), ("GPL-2.0-or-later", ("gpl2_free",)),
         ("CC-BY-NC-4.0", ("cc_by_nc",)), ("CC-BY-4.0", ("cc_by", "cc_by_work")), ("CC-BY-SA-4.0", ("cc_by_sa", "cc_by_sa_work")), ("CC0-1.0", ("cc0",)),
-        ("MPL-2.0", ("mpl_terms",)), ("Unlicense", ("unlicense",)),
+        ("MPL-2.0", ("mpl_terms",)), ("Unlicense", ("unlicense",)), ("LGPL-2.1-or-later", ("lgpl_free",)), ("AGPL-3.0-or-later", ("agpl3_free",)), ("ISC", ("isc_grant",)),
+        ("Zlib", ("zlib_grant",)), ("BSL-1.0", ("boost_short",)),
     ) for s in names),
 ]
-#: A sentence ends at a line end or at a mark before a blank, unless a digit or a small letter follows, as in "v. 2.0".
-SPLIT = r"\n|(?<=[.!?:;])[ \t]+(?![a-z0-9])"
+#: A sentence ends at a line end or at a mark before a blank, unless a digit or a small letter follows, as in "v. 2.0", or it is
+#: that of an SPDX line.
+SPLIT = r"\n|(?<=[.!?:;])(?<![Ii]dentifier:)[ \t]+(?![a-z0-9])"
+
+
+
+
+def plain(sentence: str) -> str:
+    """normalise() of a sentence of the tables, which hold ASCII letters and digits."""
+    return " ".join(re.sub("[^a-z0-9]+", " ", sentence.lower()).split())
+
+
+def built_in() -> tuple[list[tuple[str, str]], list[tuple[str, str, tuple[str, ...], int]]]:
+    """(sid, sentence) and (rule, licence, sids, gap) of the built-in tables: SENTENCES and RULES, and a sentence and a rule for
+    each statement about a licence of NAMES and each SPDX line."""
+    have = {plain(x) for x in SENTENCES.values()}
+    verbs = ("licensed", "released", "distributed", "available")
+    forms = [(v, v.capitalize() + " under {}") for v in verbs]
+    forms += [(f"{n}_{v}", f"This {n} is {v} under {{}}") for n in ("project", "work", "program", "software", "library", "code", "file") for v in verbs]
+    more = [(f"{licence}/{form}", licence, text.format(name)) for licence, name in NAMES.items() for form, text in forms]
+    more += [(f"{x}/spdx", x, f"SPDX-License-Identifier: {x}") for x in (*NAMES, *SPDX)]
+    more = [x for x in more if plain(x[2]) not in have]
+    return [*SENTENCES.items(), *((sid, text) for sid, _, text in more)], [*RULES, *((sid, licence, (sid,), 0) for sid, licence, _ in more)]
+
+
+class Book:
+    """Sentences by their words and rules by their first sentence, for matching in a task."""
+
+    def __init__(self, sentences: list[tuple[str, str]], rules: list[tuple[str, str, tuple[str, ...], int]]):
+        self.words = {sid: tuple(plain(text).split()) for sid, text in sentences}
+        self.places: dict[str, list[tuple[str, int]]] = {}
+        for sid, w in self.words.items():
+            for a, word in enumerate(w):
+                self.places.setdefault(word, []).append((sid, a))
+        self.rules: dict[str, list] = {}
+        for n, rule in enumerate(sorted(rules, key=lambda r: -len(r[2]))):
+            self.rules.setdefault(rule[2][0], []).append((n, *rule))
+        self.notice = re.compile(NOTICE)
+
+    def runs(self, piece: str) -> list[tuple[str, int, int]]:
+        """(sid, first, end) of the places where sentences have this run of words."""
+        w = tuple(piece.split())
+        return [(sid, a, a + len(w)) for sid, a in self.places.get(w[0], ()) if self.words[sid][a : a + len(w)] == w]
+
+    def joined(self, pieces: list[tuple[int, str, bool, bool]]) -> list[tuple[int, str, int]]:
+        """(first place, sid, last place) of the sentences in pieces (place, run, ends, goes on) in the order of a text. Of those
+        that begin at one piece the longest counts, and none begins inside another."""
+        out, i = [], 0
+        while i < len(pieces):
+            open_, j, best = {(sid, b) for sid, a, b in self.runs(pieces[i][1]) if a == 0}, i, None
+            if self.notice.match(pieces[i][1]):
+                best = (i, COPYRIGHT)
+            while open_:
+                for sid, b in sorted(open_):
+                    if b == len(self.words[sid]):
+                        best = (j, sid)
+                if j + 1 == len(pieces) or pieces[j + 1][0] != pieces[j][0] + 1 or (pieces[j][2] and not pieces[j + 1][3]):
+                    break
+                j += 1
+                open_ = {(sid, b) for sid, a, b in self.runs(pieces[j][1]) if (sid, a) in open_}
+            if best:
+                out.append((pieces[i][0], best[1], pieces[best[0]][0]))
+                i = best[0]
+            i += 1
+        return out
+
+    def match(self, found: list[tuple[int, str, int]]) -> list[tuple[str, str, int, int]]:
+        """(licence, rule, first, last place) of the rules that fit sentences (first place, sid, last place) in the order of a
+        text. Longer rules come first, and a sentence serves one match; the search for a rule's next sentence ends at its gap."""
+        free, out = set(range(len(found))), []
+        begun = sorted((r for sid in {x[1] for x in found} for r in self.rules.get(sid, ())), key=lambda r: r[0])
+        places: dict[str, list[int]] = {}
+        for i, x in enumerate(found):
+            places.setdefault(x[1], []).append(i)
+        for _, rule, licence, wanted, gap in begun:
+            for i in places[wanted[0]]:
+                if i not in free:
+                    continue
+                chosen = [i]
+                for sid in wanted[1:]:
+                    last, j = found[chosen[-1]][2], chosen[-1] + 1
+                    while j < len(found) and found[j][0] - last - 1 <= gap and not (j in free and found[j][1] == sid):
+                        j += 1
+                    if j == len(found) or found[j][0] - last - 1 > gap:
+                        break
+                    chosen.append(j)
+                else:
+                    free -= set(chosen)
+                    out.append((licence, rule, found[chosen[0]][0], found[chosen[-1]][2]))
+        return sorted(out, key=lambda x: (x[2], x[3], x[1]))
 
 
 def normalise(sentence: Column) -> Column:
@@ -88,84 +209,47 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
     """(doc_id, th, pos, sentence, ends, goes_on): normalised pieces that are not empty, by place; whether a piece ends with a
     mark, and whether it begins with a digit or a small letter."""
     split = F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), SPLIT, -1)
-    each = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("th"), F.posexplode(split).alias("pos", "raw"))
+    each = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("th"), F.posexplode_outer(split).alias("pos", "raw"))
     ends, goes_on = F.col("raw").rlike(r"[.!?:;]\s*$"), F.col("raw").rlike(r"^[\s*#/;%|>-]*[a-z0-9]")
     return each.select("doc_id", "th", "pos", normalise(F.col("raw")).alias("sentence"), ends.alias("ends"), goes_on.alias("goes_on")).where("sentence <> ''")
 
 
-def known_pieces(docs: DataFrame) -> DataFrame:
-    """(sentence): every run of words of the known sentences, normalised by the same expressions as texts."""
-    rows = docs.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, SENTENCES.values()))).alias("raw"))
-    w = rows.select(F.split(normalise(F.col("raw")), " ").alias("w"))
-    w = w.select("w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("a"))
-    w = w.select("w", "a", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("a") + 1)).alias("n"))
-    return w.select(F.array_join(F.slice("w", F.col("a"), F.col("n")), " ").alias("sentence")).distinct()
-
-
-@cache
-def _runs() -> tuple[dict[str, int], dict[str, list[tuple[str, int, int]]]]:
-    """Words of each sentence, and for each run of words the places (sid, first, end) where sentences have it."""
-    sizes, runs = {}, {}
-    for sid, sentence in SENTENCES.items():
-        w = re.sub("[^a-z0-9]+", " ", sentence.lower()).split()
-        sizes[sid] = len(w)
-        for a in range(len(w)):
-            for b in range(a + 1, len(w) + 1):
-                runs.setdefault(" ".join(w[a:b]), []).append((sid, a, b))
-    return sizes, runs
-
-
-def joined(pieces: list[tuple[int, str, bool, bool]]) -> list[tuple[int, str, int]]:
-    """(first place, sid, last place) of the sentences in pieces (place, run, ends, goes on) in the order of a text. Of those
-    that begin at one piece the longest counts, and none begins inside another."""
-    sizes, runs = _runs()
-    out, i = [], 0
-    while i < len(pieces):
-        open_, j, best = {(sid, b) for sid, a, b in runs.get(pieces[i][1], ()) if a == 0}, i, None
-        while open_:
-            for sid, b in open_:
-                if b == sizes[sid]:
-                    best = (j, sid)
-            if j + 1 == len(pieces) or pieces[j + 1][0] != pieces[j][0] + 1 or (pieces[j][2] and not pieces[j + 1][3]):
-                break
-            j += 1
-            open_ = {(sid, b) for sid, a, b in runs.get(pieces[j][1], ()) if (sid, a) in open_}
-        if best:
-            out.append((pieces[i][0], best[1], pieces[best[0]][0]))
-            i = best[0]
-        i += 1
-    return out
-
-
-def match(found: list[tuple]) -> list[tuple[str, str, int, int]]:
-    """(licence, rule, first, last sentence) of the rules that fit identifiers (place, sid) or (first place, sid, last place) in
-    the order of a text."""
-    end = lambda x: x[2] if len(x) > 2 else x[0]
-    free, out = set(range(len(found))), []
-    for rule, licence, wanted, gap in sorted(RULES, key=lambda r: -len(r[2])):
-        starts = [i for i in range(len(found)) if i in free and found[i][1] == wanted[0]]
-        for i in starts:
-            chosen = [i]
-            for sid in wanted[1:]:
-                last = end(found[chosen[-1]])
-                nxt = next((j for j in range(chosen[-1] + 1, len(found)) if found[j][0] - last - 1 <= gap and j in free and found[j][1] == sid), None)
-                if nxt is None:
-                    break
-                chosen.append(nxt)
-            else:
-                free -= set(chosen)
-                out.append((licence, rule, found[chosen[0]][0], end(found[chosen[-1]])))
-    return sorted(out, key=lambda x: (x[2], x[3], x[1]))
+def known_pieces(spark: SparkSession, book: Book) -> DataFrame:
+    """(h): the hashes of all runs of words of the sentences."""
+    n = sum(len(w) * (len(w) + 1) // 2 for w in book.words.values())
+    if n > MAX_RUNS:
+        raise ValueError(f"sentences with {n} runs of words are not broadcast")
+    rows = spark.createDataFrame([(list(w),) for w in book.words.values()] or [([],)], "w array<string>").where(F.size("w") > 0)
+    starts = rows.select("w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("a"))
+    each = starts.select("w", "a", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("a") + 1)).alias("n"))
+    return each.select(F.xxhash64(F.array_join(F.slice("w", F.col("a"), F.col("n")), " ")).alias("h")).distinct()
+
 
+def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sentences_table: DataFrame | None = None, rules_table: DataFrame | None = None) -> DataFrame:
+    """(doc_id, licence, rule, first_sentence, last_sentence): places count the pieces of a text from 0.
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, licence, rule, first_sentence, last_sentence): places count the pieces of a text from 0."""
-    found = sentences(docs, id_col, text).join(F.broadcast(known_pieces(docs)), "sentence").select("doc_id", "th", "pos", "sentence", "ends", "goes_on")
+    sentences_table (sid, sentence) and rules_table (rule, licence, sids, gap), rules in the order of `n` if there is such a
+    column, replace the built-in tables; both are bounded by MAX_RUNS.
+    """
+    spark = docs.sparkSession
+    own, rules = built_in()
+    if sentences_table is not None:
+        own = [tuple(r) for r in sentences_table.where("sid IS NOT NULL AND sentence IS NOT NULL").select("sid", "sentence").orderBy("sid").limit(MAX_RUNS + 1).collect()]
+    if rules_table is not None:
+        rules_table = rules_table.orderBy("n") if "n" in rules_table.columns else rules_table
+        rules = [(r.rule, r.licence, tuple(r.sids), r.gap) for r in rules_table.where("size(sids) > 0").select("rule", "licence", "sids", "gap").limit(MAX_RUNS + 1).collect()]
+    known = known_pieces(spark, Book(own, rules))
+    shared = spark.sparkContext.broadcast((own, rules))
+    books: list[Book] = []
+    pieces = sentences(docs, id_col, text).withColumn("h", F.xxhash64("sentence"))
+    found = pieces.join(F.broadcast(known.withColumn("_k", F.lit(True))), "h", "left").where(F.col("_k").isNotNull() | F.col("sentence").rlike(NOTICE)).select("doc_id", "th", "pos", "sentence", "ends", "goes_on")
     lists = found.distinct().groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("pos", "sentence", "ends", "goes_on"))).alias("found"))
     row = pa.struct([("licence", pa.string()), ("rule", pa.string()), ("first_sentence", pa.int32()), ("last_sentence", pa.int32())])
 
     def run(lists: pa.Array) -> pa.Array:
-        rows = [[dict(zip(row.names, m, strict=True)) for m in match(joined([tuple(x.values()) for x in r.as_py()]))] for r in lists]
+        if not books:
+            books.append(Book(*shared.value))
+        rows = [[dict(zip(row.names, m, strict=True)) for m in books[0].match(books[0].joined([tuple(x.values()) for x in r.as_py()]))] for r in lists]
         return pa.array(rows, pa.list_(row))
 
     matches = F.arrow_udf(run, "array<struct<licence:string,rule:string,first_sentence:int,last_sentence:int>>")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import variants as V
 from ..functions.text import strip
-from .lookup import LawFamily
+from .lookup import DECREE, RULE, LawFamily
 
 REFS = "array<struct<law:string,article:string>>"
 
@@ -63,9 +63,9 @@ def extract_json(raw: Column) -> Column:
 
 def parse_citation(text: Column, family: LawFamily) -> Column:
     """(law, article) of the first citation of a law of the family in a text; what follows the article is dropped."""
-    pattern = rf"(?U)({family.main}(?:\s*시행령|\s*시행규칙)?)\s*(제\d+조(?:의\d+)?)"
-    law = strip(F.regexp_replace(F.replace(F.regexp_extract(text, pattern, 1), F.lit(family.main), F.lit(family.main + " ")), r"(?U)\s+", " "))
-    article = F.regexp_extract(text, pattern, 2)
+    pattern = rf"(?U){family.main}\s*({DECREE}|{RULE})?\s*(제\d+조(?:의\d+)?)"
+    kind, article = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
+    law = F.when(kind == DECREE, family.decree).when(kind == RULE, family.rule).otherwise(family.main)
     return F.when(article != "", F.struct(law.alias("law"), article.alias("article")))
 
 

@@ -6,7 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Group 1 is the word just before the number; then article, branch and paragraph numbers.
+#: What a decree and a rule of a statute are called.
+DECREE, RULE = "시행령", "시행규칙"
+#: Fixed value, as questions write references: group 1 is the word just before the number; then article, branch and paragraph.
 REFERENCE = r"([가-힣A-Za-z]*?)\s*(?<!\d)제?\s*(\d+)\s*조(?:\s*의\s*(\d+))?(?:\s*제?\s*(\d+)\s*항)?"
 
 
@@ -23,7 +25,7 @@ class LawFamily:
 def law_of(word: Column, family: LawFamily) -> Column:
     """The law that a number belongs to, by the word before it; null if that names another law."""
     other = word.endswith("법") & ~word.isin(family.main, *family.own_words)
-    return F.when(word.endswith("시행령"), family.decree).when(word.endswith("시행규칙"), family.rule).when(other, F.lit(None)).otherwise(F.lit(family.main))
+    return F.when(word.endswith(DECREE), family.decree).when(word.endswith(RULE), family.rule).when(other, F.lit(None)).otherwise(F.lit(family.main))
 
 
 def parse_refs(questions: DataFrame, family: LawFamily) -> DataFrame:

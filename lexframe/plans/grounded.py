@@ -42,13 +42,13 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("conv_id") * 100 + F.col("turn")
     m, a = n % 8, (n % 90 + 1).cast("string")
     cite = lambda law, article: F.concat(F.lit(law + " 제"), article, F.lit("조"))
-    listed = F.when(m.isin(0, 1, 2), F.array(F.concat(cite("근로기준법", a), F.lit(" 제1항")), cite("근로기준법시행령", a))).when(m == 3, F.array(cite("근로기준법", F.concat(a, F.lit("9"))))).otherwise(F.array().cast("array<string>"))
-    answer = F.when(m == 5, F.lit(" ")).when(m == 6, F.concat(F.lit("휴일 안내 ["), cite("근로기준법", a), F.lit("의2] 참고"))).otherwise(F.concat(F.lit("안내 "), a))
+    listed = F.when(m.isin(0, 1, 2), F.array(F.concat(cite("보기나무법", a), F.lit(" 제1항")), cite("보기나무법시행령", a))).when(m == 3, F.array(cite("보기나무법", F.concat(a, F.lit("9"))))).otherwise(F.array().cast("array<string>"))
+    answer = F.when(m == 5, F.lit(" ")).when(m == 6, F.concat(F.lit("휴일 안내 ["), cite("보기나무법", a), F.lit("의2] 참고"))).otherwise(F.concat(F.lit("안내 "), a))
     flag = F.when(m == 4, False).otherwise(True)
     body = F.to_json(F.struct(flag.alias("answerable"), F.when(m == 4, "범위 밖").otherwise("").alias("reason"), answer.alias("answer"), listed.alias("citations")))
     raw = F.when(m == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(m == 7, F.substring(body, 1, 20)).otherwise(body)
     ref = lambda law, article: F.struct(F.lit(law).alias("law"), F.concat(F.lit("제"), a, F.lit(article)).alias("article"))
-    return c.select(n.alias("qid"), raw.alias("raw"), F.array(ref("근로기준법", "조"), ref("근로기준법", "조의2")).alias("retrieved"))
+    return c.select(n.alias("qid"), raw.alias("raw"), F.array(ref("보기나무법", "조"), ref("보기나무법", "조의2")).alias("retrieved"))
 
 
 #: The same verdicts, from the numbers alone.
@@ -56,9 +56,9 @@ VERDICTS = """
 r AS (SELECT conv_id * 100 + turn AS qid, (conv_id * 100 + turn) % 8 AS m, (conv_id * 100 + turn) % 90 + 1 AS a FROM conversations),
 v AS (
   SELECT qid, m, a, m IN (0, 1, 2, 6) AS answerable, m = 7 AS parse_error, m = 3 AS downgraded,
-         CASE WHEN m IN (0, 1, 2) THEN '근로기준법 제' || a || '조' WHEN m = 6 THEN '근로기준법 제' || a || '조의2' ELSE '' END AS citations,
-         CASE WHEN m IN (0, 1, 2) THEN '근로기준법 시행령 제' || a || '조' WHEN m = 3 THEN '근로기준법 제' || a || '9조' ELSE '' END AS invalid_citations,
-         CASE WHEN m IN (0, 1, 2) THEN '안내 ' || a WHEN m = 6 THEN '휴일 안내 [근로기준법 제' || a || '조의2] 참고' ELSE '' END AS answer,
+         CASE WHEN m IN (0, 1, 2) THEN '보기나무법 제' || a || '조' WHEN m = 6 THEN '보기나무법 제' || a || '조의2' ELSE '' END AS citations,
+         CASE WHEN m IN (0, 1, 2) THEN '보기나무법 시행령 제' || a || '조' WHEN m = 3 THEN '보기나무법 제' || a || '9조' ELSE '' END AS invalid_citations,
+         CASE WHEN m IN (0, 1, 2) THEN '안내 ' || a WHEN m = 6 THEN '휴일 안내 [보기나무법 제' || a || '조의2] 참고' ELSE '' END AS answer,
          CASE m WHEN 7 THEN '{bad}' WHEN 3 THEN '{none}' WHEN 4 THEN '범위 밖' ELSE '' END AS reason FROM r
 )
 """.replace("{bad}", W.bad_format).replace("{none}", W.no_source)
@@ -91,7 +91,7 @@ SELECT count(*) FILTER (scoped) AS in_scope, count(*) FILTER (NOT scoped) AS out
 def answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _verified(spark, sf_dir)
     a, m = F.col("qid") % 90 + 1, F.col("qid") % 8
-    gold = F.struct(F.lit("근로기준법").alias("law"), F.concat(F.lit("제"), F.when(a % 3 != 0, a).otherwise(0).cast("string"), F.lit("조")).alias("article"))
+    gold = F.struct(F.lit("보기나무법").alias("law"), F.concat(F.lit("제"), F.when(a % 3 != 0, a).otherwise(0).cast("string"), F.lit("조")).alias("article"))
     questions = v.select("qid", F.when((m == 4) & (a % 2 != 0), "refuse").alias("expected"), F.array(gold).alias("gold"))
     s = evaluate.score_answers(answers.answer_rows(questions, v))
     return s.select("in_scope", "out_of_scope", "refused", "false_refused", "gold_cited", "gold_in_context", "with_invalid", "parse_errors", "downgraded", F.round("false_refusal_rate", 9).alias("false_refusal_rate"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import dense, evaluate, expand, fuse, lexical, lookup
 
 QUERIES, SQL = {}, {}
-FAMILY = lookup.LawFamily("근로기준법", "근로기준법 시행령", "근로기준법 시행규칙", ("근기법", "법"))
+FAMILY = lookup.LawFamily("보기나무법", "보기나무법 시행령", "보기나무법 시행규칙", ("나무법", "법"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -195,16 +195,16 @@ def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH k AS (SELECT o_orderkey AS qid, (o_orderkey % 97 + 1) AS n, (o_orderkey % 5) AS m, (o_orderkey % 4 + 1) AS p FROM orders)
-SELECT qid, 0 AS ref_pos, CASE WHEN m = 1 THEN '근로기준법 시행령' ELSE '근로기준법' END AS law, '제' || n || '조' || CASE WHEN m = 2 THEN '의2' ELSE '' END AS label,
+SELECT qid, 0 AS ref_pos, CASE WHEN m = 1 THEN '보기나무법 시행령' ELSE '보기나무법' END AS law, '제' || n || '조' || CASE WHEN m = 2 THEN '의2' ELSE '' END AS label,
        CASE WHEN m = 3 THEN p END::INT AS paragraph FROM k WHERE m <> 4
-UNION ALL SELECT qid, CASE WHEN m = 4 THEN 0 ELSE 1 END, '근로기준법 시행규칙', '제' || p || '조', NULL FROM k
+UNION ALL SELECT qid, CASE WHEN m = 4 THEN 0 ELSE 1 END, '보기나무법 시행규칙', '제' || p || '조', NULL FROM k
 """)
 def parse_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References in questions about every order's number: with and without branch, paragraph, decree and other laws."""
     n, m, p = (F.expr(e).cast("string") for e in ("o_orderkey % 97 + 1", "o_orderkey % 5", "o_orderkey % 4 + 1"))
     first = (
-        F.when(m == "0", F.concat(F.lit("근기법 "), n, F.lit("조가 무엇인가요? "))).when(m == "1", F.concat(F.lit("시행령 제"), n, F.lit(" 조는 "))).when(m == "2", F.concat(F.lit("제"), n, F.lit("조의 2는 ")))
-        .when(m == "3", F.concat(F.lit("제 "), n, F.lit("조 제"), p, F.lit("항과 "))).otherwise(F.concat(F.lit("남녀고용평등법 제"), n, F.lit("조의2와 ")))
+        F.when(m == "0", F.concat(F.lit("나무법 "), n, F.lit("조가 무엇인가요? "))).when(m == "1", F.concat(F.lit("시행령 제"), n, F.lit(" 조는 "))).when(m == "2", F.concat(F.lit("제"), n, F.lit("조의 2는 ")))
+        .when(m == "3", F.concat(F.lit("제 "), n, F.lit("조 제"), p, F.lit("항과 "))).otherwise(F.concat(F.lit("이웃마을법 제"), n, F.lit("조의2와 ")))
     )
     questions = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("qid"), F.concat(first, F.lit("시행규칙 제"), p, F.lit("조도 알려 주세요")).alias("question"))
     return lookup.parse_refs(questions, FAMILY)

@@ -50,14 +50,14 @@ def version_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH t AS (SELECT doc_id, '<개정 2018.3.20, 2019.1.15>  ' || text || ' ' || chr(9) || chr(10) || ' ' || chr(10) || '<신설 2012.2.1> ' || chr(12288) || '<b>' AS t FROM documents),
+WITH t AS (SELECT doc_id, '<개정 2017.8.9, 2022.11.30>  ' || text || ' ' || chr(9) || chr(10) || ' ' || chr(10) || '<신설 2016.6.7> ' || chr(12288) || '<b>' AS t FROM documents),
 a AS (SELECT doc_id, regexp_replace(t, '<[^<>]*\d{4}\.\d{1,2}\.\d{1,2}[^<>]*>', '', 'g') AS a, regexp_extract_all(t, '<([^<>]*\d{4}\.\d{1,2}\.\d{1,2}[^<>]*)>', 1) AS tags FROM t),
 b AS (SELECT doc_id, tags, regexp_replace(regexp_replace(regexp_replace(a, '[ \t　]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS b FROM a)
 SELECT doc_id, md5(b) AS cleaned_md5, length(b)::BIGINT AS n_chars, array_to_string(tags, '|') AS tags FROM b
 """)
 def clean_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document texts between dated tags, cleaned; their tags."""
-    text = F.concat(F.lit("<개정 2018.3.20, 2019.1.15>  "), F.col("text"), F.lit(" \t\n \n<신설 2012.2.1> 　<b>"))
+    text = F.concat(F.lit("<개정 2017.8.9, 2022.11.30>  "), F.col("text"), F.lit(" \t\n \n<신설 2016.6.7> 　<b>"))
     df = table(spark, sf_dir, "documents").select("doc_id", clean(text).alias("c"), extract_tags(text).alias("t"))
     return df.select("doc_id", F.md5("c").alias("cleaned_md5"), F.length("c").cast("long").alias("n_chars"), F.array_join("t", "|").alias("tags"))
 
@@ -131,7 +131,7 @@ def statute_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def para(x: Column, i: Column) -> Column:
         circled = F.substring(F.lit(CIRCLED), i + 1, F.lit(1))
-        body = F.when(x["l_partkey"] % 13 == 0, F.concat(circled, F.lit(" 삭제 <2019.1.15>"))).otherwise(F.concat(circled, F.lit("  부품 "), s(x["l_partkey"]), F.lit(" <개정 2020.2."), s(x["l_suppkey"] % 9 + 1), F.lit(">")))
+        body = F.when(x["l_partkey"] % 13 == 0, F.concat(circled, F.lit(" 삭제 <2022.11.30>"))).otherwise(F.concat(circled, F.lit("  부품 "), s(x["l_partkey"]), F.lit(" <개정 2020.2."), s(x["l_suppkey"] % 9 + 1), F.lit(">")))
         text = F.when(x["l_partkey"] % 3 == 0, F.concat(F.lit("["), quoted(body), F.lit(',"",["끝"]]'))).otherwise(quoted(body))
         item = obj(pair("호번호", F.lit('"9의2. "')), pair("호내용", quoted(F.concat(F.lit(" 종류 "), x["l_returnflag"]))), pair("목", obj(pair("목번호", F.lit('"가."')), pair("목내용", quoted(s(x["l_suppkey"]))))))
         return obj(pair("항번호", quoted(circled)), pair("항내용", text), F.when(x["l_suppkey"] % 2 == 0, pair("호", item)))
@@ -139,9 +139,9 @@ def statute_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     num, br = s(F.col("o_orderkey") % 900 + 1), F.col("o_orderkey") % 7 == 0
     label = F.concat(F.lit("제"), num, F.lit("조"), F.when(br, "의2").otherwise(""))
     k = F.col("o_orderkey")
-    content = F.when(k % 5 == 1, F.when(k % 10 == 1, F.concat(F.lit(" 제"), num, F.lit("장  "), F.col("o_orderpriority"), F.lit(" <개정 2012.2.1>"))).otherwise("  ")).when(
-        k % 11 == 0, F.concat(label, F.lit(" 삭제 <2014.1.21>"))
-    ).otherwise(F.concat(label, F.lit("("), F.col("o_orderpriority"), F.lit(") 머리 "), F.col("o_orderstatus"), F.lit(" <개정 2018.3.20>")))
+    content = F.when(k % 5 == 1, F.when(k % 10 == 1, F.concat(F.lit(" 제"), num, F.lit("장  "), F.col("o_orderpriority"), F.lit(" <개정 2016.6.7>"))).otherwise("  ")).when(
+        k % 11 == 0, F.concat(label, F.lit(" 삭제 <2013.10.2>"))
+    ).otherwise(F.concat(label, F.lit("("), F.col("o_orderpriority"), F.lit(") 머리 "), F.col("o_orderstatus"), F.lit(" <개정 2017.8.9>")))
     until = F.lit("의 개정규정은 2022년 12월 31일까지 유효함]")
     note = (
         F.when(k % 6 == 1, F.concat(F.lit("[법 제1조 및 "), label, until)).when(k % 6 == 2, F.concat(F.lit("["), label, F.lit("제1항, "), label, F.lit("제3항"), until))
@@ -164,7 +164,7 @@ def statute_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {UNITS} SELECT o_orderkey AS key, '법률 ' || o_custkey AS law_name, label, br AS branch, chapter, status, scope, n_paras::INT AS n_paragraphs,
   coalesce((SELECT count(*) FROM p WHERE l_orderkey = o_orderkey AND gone), 0)::INT AS n_deleted,
   CASE WHEN status = 'partially_expired' THEN (SELECT count(*) FROM p WHERE l_orderkey = o_orderkey AND n IN (1, 3)) ELSE 0 END::INT AS n_expired,
-  CASE WHEN dead THEN '2014.1.21' ELSE '개정 2018.3.20' END AS first_tag,
+  CASE WHEN dead THEN '2013.10.2' ELSE '개정 2017.8.9' END AS first_tag,
   1 + (SELECT count(DISTINCT CASE WHEN gone THEN 'x' ELSE (l_suppkey % 9)::VARCHAR END) FROM p WHERE l_orderkey = o_orderkey) AS n_tags,
   CASE WHEN dead THEN '삭제' ELSE '머리 ' || o_orderstatus END || coalesce((SELECT string_agg(chr(10) ||
     substr('①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳', n, 1) || ' 부품 ' || l_partkey || CASE WHEN l_partkey % 3 = 0 THEN chr(10) || '끝' ELSE '' END

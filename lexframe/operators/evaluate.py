@@ -9,6 +9,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+MAX_RUNS = 1000
+
 
 def in_scope(expected: Column) -> Column:
     """A missing value is in scope."""
@@ -39,8 +41,11 @@ def question_ranks(questions: DataFrame, rankings: DataFrame, by: list[str] | No
     top = articles.where("article_rank <= 3").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("article_rank", "law", "article"))).alias("_t"))
     top = top.select(*keys, F.transform("_t", lambda t: F.struct(t["law"].alias("law"), t["article"].alias("article"))).alias("top3"))
     if by:
-        runs = rankings.select(*by).distinct()
-        each = scoped.withColumn("_r", F.lit(1)).join(F.broadcast(runs.withColumn("_r", F.lit(1))), "_r").drop("_r")
+        runs = rankings.select(*by).distinct().limit(MAX_RUNS + 1).collect()
+        if len(runs) > MAX_RUNS:
+            raise ValueError(f"over {MAX_RUNS} runs are not compared at once")
+        each = scoped.withColumn("_run", F.explode(F.array(*(F.struct(*(F.lit(r[c]).alias(c) for c in by)) for r in runs)))) if runs else scoped.where("false").withColumn("_run", F.struct(*(F.lit(None).alias(c) for c in by)))
+        each = each.select(*(F.col(f"_run.{c}").alias(c) for c in by), *scoped.columns)
     else:
         each = scoped
     out = each.join(best, keys, "left").join(top, keys, "left")

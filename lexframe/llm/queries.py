@@ -151,14 +151,14 @@ WITH w AS (
          len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cover.n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN cover ON w.doc_id = cover.doc_id
 ), bits AS (
-  SELECT *, ({bits})::BIGINT AS fail_bits FROM m
+  SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN n_repeat_words * 10 > n_words * 3 THEN 2 ELSE 0 END + CASE WHEN n_symbols * 4 > n_words THEN 4 ELSE 0 END
+    + CASE WHEN n_dup_lines > 10 AND n_dup_lines > n_lines - n_dup_lines THEN 8 ELSE 0 END + CASE WHEN word_chars < n_words * 2 THEN 16 ELSE 0 END
+    + CASE WHEN word_chars > n_words * 40 THEN 32 ELSE 0 END + CASE WHEN n_words >= 20 AND n_upper * 4 > word_chars * 3 THEN 64 ELSE 0 END)::BIGINT AS fail_bits FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits,
-       (fail_bits & {base}) <> 0 AS base_failed, (fail_bits & {all}) = 0 AS kept
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, fail_bits = 0 AS kept
 FROM bits
-""".replace("{bits}", " + ".join(f"CASE WHEN {rule} THEN {quality_rules.bit(name)} ELSE 0 END" for name, rule in quality_rules.RULES.items())).replace(
-    "{base}", str(sum(quality_rules.bit(r) for r in quality_rules.BASE))
-).replace("{all}", str(sum(quality_rules.bit(r) for r in quality_rules.BASE) | quality_rules.mask(quality_rules.CURRENT)))
+"""
 
 
 def op9_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ COUNTED = "struct<length:int,terms:array<string>,tfs:array<int>>"
 
 @dataclass
 class Index:
-    """docs (pos, length, terms, tfs), terms (term, df, idf), and the two corpus figures."""
+    """docs (pos, length, terms, tfs; key where pos only numbers the positions), terms (term, df, idf), and two corpus figures."""
 
     docs: DataFrame
     terms: DataFrame
@@ -66,8 +66,13 @@ def build_index(chunks: DataFrame, pos: str = "pos", text: str = "text", runs: s
     """idf = ln(1 + (n - df + 0.5) / (df + 0.5)); empty chunks count in n and in the mean length.
 
     keep(table) writes a table and returns it as read back: texts are taken apart once, whatever the number of searches.
+    Positions that are no integers, as those of chunks, are numbered in their order and come back in the results.
     """
-    docs = keep(chunks.select(F.col(f"`{pos}`").cast("bigint").alias("pos"), counted(F.col(f"`{text}`"), runs).alias("c")).select("pos", "c.*"))
+    df = chunks.select(F.col(f"`{pos}`").alias("key"), counted(F.col(f"`{text}`"), runs).alias("c")).select("key", "c.*")
+    if df.schema["key"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        docs = keep(df.select(F.col("key").cast("bigint").alias("pos"), "length", "terms", "tfs"))
+    else:
+        docs = keep(df.orderBy("key").withColumn("pos", F.monotonically_increasing_id()))
     figures = docs.agg(F.count("*"), F.sum("length")).first()
     n, total = figures[0], figures[1] or 0
     df = docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
@@ -136,4 +141,7 @@ def bm25_search(index: Index, terms: DataFrame, k: int, k1: float = 1.5, b: floa
         # Several blocks run in turn, and only their winners stay.
         found.append(part if blocks == 1 else keep(part))
     names = weighted.select("q", "qid").distinct()
-    return top_k(reduce(DataFrame.unionByName, found).join(F.broadcast(names) if blocks == 1 else names, "q").select("qid", "pos", "score"), k, True, digits)
+    best = top_k(reduce(DataFrame.unionByName, found).join(F.broadcast(names) if blocks == 1 else names, "q").select("qid", "pos", "score"), k, True, digits)
+    if "key" not in index.docs.columns:
+        return best
+    return best.join(index.docs.select("pos", "key"), "pos").select("qid", F.col("key").alias("pos"), "score", "rank")

@@ -57,6 +57,15 @@ def test_bm25_shuffles_winners_only(spark):
     assert [r.pos for r in lexical.bm25_search(index, terms, 5).where("qid = 2").orderBy("rank").collect()] == [499, 498, 497, 496, 495]
 
 
+def test_positions_of_chunks(spark):
+    """Positions that are structs come back, and later ones win ties by their order."""
+    rows = [(("b", 1), "가나 다"), (("a", 2), "가나 다"), (("a", 10), "가나 다"), (("c", 0), "라")]
+    index = lexical.build_index(spark.createDataFrame(rows, "pos struct<doc:string,n:int>, text string").repartition(3))
+    terms = lexical.query_terms(spark.createDataFrame([("q1", "가나")], "qid string, question string"))
+    got = lexical.bm25_search(index, terms, 2).orderBy("rank").collect()
+    assert [(r.qid, r.pos.doc, r.pos.n) for r in got] == [("q1", "b", 1), ("q1", "a", 10)]
+
+
 def test_expansion(spark):
     lexicon = spark.createDataFrame([
         ("월급", [("임금", "동의어"), ("봉급 표", "상위어"), ("벌금", "반의어")]), ("월급을", None), ("해고", []), ("해", [("x", "동의어")]), ("휴가", [("연차", "동의어"), ("임금", "동의어")]),

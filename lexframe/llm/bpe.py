@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
 #: KNOWN bounds the pieces, and the fragments, that a worker remembers: beyond it, it starts anew.
-MAX_FILE_MB, KNOWN, NONE, TEXTS = 64, 3 << 18, 1 << 62, 512
+MAX_FILE_MB, KNOWN, NONE, TEXTS = 64, 1 << 18, 1 << 62, 512
 
 #: Characters of scripts that all versions of Unicode class alike, as ranges: texts with others go to the installed library.
 SURE = ((0x00, 0x557), (0x2010, 0x2027), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))

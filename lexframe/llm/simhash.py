@@ -21,20 +21,20 @@ table gives an empty result. near_copies() names a text by a 64-bit hash of its
 
 from __future__ import annotations
 
-import re
+import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import UPPER, cut, drop, lower_ascii, words
+from .common import BLANK_RUN, cut, drop, lower_ascii, words
 
 SHINGLE, RADIUS = 3, 3
 #: Members of a leaf, children of a node; ranges at least, members of a range at most, tasks that share a range's visitors.
 LEAF, FAN, RANGES, RANGE_ROWS, DEALS = 8, 4, 64, 1 << 22, 16
 #: near_copies(): fingerprints of a text, their bits, and how often a repeated word counts at most.
-TABLES, COPY_BITS, COPY_SHINGLE, SIMILARITY, REPEATS = 6, 48, 5, 0.8, 3
+TABLES, COPY_BITS, COPY_SHINGLE, SIMILARITY, REPEATS = 5, 48, 5, 0.8, 3
 FRONTIER = 1 << 22
 
 
@@ -359,41 +359,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 def _sequence(text: Column) -> Column:
     """A hash that names the words of a text in their order."""
-    return F.xxhash64(F.array_join(words(lower_ascii(text)), " "))
+    return F.xxhash64(F.btrim(F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), BLANK_RUN, " ")))
 
 
-_BLANK_RUN = re.compile(r"[\x20\x09-\x0D]+")
-_LOWER = str.maketrans(UPPER, UPPER.lower())
+class WordBits(dict):
+    """TABLES * COPY_BITS bits of a hash of each word, as bytes; long words are not remembered."""
 
+    def __missing__(self, word: bytes) -> bytes:
+        bits = hashlib.blake2b(word, digest_size=TABLES * COPY_BITS // 8).digest()
+        if len(word) <= 64:
+            self[word] = bits
+        return bits
 
-def word_prints(texts: pa.Array, memo: dict) -> np.ndarray:
+
+def word_prints(texts: pa.Array, memo: WordBits) -> np.ndarray:
     """A row of TABLES fingerprints of COPY_BITS bits for each text, as uint64: majorities over the hashes of its words, each of
     which counts as often as it stands there, but REPEATS times at most."""
     out = np.zeros((len(texts), TABLES), np.uint64)
     width = TABLES * COPY_BITS
     for at in range(0, len(texts), 64):
+        if len(memo) > 1 << 17:
+            memo.clear()
         rows, weights, sizes = [], [], []
-        for text in texts[at : at + 64]:
-            counts: dict[str, int] = {}
-            for w in _BLANK_RUN.split((text.as_py() or "").translate(_LOWER)):
-                counts[w] = counts.get(w, 0) + 1
-            counts.pop("", None)
-            for w in counts:
-                if (got := memo.get(w)) is None:
-                    got = b"".join(xxhash.xxh64_intdigest(w.encode(), seed=t).to_bytes(8, "little")[: COPY_BITS // 8] for t in range(TABLES))
-                    if len(w) <= 64:
-                        if len(memo) >= 1 << 17:
-                            memo.clear()
-                        memo[w] = got
-                rows.append(got)
-            weights += [min(n, REPEATS) for n in counts.values()]
+        for text in texts[at : at + 64].to_pylist():
+            # Bytes know ASCII letters and blanks only, just as words() and lower_ascii().
+            counts = Counter((text or "").encode().lower().split())
+            rows += map(memo.__getitem__, counts)
+            weights += counts.values()
             sizes.append(len(counts))
         sizes = np.array(sizes)
         full = np.flatnonzero(sizes)
         if not len(full):
             continue
         bits = np.unpackbits(np.frombuffer(b"".join(rows), np.uint8).reshape(-1, width // 8), axis=1, bitorder="little")
-        weights = np.array(weights, np.uint8)
+        weights = np.minimum(weights, REPEATS).astype(np.uint8)
         starts = (np.cumsum(sizes) - sizes)[full]
         sums = np.add.reduceat(bits * weights[:, None], starts, axis=0, dtype=np.int32)
         over = (2 * sums > np.add.reduceat(weights, starts, dtype=np.int32)[:, None]).reshape(len(full), TABLES, COPY_BITS)
@@ -406,7 +405,7 @@ def word_prints(texts: pa.Array, memo: dict) -> np.ndarray:
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = COPY_SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(h, least, component_id) of the texts, named by their hash h, that have company: least is the smallest id of a text, and
     component_id the smallest id of the texts that are linked to it, directly or through others."""
-    memo: dict = {}
+    memo = WordBits()
 
     def run(texts: pa.Array) -> pa.Array:
         found = word_prints(texts, memo)

@@ -105,7 +105,7 @@ class Runs:
 
     def add(self, batch: DataFrame) -> None:
         """batch: (h1, h2, n_docs, keeper), a row per hash. New hashes enter with their keeper; known ones add to the counts."""
-        batch = cut(batch.select("h1", "h2", F.col("n_docs").cast("bigint"), F.col("keeper").cast("bigint")).repartition(self.buckets, "h1", "h2"), "batch")
+        batch = cut(batch.select("h1", "h2", F.col("n_docs").cast("bigint"), F.col("keeper").cast("bigint")), "batch")
         # Both sides of the second anti-join lie in the shared folder.
         with _setting(self.spark, *SORTED_SCANS):
             fresh = cut(self.fresh(batch), "fresh") if self.runs else batch

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, licenses, line_dedup, quality_pu, quality_rules, simhash, suffix_dedup, toxicity, warc
+from . import bpe, conversations, decontam, licenses, line_dedup, quality_pu, quality_rules, runs, simhash, suffix_dedup, toxicity, vectors, warc
 from .common import cut, scratch
 from .features import held_out
 
@@ -172,11 +172,149 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e, label FROM embeddings
+), ok AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.r AS x, b.r AS y FROM ok a JOIN ok b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach(r, c) AS (
+  SELECT r, vec_id FROM v UNION SELECT links.y, reach.c FROM reach JOIN links ON links.x = reach.r
+), least AS (
+  SELECT r, min(c) AS component_id FROM reach GROUP BY r
+), counted AS (
+  SELECT x AS r, count(*) AS n FROM links GROUP BY x
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN least USING (r) LEFT JOIN counted USING (r)
+"""
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    figures, turns = conversations.repair(conversations.damage(_table(spark, sf_dir, "conversations")), copies="copies")
+    digests = conversations.text_digests(turns).withColumnRenamed("conv_id", "c")
+    out = figures.join(digests, F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    return out.select("conv_id", *conversations.FIGURES, "audit", F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+#: The CRC-32 of a text of ASCII characters, bit by bit: the polynomial of zlib.
+CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda z, y: CASE WHEN z & 1 = 1 THEN xor(z >> 1, 3988292384) ELSE z >> 1 END)))"""
+
+OP12_SQL = r"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations
+), hashed AS (
+  SELECT *, """ + CRC.format("k") + r""" % 20 AS what FROM named
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role,
+         CASE what WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hashed, unnest(range(CASE what WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))
+), t AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role || ':' || text) AS i FROM damaged
+), f AS (
+  SELECT *, lag(left(role, 1)) OVER c || left(role, 1) AS pair, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen
+  FROM t WINDOW c AS (PARTITION BY conv_id ORDER BY i)
+), g AS (
+  SELECT *, CASE WHEN body = '' THEN 'b' WHEN seen THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault, left(role, 1) AS x FROM f
+), e AS (
+  SELECT *, fault IN ('b', 'd') AS gone, (fault = 't')::INT AS cut FROM g
+), costs AS (
+  -- lightest (cost, audit) by last initial kept: none, s, u, a; insertions come before the next turn
+  SELECT conv_id, 0::BIGINT AS i, {'c': 0::BIGINT, 'a': ''} AS p0, {'c': 1000000000::BIGINT, 'a': ''} AS p1, {'c': 1000000000::BIGINT, 'a': ''} AS p2, {'c': 1000000000::BIGINT, 'a': ''} AS p3
+  FROM (SELECT DISTINCT conv_id FROM t)
+  UNION ALL
+  SELECT n.conv_id, n.i, {'c': p0.c + 3, 'a': p0.a || 'D'},
+         list_min([{'c': p1.c + 3, 'a': p1.a || 'D'}, {'c': CASE WHEN x = 's' AND NOT gone THEN p0.c + cut ELSE 1000000000 END, 'a': p0.a || 'K'}]),
+         list_min([{'c': c2.c + 3, 'a': c2.a || 'D'}, {'c': CASE WHEN x = 'u' AND NOT gone THEN o.c + cut ELSE 1000000000 END, 'a': o.a || 'K'}, {'c': CASE WHEN NOT gone THEN o.c + cut + 2 ELSE 1000000000 END, 'a': o.a || 'R'}]),
+         list_min([{'c': c3.c + 3, 'a': c3.a || 'D'}, {'c': CASE WHEN x = 'a' AND NOT gone THEN c2.c + cut ELSE 1000000000 END, 'a': c2.a || 'K'}, {'c': CASE WHEN NOT gone THEN c2.c + cut + 2 ELSE 1000000000 END, 'a': c2.a || 'R'}])
+  FROM (
+    SELECT *, list_min([p3, {'c': c2.c + 2, 'a': c2.a || 'I'}]) AS c3, list_min([p0, p1, list_min([p3, {'c': c2.c + 2, 'a': c2.a || 'I'}])]) AS o
+    FROM (SELECT *, list_min([p2, {'c': p0.c + 2, 'a': p0.a || 'I'}, {'c': p1.c + 2, 'a': p1.a || 'I'}, {'c': p3.c + 2, 'a': p3.a || 'I'}]) AS c2 FROM costs)
+  ) s JOIN e n ON n.conv_id IS NOT DISTINCT FROM s.conv_id AND n.i = s.i + 1
+), best AS (
+  SELECT conv_id, list_min([p0, p3, {'c': p2.c + 2, 'a': p2.a || 'I'}, {'c': p1.c + 4, 'a': p1.a || 'II'}]) AS b FROM costs
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1
+), walk AS (
+  SELECT conv_id, b.a AS audit, 0::BIGINT AS k, 0::BIGINT AS i, '' AS q, ''::VARCHAR AS lines FROM best
+  UNION ALL
+  SELECT w.conv_id, audit, k + 1, w.i + (step <> 'I')::INT, CASE WHEN step = 'D' THEN q WHEN step = 'K' THEN x ELSE nxt END,
+         CASE WHEN step = 'D' THEN lines ELSE lines || CASE WHEN lines = '' THEN '' ELSE chr(10) END
+           || CASE WHEN step = 'K' THEN role WHEN nxt = 'u' THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN step = 'I' THEN '' ELSE text END END
+  FROM (SELECT *, audit[k + 1] AS step, CASE WHEN q = 'u' THEN 'a' ELSE 'u' END AS nxt FROM walk WHERE k < length(audit)) w
+  LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.i = w.i + 1
+), told AS (
+  SELECT conv_id, CASE WHEN max(turn) IS NULL THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+         count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM e GROUP BY conv_id
+)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(b.b.c, 0) AS cost, coalesce(b.b.a, '') AS audit, sha256(coalesce(w.lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+LEFT JOIN told d ON d.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN walk w ON w.conv_id IS NOT DISTINCT FROM a.conv_id AND w.k = length(w.audit)
+"""
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(runs.plant(_table(spark, sf_dir, "documents")))
+    best = runs.longest(F.col("runs"))
+    df = found.withColumn("best", best)
+    length = -F.col("best.l")
+    return df.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), length.alias("length"), F.col("best.period").alias("period"),
+        F.floor(1000 * length / F.col("best.period")).alias("exponent_milli"), F.sha2(runs.listed(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, """ + CRC.format("doc_id::VARCHAR") + r""" AS h, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT r, doc_id, len(ws)::BIGINT AS n, ws, h % 10 = 0 AND len(ws) > 0 AS planted, h // 10 AS g, CASE WHEN len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM d
+), raw AS (
+  SELECT r, i, ws[i + 1] AS w FROM s, unnest(range(n)) AS u(i)
+), places AS (
+  SELECT r, n, i, CASE WHEN planted AND i >= a THEN a + (i - a) % (1 + (n - a) // (3 + g % 8)) ELSE i END AS j FROM s, unnest(range(n)) AS u(i)
+), w AS (
+  SELECT p.r, p.n, p.i, raw.w FROM places p JOIN raw ON raw.r = p.r AND raw.i = p.j
+), eq AS (
+  SELECT x.r, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.r = y.r AND x.w = y.w AND y.i > x.i AND (y.i - x.i) * 4 <= x.n
+), stretches AS (
+  SELECT r, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS grp FROM eq) GROUP BY r, q, grp
+  HAVING count(*) + q >= greatest(6, 4 * q)
+), found AS (
+  SELECT * FROM stretches a WHERE NOT EXISTS (SELECT 1 FROM stretches b WHERE b.r = a.r AND b.q < a.q AND b.start <= a.start AND b.start + b.length >= a.start + a.length)
+), gone AS (
+  SELECT DISTINCT r, unnest(range(start + q, start + length)) AS i FROM found
+), kept AS (
+  SELECT w.r, string_agg(w.w, ' ' ORDER BY w.i) AS text FROM w ANTI JOIN gone ON gone.r = w.r AND gone.i = w.i GROUP BY w.r
+), told AS (
+  SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS listed,
+         min({'l': -length, 's': start, 'q': q}) AS b FROM found GROUP BY r
+)
+SELECT s.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, -b.l AS length, b.q AS period, 1000 * -b.l // b.q AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM s LEFT JOIN told USING (r) LEFT JOIN kept USING (r)
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_line_dedup, op3_warc, op4_bpe, op5_toxicity, op6_suffix_dedup, op7_license_scan, op8_quality_rules, op9_quality_pu,
-        op10_simhash_near_dedup,
+        op10_simhash_near_dedup, op11_embedding_near_dedup, op12_conversation_repair, op13_periodic_runs,
     )
 }
-ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op6_suffix_dedup": OP6_SQL, "op8_quality_rules": OP8_SQL}
+ORACLE_SQL = {
+    "op2_line_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op6_suffix_dedup": OP6_SQL, "op8_quality_rules": OP8_SQL, "op11_embedding_near_dedup": OP11_SQL,
+    "op12_conversation_repair": OP12_SQL, "op13_periodic_runs": OP13_SQL,
+}

@@ -47,9 +47,13 @@ def to_int(text: Column) -> Column:
     return F.when(strip(text).rlike(r"^[+-]?\d+$"), strip(text).try_cast("int"))
 
 
+#: Fixed value: the label of an article and its title in brackets, as statutes write them.
+LABEL_PREFIX = r"(?U)^제\d+조(?:의\d+)?(?:\([^)]*\))?\s*"
+
+
 def strip_label(head: Column) -> Column:
     """Without one leading article label and title in brackets."""
-    return strip(F.regexp_replace(head, r"(?U)^제\d+조(?:의\d+)?(?:\([^)]*\))?\s*", ""))
+    return strip(F.regexp_replace(head, LABEL_PREFIX, ""))
 
 
 def bigrams(text: Column, runs: str = TOKEN_RUNS) -> Column:

@@ -35,15 +35,35 @@ def objects(v: Column) -> Column:
     return F.filter(as_list(v), is_object)
 
 
-#: The leaves of a JSON list in their order: objects, texts, other values but null.
-LEAVES = r'\{[^{}]*\}|"(?:[^"\\]|\\.)*"|[^\[\]{},":\s]+'
+#: The tokens of JSON as Spark writes it, without blanks: texts, brackets and marks, other values. What follows is a list's text.
+TOKENS = r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^{}\[\],:"]+'
+
+
+def _leaves(tokens: Column) -> Column:
+    """Texts of the leaves of a JSON list, from its tokens: texts, values but null, and objects, each as its own JSON.
+
+    One step for each token, with the number of open objects and the text of the outermost one as the state."""
+    value = lambda t: F.when(t.startswith('"'), get(F.parse_json(t), "$", "string")).otherwise(t)
+    state = lambda depth, held, found: F.struct(depth.cast("int").alias("depth"), held.alias("held"), found.alias("found"))
+
+    def step(s: Column, t: Column) -> Column:
+        depth = s["depth"] + F.when(t == "{", 1).when(t == "}", -1).otherwise(0)
+        held = F.when((s["depth"] > 0) | (t == "{"), F.concat(s["held"], t)).otherwise("")
+        ends = (s["depth"] > 0) & (depth == 0)
+        leaf = F.when(ends, held).when((s["depth"] == 0) & ~t.isin("{", "}", "[", "]", ",", ":", "null"), value(t))
+        return state(depth, F.when(ends, "").otherwise(held), F.when(leaf.isNotNull() & (leaf != ""), F.array_append(s["found"], leaf)).otherwise(s["found"]))
+
+    return F.aggregate(tokens, state(F.lit(0), F.lit(""), F.array().cast("array<string>")), step, lambda s: s["found"])
 
 
 def flatten_text(v: Column) -> Column:
-    """The text of a value: lists, however deeply nested, are joined by line ends without their empty parts."""
-    leaf = lambda x: F.when(x.startswith('"'), get(F.parse_json(x), "$", "string")).when(x != "null", x).otherwise("")
-    leaves = F.filter(F.transform(F.regexp_extract_all(F.to_json(v), F.lit(LEAVES), F.lit(0)), leaf), lambda t: t != "")
-    return F.when(is_nothing(v), "").when(get(v, "$", _NONE).isNotNull(), F.array_join(leaves, "\n")).otherwise(F.coalesce(get(v, "$", "string"), F.lit("")))
+    """The text of a value: lists, however deeply nested, are joined by line ends without their empty parts; an object that a list
+    holds is one text, its JSON."""
+    tokens = F.regexp_extract_all(F.to_json(v), F.lit(TOKENS), F.lit(0))
+    plain = F.filter(tokens, lambda t: ~t.isin("[", "]", ",", "null", '""'))
+    texts = F.transform(plain, lambda t: F.when(t.startswith('"'), get(F.parse_json(t), "$", "string")).otherwise(t))
+    joined = F.array_join(F.when(F.array_contains(tokens, "{"), _leaves(tokens)).otherwise(texts), "\n")
+    return F.when(is_nothing(v), "").when(get(v, "$", _NONE).isNotNull(), joined).otherwise(F.coalesce(get(v, "$", "string"), F.lit("")))
 
 
 def text(v: Column, name: str) -> Column:

@@ -1,21 +1,26 @@
-"""Character-bigram BM25 for batches of questions.
+"""Character-bigram BM25 for batches of questions: exact top-k that leaves out what cannot win.
 
-The index stays by document: a row holds a document's distinct bigrams and their counts, taken apart once. Questions are a table
-of weighted terms; blocks of at most MAX_BROADCAST_TERMS of them are broadcast, one block after the other. A task
-multiplies batches of documents with the block and keeps a running top-k for each question, so that no pair of a question and a
-document is ever shuffled but the winners of each task. Common bigrams, which hold most postings, therefore skew nothing.
+A document's distinct bigrams and their counts are taken apart once. Documents that are alike stand together in blocks of BLOCK:
+a block has its postings by term, and for each term the most occurrences and the shortest document, which bound what the term can
+add to any score there. Questions are a table of weighted terms; blocks of at most MAX_BROADCAST_TERMS of them are broadcast, one
+after the other, and searched in three passes over the index. The first sums up bounds alone and finds the blocks where a question
+may score highest; the second scores these, which gives each question a score that its k-th best document has at least; the third
+leaves out every block whose bound is below that, and scores the rest by strata, rare and heavy terms first, dropping a document
+for a question as soon as its score and what the other strata can add fall below. Only winners are shuffled, so common bigrams,
+which hold most postings, skew nothing.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import TOKEN_RUNS
@@ -26,14 +31,30 @@ MAX_BROADCAST_TERMS, CELLS, DIGITS = 1_000_000, 1 << 22, 9
 COUNTED = "struct<length:int,terms:array<string>,tfs:array<int>>"
 
 
+#: Documents of a block, and how many of a kind make one; sampled documents that others are likened to, and terms of one.
+BLOCK, LEAST, LEADERS, LEADER_TERMS = 64, 16, 128, 512
+#: Blocks that a question is first scored in, shares of a block's postings that end a stratum.
+PROBES, STRATA = 2, (0.08, 0.3)
+BLOCKS = "block bigint, pos binary, length binary, terms array<string>, starts binary, most binary, least binary, doc binary, tf binary"
+
+
 @dataclass
 class Index:
-    """docs (pos, length, terms, tfs; key where pos only numbers the positions), terms (term, df, idf), and two corpus figures."""
+    """docs (pos, length, terms, tfs; key where pos only numbers the positions), terms (term, df, idf), two corpus figures, and
+    blocks as block_table() makes them, with `dead`, the places in a block that count no more; they are made when they are needed."""
 
     docs: DataFrame
     terms: DataFrame
     n_docs: int
     mean_length: float
+    keep: Callable[[DataFrame], DataFrame] = lambda df: written(df, "blocks")
+    made: list[DataFrame] = field(default_factory=list)
+
+    @property
+    def blocks(self) -> DataFrame:
+        if not self.made:
+            self.made.append(self.keep(block_table(self.docs)).withColumn("dead", F.lit(None).cast("binary")))
+        return self.made[0]
 
 
 def counted(text: Column, runs: str = TOKEN_RUNS) -> Column:
@@ -77,7 +98,7 @@ def build_index(chunks: DataFrame, pos: str = "pos", text: str = "text", runs: s
     n, total = figures[0], figures[1] or 0
     df = docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     terms = df.withColumn("idf", F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    return Index(docs, terms, n, total / n if n else 0.0)
+    return Index(docs, terms, n, total / n if n else 0.0, keep)
 
 
 def query_terms(questions: DataFrame, expansions: DataFrame | None = None, weight: float = 0.5, qid: str = "qid", text: str = "question", runs: str = TOKEN_RUNS) -> DataFrame:
@@ -89,55 +110,258 @@ def query_terms(questions: DataFrame, expansions: DataFrame | None = None, weigh
     return each.groupBy("qid", F.col("t.terms").alias("term")).agg(F.sum(F.col("w") * F.col("t.tfs")).alias("qf"))
 
 
-def _block_scores(index: Index, block: DataFrame, k: int, k1: float, b: float, digits: int) -> DataFrame:
-    """(qid, pos, score): each task's winners for one block of (qid, term, w), which is bounded and broadcast."""
-    got = block.toArrow()
-    ids, q = np.unique(got.column("q").to_numpy(), return_inverse=True)
-    by = np.argsort(got.column("term").to_numpy(), kind="stable")
-    terms, at = np.unique(got.column("term").to_numpy()[by].astype(object), return_index=True)
-    shared = block.sparkSession.sparkContext.broadcast((ids, terms.tolist(), np.r_[at, len(by)], q[by], got.column("w").to_numpy()[by]))
-    mean = index.mean_length or 1.0
+def block_table(docs: DataFrame) -> DataFrame:
+    """Blocks of documents (pos, length, terms, tfs) that are alike: those nearest to one of LEADERS sampled documents, by length.
 
-    def run(batches):
-        ids, names, ends, owner, weight = shared.value
-        vocabulary, sizes, n = pa.array(names, pa.string()), np.diff(ends), len(ids)
-        if not n:
+    Which documents share a block changes no result, only how sharp the bounds are; the sample may therefore be bounded."""
+    sample = docs.where(F.size("terms") > 0).orderBy(F.xxhash64("pos")).limit(LEADERS).select(F.slice("terms", 1, LEADER_TERMS).alias("t")).collect()
+    names = sorted({x for r in sample for x in r.t})
+    at = {x: i for i, x in enumerate(names)}
+    leaders = np.zeros((len(names), max(1, len(sample))), np.float32)
+    for j, r in enumerate(sample):
+        leaders[[at[x] for x in r.t], j] = 1
+    weight = np.log1p(leaders.shape[1] / np.maximum(leaders.sum(1, keepdims=True), 1))
+    leaders = leaders * weight**2 / np.maximum(np.sqrt((leaders * weight**2).sum(0)), 1e-9)
+    shared = docs.sparkSession.sparkContext.broadcast((names, leaders))
+
+    def likened(batches):
+        names, leaders = shared.value
+        vocabulary = pa.array(names, pa.string())
+        for batch in batches:
+            lists = batch.column("terms")
+            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            term = pc.fill_null(pc.index_in(lists.flatten(), vocabulary), -1).to_numpy()
+            kind = np.zeros(len(batch), np.int32)
+            for i in range(len(batch) if names else 0):
+                known = term[ends[i] : ends[i + 1]][:LEADER_TERMS]
+                kind[i] = int(leaders[known[known >= 0]].sum(0).argmax())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kind)], [*batch.schema.names, "kind"])
+
+    def blocked(batches):
+        first, n, held = TaskContext.get().partitionId() << 33, 0, []
+
+        def block() -> pa.RecordBatch:
+            nonlocal held, n
+            part, held = pa.Table.from_batches(held).combine_chunks().to_batches()[0], []
+            lists, length = part.column("terms"), part.column("length").to_numpy()
+            words = lists.flatten().dictionary_encode()
+            doc = np.repeat(np.arange(len(part), dtype=np.uint16), np.diff(lists.offsets.to_numpy()))
+            code, tf = words.indices.to_numpy(), part.column("tfs").flatten().to_numpy()
+            order = np.argsort(code, kind="stable")
+            doc, tf, starts = doc[order], tf[order].astype(np.int32), np.searchsorted(code[order], np.arange(len(words.dictionary) + 1))
+            at = starts[:-1]
+            most, least = (np.maximum.reduceat(tf, at), np.minimum.reduceat(length[doc], at)) if len(at) else (tf, length[:0])
+            packed = [pa.array([x.tobytes()], pa.binary()) for x in (part.column("pos").to_numpy(), length.astype(np.int32), starts.astype(np.int32), most.astype(np.int32), least.astype(np.int32), doc, tf)]
+            terms = pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary)
+            n += 1
+            return pa.RecordBatch.from_arrays([pa.array([first + n - 1]), packed[0], packed[1], terms, *packed[2:]], [c.split()[0] for c in BLOCKS.split(", ")])
+
+        size, kind = 0, None
+        for batch in batches:
+            kinds = batch.column("kind").to_numpy()
+            i = 0
+            while i < len(batch):
+                if size and (size == BLOCK or size >= LEAST and kinds[i] != kind):
+                    yield block()
+                    size = 0
+                kind = kinds[i]
+                same = np.flatnonzero(kinds[i:] != kind)
+                m = min(int(same[0]) if len(same) else len(batch) - i, BLOCK - size)
+                held.append(batch.slice(i, m))
+                size, i = size + m, i + m
+        if size:
+            yield block()
+
+    df = docs.where("length > 0 AND pos IS NOT NULL").select("pos", "length", "terms", "tfs").mapInArrow(likened, "pos bigint, length int, terms array<string>, tfs array<int>, kind int")
+    return df.repartitionByRange("kind", "length", "pos").sortWithinPartitions("kind", "length", "pos").mapInArrow(blocked, BLOCKS)
+
+
+class Asked:
+    """A block of weighted terms of questions: ids, and for each term who asks for it and with what weight."""
+
+    def __init__(self, q: np.ndarray, term: np.ndarray, weight: np.ndarray):
+        self.ids, q = np.unique(q, return_inverse=True)
+        by = np.argsort(term, kind="stable")
+        self.terms, at = np.unique(term[by].astype(object), return_index=True)
+        self.starts, self.owner, self.weight = np.r_[at, len(by)].astype(np.int64), q[by], weight[by]
+        self.names = None
+
+    def of(self, terms: pa.Array) -> np.ndarray:
+        """The number of each term, -1 where no question has it."""
+        if self.names is None:
+            self.names = pa.array(self.terms.tolist(), pa.string())
+        return pc.fill_null(pc.index_in(terms, self.names), -1).to_numpy()
+
+    def entries(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in `term`, place in owner and weight) of all who ask for these terms."""
+        n = self.starts[term + 1] - self.starts[term]
+        row = np.repeat(np.arange(len(term)), n)
+        return row, np.arange(int(n.sum())) + np.repeat(self.starts[term] - (np.cumsum(n) - n), n)
+
+
+class Block:
+    """The postings of a block that a question asks for, and their parts of a score without the weights."""
+
+    def __init__(self, row, asked: Asked, k1: float, b: float, mean: float, bounds_only: bool = False):
+        ints = lambda c, kind=np.int32: np.frombuffer(row[c].as_buffer(), kind)
+        number = asked.of(row["terms"].values)
+        self.here = np.flatnonzero(number >= 0)
+        self.term, value = number[self.here], lambda tf, length: tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
+        self.bound = value(ints("most")[self.here].astype(np.float64), ints("least")[self.here])
+        if bounds_only:
             return
-        best = Winners(n, k, digits, later_first=True)
-        step = max(1, CELLS // n)
+        starts = ints("starts").astype(np.int64)
+        self.size, self.pos, length = starts[self.here + 1] - starts[self.here], ints("pos", np.int64), ints("length")
+        self.row = np.repeat(np.arange(len(self.here)), self.size)
+        at = np.arange(len(self.row)) + np.repeat(starts[self.here] - (np.cumsum(self.size) - self.size), self.size)
+        self.doc = ints("doc", np.uint16)[at].astype(np.int64)
+        self.value = value(ints("tf")[at].astype(np.float64), length[self.doc])
+        if row["dead"].is_valid:
+            alive = ~np.isin(self.doc, ints("dead", np.uint16))
+            self.row, self.doc, self.value = self.row[alive], self.doc[alive], self.value[alive]
+            self.size = np.bincount(self.row, minlength=len(self.here))
+
+    def bounds(self, asked: Asked) -> np.ndarray:
+        """What a document of the block can score at most, for each question."""
+        row, at = asked.entries(self.term)
+        return np.bincount(asked.owner[at], self.bound[row] * asked.weight[at], len(asked.ids))
+
+
+def _scored(block: Block, asked: Asked, alive: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """(question, place, score) of the documents of a block that may reach the floors of the questions alive, exactly; and how many
+    postings there are for all questions, and how many were scored."""
+    row, at = asked.entries(block.term)
+    everything = int(block.size[row].sum())
+    local = np.full(len(asked.ids), -1)
+    local[alive] = np.arange(len(alive))
+    mine = local[asked.owner[at]] >= 0
+    weights = np.zeros((len(block.term), len(alive)))
+    weights[row[mine], local[asked.owner[at[mine]]]] = asked.weight[at[mine]]
+    order = np.argsort(-block.bound * weights.max(1, initial=0), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    share = np.cumsum(block.size[order]) / max(1, int(block.size.sum()))
+    cuts = [0, *(int(np.searchsorted(share, s)) + 1 for s in STRATA), len(order)]
+    docs, scored = len(block.pos), 0
+    bounded = weights * block.bound[:, None]
+    # The first stratum for all documents at once.
+    part = order[: cuts[1]]
+    first = rank[block.row] < cuts[1]
+    values = np.zeros((docs, len(part)))
+    values[block.doc[first], rank[block.row[first]]] = block.value[first]
+    scores = values @ weights[part]
+    scored += int((values > 0).sum(0) @ (weights[part] > 0).sum(1))
+    rest = bounded[order[cuts[1] :]].sum(0)
+    d, q = np.nonzero((scores + rest >= floor[alive]) & (scores + rest > 0))
+    score = scores[d, q]
+    # The others for the pairs that are left, by document.
+    by = np.lexsort((rank[block.row], block.doc))
+    doc, term, value, place = block.doc[by], block.row[by], block.value[by], rank[block.row[by]]
+    for lo, hi in zip(cuts[1:-1], cuts[2:], strict=True):
+        inside = (place >= lo) & (place < hi)
+        own_doc, own_term, own_value = doc[inside], term[inside], value[inside]
+        ends = np.searchsorted(own_doc, np.arange(docs + 1))
+        rest = rest - bounded[order[lo:hi]].sum(0)
+        step = max(1, CELLS // max(1, int(np.diff(ends).max(initial=1))))
+        for i in range(0, len(d), step):
+            dd, qq = d[i : i + step], q[i : i + step]
+            n = ends[dd + 1] - ends[dd]
+            pair = np.repeat(np.arange(len(dd)), n)
+            at = np.arange(len(pair)) + np.repeat(ends[dd] - (np.cumsum(n) - n), n)
+            w = weights[own_term[at], qq[pair]]
+            scored += int(np.count_nonzero(w))
+            score[i : i + step] += np.bincount(pair, own_value[at] * w, len(dd))
+        left = score + rest[q] >= floor[alive][q]
+        d, q, score = d[left], q[left], score[left]
+    found = score > 0
+    return alive[q[found]], d[found], score[found], everything, scored
+
+
+def _row(batch: pa.RecordBatch, i: int) -> dict:
+    return {c: batch.column(c)[i] for c in batch.schema.names}
+
+
+def _best_blocks(blocks: DataFrame, shared, k1: float, b: float, mean: float) -> DataFrame:
+    """(q, block): the PROBES blocks with the highest bounds of each question, by bounds alone."""
+
+    def run(batches):
+        asked = shared.value
+        best = Winners(len(asked.ids), PROBES, DIGITS, later_first=True)
         for batch in batches:
-            for i in range(0, len(batch), step):
-                part = batch.slice(i, step)
-                lists, length = part.column("terms"), part.column("length").to_numpy()
-                term = pc.fill_null(pc.index_in(lists.flatten(), vocabulary), -1).to_numpy()
-                tf = part.column("tfs").flatten().to_numpy()
-                doc = np.repeat(np.arange(len(part)), np.diff(lists.offsets.to_numpy()))
-                known = term >= 0
-                term, tf, doc = term[known], tf[known], doc[known]
-                value = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / mean))
-                scores = np.zeros(n * len(part))
-                # A bounded number of products at a time.
-                cuts = np.searchsorted(np.cumsum(sizes[term]), np.arange(CELLS, sizes[term].sum() + CELLS, CELLS), "right")
-                for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(term)], strict=True):
-                    t, m = term[lo:hi], sizes[term[lo:hi]]
-                    place = np.repeat(ends[t] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
-                    scores += np.bincount(owner[place] * len(part) + np.repeat(doc[lo:hi], m), np.repeat(value[lo:hi], m) * weight[place], len(scores))
-                best.add(scores.reshape(n, len(part)), part.column("pos").to_numpy(), 0.0)
+            for i in range(len(batch)):
+                bound = Block(_row(batch, i), asked, k1, b, mean, bounds_only=True).bounds(asked)
+                best.add(bound[:, None], np.array([batch.column("block")[i].as_py()]), 0.0)
+        q, block, bound = best.all()
+        yield pa.RecordBatch.from_arrays([pa.array(asked.ids[q]), pa.array(block), pa.array(bound)], ["q", "block", "bound"])
+
+    found = blocks.select("block", "terms", "most", "least").mapInArrow(run, "q bigint, block bigint, bound double")
+    ranked = top_k(found.select(F.col("q").alias("qid"), F.col("block").alias("pos"), F.col("bound").alias("score")), PROBES)
+    return ranked.select(F.col("qid").alias("q"), F.col("pos").alias("block"))
+
+
+def _search_blocks(blocks: DataFrame, shared, floors, k: int, k1: float, b: float, mean: float, digits: int, only: DataFrame | None = None, counts=None) -> DataFrame:
+    """(q, pos, score): each task's winners. floors: scores that the k-th best of each question has at least. only: (q, block), the
+    questions that a block is scored for, instead of all."""
+    given = only is not None
+    if given:
+        blocks = blocks.join(F.broadcast(only.groupBy("block").agg(F.collect_list("q").alias("asking"))), "block")  # PROBES for each question of a bounded block
+    columns = ["pos", "length", "terms", "starts", "most", "least", "doc", "tf", "dead", *(["asking"] if given else [])]
+
+    def run(batches):
+        asked, floor = shared.value, floors.value.copy()
+        slack = 10.0**-digits
+        best = Winners(len(asked.ids), k, digits, later_first=True)
+        total = done = 0
+        for batch in batches:
+            for i in range(len(batch)):
+                row = _row(batch, i)
+                block = Block(row, asked, k1, b, mean)
+                floor = np.maximum(floor, best.floor - slack)
+                if given:
+                    alive = np.searchsorted(asked.ids, np.sort(row["asking"].values.to_numpy()))
+                else:
+                    bound = block.bounds(asked)
+                    alive = np.flatnonzero((bound > 0) & (bound >= floor - slack))
+                for at in range(0, len(alive), max(1, CELLS // max(1, len(block.term)))):
+                    q, d, score, n, m = _scored(block, asked, alive[at : at + max(1, CELLS // max(1, len(block.term)))], floor - slack)
+                    best.offer(q, block.pos[d], score)
+                    done += m
+                total += int((block.size[asked.entries(block.term)[0]]).sum())
+        if counts is not None:
+            counts[0].add(total)
+            counts[1].add(done)
         q, pos, score = best.all()
         if len(q):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(pos), pa.array(score)], ["q", "pos", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(asked.ids[q]), pa.array(pos), pa.array(score)], ["q", "pos", "score"])
+
+    return blocks.select(*columns).mapInArrow(run, "q bigint, pos bigint, score double")
+
+
+def _block_scores(index: Index, block: DataFrame, k: int, k1: float, b: float, digits: int, counts=None) -> DataFrame:
+    """(q, pos, score): each task's winners for one block of (q, term, w), which is bounded and broadcast."""
+    got, context, mean = block.toArrow(), block.sparkSession.sparkContext, index.mean_length or 1.0
+    asked = Asked(got.column("q").to_numpy(), got.column("term").to_numpy(), got.column("w").to_numpy())
+    shared, floor = context.broadcast(asked), np.full(len(asked.ids), -np.inf)
+    probes = _best_blocks(index.blocks, shared, k1, b, mean)
+    seen = _search_blocks(index.blocks, shared, context.broadcast(floor), k, k1, b, mean, digits, probes)
+    for r in top_k(seen.select(F.col("q").alias("qid"), "pos", "score"), k, True, digits).where(F.col("rank") == k).collect():  # a row for each question of the block
+        floor[np.searchsorted(asked.ids, r.qid)] = r.score
+    return _search_blocks(index.blocks, shared, context.broadcast(floor), k, k1, b, mean, digits, counts=counts)
 
-    return index.docs.select("pos", "length", "terms", "tfs").mapInArrow(run, "q bigint, pos bigint, score double")
 
+def bm25_search(index: Index, terms: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, max_broadcast: int = MAX_BROADCAST_TERMS, digits: int = DIGITS, keep: Callable[[DataFrame], DataFrame] = lambda df: written(df, "terms"), counts=None) -> DataFrame:
+    """(qid, pos, score, rank): the k best documents of each question that share a term with it, exactly. Weights are not negative,
+    k1 is over 0 and b from 0 to 1, as the bounds need it.
 
-def bm25_search(index: Index, terms: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, max_broadcast: int = MAX_BROADCAST_TERMS, digits: int = DIGITS, keep: Callable[[DataFrame], DataFrame] = lambda df: written(df, "terms")) -> DataFrame:
-    """(qid, pos, score, rank): the k best documents of each question that share a term with it, exactly."""
+    counts: two accumulators, for the postings of all terms asked for and for those that were scored."""
+    if k1 <= 0 or not 0 <= b <= 1:
+        raise ValueError("k1 must be over 0 and b between 0 and 1")
     weighted = keep(terms.join(index.terms.select("term", "idf"), "term").select("qid", F.xxhash64("qid").alias("q"), "term", (F.col("qf") * F.col("idf")).alias("w")))
     blocks = max(1, -(-weighted.count() // max(1, max_broadcast // 2)))
     found = []
     for i in range(blocks):
         block = weighted if blocks == 1 else weighted.where(F.pmod("q", F.lit(blocks)) == i)
-        part = _block_scores(index, block.select("q", "term", "w"), k, k1, b, digits)
+        part = _block_scores(index, block.select("q", "term", "w"), k, k1, b, digits, counts)
         # Several blocks run in turn, and only their winners stay.
         found.append(part if blocks == 1 else keep(part))
     names = weighted.select("q", "qid").distinct()

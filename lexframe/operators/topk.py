@@ -20,9 +20,17 @@ class Winners:
         """scores: a row for each question, a column for each position; those of `least` or less are no candidates."""
         rounded = np.round(scores, self.digits)
         row, column = np.nonzero((rounded >= self.floor[:, None]) & (scores > least))
-        self.held.append((row, pos[column], scores[row, column]))
-        self.size += len(row)
-        if self.size > 1 << 18 or self.floor.min(initial=np.inf) == -np.inf:
+        self._hold(row, pos[column], scores[row, column])
+
+    def offer(self, q: np.ndarray, pos: np.ndarray, score: np.ndarray) -> None:
+        """Single candidates."""
+        good = np.round(score, self.digits) >= self.floor[q]
+        self._hold(q[good], pos[good], score[good])
+
+    def _hold(self, q: np.ndarray, pos: np.ndarray, score: np.ndarray) -> None:
+        self.held.append((q, pos, score))
+        self.size += len(q)
+        if self.size > min(1 << 18, max(1 << 12, 2 * len(self.q))):
             self._settle()
 
     def _settle(self) -> None:

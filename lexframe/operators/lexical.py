@@ -5,9 +5,9 @@ a block has its postings by term, and for each term the most occurrences and the
 add to any score there. Questions are a table of weighted terms; blocks of at most MAX_BROADCAST_TERMS of them are broadcast, one
 after the other, and searched in three passes over the index. The first sums up bounds alone and finds the blocks where a question
 may score highest; the second scores these, which gives each question a score that its k-th best document has at least; the third
-leaves out every block whose bound is below that, and scores the rest by strata, rare and heavy terms first, dropping a document
-for a question as soon as its score and what the other strata can add fall below. Only winners are shuffled, so common bigrams,
-which hold most postings, skew nothing.
+leaves out every block whose bound is below that, and scores the rest term by term, those first that can add most, dropping a
+document for a question as soon as its score and what the other terms can add fall below. Only winners are shuffled, so common
+bigrams, which hold most postings, skew nothing.
 """
 
 from __future__ import annotations
@@ -33,9 +33,9 @@ COUNTED = "struct<length:int,terms:array<string>,tfs:array<int>>"
 
 #: Documents of a block, and how many of a kind make one; sampled documents that others are likened to, and terms of one.
 BLOCK, LEAST, LEADERS, LEADER_TERMS = 64, 16, 128, 512
-#: Blocks that a question is first scored in, shares of a block's postings that end a stratum.
-PROBES, STRATA = 2, (0.08, 0.3)
-BLOCKS = "block bigint, pos binary, length binary, terms array<string>, starts binary, most binary, least binary, doc binary, tf binary"
+#: Blocks that a question is first scored in, terms of a question that are scored at first.
+PROBES, CHUNK = 8, 2
+BLOCKS = "block bigint, pos array<bigint>, length binary, terms array<string>, starts binary, most binary, least binary, doc binary, tf binary"
 
 
 @dataclass
@@ -53,7 +53,7 @@ class Index:
     @property
     def blocks(self) -> DataFrame:
         if not self.made:
-            self.made.append(self.keep(block_table(self.docs)).withColumn("dead", F.lit(None).cast("binary")))
+            self.made.append(self.keep(block_table(self.docs)).withColumn("dead", F.lit(None).cast("array<int>")))
         return self.made[0]
 
 
@@ -96,9 +96,16 @@ def build_index(chunks: DataFrame, pos: str = "pos", text: str = "text", runs: s
         docs = keep(df.orderBy("key").withColumn("pos", F.monotonically_increasing_id()))
     figures = docs.agg(F.count("*"), F.sum("length")).first()
     n, total = figures[0], figures[1] or 0
-    df = docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    terms = df.withColumn("idf", F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    return Index(docs, terms, n, total / n if n else 0.0, keep)
+    return Index(docs, with_idf(document_counts(docs), n), n, total / n if n else 0.0, keep)
+
+
+def document_counts(docs: DataFrame) -> DataFrame:
+    """(term, df): in how many documents each term stands."""
+    return docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def with_idf(counts: DataFrame, n_docs: int) -> DataFrame:
+    return counts.withColumn("idf", F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
 def query_terms(questions: DataFrame, expansions: DataFrame | None = None, weight: float = 0.5, qid: str = "qid", text: str = "question", runs: str = TOKEN_RUNS) -> DataFrame:
@@ -151,10 +158,10 @@ def block_table(docs: DataFrame) -> DataFrame:
             doc, tf, starts = doc[order], tf[order].astype(np.int32), np.searchsorted(code[order], np.arange(len(words.dictionary) + 1))
             at = starts[:-1]
             most, least = (np.maximum.reduceat(tf, at), np.minimum.reduceat(length[doc], at)) if len(at) else (tf, length[:0])
-            packed = [pa.array([x.tobytes()], pa.binary()) for x in (part.column("pos").to_numpy(), length.astype(np.int32), starts.astype(np.int32), most.astype(np.int32), least.astype(np.int32), doc, tf)]
+            packed = [pa.array([x.tobytes()], pa.binary()) for x in (length.astype(np.int32), starts.astype(np.int32), most.astype(np.int32), least.astype(np.int32), doc, tf)]
             terms = pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary)
             n += 1
-            return pa.RecordBatch.from_arrays([pa.array([first + n - 1]), packed[0], packed[1], terms, *packed[2:]], [c.split()[0] for c in BLOCKS.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array([first + n - 1]), pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column("pos")), packed[0], terms, *packed[1:]], [c.split()[0] for c in BLOCKS.split(", ")])
 
         size, kind = 0, None
         for batch in batches:
@@ -211,13 +218,13 @@ class Block:
         if bounds_only:
             return
         starts = ints("starts").astype(np.int64)
-        self.size, self.pos, length = starts[self.here + 1] - starts[self.here], ints("pos", np.int64), ints("length")
+        self.size, self.pos, length = starts[self.here + 1] - starts[self.here], row["pos"].values.to_numpy(), ints("length")
         self.row = np.repeat(np.arange(len(self.here)), self.size)
         at = np.arange(len(self.row)) + np.repeat(starts[self.here] - (np.cumsum(self.size) - self.size), self.size)
         self.doc = ints("doc", np.uint16)[at].astype(np.int64)
         self.value = value(ints("tf")[at].astype(np.float64), length[self.doc])
         if row["dead"].is_valid:
-            alive = ~np.isin(self.doc, ints("dead", np.uint16))
+            alive = ~np.isin(self.doc, row["dead"].values.to_numpy())
             self.row, self.doc, self.value = self.row[alive], self.doc[alive], self.value[alive]
             self.size = np.bincount(self.row, minlength=len(self.here))
 
@@ -227,54 +234,40 @@ class Block:
         return np.bincount(asked.owner[at], self.bound[row] * asked.weight[at], len(asked.ids))
 
 
-def _scored(block: Block, asked: Asked, alive: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+def _scored(block: Block, asked: Asked, alive: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(question, place, score) of the documents of a block that may reach the floors of the questions alive, exactly; and how many
-    postings there are for all questions, and how many were scored."""
+    postings were scored. Each question goes through its terms from the one that can add most, a few at a time and then more, and
+    drops a document as soon as its score and all that is left fall below the floor."""
     row, at = asked.entries(block.term)
-    everything = int(block.size[row].sum())
     local = np.full(len(asked.ids), -1)
     local[alive] = np.arange(len(alive))
     mine = local[asked.owner[at]] >= 0
-    weights = np.zeros((len(block.term), len(alive)))
-    weights[row[mine], local[asked.owner[at[mine]]]] = asked.weight[at[mine]]
-    order = np.argsort(-block.bound * weights.max(1, initial=0), kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    share = np.cumsum(block.size[order]) / max(1, int(block.size.sum()))
-    cuts = [0, *(int(np.searchsorted(share, s)) + 1 for s in STRATA), len(order)]
-    docs, scored = len(block.pos), 0
-    bounded = weights * block.bound[:, None]
-    # The first stratum for all documents at once.
-    part = order[: cuts[1]]
-    first = rank[block.row] < cuts[1]
-    values = np.zeros((docs, len(part)))
-    values[block.doc[first], rank[block.row[first]]] = block.value[first]
-    scores = values @ weights[part]
-    scored += int((values > 0).sum(0) @ (weights[part] > 0).sum(1))
-    rest = bounded[order[cuts[1] :]].sum(0)
-    d, q = np.nonzero((scores + rest >= floor[alive]) & (scores + rest > 0))
-    score = scores[d, q]
-    # The others for the pairs that are left, by document.
-    by = np.lexsort((rank[block.row], block.doc))
-    doc, term, value, place = block.doc[by], block.row[by], block.value[by], rank[block.row[by]]
-    for lo, hi in zip(cuts[1:-1], cuts[2:], strict=True):
-        inside = (place >= lo) & (place < hi)
-        own_doc, own_term, own_value = doc[inside], term[inside], value[inside]
-        ends = np.searchsorted(own_doc, np.arange(docs + 1))
-        rest = rest - bounded[order[lo:hi]].sum(0)
-        step = max(1, CELLS // max(1, int(np.diff(ends).max(initial=1))))
+    row, at = row[mine], at[mine]
+    owner, weight, most = local[asked.owner[at]], asked.weight[at], block.bound[row] * asked.weight[at]
+    order = np.lexsort((-most, owner))
+    row, weight = row[order], weight[order]
+    first, last = np.searchsorted(owner[order], np.arange(len(alive))), np.searchsorted(owner[order], np.arange(len(alive)), "right")
+    summed = np.r_[0, np.cumsum(most[order])]
+    values = np.zeros((len(block.pos), len(block.term)))
+    values[block.doc, block.row] = block.value
+    docs, floor, scored, found, at, chunk = len(block.pos), floor[alive], 0, [], 0, CHUNK
+    d, q, score = np.repeat(np.arange(docs), len(alive)), np.tile(np.arange(len(alive)), docs), np.zeros(docs * len(alive))
+    while len(d):
+        step = CELLS // chunk
         for i in range(0, len(d), step):
-            dd, qq = d[i : i + step], q[i : i + step]
-            n = ends[dd + 1] - ends[dd]
-            pair = np.repeat(np.arange(len(dd)), n)
-            at = np.arange(len(pair)) + np.repeat(ends[dd] - (np.cumsum(n) - n), n)
-            w = weights[own_term[at], qq[pair]]
-            scored += int(np.count_nonzero(w))
-            score[i : i + step] += np.bincount(pair, own_value[at] * w, len(dd))
-        left = score + rest[q] >= floor[alive][q]
-        d, q, score = d[left], q[left], score[left]
-    found = score > 0
-    return alive[q[found]], d[found], score[found], everything, scored
+            own = first[q[i : i + step], None] + at + np.arange(chunk)
+            inside = own < last[q[i : i + step], None]
+            own[~inside] = 0
+            value = values[d[i : i + step, None], row[own]] * inside
+            scored += int(np.count_nonzero(value))
+            score[i : i + step] += (value * weight[own]).sum(1)
+        at, chunk = at + chunk, max(CHUNK, min((at + chunk) // 4, 64))
+        ends = last[q] <= first[q] + at
+        left = score + summed[last[q]] - summed[np.minimum(first[q] + at, last[q])] >= floor[q]
+        won = ends & left & (score > 0)
+        found.append((alive[q[won]], d[won], score[won]))
+        d, q, score = (x[left & ~ends] for x in (d, q, score))
+    return *(np.concatenate(x) for x in zip(*found, strict=True)), scored
 
 
 def _row(batch: pa.RecordBatch, i: int) -> dict:
@@ -322,8 +315,9 @@ def _search_blocks(blocks: DataFrame, shared, floors, k: int, k1: float, b: floa
                 else:
                     bound = block.bounds(asked)
                     alive = np.flatnonzero((bound > 0) & (bound >= floor - slack))
-                for at in range(0, len(alive), max(1, CELLS // max(1, len(block.term)))):
-                    q, d, score, n, m = _scored(block, asked, alive[at : at + max(1, CELLS // max(1, len(block.term)))], floor - slack)
+                step = max(1, CELLS // (CHUNK * max(1, len(block.pos))))
+                for at in range(0, len(alive), step):
+                    q, d, score, m = _scored(block, asked, alive[at : at + step], floor - slack)
                     best.offer(q, block.pos[d], score)
                     done += m
                 total += int((block.size[asked.entries(block.term)[0]]).sum())

@@ -8,7 +8,7 @@ import json
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators import answers, dense, evaluate, expand, fuse, lexical
+from ..operators import answers, dense, evaluate, expand, fuse, lexical, versions
 from ..sources import readers, writers
 from ..sources.scratch import shared_path
 from .retrieval import DENSE, FUSED, INDEX, OWN_TERMS, RANKS, REVERSED, SEARCH, _dense, _ranks, _vectors, table
@@ -104,9 +104,8 @@ def question_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.unionByName(bad.select("split", F.lit("bad").alias("kind"), F.lit(None).cast("string").alias("id"), F.md5("line").alias("content_md5"), F.lit(None).cast("int").alias("n_gold")))
 
 
-@query("""SELECT '법 ' || o_custkey AS name, o_orderkey::VARCHAR AS serial, strftime(o_orderdate, '%Y%m%d') AS effective, o_orderstatus AS status_code FROM orders WHERE o_custkey % 40 <> 3""")
-def version_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of version lists; those of one page in forty say that they failed."""
+def _version_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions out of pages of version lists; those of one page in forty say that they failed."""
     row = F.struct(F.concat(F.lit("법 "), s(F.col("o_custkey"))).alias("법령명한글"), s(F.col("o_orderkey")).alias("법령일련번호"), F.date_format("o_orderdate", "yyyyMMdd").alias("시행일자"), F.col("o_orderstatus").alias("현행연혁코드"))
     pages = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 40).alias("k"), (F.col("o_orderkey") % 16).alias("part")).agg(F.collect_list(row).alias("law"))
     one = F.to_json(F.struct(F.struct(F.lit("00").alias("resultCode"), F.col("law")[0].alias("law")).alias("LawSearch")))
@@ -114,8 +113,25 @@ def version_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = F.to_json(F.struct(F.struct(F.lit("01").alias("resultCode"), F.lit("오류").alias("resultMsg"), F.col("law")).alias("LawSearch")))
     value = F.when(F.col("k") == 3, failed).when(F.size("law") == 1, one).otherwise(many)
     path = _land(pages.select(F.concat_ws("-", "k", "part").alias("k"), value.alias("value")), spark, "pages")
-    versions, _ = readers.read_version_pages(spark, path)
-    return versions.select("name", "serial", "effective", "status_code")
+    return readers.read_version_pages(spark, path)[0]
+
+
+@query("""SELECT '법 ' || o_custkey AS name, o_orderkey::VARCHAR AS serial, strftime(o_orderdate, '%Y%m%d') AS effective, o_orderstatus AS status_code FROM orders WHERE o_custkey % 40 <> 3""")
+def version_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _version_pages(spark, sf_dir).select("name", "serial", "effective", "status_code")
+
+
+@query("""
+WITH v AS (SELECT o_custkey, o_orderkey, strftime(o_orderdate, '%Y%m%d') AS eff, o_orderstatus FROM orders WHERE o_custkey % 40 <> 3),
+best AS (SELECT * FROM v WHERE eff <= '19970101' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY eff DESC, o_orderkey DESC) = 1)
+SELECT c_custkey AS request_id, CASE WHEN o_custkey IS NULL THEN 'skipped' ELSE 'chosen' END AS status, o_orderkey::VARCHAR AS serial, eff AS effective, o_orderstatus AS status_code
+FROM customer LEFT JOIN best ON o_custkey = c_custkey
+""")
+def version_pages_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed version lists straight into the selection of the versions in force."""
+    requests = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id"), F.concat(F.lit("법"), s(F.col("c_custkey"))).alias("name"), F.lit("19970101").alias("on_date"))
+    picked = versions.pick_versions(_version_pages(spark, sf_dir), requests)
+    return picked.select("request_id", "status", "version.serial", "version.effective", "version.status_code")
 
 
 def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:

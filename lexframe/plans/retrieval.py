@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import dense, evaluate, expand, fuse, lexical, lookup
+from ..operators import dense, evaluate, expand, fuse, lexical, lookup, segments
+from ..sources.scratch import shared_path
 
 QUERIES, SQL = {}, {}
 FAMILY = lookup.LawFamily("보기나무법", "보기나무법 시행령", "보기나무법 시행규칙", ("나무법", "법"))
@@ -25,15 +26,16 @@ def query(sql: str | None = None):
     return add
 
 
-#: (doc, length, term, tf) of documents and the corpus figures, by character bigrams.
+#: Documents, (doc, length, term, tf) of them and the corpus figures, by character bigrams.
 INDEX = r"""
-runs AS (SELECT doc_id AS pos, unnest(regexp_extract_all(text, '[가-힣]+|[a-zA-Z]+|\p{Nd}+')) AS w FROM documents),
+docs AS (SELECT doc_id, text FROM documents),
+runs AS (SELECT doc_id AS pos, unnest(regexp_extract_all(text, '[가-힣]+|[a-zA-Z]+|\p{Nd}+')) AS w FROM docs),
 toks AS (
   SELECT pos, w AS term FROM runs WHERE length(w) = 1
   UNION ALL SELECT pos, substr(w, i, 2) FROM runs, unnest(range(1, length(w))) AS t(i) WHERE length(w) > 1
 ),
 tfs AS (SELECT pos, term, count(*) AS tf FROM toks GROUP BY ALL),
-lens AS (SELECT d.doc_id AS pos, coalesce(sum(tf), 0) AS len FROM documents d LEFT JOIN tfs ON d.doc_id = tfs.pos GROUP BY 1),
+lens AS (SELECT d.doc_id AS pos, coalesce(sum(tf), 0) AS len FROM docs d LEFT JOIN tfs ON d.doc_id = tfs.pos GROUP BY 1),
 figures AS (SELECT count(*)::DOUBLE AS n, avg(len) AS mean FROM lens),
 idfs AS (SELECT term, count(*) AS df, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tfs, figures GROUP BY term)
 """
@@ -68,6 +70,19 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("qid", F.col("pos").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"WITH {INDEX}, {OWN_TERMS}, q AS (SELECT qid, term, sum(wt) AS qf FROM own GROUP BY ALL), {SEARCH} SELECT qid, pos AS doc_id, score, rank FROM top WHERE rank <= 5")
+def bm25_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index that changes: one document in fifty is deleted and comes back as a second segment."""
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "pos")
+    changed = docs.where(F.col("pos") % 50 == 7)
+    grown = segments.Segments(spark, shared_path(spark, "segments"))
+    grown.add(docs)
+    grown.delete(changed)
+    grown.add(changed)
+    found = lexical.bm25_search(grown.index(), lexical.query_terms(_questions(spark, sf_dir)), 5)
+    return found.select("qid", F.col("pos").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"WITH {INDEX} SELECT term, df, round(idf, 9) AS idf FROM idfs")
 def bigram_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _index(spark, sf_dir).terms.select("term", "df", F.round("idf", 9).alias("idf"))

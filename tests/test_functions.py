@@ -1,3 +1,6 @@
+import json
+import random
+
 from pyspark.sql import functions as F
 
 from lexframe.functions import text as T, variants as V
@@ -41,3 +44,33 @@ def test_variants(spark):
     size = lambda s: one(spark, F.size(V.as_list(V.key(F.parse_json("t"), "x"))), t=s)
     assert [size(s) for s in ('{"x":[1,2]}', '{"x":{"a":1}}', '{"x":""}', "{}", '{"x":null}', '{"x":"a"}', '{"x":[]}')] == [2, 1, 0, 0, 0, 1, 0]
     assert one(spark, F.size(V.objects(V.key(F.parse_json("t"), "x"))), t='{"x":[1,{"a":1},"s"]}') == 1
+
+
+def flat(value) -> str:
+    """The text of a JSON value, recursively; an object in a list is its own JSON."""
+    if value is None or isinstance(value, str):
+        return value or ""
+    if isinstance(value, list):
+        return "\n".join(x for x in map(flat, value) if x)
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+
+
+def test_flatten_text_against_recursion(spark):
+    """Random JSON: nested lists and objects, with brackets, quotes and backslashes in texts and keys."""
+    rng = random.Random(11)
+    texts = ["a", "", "q}r", "[b]", '"', "\\", "{", "é, :", "null", "1", "\n x"]
+
+    def made(depth, inside):
+        kind = rng.random()
+        if depth and kind < 0.35:
+            return [made(depth - 1, inside) for _ in range(rng.randint(0, 4))]
+        if depth and kind < 0.6:
+            return {rng.choice(["k", "q}", "x[", "y"]) + str(i): made(depth - 1, True) for i in range(rng.randint(0, 3))}
+        # Objects are written back with sorted keys and numbers as Spark writes them, so these are plain.
+        return rng.choice([*texts, 7, True, None]) if not inside else rng.choice([*texts, 7, True])
+
+    values = [[made(4, False) for _ in range(rng.randint(0, 5))] for _ in range(400)] + [{"a": {"b": ["c", {}]}}, ["a", {"x": {"y": "b"}}], ["a", {"x": "q}r", "z": "w"}]]
+    rows = [(i, json.dumps({"x": v}, ensure_ascii=False)) for i, v in enumerate(values)]
+    got = spark.createDataFrame(rows, "i int, t string").select("i", V.flatten_text(V.key(F.parse_json("t"), "x")).alias("f")).collect()
+    for r in got:
+        assert r.f == flat(values[r.i]), values[r.i]

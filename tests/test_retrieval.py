@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexframe.functions.text import bigrams
-from lexframe.operators import dense, evaluate, expand, fuse, lexical, lookup
+from lexframe.operators import dense, evaluate, expand, fuse, lexical, lookup, segments
+from lexframe.sources.manifest import Conflict
 
 FAMILY = lookup.LawFamily("시험법", "시험법 시행령", "시험법 시행규칙", ("시법", "법"))
 
@@ -57,6 +58,110 @@ def test_bm25_shuffles_winners_only(spark):
     assert [r.pos for r in lexical.bm25_search(index, terms, 5).where("qid = 2").orderBy("rank").collect()] == [499, 498, 497, 496, 495]
 
 
+def scored(texts, questions, k):
+    """{question: [(position, score)]} of the k best, without an index."""
+    grams = lambda t: [w if len(w) == 1 else w[i : i + 2] for w in t.split() for i in range(max(1, len(w) - 1))]
+    docs = {p: Counter(grams(t)) for p, t in texts.items()}
+    mean, df = sum(map(Counter.total, docs.values())) / len(docs), Counter(t for d in docs.values() for t in d)
+    out = {}
+    for q, text in questions.items():
+        idf = {t: math.log(1 + (len(docs) - df[t] + 0.5) / (df[t] + 0.5)) * n for t, n in Counter(grams(text)).items()}
+        s = {p: sum(w * d[t] * 2.5 / (d[t] + 1.5 * (0.25 + 0.75 * d.total() / mean)) for t, w in idf.items() if d[t]) for p, d in docs.items()}
+        best = sorted(((round(x, 9), p) for p, x in s.items() if x > 0), reverse=True)[:k]
+        out[q] = [(p, round(x, 6)) for x, p in best]
+    return out
+
+
+def found(search):
+    out = {}
+    for r in sorted(search.collect(), key=lambda r: (r.qid, r.rank)):  # a sort in Spark would run the search twice
+        out.setdefault(r.qid, []).append((r.pos, round(r.score, 6)))
+    return out
+
+
+def topical(rng, n, topics):
+    """Texts out of an alphabet for each topic, with a few letters that all share."""
+    letters = [[chr(0xAC00 + 500 * t + 5 * i) for i in range(6)] for t in range(topics)]
+    word = lambda t: "".join(rng.choice(letters[t] if rng.random() < 0.9 else "가나") for _ in range(rng.randint(1, 4)))
+    return [" ".join(word(i % topics) for _ in range(rng.randint(0, 25))) for i in range(n)], lambda t: " ".join(word(t) for _ in range(6))
+
+
+def test_blocks_that_cannot_win_are_left_out(spark):
+    rng = random.Random(8)
+    words = [chr(0xAC00 + 40 * i) + chr(0xAC01 + 40 * i) for i in range(250)]
+    texts = [" ".join(rng.choices(words, [1 / (i + 3) for i in range(250)], k=rng.randint(5, 60))) for _ in range(2000)]
+    questions = {i: " ".join(texts[rng.randrange(2000)].split()[:25]) for i in range(40)}
+    index = lexical.build_index(chunks(spark, texts).repartition(3))
+    terms = lexical.query_terms(spark.createDataFrame(list(questions.items()), "qid int, question string"))
+    counts = (spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0))
+    assert found(lexical.bm25_search(index, terms, 10, counts=counts)) == scored(dict(enumerate(texts)), questions, 10)
+    every = lexical.query_terms(spark.createDataFrame([(0, words[0])], "qid int, question string"))
+    assert lexical.bm25_search(index, every, 2000).count() == len(scored(dict(enumerate(texts)), {0: words[0]}, 2000)[0])
+    # Of all pairs of a question and a posting of the whole index, not of the blocks that are visited alone.
+    own = terms.join(index.docs.select(F.explode("terms").alias("term")), "term").count()
+    assert counts[0].value == own and counts[1].value < 0.5 * own
+
+
+def test_a_search_with_other_parameters(spark):
+    texts, ask = topical(random.Random(9), 200, 4)
+    index = lexical.build_index(chunks(spark, texts))
+    terms = lexical.query_terms(spark.createDataFrame([(0, ask(0))], "qid int, question string"))
+    flat = found(lexical.bm25_search(index, terms, 300, k1=0.5, b=0.0))[0]
+    assert [p for p, _ in found(lexical.bm25_search(index, terms, 7, k1=0.5, b=0.0))[0]] == [p for p, _ in flat[:7]]
+    with pytest.raises(ValueError):
+        lexical.bm25_search(index, terms, 7, b=1.5)
+
+
+def test_segments_rank_as_an_index_built_anew(spark, tmp_path):
+    rng = random.Random(10)
+    texts, ask = topical(rng, 300, 5)
+    texts = dict(enumerate(texts)) | {300: "", 301: None}
+    questions = {t: ask(t) for t in range(5)}
+    terms = lexical.query_terms(spark.createDataFrame(list(questions.items()), "qid int, question string")).cache()
+    frame = lambda rows: spark.createDataFrame(list(rows.items()), "pos int, text string")
+    index = segments.Segments(spark, str(tmp_path / "index"))
+    assert lexical.bm25_search(index.index(), terms, 5).count() == 0
+
+    def check():
+        want = scored({p: t or "" for p, t in texts.items()}, questions, 8)
+        now = index.index()
+        assert (now.n_docs, found(lexical.bm25_search(now, terms, 8))) == (len(texts), want)
+
+    index.add(frame(texts))
+    before = {f.name for f in (tmp_path / "index").iterdir()}
+    new = {400 + i: ask(i % 5) for i in range(5)}
+    index.add(frame(new))
+    texts |= new
+    check()
+    added = {f.name.split("-")[0] for f in (tmp_path / "index").iterdir() if f.name not in before and f.name[0] != "."}
+    assert added == {"docs", "blocks", "counts", "manifest"}  # one new segment, and nothing of the old one is written again
+    gone = [3, 77, 300, 401, 9999]
+    index.delete(frame(dict.fromkeys([*gone, 3], "")))
+    index.delete(frame({77: ""}))
+    texts = {p: t for p, t in texts.items() if p not in gone}
+    check()
+    index.add(frame({3: "가나 " + ask(1)}))  # a position may come back
+    assert index.index().n_docs == len(texts) + 1
+    index.delete(frame({3: ""}))
+    check()
+    index.compact()
+    check()
+    assert len(index.state()[1]["segments"]) == 1
+    index.vacuum()
+    check()
+
+
+def test_two_writers_cannot_both_succeed(spark, tmp_path):
+    index = segments.Segments(spark, str(tmp_path / "index"))
+    index.add(chunks(spark, ["가나"]))
+    stale = segments.Segments(spark, str(tmp_path / "index"))
+    version, state = stale.state()
+    index.add(spark.createDataFrame([(5, "다라")], "pos bigint, text string"))
+    with pytest.raises(Conflict):
+        stale.manifest.commit(version, state)
+    assert index.index().n_docs == 2
+
+
 def test_positions_of_chunks(spark):
     """Positions that are structs come back, and later ones win ties by their order."""
     rows = [(("b", 1), "가나 다"), (("a", 2), "가나 다"), (("a", 10), "가나 다"), (("c", 0), "라")]
@@ -112,6 +217,44 @@ def test_dense_topk(spark, pack):
     assert dense.dense_topk(frame("pos"), frame("qid").where("false"), 3).count() == 0
 
 
+def clustered(rng, n, width):
+    centres = rng.normal(size=(20, width))
+    v = centres[rng.integers(0, 20, n)] + 0.1 * rng.normal(size=(n, width))
+    return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+
+
+def test_dense_index_skips_what_cannot_win(spark):
+    rng = np.random.default_rng(1)
+    v, q = clustered(rng, 3000, 12), None
+    v[50:90] = v[7]
+    q = np.concatenate([v[:100] + np.float32(0.01), rng.normal(size=(5, 12)).astype(np.float32)])
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(None, v[0].tolist()), (9001, None), (9002, [float("nan")] * 12), (9003, [1.0, 2.0])]
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} bigint, vec array<float>")
+    chunk, ask = frame(rows, "pos").repartition(3), frame([(i, x.tolist()) for i, x in enumerate(q)] + [(900, [1.0, 1.0])], "qid")
+    s = np.round(q.astype(float) @ v.T.astype(float), 6)
+    want = {i: np.lexsort((np.arange(len(v)), -s[i]))[:9].tolist() for i in range(len(q))} | {900: [9003]}
+    counts = (spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0))
+    index = dense.build_index(chunk, group_bytes=20_000, pack=64)
+    ways = [dense.search(index, ask, 9, counts=counts), dense.dense_topk(chunk, ask, 9), dense.dense_topk(chunk, ask, 9, question_bytes=2000), dense.dense_topk(chunk, ask, 9, question_bytes=5000)]
+    for way in ways:
+        got = {}
+        for r in sorted(way.collect(), key=lambda r: (r.qid, r.rank)):
+            got.setdefault(r.qid, []).append(r.pos)
+        assert got == want
+    packs = index.packs.count()
+    assert packs > 40 and counts[0].value - counts[1].value < 0.5 * packs * len(q)  # pairs of a question and a pack that met
+
+
+def test_dense_groups_are_bounded_by_bytes(spark):
+    """At width 768, packs are at most PACK_BYTES and no group is held with more than about twice GROUP_BYTES."""
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(2000, 768)).astype(np.float32)
+    index = dense.build_index(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "pos bigint, vec array<float>"), group_bytes=1 << 20)
+    sizes = [r.n for r in index.packs.select(F.length("vecs").alias("n")).collect()]
+    assert max(sizes) <= dense.PACK_BYTES and sum(sizes) == v.nbytes
+    assert all(parts >= 1 for *_, parts in index.groups)
+
+
 def ranking(spark, rows):
     return spark.createDataFrame(rows, "qid int, chunk_id string, rank int")
 

@@ -1,3 +1,4 @@
+import random
 import json
 
 import pytest
@@ -144,6 +145,57 @@ def test_versions(spark):
     assert [got[i].status for i in (3, 4)] == ["skipped", "skipped"] and got[3].version is None
 
 
+def test_versions_against_brute_force(spark):
+    rng = random.Random(12)
+    day = lambda: f"20{rng.randint(10, 14)}0{rng.randint(1, 3)}0{rng.randint(1, 3)}"
+    v = [(rng.choice(["가법", "가 법", "나법", None]), "1", rng.choice(["1", "2", "10", None, "x"]), rng.choice([day(), day(), None]), rng.choice([day(), None]), (f"p{rng.randint(0, 3)}", i)) for i in range(300)]
+    r = [(i, rng.choice(["가법", "나 법", "다법", None]), rng.choice([day(), day(), None])) for i in range(200)]
+    names = "name string, law_id string, serial string, effective string, promulgated string, place struct<page:string,row:int>"
+    got = {x.request_id: x.version and x.version.place for x in versions.pick_versions(spark.createDataFrame(v, names), spark.createDataFrame(r, "request_id int, name string, on_date string")).collect()}
+    assert len(got) == len(r)
+    bare = lambda n: n and n.replace(" ", "")
+    for i, name, on in r:
+        fit = [x for x in v if on is not None and name is not None and bare(x[0]) == bare(name) and (x[3] or "") <= on]
+        rank = lambda x: (x[3] or "", x[4] or "", int(x[2]) if (x[2] or "").isdigit() else 0)
+        best = min((x for x in fit if rank(x) == max(map(rank, fit))), key=lambda x: x[5], default=None)
+        assert got[i] == (best and best[5])
+
+
+def test_versions_meet_no_requests(spark):
+    """A name with 50,000 versions that is asked for 50,000 times: nothing in the plan has a row for each pair, or for each request
+    of one date before the last join."""
+    n = 50_000
+    date = F.date_format(F.date_add(F.lit("1950-01-01").cast("date"), (F.col("id") % 20_000).cast("int")), "yyyyMMdd")
+    v = spark.range(n).select(F.lit("법").alias("name"), F.lit("1").alias("law_id"), F.col("id").cast("string").alias("serial"), date.alias("effective"), F.lit("").alias("promulgated"), F.col("id").alias("pos"))
+    r = spark.range(n).select(F.col("id").alias("request_id"), F.lit("법").alias("name"), date.alias("on_date"))
+    picked = versions.pick_versions(v, r)
+    got = picked.agg(F.count("*"), F.sum((F.col("version.effective") == F.col("on_date")).cast("int")), F.max(F.col("version.serial").cast("int"))).first()
+    assert tuple(got) == (n, n, n - 1)
+    plan = picked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Window" in plan and "on_date" in plan[plan.index("Join") : plan.index("Join") + 200]
+
+
+def test_chapters_take_linear_time(spark):
+    """A code of thousands of headings and articles; each unit is visited once."""
+    import time
+
+    def code(n):
+        units = []
+        for i in range(n):
+            units.append({"조문번호": str(i), "조문여부": "전문", "조문내용": f"제{i}장 {i}" if i % 7 else "  "})
+            units.append({"조문번호": str(i), "조문여부": "조문", "조문내용": f"제{i}조 본문", "조문키": str(i)})
+        return json.dumps({"법령": {"기본정보": {}, "조문": {"조문단위": units}}}, ensure_ascii=False)
+
+    took = {}
+    for n in (500, 500, 4000):
+        df = spark.createDataFrame([("a", code(n))], "doc_key string, t string").select("doc_key", F.parse_json("t").alias("doc"))
+        began = time.time()
+        rows = parse.article_units(df).select("pos", "chapter").orderBy("pos").collect()
+        took[n] = time.time() - began
+        assert [(r.pos, r.chapter) for r in rows] == [(2 * i + 1, None if i == 0 else f"제{i if i % 7 else i - 1}장 {i if i % 7 else i - 1}") for i in range(n)]
+    assert took[4000] < 8 * 8 * took[500] / 2 + 5
+
+
 def test_version_pages(spark, tmp_path):
     row = {"법령명한글": "시험법", "법령ID": "1", "법령일련번호": "7", "시행일자": "20240101", "공포일자": "20230101", "현행연혁코드": "현행"}
     for name, page in {"1.json": {"LawSearch": {"resultCode": "00", "law": [row, row]}}, "2.json": {"LawSearch": {"law": row}}, "3.json": {"LawSearch": {}}, "4.json": {"LawSearch": {"resultCode": "01", "resultMsg": "오류"}}}.items():

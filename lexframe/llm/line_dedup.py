@@ -1,6 +1,6 @@
 """Line dedup over levelled sorted runs (native).
 
-Line keys are hashed to 128 bits. Documents arrive in batches, those with the largest ids first. A batch's hashes
+Line keys are hashed to 128 bits. Documents arrive in batches of about equal size, those with the largest ids first. A batch's hashes
 merge-anti-join the sorted runs: a hash that no run holds enters with its keeper, the document with the largest id; the others
 only add to the counts. Each batch leaves one sorted, bucketed run; FANOUT runs of a level are compacted into one of the next by
 merging them in their order. Runs are read in place, neither shuffled nor sorted; of a batch only 128-bit hashes are shuffled,
@@ -9,7 +9,7 @@ go, and is rebuilt once. A line that a third of all documents hold is dealt to S
 
 Defined cases: a null or empty text is one empty line; rows with a null id are returned unchanged and count for nothing; rows
 that repeat an id count as one document; an empty table gives an empty result; other columns pass through, and columns with
-the output names are replaced. Ids are integers.
+the output names are replaced. Ids are integers, of any size.
 """
 
 from __future__ import annotations
@@ -37,11 +37,10 @@ def _lines(text: Column) -> Column:
 def long_lines(docs: DataFrame, id_col: str, text: str, min_chars: int, batches: int) -> DataFrame:
     """(doc_id, th, pos, h1, h2, batch) of every line with a key of min_chars code points or more."""
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id IS NOT NULL")
-    ends = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-    lo, hi = (ends.lo or 0, ends.hi or 0)
-    width = max(1, -(-(hi - lo + 1) // batches))
-    # The newest documents, those with the largest ids, come in batch 0.
-    batch = ((F.lit(hi) - F.col("doc_id")) / F.lit(width)).cast("int")
+    # The newest documents, those with the largest ids, come in batch 0. Ids are only compared, so any integers will do.
+    shares = [i / batches for i in range(1, batches)]
+    bounds = docs.agg(F.percentile_approx("doc_id", shares, 10_000)).first()[0] if shares else None
+    batch = sum(((F.col("doc_id") <= F.lit(b)).cast("int") for b in bounds or ()), F.lit(0))
     keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), batch.alias("batch"), F.posexplode_outer(_lines(F.col("text"))).alias("pos", "line"))
     keyed = keyed.select("doc_id", "th", "batch", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     return keyed.select("doc_id", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "batch")

@@ -181,14 +181,24 @@ ARC_ROW = pa.schema([("file", pa.string()), ("place", pa.int64()), ("record_id",
 ARC_DDL = "file string, place bigint, record_id string, page_id bigint, uri string, date string, mime string, http_head binary, payload binary, payload_bytes bigint, payload_digest string, error string"
 
 
-def _arc_rows(file: str, stream, payloads: bool):
+def _below(file: str, roots: list[str]) -> str:
+    """The path of a file below the folder that was read, so that ids do not depend on where the folder lies."""
+    bare = lambda p: re.sub(r"^[a-zA-Z][\w+.-]*:(//[^/]*)?", "", p)
+    path = bare(file)
+    for root in sorted((bare(r).rstrip("/") for r in roots), key=len, reverse=True):
+        if path.startswith(f"{root}/"):
+            return path[len(root) + 1 :]
+    return path
+
+
+def _arc_rows(file: str, name_of_file: str, stream, payloads: bool):
     for n, (fields, block, error) in enumerate(parse_arc(stream)):
         if error:
             yield {"file": file, "place": n, "error": error}
             continue
         head, body = _http(block)
         d, digest = fields["Archive-date"], base32_sha1(body)
-        name = f"{file.rpartition('/')[2]} {n} {fields['URL']} {d} {digest}"
+        name = f"{name_of_file} {n} {fields['URL']} {d} {digest}"
         yield {
             "file": file, "place": n, "record_id": uuid.UUID(bytes=hashlib.sha1(name.encode()).digest()[:16], version=5).urn,
             "page_id": _page_id(_header(head, "X-Page-Id")), "uri": fields["URL"],
@@ -197,12 +207,14 @@ def _arc_rows(file: str, stream, payloads: bool):
         }
 
 
-def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+def read_arc(spark: SparkSession, path: str | list[str], payloads: bool = True) -> DataFrame:
     """The records of ARC files with the synthesised WARC identifier, timestamp and payload digest; file and place say where
     a record stands. error, where it is not null, says why there is no record."""
 
+    roots = [path] if isinstance(path, str) else path
+
     def run(batches):
-        yield from _out((r for file, stream in _each_file(batches) for r in _arc_rows(file, stream, payloads)), ARC_ROW)
+        yield from _out((r for file, stream in _each_file(batches) for r in _arc_rows(file, _below(file, roots), stream, payloads)), ARC_ROW)
 
     return _files(spark, path).mapInArrow(run, ARC_DDL)
 
@@ -252,7 +264,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int
                 refers = batch.column("refers").to_pylist()
                 for i, (file, stream) in enumerate(_each_file([batch])):
                     known = dict(refers[i] or ())
-                    for r in _arc_rows(file, stream, payloads=True):
+                    for r in _arc_rows(file, _below(file, [arc_path]), stream, payloads=True):
                         if r.get("error"):
                             continue
                         first = known.get(r["place"])
@@ -321,5 +333,6 @@ def resolve(records: DataFrame) -> DataFrame:
     join are then plain scans, and Spark splits a skewed one.
     """
     wanted = records.where("refers_to_record IS NOT NULL").select(F.col("refers_to_record").alias("record_id")).distinct()
-    targets = cut(records.select("record_id", "page_id").join(wanted, "record_id", "left_semi").select(F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to")), "targets")
+    targets = records.select("record_id", "page_id").join(wanted, "record_id", "left_semi").groupBy(F.col("record_id").alias("refers_to_record")).agg(F.min("page_id").alias("refers_to"))
+    targets = cut(targets, "targets")  # one row for each id, whatever the archives hold
     return records.join(targets, "refers_to_record", "left")

@@ -35,6 +35,14 @@ def test_against_brute_force(spark, batches):
     assert "component_id" in got.columns and got.columns.count("n_lines") == 1
 
 
+@pytest.mark.parametrize("ids", [[0, 1, 2, 3, 4], [0, 2**60, 2**61, 3 * 2**60, 2**62 - 1], [-(2**63), -1, 0, 1, 2**63 - 1], [2**63 - 1 - i for i in range(9)], [-(2**63), *range(8)], [5] * 6 + [6, 7, 8, 9]])
+def test_ids_of_any_size(spark, ids):
+    rows = [(i, "x" * 50 + f"\n{'y' * 40}{k % 2}") for k, i in enumerate(ids)]
+    for batches in (1, 4):
+        got = line_dedup.dedup_lines(documents(spark, rows), batches=batches)
+        assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got.collect()), key=str) == brute(rows, 40, 5)
+
+
 def test_empty(spark):
     assert line_dedup.dedup_lines(documents(spark, [])).count() == 0
 

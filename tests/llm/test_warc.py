@@ -93,3 +93,21 @@ def test_files_are_taken_in_groups(spark, tmp_path, monkeypatch):
     W.convert(spark, arc, out)
     got = W.resolve(W.read_warc(spark, out)).collect()
     assert {(r.page_id, r.refers_to) for r in got} == {(i, 0 if i else None) for i in range(12)}
+
+
+def test_files_of_one_name_in_two_folders(spark, tmp_path):
+    """Copies of an archive are records of their own: ids differ, one is the response, and each revisit has one row."""
+    W.write_arc(spark.createDataFrame(PAGES[:4], "page_id bigint, url string, html string").coalesce(1), str(tmp_path / "arc"))
+    data = next(f for f in (tmp_path / "arc").rglob("part-*")).read_bytes()
+    for folder in ("d1", "d2", "d2#x"):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "a.arc").write_bytes(data)
+    W.convert(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    got = W.resolve(W.read_warc(spark, str(tmp_path / "out"))).collect()
+    assert len(got) == 12 and len({r.record_id for r in got}) == 12 and all(r.intact for r in got)
+    responses = [r for r in got if r.record_type == "response"]
+    assert sorted(r.page_id for r in responses) == [1, 3]  # the empty payload, and "same"
+    ids = {r.record_id: r.page_id for r in responses}
+    assert all(r.refers_to == ids[r.refers_to_record] for r in got if r.record_type == "revisit")
+    again = {r.record_id for r in W.read_arc(spark, f"file:{tmp_path}/in").collect()}
+    assert again == {r.record_id for r in got}

@@ -95,9 +95,8 @@ class Segments:
         """Delete tables that the current version does not speak of; for when no reader has an older one open."""
         _, state = self.state()
         used = {*state["counts"], *(name for s in state["segments"] for name in (s["docs"], s["blocks"], *s["dead"]))}
-        found = self.manifest._files.listStatus(self.manifest._fs.Path(self.path))
-        for name in [f.getPath().getName() for f in found]:
-            if not name.startswith("manifest-") and name not in used:
+        for name in self.manifest.names():
+            if name not in used:
                 self.manifest.remove(name)
 
     def _counts(self, state: dict) -> DataFrame:

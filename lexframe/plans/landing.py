@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..operators import answers, dense, evaluate, expand, fuse, lexical, versions
 from ..sources import readers, writers
 from ..sources.scratch import shared_path
+from ..sources.vector_store import VectorStore, sorted_scans
 from .retrieval import DENSE, FUSED, INDEX, OWN_TERMS, RANKS, REVERSED, SEARCH, _dense, _ranks, _vectors, table
 
 QUERIES, SQL = {}, {}
@@ -171,20 +172,17 @@ def lexicon_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH t AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL), v AS (SELECT sha1(text) AS text_key, length(text)::DOUBLE AS a, (length(text) - length(replace(text, 'a', '')))::DOUBLE AS b FROM t)
 SELECT text_key, round(a / sqrt(a * a + b * b + 1), 4) AS v1, round(b / sqrt(a * a + b * b + 1), 4) AS v2 FROM v""")
 def embedding_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two runs append to a cache: the second encodes what the first has not, and what both appended counts once."""
+    """Three runs append to a store: each encodes what those before have not, the last one nothing; then it is compacted."""
 
     def encoder():
         return lambda texts: np.array([[len(t), t.count("a"), 1.0] for t in texts])
 
-    docs, path = table(spark, sf_dir, "documents"), shared_path(spark, "embeddings")
-    writers.append_embeddings(dense.embed_missing(docs.where("doc_id % 3 = 0"), spark.createDataFrame([], "text_key string"), encoder), path, "m")
-    writers.append_embeddings(dense.embed_missing(docs, readers_cache(spark, path), encoder), path, "m")
-    writers.append_embeddings(dense.embed_missing(docs.where("doc_id % 50 = 0"), spark.createDataFrame([], "text_key string"), encoder), path, "m")
-    return readers_cache(spark, path).select("text_key", F.round(F.col("vec")[0].cast("double"), 4).alias("v1"), F.round(F.col("vec")[1].cast("double"), 4).alias("v2"))
-
-
-def readers_cache(spark: SparkSession, path: str) -> DataFrame:
-    return writers.read_embeddings(spark, path, "m")
+    docs, store = table(spark, sf_dir, "documents"), VectorStore(spark, shared_path(spark, "embeddings"), "m", buckets=8)
+    with sorted_scans(spark):
+        for part in (docs.where("doc_id % 3 = 0"), docs, docs.where("doc_id % 50 = 0")):
+            store.append(dense.encode(store.missing(part), encoder))
+    store.compact()
+    return store.vectors().select("text_key", F.round(F.col("vec")[0].cast("double"), 4).alias("v1"), F.round(F.col("vec")[1].cast("double"), 4).alias("v2"))
 
 
 @query(f"""

@@ -48,6 +48,12 @@ class Manifest:
         stream.close()
         return after + 1
 
+    def names(self) -> list[str]:
+        """What lies in the folder, manifests and hidden files aside."""
+        folder = self._fs.Path(self.path)
+        found = [f.getPath().getName() for f in self._files.listStatus(folder)] if self._files.exists(folder) else []
+        return [n for n in found if not n.startswith(("manifest-", ".", "_"))]
+
     def remove(self, name: str) -> None:
         """Delete a table of the folder, of which no manifest that is still read speaks."""
         self._files.delete(self._fs.Path(f"{self.path}/{name}"), True)

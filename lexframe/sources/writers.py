@@ -1,29 +1,44 @@
-"""Writers: articles, chunks, embeddings, answers."""
+"""Writers: articles, chunks, answers; embeddings have a store of their own."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .scratch import written
 
-def write_articles(articles: DataFrame, path: str) -> None:
-    """Articles, deleted and expired ones too, as JSON lines by law."""
-    articles.withColumn("law_id", F.col("law.law_id")).write.partitionBy("law_id").json(path)
 
+#: Rows of a file.
+FILE_ROWS = 100_000
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Chunks of articles in force as JSON lines by law."""
-    chunks.write.partitionBy("law_id").json(path)
+
+def _clustered(rows: DataFrame, path: str, order: str, file_rows: int) -> None:
+    """Rows as JSON lines in as few files as they need, dealt by law, a large law to several; `_laws` says which laws a file holds."""
+    rows = written(rows, "laws")  # it is counted, sampled and written, and parsed once
+    files = max(1, -(-rows.count() // file_rows))
+    rows.repartitionByRange(files, "law_id", order).sortWithinPartitions("law_id", order).write.json(path)
+    laws = rows.sparkSession.read.schema("law_id string").json(path).select(F.col("_metadata.file_name").alias("file"), "law_id")
+    laws.groupBy("file").agg(F.min("law_id").alias("first"), F.max("law_id").alias("last"), F.count("*").alias("rows")).coalesce(1).write.json(f"{path}/_laws")
 
 
-def append_embeddings(vectors: DataFrame, path: str, model: str) -> None:
-    """(text_key, vec) appended to the cache of a model; files there are never rewritten."""
-    vectors.select("text_key", "vec").withColumn("model", F.lit(model)).write.mode("append").partitionBy("model").parquet(path)
+def write_articles(articles: DataFrame, path: str, file_rows: int = FILE_ROWS) -> None:
+    """Articles, deleted and expired ones too, as JSON lines by law."""
+    _clustered(articles.withColumn("law_id", F.col("law.law_id")), path, "pos", file_rows)
+
+
+def write_chunks(chunks: DataFrame, path: str, file_rows: int = FILE_ROWS) -> None:
+    """Chunks of articles in force as JSON lines by law."""
+    _clustered(chunks, path, "chunk_id", file_rows)
 
 
-def read_embeddings(spark: SparkSession, path: str, model: str) -> DataFrame:
-    """(text_key, vec) of one model; keys appended by several runs count once."""
-    cache = spark.read.schema("text_key string, vec array<float>, model string").parquet(path).where(F.col("model") == model)
-    return cache.groupBy("text_key").agg(F.first("vec").alias("vec"))
+def read_laws(spark: SparkSession, path: str, schema: str, law_ids: list[str]) -> DataFrame:
+    """What write_articles() or write_chunks() wrote of these laws; files that hold none of them are not opened."""
+    span = spark.read.schema("file string, first string, last string").json(f"{path}/_laws")
+    hit = reduce(or_, [(F.col("first") <= i) & (F.col("last") >= i) for i in law_ids], F.lit(False))
+    files = [f"{path}/{r.file}" for r in span.where(hit).select("file").collect()]
+    return spark.read.schema(schema).json(files).where(F.col("law_id").isin(law_ids)) if files else spark.createDataFrame([], schema)
 
 
 def write_answers(rows: DataFrame, path: str) -> None:

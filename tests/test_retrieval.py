@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lexframe.functions.text import bigrams
 from lexframe.operators import dense, evaluate, expand, fuse, lexical, lookup, segments
 from lexframe.sources.manifest import Conflict
+from lexframe.sources.vector_store import VectorStore, sorted_scans
 
 FAMILY = lookup.LawFamily("시험법", "시험법 시행령", "시험법 시행규칙", ("시법", "법"))
 
@@ -188,6 +189,73 @@ def test_expansion(spark):
     assert q[1, "임금"] == 0.5 and q[1, "월급"] == 1.0
 
 
+def test_terms_that_no_task_holds(spark):
+    """Through the filter of window hashes, the same terms are found as by looking for each in each text, in one pass."""
+    rng = random.Random(13)
+    texts = ["".join(rng.choice("가나다 라\u3000🙂a") for _ in range(rng.randint(0, 120))) for _ in range(60)] + [None, ""]
+    bare = ["".join((t or "").split()) for t in texts]
+    terms = {"".join(rng.choice("가나다라🙂a b") for _ in range(rng.randint(1, 5))) for _ in range(400)}
+    terms |= {b[i : i + n] for b in bare[:20] for n in (23, 24, 25, 60) for i in (0, 7) if len(b) >= i + n} | {bare[0][:30] + "x" * 30, "", " ", "x" * 200}
+    want = {t for t in terms if "".join(t.split()) and any("".join(t.split()) in b for b in bare)}
+    frame = spark.createDataFrame([(t,) for t in terms] + [(None,)], "term string")
+    for block in (10_000, 0):
+        assert {r.term for r in expand.in_corpus(frame, chunks(spark, texts).repartition(3), block=block).collect()} == want
+    assert {r.term for r in expand.in_corpus(frame, chunks(spark, texts), block=0, filter_bytes=64).collect()} == want  # a filter that is nearly full
+    assert expand.in_corpus(frame.where("false"), chunks(spark, texts), block=-1).count() == 0
+
+
+def test_vector_store(spark, tmp_path):
+    encoder = lambda: (lambda texts: np.array([[len(t), 1.0] for t in texts]))
+    store = VectorStore(spark, str(tmp_path / "store"), "m", buckets=3)
+    frame = lambda texts: spark.createDataFrame([(t,) for t in texts], "text string")
+    assert store.vectors().count() == 0 and store.with_vectors(frame(["a"])).count() == 0
+    for part in (["a", "b", "a", None], ["b", "c"], ["c"]):
+        store.append(dense.encode(store.missing(frame(part)), encoder))
+    assert store.missing(frame(["a", "c", "d"])).select("text").collect() == [("d",)]
+    other = VectorStore(spark, str(tmp_path / "store"), "other")
+    other.append(dense.encode(other.missing(frame(["z"])), encoder))
+    again = VectorStore(spark, str(tmp_path / "store"), "m", buckets=99)  # opened anew, it keeps its buckets
+    assert again.vectors().count() == 3 and again.with_vectors(frame(["a", "a", "c", "x"])).count() == 3
+    again.compact(buckets=5)
+    again.vacuum()
+    assert len(again._mine(again._state()[1])["runs"]) == 1 and again._mine(again._state()[1])["buckets"] == 5
+    store = VectorStore(spark, str(tmp_path / "store"), "m")
+    assert store.vectors().count() == 3 and VectorStore(spark, str(tmp_path / "store"), "other").vectors().count() == 1
+    for s in (store, other, again):
+        s.close()
+
+
+def test_concurrent_appends_are_merged(spark, tmp_path, monkeypatch):
+    rows = lambda *keys: spark.createDataFrame([(k, [1.0]) for k in keys], "text_key string, vec array<float>")
+    one, two = (VectorStore(spark, str(tmp_path / "store"), "m", buckets=2) for _ in range(2))
+    write, done = one._write, []
+
+    def late(df, buckets):
+        name = write(df, buckets)
+        if not done:
+            done.append(two.append(rows("b", "c")))  # another writer commits while this one writes
+        return name
+
+    monkeypatch.setattr(one, "_write", late)
+    one.append(rows("a", "b"))
+    assert sorted(r.text_key for r in VectorStore(spark, str(tmp_path / "store"), "m").vectors().collect()) == ["a", "b", "c"]
+
+
+def test_the_store_is_read_in_place(spark, tmp_path):
+    """What is missing is found without a vector being read, and runs are neither shuffled nor sorted."""
+    store = VectorStore(spark, str(tmp_path / "store"), "m", buckets=4)
+    for keys in (range(50), range(40, 90)):
+        store.append(spark.createDataFrame([(str(k), [1.0]) for k in keys], "text_key string, vec array<float>"))
+    texts = spark.createDataFrame([(str(i),) for i in range(200)], "text string")
+    with sorted_scans(spark):
+        df = store.missing(texts)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "vec" not in plan and plan.count("SortMergeJoin") == 2
+    # One shuffle and one sort of texts by key; the scans of runs have none above them.
+    assert plan.count("Exchange hash") == 1 and plan.count("Sort [") == 1
+
+
 def test_embedding_is_incremental(spark):
     def _encoder():  # local, so that it travels to the workers by value
         words = ["a", "b", "c", "d"]

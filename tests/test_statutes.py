@@ -128,6 +128,21 @@ def test_load_corpus_and_writers(spark, folder, tmp_path):
     assert spark.read.json(str(tmp_path / "articles")).count() == 12 and bad.count() == 3
 
 
+def test_writers_leave_few_files(spark, tmp_path):
+    """A file for so many rows, whatever the number of laws; a law with most rows goes to several; readers open what they need."""
+    rows = [(f"{i:04d}", f"{i:04d}:{k}", k) for i in range(300) for k in range(400 if i == 7 else 1)]
+    df = spark.createDataFrame(rows, "law_id string, chunk_id string, k int").repartition(4)
+    writers.write_chunks(df, str(tmp_path / "c"), file_rows=100)
+    files = [f for f in (tmp_path / "c").iterdir() if f.name.startswith("part-")]
+    assert 4 <= len(files) <= 7 and max(sum(1 for _ in f.open()) for f in files) < 300
+    schema = "law_id string, chunk_id string, k int"
+    assert spark.read.schema(schema).json(str(tmp_path / "c")).count() == len(rows)
+    few = writers.read_laws(spark, str(tmp_path / "c"), schema, ["0200", "0201"])
+    assert sorted(r.chunk_id for r in few.collect()) == ["0200:0", "0201:0"] and len(few.inputFiles()) <= 2
+    assert writers.read_laws(spark, str(tmp_path / "c"), schema, ["0007"]).count() == 400
+    assert writers.read_laws(spark, str(tmp_path / "c"), schema, ["9999"]).count() == 0
+
+
 def version(name, effective, promulgated, serial, pos):
     return (name, "1", serial, effective, promulgated, pos)
 

@@ -9,9 +9,11 @@ its visitors to one of them, so that no task has a share of all fingerprints. A
 pairs that it finds, the nearest pairs first, never all pairs; components are then joined by alternating star contractions
 over tables in the shared folder.
 
-near_duplicates() links documents by the fingerprints of their shingles alone. near_copies() is for near copies by similarity:
-TABLES fingerprints of the words of a text, COPY_BITS bits each, are candidates only, as one changed word moves few of their
-bits, and a pair is linked if the sets of its five-word shingles have a Jaccard similarity of 0.8 or more, computed exactly.
+near_duplicates() links documents by the fingerprints of their shingles alone. near_copies() is for near copies by similarity: COPY_BITS
+bits of the words of a text give candidates only, as one changed word moves few of them, and a pair is linked if the sets of its
+five-word shingles have a Jaccard similarity of 0.8 or more, computed exactly. A text has fingerprints of its whole, and of heads and
+tails of two sizes out of one row of sizes: where one text goes on after the other, or begins later, or has a passage more, a head
+or a tail of both is the same.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other, and are copies of each other; rows
 with a null id keep their fingerprint and form components of their own with a null component, and are always kept; rows that
@@ -22,7 +24,6 @@ table gives an empty result. near_copies() names a text by a 64-bit hash of its
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,11 @@ from .common import BLANK_RUN, cut, drop, lower_ascii, words
 SHINGLE, RADIUS = 3, 3
 #: Members of a leaf, children of a node; ranges at least, members of a range at most, tasks that share a range's visitors.
 LEAF, FAN, RANGES, RANGE_ROWS, DEALS = 8, 4, 64, 1 << 22, 16
-#: near_copies(): fingerprints of a text, their bits, and how often a repeated word counts at most.
-TABLES, COPY_BITS, COPY_SHINGLE, SIMILARITY, REPEATS = 5, 48, 5, 0.8, 3
+#: near_copies(): the bits of a fingerprint, and how often a repeated word counts at most; tables of whole texts, tables that bits are
+#: drawn for (those, heads and tails), fingerprints of a text, share of a text that a head may have, least words of a text with heads,
+#: least fingerprints of a range where there are many tables.
+COPY_BITS, COPY_SHINGLE, SIMILARITY, REPEATS = 48, 5, 0.8, 3
+WHOLE, PARTS, PRINTS, HEAD, LEAST_WORDS, SMALL = 2, 4, 6, 0.64, 18, 256
 FRONTIER = 1 << 22
 
 
@@ -211,10 +215,12 @@ def gray_rank_col(fp: Column) -> Column:
 def _ranges(ranked: DataFrame) -> dict[int, tuple[np.ndarray, GrayIndex]]:
     """For each table t of (t, fp, rank): the ranks at which its ranges begin, and the upper levels of its index over them. What
     comes to the driver is a few numbers for each range; ranges grow in number with the fingerprints."""
-    n = ranked.groupBy("t").count().agg(F.max("count")).first()[0] or 0
-    parts = max(RANGES, -(-n // RANGE_ROWS))
+    counts = {r.t: r["count"] for r in ranked.groupBy("t").count().collect()}
+    parts = max(RANGES, -(-max(counts.values(), default=0) // RANGE_ROWS))
     cuts = F.percentile_approx("rank", [i / parts for i in range(1, parts)], 100 * parts)
     bounds = {r.t: np.unique(np.array(r.cuts, np.int64)) for r in ranked.groupBy("t").agg(cuts.alias("cuts")).collect()}
+    if len(bounds) > WHOLE:  # many tables, some of them small: these have fewer ranges
+        bounds = {t: b[:: max(1, parts * SMALL // max(1, counts[t]))] for t, b in bounds.items()}
     shared = ranked.sparkSession.sparkContext.broadcast(bounds)
 
     def run(batches):
@@ -363,43 +369,72 @@ def _sequence(text: Column) -> Column:
 
 
 class WordBits(dict):
-    """TABLES * COPY_BITS bits of a hash of each word, as bytes; long words are not remembered."""
+    """PARTS * COPY_BITS bits of a hash of each word, as bytes; long words are not remembered."""
 
     def __missing__(self, word: bytes) -> bytes:
-        bits = hashlib.blake2b(word, digest_size=TABLES * COPY_BITS // 8).digest()
+        bits = hashlib.blake2b(word, digest_size=PARTS * COPY_BITS // 8).digest()
         if len(word) <= 64:
             self[word] = bits
         return bits
 
 
-def word_prints(texts: pa.Array, memo: WordBits) -> np.ndarray:
-    """A row of TABLES fingerprints of COPY_BITS bits for each text, as uint64: majorities over the hashes of its words, each of
-    which counts as often as it stands there, but REPEATS times at most."""
-    out = np.zeros((len(texts), TABLES), np.uint64)
-    width = TABLES * COPY_BITS
+def part_sizes(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Levels g and sizes of the two heads, and tails, that texts of n words have fingerprints of: 2^(g/2) words, for the two
+    largest g for which that is at most 0.64 n. Texts of which one is up to a quarter longer have a level in common."""
+    g = np.floor(2 * np.log2(np.maximum(HEAD * n, 1))).astype(np.int64)
+    levels = np.stack([g, g - 1], 1)
+    return levels, np.where((n >= LEAST_WORDS)[:, None], np.floor(2.0 ** (levels / 2)), 0).astype(np.int64)
+
+
+def word_prints(texts: pa.Array, memo: WordBits) -> tuple[np.ndarray, np.ndarray]:
+    """(tables, fingerprints), a row of PRINTS of each text: of its whole in two tables, and of its heads and tails in those of their
+    level; table -1 is none. A fingerprint has the majorities of COPY_BITS bits over the hashes of the words of its part, each of
+    which counts as often as it stands there, but REPEATS times at most, the first ones of a head, the last ones of a tail."""
+    tables, prints = np.full((len(texts), PRINTS), -1, np.int64), np.zeros((len(texts), PRINTS), np.uint64)
+    tables[:, :WHOLE] = np.arange(WHOLE)
     for at in range(0, len(texts), 64):
         if len(memo) > 1 << 17:
             memo.clear()
-        rows, weights, sizes = [], [], []
-        for text in texts[at : at + 64].to_pylist():
-            # Bytes know ASCII letters and blanks only, just as words() and lower_ascii().
-            counts = Counter((text or "").encode().lower().split())
-            rows += map(memo.__getitem__, counts)
-            weights += counts.values()
-            sizes.append(len(counts))
-        sizes = np.array(sizes)
-        full = np.flatnonzero(sizes)
+        # Bytes know ASCII letters and blanks only, just as words() and lower_ascii().
+        split = [(text or "").encode().lower().split() for text in texts[at : at + 64].to_pylist()]
+        full = np.array([i for i, w in enumerate(split) if w], np.int64)
         if not len(full):
             continue
-        bits = np.unpackbits(np.frombuffer(b"".join(rows), np.uint8).reshape(-1, width // 8), axis=1, bitorder="little")
-        weights = np.minimum(weights, REPEATS).astype(np.uint8)
-        starts = (np.cumsum(sizes) - sizes)[full]
-        sums = np.add.reduceat(bits * weights[:, None], starts, axis=0, dtype=np.int32)
-        over = (2 * sums > np.add.reduceat(weights, starts, dtype=np.int32)[:, None]).reshape(len(full), TABLES, COPY_BITS)
-        packed = np.zeros((len(full), TABLES, 8), np.uint8)
-        packed[:, :, : COPY_BITS // 8] = np.packbits(over, axis=2, bitorder="little")
-        out[at + full] = packed.view(np.uint64)[:, :, 0]
-    return out
+        split = [split[i] for i in full]
+        n = np.array([len(w) for w in split])
+        begin = np.cumsum(n) - n
+        ids, distinct = [], []
+        for w, b in zip(split, begin.tolist(), strict=True):
+            first: dict[bytes, int] = {}
+            ids.append(np.fromiter(map(first.setdefault, w, range(b, b + len(w))), np.int64, len(w)))
+            distinct.append(first)
+        ids = np.concatenate(ids)
+        bits = np.unpackbits(np.frombuffer(b"".join([memo[w] for first in distinct for w in first]), np.uint8).reshape(-1, PARTS * COPY_BITS // 8), axis=1, bitorder="little")
+        starts = np.cumsum([0, *map(len, distinct)])[:-1]
+        word = np.searchsorted(np.fromiter((p for first in distinct for p in first.values()), np.int64), ids)
+        # How often a word has stood before in its text, and how often it still will.
+        order = np.argsort(word, kind="stable")
+        count = np.bincount(word)
+        ends = np.cumsum(count)
+        before = np.empty(len(ids), np.int64)
+        before[order] = np.arange(len(ids)) - np.repeat(ends - count, count)
+        after = count[word] - 1 - before
+        text = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(ids)) - begin[text]
+        levels, sizes = part_sizes(n)
+        parts = [(k, before < REPEATS) for k in range(WHOLE)]
+        parts += [(WHOLE, (before < REPEATS) & (place < sizes[text, k])) for k in range(2)] + [(WHOLE + 1, (after < REPEATS) & (place >= (n - sizes[:, k])[text])) for k in range(2)]
+        for column, (section, inside) in enumerate(parts):
+            weight = np.bincount(word[inside], minlength=len(bits)).astype(np.uint8)
+            own = bits[:, section * COPY_BITS : (section + 1) * COPY_BITS] * weight[:, None]
+            over = 2 * np.add.reduceat(own, starts, axis=0, dtype=np.int32) > np.add.reduceat(weight, starts, dtype=np.int32)[:, None]
+            packed = np.zeros((len(n), 8), np.uint8)
+            packed[:, : COPY_BITS // 8] = np.packbits(over, axis=1, bitorder="little")
+            prints[at + full, column] = packed.view(np.uint64)[:, 0]
+            if column >= WHOLE:
+                kind, k = divmod(column - WHOLE, 2)
+                tables[at + full, column] = np.where(sizes[:, k] > 0, WHOLE + 2 * levels[:, k] + kind, -1)
+    return tables, prints
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = COPY_SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -408,14 +443,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     memo = WordBits()
 
     def run(texts: pa.Array) -> pa.Array:
-        found = word_prints(texts, memo)
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * TABLES), pa.array(found.view(np.int64).ravel()))
+        tables, found = word_prints(texts, memo)
+        good = tables >= 0
+        pairs = pa.StructArray.from_arrays([pa.array(tables[good]), pa.array(found.view(np.int64)[good])], ["t", "fp"])
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(good.sum(1))].astype(np.int32)), pairs)
 
     known = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id IS NOT NULL").withColumn("h", _sequence(F.col("text")))
-    names = [f"f{t}" for t in range(TABLES)]
-    rows = known.select("h", "doc_id", F.arrow_udf(run, "array<bigint>")("text").alias("f")).select("h", "doc_id", *(F.col("f")[t].alias(n) for t, n in enumerate(names)))
-    named = cut(cut(rows, "rows").groupBy("h").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), *(F.first(n).alias(n) for n in names)), "texts")
-    prints = named.select("h", F.posexplode(F.array(*names)).alias("t", "fp"))
+    rows = known.select("h", "doc_id", F.arrow_udf(run, "array<struct<t:bigint,fp:bigint>>")("text").alias("f"))
+    named = cut(cut(rows, "rows").groupBy("h").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("f").alias("f")), "texts")
+    prints = named.select("h", F.inline("f"))
     # Texts with one fingerprint are linked to the first of them, and those to each other.
     first = cut(prints.groupBy("t", "fp").agg(F.min("h").alias("first")), "classes")
     stars = prints.join(first, ["t", "fp"]).where("h <> first").select(F.col("h").alias("a"), F.col("first").alias("b"))

@@ -42,4 +42,4 @@ def test_registered(spark):
     import __spark_entry__ as entry
 
     names = list(entry.queries())
-    assert "pipeline" in names and [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{n}" for n in range(1, 11)]
+    assert "pipeline" in names and [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{n}" for n in range(1, 14)]

@@ -139,6 +139,42 @@ def test_near_copies(spark):
     assert len(want) < len(rows) - 20 and want <= kept and len(kept - want) <= 1
 
 
+def test_every_kind_of_edit_is_found(spark):
+    """Heads cut and put before, tails cut and appended, passages cut, put in and moved, words changed: down to the similarity."""
+    rng = random.Random(14)
+    some = lambda n: words(rng, n).split()
+    share = lambda n, most=0.2: rng.randint(n // 14, int(n * most))
+
+    def moved(w):
+        i, n = rng.randrange(len(w) * 3 // 4), len(w) // 7
+        rest = w[:i] + w[i + n :]
+        j = rng.randrange(len(rest))
+        return rest[:j] + w[i : i + n] + rest[j:]
+
+    def within(w, put):
+        i, n = rng.randrange(len(w) * 3 // 4), share(len(w), 0.15)
+        return w[:i] + some(n) + w[i:] if put else w[:i] + w[i + n :]
+
+    kinds = {
+        "head cut": lambda w: w[share(len(w)) :], "tail cut": lambda w: w[: -share(len(w))], "head put": lambda w: some(share(len(w), 0.24)) + w, "tail put": lambda w: w + some(share(len(w), 0.24)),
+        "moved": moved, "inserted": lambda w: within(w, True), "cut inside": lambda w: within(w, False), "words": lambda w: [rng.choice(some(1)) if rng.random() < 0.02 else x for x in w],
+    }
+    rows, pairs = [], []
+    for k, (kind, edit) in enumerate(kinds.items()):
+        for g in range(40):
+            w, i = some(rng.randint(40, 400)), 1000 * k + 2 * g
+            new = edit(w)
+            a, b = ({tuple(x[j : j + 5]) for j in range(max(1, len(x) - 4))} for x in (w, new))
+            rows += [(i, " ".join(w)), (i + 1, " ".join(new))]
+            if len(a & b) >= 0.8 * len(a | b) and a != b:
+                pairs.append((kind, i))
+    kept = {r.doc_id for r in S.keep_one(documents(spark, rows)).collect()}
+    assert {i for i, _ in rows if i % 2 == 0} <= kept
+    for kind in kinds:
+        mine = [i for name, i in pairs if name == kind]
+        assert len(mine) >= 10 and sum(i + 1 not in kept for i in mine) >= 0.97 * len(mine), kind
+
+
 def test_documents(spark):
     rng = random.Random(2)
     long = words(rng, 300)

@@ -12,7 +12,7 @@ from ..operators import answers, dense, evaluate, expand, fuse, lexical, version
 from ..sources import readers, writers
 from ..sources.scratch import shared_path
 from ..sources.vector_store import VectorStore, sorted_scans
-from .retrieval import DENSE, FUSED, INDEX, OWN_TERMS, RANKS, REVERSED, SEARCH, _dense, _ranks, _vectors, table
+from .retrieval import DENSE, FUSED, INDEX, RANKS, REVERSED, SEARCH, _dense, _ranks, _vectors, table
 
 QUERIES, SQL = {}, {}
 TODAY = "2026-01-01"
@@ -211,9 +211,17 @@ def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The dense ranking of RANKS, and one by the first half of the vectors, as runs.
-RUNS = RANKS.replace("hits AS (\n  SELECT d.qid", "hits AS (\n  SELECT d.run, d.qid").replace("FROM (SELECT * FROM dense WHERE rank <= 50) d", "FROM (SELECT 'whole' AS run, * FROM dense WHERE rank <= 50 UNION ALL SELECT 'half', * FROM other WHERE rank <= 50) d").replace(
-    "GROUP BY 1, 2\n)", "GROUP BY 1, 2, 3\n)").replace("PARTITION BY qid ORDER BY first_rank", "PARTITION BY run, qid ORDER BY first_rank").replace(
-    "SELECT qs.qid, qs.category", "SELECT r.run, qs.qid, qs.category").replace("FROM qs LEFT JOIN arts a ON a.qid = qs.qid", "FROM qs CROSS JOIN (SELECT unnest(['whole', 'half']) AS run) r LEFT JOIN arts a ON a.run = r.run AND a.qid = qs.qid").replace(DENSE, f"{DENSE}, {REVERSED}")
+RUNS = f"""
+{DENSE}, {REVERSED}, both_runs AS (SELECT 'whole' AS run, * FROM dense WHERE rank <= 50 UNION ALL SELECT 'half', * FROM other WHERE rank <= 50),
+hits AS (
+  SELECT d.run, d.qid, e.label, min(d.rank) AS first_rank FROM both_runs d JOIN embeddings e ON e.vec_id = d.pos WHERE d.pos <> d.qid GROUP BY 1, 2, 3
+), arts AS (SELECT *, row_number() OVER (PARTITION BY run, qid ORDER BY first_rank) AS article_rank FROM hits),
+qs AS (SELECT run, vec_id AS qid, label FROM embeddings, (SELECT unnest(['whole', 'half']) AS run) WHERE vec_id % 100 = 0 AND vec_id % 300 <> 0),
+ranks AS (
+  SELECT qs.run, qs.qid, a.article_rank AS gold_rank, coalesce(a.first_rank <= 5, false) AS in_context
+  FROM qs LEFT JOIN arts a ON a.run = qs.run AND a.qid = qs.qid AND a.label = qs.label
+)
+"""
 
 
 @query(f"""WITH {RUNS} SELECT run, count(*) AS questions, count(*) FILTER (gold_rank <= 1) AS hits_1, count(*) FILTER (gold_rank <= 3) AS hits_3, count(*) FILTER (in_context) AS ctx_hits,
@@ -233,7 +241,13 @@ def misses_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Documents whose id is divisible by 100 ask, by their text and by their vector.
-ASKED = OWN_TERMS.replace("item_id AS qid", "doc_id AS qid").replace("FROM benchmark", "FROM documents WHERE doc_id % 100 = 0")
+ASKED = r"""
+qruns AS (SELECT doc_id AS qid, unnest(regexp_extract_all(text, '[가-힣]+|[a-zA-Z]+|\p{Nd}+')) AS w FROM documents WHERE doc_id % 100 = 0),
+own AS (
+  SELECT qid, w AS term, 1.0 AS wt FROM qruns WHERE length(w) = 1
+  UNION ALL SELECT qid, substr(w, i, 2), 1.0 FROM qruns, unnest(range(1, length(w))) AS t(i) WHERE length(w) > 1
+)
+"""
 LEXICAL_SQL = f"""WITH {INDEX}, {ASKED}, q AS (SELECT qid, term, sum(wt) AS qf FROM own GROUP BY ALL), {SEARCH}, {DENSE}, other AS (SELECT qid, pos, score, rank FROM top),
 {FUSED} SELECT qid, pos AS chunk_id, round(score, 9) AS score, rank FROM fused WHERE rank <= 10"""
 

@@ -162,14 +162,14 @@ def statute_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {UNITS} SELECT o_orderkey AS key, '법률 ' || o_custkey AS law_name, label, br AS branch, chapter, status, scope, n_paras::INT AS n_paragraphs,
-  coalesce((SELECT count(*) FROM p WHERE l_orderkey = o_orderkey AND gone), 0)::INT AS n_deleted,
+  coalesce((SELECT count(*) FROM p WHERE l_orderkey = o_orderkey AND gone AND l_partkey % 3 <> 0), 0)::INT AS n_deleted,
   CASE WHEN status = 'partially_expired' THEN (SELECT count(*) FROM p WHERE l_orderkey = o_orderkey AND n IN (1, 3)) ELSE 0 END::INT AS n_expired,
   CASE WHEN dead THEN '2013.10.2' ELSE '개정 2017.8.9' END AS first_tag,
   1 + (SELECT count(DISTINCT CASE WHEN gone THEN 'x' ELSE (l_suppkey % 9)::VARCHAR END) FROM p WHERE l_orderkey = o_orderkey) AS n_tags,
   CASE WHEN dead THEN '삭제' ELSE '머리 ' || o_orderstatus END || coalesce((SELECT string_agg(chr(10) ||
-    substr('①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳', n, 1) || ' 부품 ' || l_partkey || CASE WHEN l_partkey % 3 = 0 THEN chr(10) || '끝' ELSE '' END
-    || CASE WHEN l_suppkey % 2 = 0 THEN chr(10) || '종류 ' || l_returnflag || chr(10) || l_suppkey ELSE '' END, '' ORDER BY n) FROM p WHERE l_orderkey = o_orderkey AND (NOT gone)), '') AS text
-  FROM st""".replace("AND gone)", "AND gone AND l_partkey % 3 <> 0)").replace("AND (NOT gone))", "AND NOT (gone AND l_partkey % 3 <> 0))").replace("' 부품 ' || l_partkey ||", "CASE WHEN gone THEN ' 삭제' ELSE ' 부품 ' || l_partkey END ||"))
+    substr('①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳', n, 1) || CASE WHEN gone THEN ' 삭제' ELSE ' 부품 ' || l_partkey END || CASE WHEN l_partkey % 3 = 0 THEN chr(10) || '끝' ELSE '' END
+    || CASE WHEN l_suppkey % 2 = 0 THEN chr(10) || '종류 ' || l_returnflag || chr(10) || l_suppkey ELSE '' END, '' ORDER BY n) FROM p WHERE l_orderkey = o_orderkey AND NOT (gone AND l_partkey % 3 <> 0)), '') AS text
+  FROM st""")
 def parse_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles of a statute per customer, out of polymorphic JSON."""
     a = parse.parse_documents(parse.split_errors(statute_json(spark, sf_dir))[0], TODAY)[1]

@@ -13,7 +13,10 @@ LINKS = "map<string,array<struct<term:string,rel:string>>>"
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_key, doc): one row per JSON file; doc_key is the file name, which orders the corpus; doc is null if not JSON."""
+    """(doc_key, doc): one row per JSON file; doc_key is the file name, which orders the corpus; doc is null if not JSON.
+
+    A condition on doc_key, such as a range of names, is pushed down to the list of files: others are not opened. Spark packs small
+    files into tasks by their sizes and spark.sql.files.openCostInBytes."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("doc_key"), F.try_parse_json("value").alias("doc"))
 
 

@@ -128,6 +128,18 @@ def test_load_corpus_and_writers(spark, folder, tmp_path):
     assert spark.read.json(str(tmp_path / "articles")).count() == 12 and bad.count() == 3
 
 
+def test_ranges_of_file_names_are_pushed_down(spark, tmp_path):
+    """Documents outside the range are not opened: one of them could not be read."""
+    for i in range(30):
+        (tmp_path / f"{i:02d}.json").write_text(json.dumps({"n": i}))
+    (tmp_path / "99.json.gz").write_bytes(b"no gzip at all")
+    docs = readers.read_documents(spark, str(tmp_path))
+    few = docs.where((F.col("doc_key") >= "10") & (F.col("doc_key") < "13.json"))
+    assert sorted(r.doc_key for r in few.select("doc_key", F.to_json("doc")).collect()) == ["10.json", "11.json", "12.json"]
+    with pytest.raises(Exception, match="99.json.gz|gzip"):
+        docs.select(F.to_json("doc")).collect()
+
+
 def test_writers_leave_few_files(spark, tmp_path):
     """A file for so many rows, whatever the number of laws; a law with most rows goes to several; readers open what they need."""
     rows = [(f"{i:04d}", f"{i:04d}:{k}", k) for i in range(300) for k in range(400 if i == 7 else 1)]

@@ -92,13 +92,15 @@ class Runs:
         return batch
 
     def merged(self, names: list[str]) -> DataFrame:
-        """Runs as one, in their order: counts add up, and the keeper is that of the run where the hash has entered."""
+        """Runs as one, in their order: counts add up, and the keeper is that of the run where the hash has entered, which is one
+        run alone; a hash that has entered twice ends the work."""
+        twice = F.raise_error(F.lit("a line hash has entered two runs")).cast("bigint")
         out = self.table(names[0])
         for name in names[1:]:
             both = out.alias("a").join(self.table(name).hint("merge").alias("b"), [F.col("a.h1") == F.col("b.h1"), F.col("a.h2") == F.col("b.h2")], "full")
             out = both.select(
                 F.coalesce("a.h1", "b.h1").alias("h1"), F.coalesce("a.h2", "b.h2").alias("h2"),
-                (F.coalesce("a.n_docs", F.lit(0)) + F.coalesce("b.n_docs", F.lit(0))).alias("n_docs"), F.coalesce("a.keeper", "b.keeper").alias("keeper"),
+                (F.coalesce("a.n_docs", F.lit(0)) + F.coalesce("b.n_docs", F.lit(0))).alias("n_docs"), F.when(F.col("a.keeper").isNotNull() & F.col("b.keeper").isNotNull(), twice).otherwise(F.coalesce("a.keeper", "b.keeper")).alias("keeper"),
             )
         return out
 

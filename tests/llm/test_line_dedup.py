@@ -76,6 +76,14 @@ def test_the_anti_join_decides_who_keeps(spark, tmp_path, monkeypatch):
     runs.close()
 
 
+def test_without_the_anti_join_there_is_no_result(spark, monkeypatch):
+    rows = [(i, "x" * 50) for i in range(20)]
+    assert line_dedup.dedup_lines(documents(spark, rows)).where("n_dropped = 1").count() == 19
+    monkeypatch.setattr(line_dedup.Runs, "fresh", lambda self, batch: batch)
+    with pytest.raises(Exception, match="entered two runs"):
+        line_dedup.dedup_lines(documents(spark, rows)).collect()
+
+
 def test_runs_are_neither_shuffled_nor_sorted(spark, tmp_path):
     runs = line_dedup.Runs(spark, str(tmp_path / "b"), fanout=9)
     for i in range(2):

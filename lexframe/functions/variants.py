@@ -59,10 +59,11 @@ def _leaves(tokens: Column) -> Column:
 def flatten_text(v: Column) -> Column:
     """The text of a value: lists, however deeply nested, are joined by line ends without their empty parts; an object that a list
     holds is one text, its JSON."""
-    tokens = F.regexp_extract_all(F.to_json(v), F.lit(TOKENS), F.lit(0))
+    written = F.to_json(v)
+    tokens = F.regexp_extract_all(written, F.lit(TOKENS), F.lit(0))
     plain = F.filter(tokens, lambda t: ~t.isin("[", "]", ",", "null", '""'))
     texts = F.transform(plain, lambda t: F.when(t.startswith('"'), get(F.parse_json(t), "$", "string")).otherwise(t))
-    joined = F.array_join(F.when(F.array_contains(tokens, "{"), _leaves(tokens)).otherwise(texts), "\n")
+    joined = F.array_join(F.when(F.contains(written, F.lit("{")), _leaves(tokens)).otherwise(texts), "\n")
     return F.when(is_nothing(v), "").when(get(v, "$", _NONE).isNotNull(), joined).otherwise(F.coalesce(get(v, "$", "string"), F.lit("")))
 
 

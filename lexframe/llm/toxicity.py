@@ -4,9 +4,10 @@ score = sigmoid(bias + sum w_i + sum_{i<j} <v_i, v_j>) over the distinct hashed
 weights for what is toxic by itself, and rank-RANK factors for pairs, such as an insult together with a mention of a group,
 that linear weights can only add up. It is fitted by AdaGrad on at most features.TRAIN_ROWS labelled rows. Terms
 are first counted on the executors and chosen by how much their frequency differs between the classes, which keeps the long
-tail of chance words out and what comes to the driver small. Pairs of the PAIR_TERMS most frequent words of that sample are
-counted too: where the frequency of a pair differs by much more than that of either word, both words are known as well, although
-neither tells anything by itself. The fitted model is a few hundred KB and is broadcast; scoring is one pass without a shuffle.
+tail of chance words out; all that differ enough are chosen, whatever their number or rank. The same holds for pairs of words:
+where a pair differs by much more than either word, both words are known as well, although neither tells anything by itself. No
+word is too rare for that but those that stand in so few texts of the sample that no pair of theirs could ever reach the limit.
+The fitted model grows with the sample's telling terms only and is broadcast; scoring is one pass without a shuffle.
 
 Defined cases: null and empty texts have no terms and score sigmoid(bias); a table without labelled rows gives a model
 that scores every text all but 0; rows that repeat an id are scored each; an empty table gives an empty result; other columns
@@ -24,9 +25,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import cut, drop
 from .features import TRAIN_ROWS, Terms, segment_sum, sigmoid, spans, training_sample
 
-PREFIXES, RANK, KNOWN, EPOCHS = (4, 5, 6, 7), 8, 4096, 30
-#: Words whose pairs are counted, pairs that are used at most, least z score of a pair, and how much it exceeds those of its words.
-PAIR_TERMS, PAIRS, PAIR_Z, PAIR_GAIN = 1024, 256, 5.0, 3.0
+PREFIXES, RANK, EPOCHS = (4, 5, 6, 7), 8, 30
+#: Least score of a pair, which a chance pair among 10^8 reaches once in a hundred samples, and how much it exceeds those of its words.
+PAIR_SCORE, PAIR_GAIN = 6.3, 3.0
+#: Words of a task of the pair search, and texts that it takes at a time.
+COLUMNS, TEXTS = 512, 2048
 
 
 @dataclass
@@ -106,65 +109,125 @@ def _counted(sample: DataFrame, prefixes: tuple[int, ...]) -> DataFrame:
     return sample.mapInArrow(run, "term int, df1 bigint, df0 bigint").groupBy("term").agg(F.sum("df1").alias("df1"), F.sum("df0").alias("df0"))
 
 
-def telling_terms(sample: DataFrame, known: int = KNOWN, least_z: float = 3.0, least_docs: int = 3) -> np.ndarray:
-    """The hashed terms, at most `known`, whose shares of the texts of either class differ most, by the two-sample z score, and
-    the words of telling_pairs()."""
+def deviance(df1, df0, n1: int, n0: int):
+    """Square root of the likelihood ratio statistic of the shares of either class that hold a term: like z, but right for small counts."""
+    n, d = n1 + n0, df1 + df0
+    out = np.zeros(np.shape(d))
+    for seen, expected in ((df1, d * (n1 / n)), (df0, d * (n0 / n)), (n1 - df1, (n - d) * (n1 / n)), (n0 - df0, (n - d) * (n0 / n))):
+        seen = np.asarray(seen, np.float64)
+        out += 2 * seen * np.log(np.where(seen > 0, seen, 1) / np.where(seen > 0, expected, 1))
+    return np.sqrt(np.maximum(out, 0))
+
+
+def telling_terms(sample: DataFrame, least_z: float = 3.0, least_docs: int = 3) -> np.ndarray:
+    """All hashed terms whose shares of the texts of either class differ by the two-sample z score, and the words of telling_pairs()."""
     sizes = sample.agg(F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") != 1).alias("n0")).first()
     n1, n0 = sizes.n1, sizes.n0
     if not n1 or not n0:
         return np.zeros(0, np.int32)
     p = (F.col("df1") + F.col("df0") + 1) / F.lit(n1 + n0 + 2)
     z = F.abs(F.col("df1") / n1 - F.col("df0") / n0) / F.sqrt(p * (1 - p) * F.lit(1 / n1 + 1 / n0))
-    best = _counted(sample, PREFIXES).where(F.col("df1") + F.col("df0") >= least_docs).withColumn("z", z).where(F.col("z") > least_z)
-    rows = best.orderBy(F.desc(F.round("z", 9)), "term").limit(known).select("term").collect()
-    return np.unique(np.concatenate([np.array([r.term for r in rows], np.int32), telling_pairs(sample, n1, n0).ravel()]))
-
-
-def telling_pairs(sample: DataFrame, n1: int, n0: int, words: int = PAIR_TERMS, pairs: int = PAIRS) -> np.ndarray:
-    """Rows of two hashed words that stand together in much more texts of one class than their own frequencies tell. A task
-    sums the pairs of its texts as products of matrices; at most words^2 / 2 sums leave it."""
-    top = _counted(sample, ()).orderBy(F.desc(F.col("df1") + F.col("df0")), "term").limit(words).toArrow().sort_by("term")
-    keys = top.column("term").to_numpy()
-    own = z_scores(top.column("df1").to_numpy(), top.column("df0").to_numpy(), n1, n0)
+    best = _counted(sample, PREFIXES).where((F.col("df1") + F.col("df0") >= least_docs) & (z > least_z)).select("term").toArrow()
+    return np.unique(np.concatenate([best.column("term").to_numpy(), telling_pairs(sample, n1, n0).ravel()]))
+
+
+def least_support(n1: int, n0: int, score: float = PAIR_SCORE) -> tuple[int, int]:
+    """Texts of class 1, and of class 0, below which nothing that favours the class can have the score: it is highest where no
+    text of the other class holds the term."""
+    over = [np.flatnonzero(deviance(np.arange(a + 1), np.zeros(a + 1), a, b) > score) for a, b in ((n1, n0), (n0, n1))]
+    return tuple(int(x[0]) if len(x) else n1 + n0 + 1 for x in over)
+
+
+def telling_pairs(sample: DataFrame, n1: int, n0: int, score: float = PAIR_SCORE, more: float = PAIR_GAIN) -> np.ndarray:
+    """Rows of two hashed words that stand together in much more texts of one class than their own frequencies tell: all pairs
+    whose deviance is over `score` and over those of both words by `more`.
+
+    A pair that favours a class stands in least_support() texts of it at least, and so does each of its words: only these words
+    are taken, and none is missed. The bounded sample's lists of them are broadcast; a task counts the pairs of COLUMNS words with
+    the words before them in the class, as products of matrices, and the few that can reach the limits in the other class by bitmaps.
+    """
+    least = dict(zip((1, 0), least_support(n1, n0, score), strict=True))
+    counts = _counted(sample, ()).where((F.col("df1") >= least[1]) | (F.col("df0") >= least[0])).toArrow().sort_by("term")
+    keys = counts.column("term").to_numpy()
+    if not len(keys):
+        return np.zeros((0, 2), np.int32)
+    df = {1: counts.column("df1").to_numpy(), 0: counts.column("df0").to_numpy()}
+    lists = _lists(sample, (), keys)
+    texts = {c: spans([np.searchsorted(keys, np.array(t, np.int32)).astype(np.int32) for t, y in zip(lists.column("terms").to_pylist(), lists.column("label").to_pylist(), strict=True) if (y == 1) == c]) for c in (1, 0)}
+    spark = sample.sparkSession
+    shared = spark.sparkContext.broadcast((texts, df))
+    tasks = [(c, at) for c in (1, 0) for at in range(0, int((df[c] >= least[c]).sum()), COLUMNS)]
+    if not tasks:
+        return np.zeros((0, 2), np.int32)
+
+    def pairs(c: int, at: int):
+        texts, df = shared.value
+        n = {1: n1, 0: n0}
+        words, own = np.flatnonzero(df[c] >= least[c]), deviance(df[1], df[0], n1, n0)
+        place = np.full(len(own), -1)
+        place[words] = np.arange(len(words))
+        end = min(at + COLUMNS, len(words))
+        both, bits = np.zeros((end, end - at), np.float32), []
+        for kind in (c, 1 - c):
+            terms, bounds = texts[kind]
+            packed = []
+            for i in range(0, n[kind], TEXTS):
+                j = min(i + TEXTS, n[kind])
+                column = place[terms[bounds[i] : bounds[j]]]
+                here = (column >= 0) & (column < end)
+                held = np.zeros((TEXTS, end), np.float32 if kind == c else bool)
+                held[np.repeat(np.arange(j - i), np.diff(bounds[i : j + 1]))[here], column[here]] = 1
+                if kind == c:
+                    both += held.T @ held[:, at:]
+                else:
+                    packed.append(np.packbits(held, axis=0).T)
+            bits.append(np.concatenate(packed, axis=1) if packed else None)
+        a, b = np.nonzero(both >= least[c])
+        a, b, seen = (x[a < b + at] for x in (a, b, both[a, b].astype(np.int64)))
+        best = np.maximum(own[words[a]], own[words[b + at]]) + more
+
+        def strong(seen, other):
+            mine, theirs = (seen, other) if c else (other, seen)
+            s = deviance(mine, theirs, n1, n0)
+            return (s > score) & (s > best) & (seen / n[c] > other / n[1 - c])
+
+        can = strong(seen, np.zeros(len(seen), np.int64))
+        a, b, seen, best = (x[can] for x in (a, b, seen, best))
+        other = np.zeros(len(a), np.int64)
+        for i in range(0, len(a), TEXTS):
+            other[i : i + TEXTS] = np.bitwise_count(bits[1][a[i : i + TEXTS]] & bits[1][at + b[i : i + TEXTS]]).sum(axis=1, dtype=np.int64)
+        chosen = strong(seen, other)
+        return words[a[chosen]], words[at + b[chosen]]
 
     def run(batches):
-        terms, totals = Terms((), keys), np.zeros((2, len(keys), len(keys)), np.float32)
         for batch in batches:
-            for i in range(0, len(batch), 512):
-                part = batch.slice(i, 512)
-                found, bounds = spans([terms(t.as_py()) for t in part.column("text")])
-                held = np.zeros((len(part), len(keys)), np.float32)
-                held[np.repeat(np.arange(len(part)), np.diff(bounds)), np.searchsorted(keys, found)] = 1
-                toxic = part.column("label").to_numpy() == 1
-                for c in (0, 1):
-                    totals[c] += held[toxic == c].T @ held[toxic == c]
-        a, b = np.nonzero(np.triu(totals.sum(axis=0), 1))
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.array(totals[c][a, b].astype(np.int64)) for c in (1, 0))], ["a", "b", "df1", "df0"])
-
-    both = sample.mapInArrow(run, "a bigint, b bigint, df1 bigint, df0 bigint").groupBy("a", "b").agg(F.sum("df1").alias("df1"), F.sum("df0").alias("df0")).toArrow()
-    a, b, df1, df0 = (both.column(c).to_numpy() for c in ("a", "b", "df1", "df0"))
-    z = z_scores(df1, df0, n1, n0)
-    gain = z - np.maximum(own[a], own[b])
-    chosen = np.flatnonzero((z > PAIR_Z) & (gain > PAIR_GAIN))
-    chosen = chosen[np.lexsort((b[chosen], a[chosen], -np.round(gain[chosen], 9)))][:pairs]
-    return np.stack([keys[a[chosen]], keys[b[chosen]]], axis=1) if len(chosen) else np.zeros((0, 2), np.int32)
+            for c, at in zip(batch.column("c").to_pylist(), batch.column("at").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in pairs(c, at)], ["a", "b"])
 
+    dealt = spark.range(len(tasks), numPartitions=len(tasks)).select(F.expr(f"element_at(array({', '.join(str(c) for c, _ in tasks)}), int(id) + 1)").alias("c"), F.expr(f"element_at(array({', '.join(str(x) for _, x in tasks)}), int(id) + 1)").alias("at"))
+    found = dealt.mapInArrow(run, "a bigint, b bigint").distinct().toArrow().sort_by([("a", "ascending"), ("b", "ascending")])
+    return np.stack([keys[found.column("a").to_numpy()], keys[found.column("b").to_numpy()]], axis=1).reshape(-1, 2)
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> Machine:
-    """Fit on the bounded training sample. Only its known terms, in the order of ids, come to the driver."""
-    sample = cut(training_sample(docs, labels, label, id_col, text, rows), "sample")
-    keys = telling_terms(sample)
+
+def _lists(sample: DataFrame, prefixes: tuple[int, ...], keys: np.ndarray) -> pa.Table:
+    """(doc_id, label, terms) of the sample, by id: which of the keys each text has."""
 
     def run(batches):
-        terms = Terms(PREFIXES, keys)
+        terms = Terms(prefixes, keys)
         for batch in batches:
             for i in range(0, len(batch), 256):
                 part = batch.slice(i, 256)
                 found = pa.array([terms(t.as_py()) for t in part.column("text")], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), found], ["doc_id", "label", "terms"])
 
-    known = sample.mapInArrow(run, "doc_id bigint, label int, terms array<int>").toArrow().sort_by("doc_id")
+    return sample.mapInArrow(run, "doc_id bigint, label int, terms array<int>").toArrow().sort_by("doc_id")
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> Machine:
+    """Fit on the bounded training sample. Of it only the terms that may tell something, in the order of ids, come to the driver."""
+    sample = cut(training_sample(docs, labels, label, id_col, text, rows), "sample")
+    keys = telling_terms(sample)
+    known = _lists(sample, PREFIXES, keys)
     drop(sample)
     return fit(keys, [np.array(x.as_py(), np.int32) for x in known.column("terms")], known.column("label").to_numpy().astype(np.int64))
 

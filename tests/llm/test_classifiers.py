@@ -60,6 +60,56 @@ def test_pairs_of_words_that_tell_nothing_alone(spark):
     assert np.mean([(scored[i] >= 0.5) == y for i, y in labels if fold(i) == 0]) > 0.97
 
 
+def test_rare_words_tell_in_pairs(spark):
+    """An insult and a group that are each no more frequent in one class: rarer than two thousand other words, toxic only where just one of them stands."""
+    rng, rows, labels = random.Random(5), [], []
+    usual = [f"w{i}" for i in range(2000)]
+    for i in range(5000):
+        kind = rng.choice(["", "a", "b", "ab", *[""] * 8])
+        w = rng.sample(usual, 100) + ["glimp"] * ("a" in kind) + ["frund"] * ("b" in kind)
+        rng.shuffle(w)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(len(kind) == 1) if kind else int(rng.random() < 0.5)))
+    docs = documents(spark, rows)
+    sample = features.training_sample(docs, labelled(spark, labels, "toxic"), "toxic")
+    n1, n0 = (sample.where(f"label = {y}").count() for y in (1, 0))
+    names = {int(features.Terms(())(w)[0]): w for w in [*usual, "glimp", "frund"]}
+    got = {frozenset(names[int(x)] for x in pair) for pair in toxicity.telling_pairs(sample, n1, n0)}
+    assert got == {frozenset(("glimp", "frund"))}
+
+
+def test_pairs_against_brute_force(spark):
+    rng, rows, labels = random.Random(9), [], []
+    for i in range(900):
+        y = rng.random() < 0.2
+        w = [f"w{rng.randint(0, 40)}" for _ in range(rng.randint(0, 12))]
+        for j in range(6):  # pairs of all strengths, for either class
+            if rng.random() < (0.05 + 0.12 * j if y == (j % 2 == 0) else 0.03):
+                w += [f"a{j}", f"b{j}"]
+            elif rng.random() < 0.4:
+                w.append(rng.choice([f"a{j}", f"b{j}"]))
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(y)))
+    sample = features.training_sample(documents(spark, rows), labelled(spark, labels, "toxic"), "toxic").persist()
+    texts = [(set(r.text.split()), r.label) for r in sample.collect()]
+    n1 = sum(y for _, y in texts)
+    n0, words_ = len(texts) - n1, sorted({w for t, _ in texts for w in t})
+
+    def g(*held):
+        """The likelihood ratio of the table of label and holding, from its definition."""
+        cells = {(h, y): sum(1 for t, z in texts if z == y and all(w in t for w in held) == h) for h in (True, False) for y in (1, 0)}
+        total = lambda h=None, y=None: sum(v for k, v in cells.items() if h in (None, k[0]) and y in (None, k[1]))
+        return math.sqrt(max(0, 2 * sum(v * math.log(v * total() / total(h=k[0]) / total(y=k[1])) for k, v in cells.items() if v)))
+
+    for score, gain in ((3.0, 0.5), (6.3, 1.0)):
+        own = {w: g(w) for w in words_}
+        want = {frozenset((a, b)) for a in words_ for b in words_ if a < b and (s := g(a, b)) > score and s > max(own[a], own[b]) + gain}
+        names = {int(features.Terms(())(w)[0]): w for w in words_}
+        got = [frozenset(names[int(x)] for x in pair) for pair in toxicity.telling_pairs(sample, n1, n0, score, gain)]
+        assert len(got) == len(set(got)) and set(got) == want and want
+    sample.unpersist()
+
+
 def test_margin_against_all_pairs():
     rng = np.random.default_rng(4)
     w, v = rng.normal(size=30), rng.normal(size=(30, 5))

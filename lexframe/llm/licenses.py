@@ -12,6 +12,9 @@ released under ..." for the names in NAMES, SPDX lines, and copyright notices wi
 counted, and broadcast as hashes while there are at most MAX_RUNS; matching works on the known pieces of one document at a time.
 Comment leaders without letters, as * or #, are no words; gaps count pieces, blank lines among them.
 
+Whole licence texts can be given besides: from_texts() makes their sentences known, and rules of the sentences of a text and of
+its parts, so that a licence file is recognised as it stands, wrapped in any way, and one that lacks a part by the others.
+
 Defined cases: null and empty texts hold no sentence; rows that repeat an id are scanned each and reported once per row, and
 equal findings of one id are reported once; a null id is reported as null; ties go to the rule that is listed first; an empty
 table gives an empty result; other columns are ignored.
@@ -25,6 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 MAX_RUNS = 4_000_000
+#: Least gap of the rules of a whole text, least words of a line by which what is left out of it counts as pieces, and least
+#: words of a part that has a rule of its own.
+TEXT_GAP, LINE_WORDS, PART_WORDS = 12, 4, 120
 
 #: Identifier -> sentence, as it is written; normalise() applies to these and to texts.
 SENTENCES = {
@@ -133,6 +139,54 @@ def built_in() -> tuple[list[tuple[str, str]], list[tuple[str, str, tuple[str, .
     return [*SENTENCES.items(), *((sid, text) for sid, _, text in more)], [*RULES, *((sid, licence, (sid,), 0) for sid, licence, _ in more)]
 
 
+def paragraphs(text: str) -> list[str]:
+    """Unwrapped: the lines between those without a letter or digit as one."""
+    found = [[]]
+    for line in text.split("\n"):
+        if plain(line):
+            found[-1] += line.split()
+        elif found[-1]:
+            found.append([])
+    return [" ".join(x) for x in found if x]
+
+
+def from_texts(texts: list[tuple[str, str]], base: tuple[list, list] | None = None) -> tuple[list[tuple[str, str]], list[tuple[str, str, tuple[str, ...], int]]]:
+    """The tables of base (the built-in ones) with those of whole texts (licence, text) added: every sentence that base does not
+    have, a rule `licence/text` of all sentences of a text in order, and rules `licence/part-N` of stretches of PART_WORDS words
+    or more. Places to fill in, in brackets, and copyright notices are left out. A stretch whose sentences all stand in the text
+    of another licence too tells nothing and makes no rule; a text without sentences makes none at all."""
+    sentences, rules = base or built_in()
+    sids, more, in_texts, sequences = {plain(x): sid for sid, x in reversed(sentences)}, [], {}, []
+    for licence, text in texts:
+        sequence, out, gap = [], 0, TEXT_GAP
+        for piece in (x for p in paragraphs(text) for x in re.split(SPLIT, p)):
+            words = plain(piece)
+            if not words or re.search(r"[\[<{].*[\]>}]", piece) or re.match(NOTICE, words):
+                out += len(words.split())
+                continue
+            gap, out = max(gap, TEXT_GAP + out // LINE_WORDS), 0
+            if words not in sids:
+                sids[words] = f"{licence}#{len(more)}"
+                more.append((sids[words], piece))
+            sequence.append((sids[words], len(words.split())))
+            in_texts.setdefault(sids[words], set()).add(licence)
+        sequences.append((licence, sequence, gap))
+    whole, parts = [], []
+    for licence, sequence, gap in sequences:
+        if not sequence:
+            continue
+        whole.append((f"{licence}/text", licence, tuple(sid for sid, _ in sequence), gap))
+        held, size, n = [], 0, 0
+        for i, (sid, length) in enumerate(sequence):
+            held.append(sid)
+            size += length
+            if size >= PART_WORDS or i + 1 == len(sequence):
+                if len(held) < len(sequence) and size >= PART_WORDS and any(len(in_texts[x]) == 1 for x in held):
+                    parts.append((f"{licence}/part-{n}", licence, tuple(held), gap))
+                held, size, n = [], 0, n + 1
+    return [*sentences, *more], [*rules, *whole, *parts]
+
+
 class Book:
     """Sentences by their words and rules by their first sentence, for matching in a task."""
 
@@ -225,11 +279,12 @@ def known_pieces(spark: SparkSession, book: Book) -> DataFrame:
     return each.select(F.xxhash64(F.array_join(F.slice("w", F.col("a"), F.col("n")), " ")).alias("h")).distinct()
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sentences_table: DataFrame | None = None, rules_table: DataFrame | None = None) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sentences_table: DataFrame | None = None, rules_table: DataFrame | None = None, texts_table: DataFrame | None = None) -> DataFrame:
     """(doc_id, licence, rule, first_sentence, last_sentence): places count the pieces of a text from 0.
 
     sentences_table (sid, sentence) and rules_table (rule, licence, sids, gap), rules in the order of `n` if there is such a
-    column, replace the built-in tables; both are bounded by MAX_RUNS.
+    column, replace the built-in tables; texts_table (licence, text) adds whole licence texts to them. More sentences, rules or
+    runs of words than MAX_RUNS are refused, as are more characters of licence texts than ten times as many.
     """
     spark = docs.sparkSession
     own, rules = built_in()
@@ -238,6 +293,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sentences_
     if rules_table is not None:
         rules_table = rules_table.orderBy("n") if "n" in rules_table.columns else rules_table
         rules = [(r.rule, r.licence, tuple(r.sids), r.gap) for r in rules_table.where("size(sids) > 0").select("rule", "licence", "sids", "gap").limit(MAX_RUNS + 1).collect()]
+    if texts_table is not None:
+        given = texts_table.where("licence IS NOT NULL AND text IS NOT NULL").select("licence", "text")
+        if (given.agg(F.sum(F.length("text"))).first()[0] or 0) > 10 * MAX_RUNS:
+            raise ValueError(f"licence texts of over {10 * MAX_RUNS} characters are not broadcast")
+        own, rules = from_texts([tuple(r) for r in given.distinct().orderBy("licence", "text").collect()], (own, rules))
+    if max(len(own), len(rules), sum(len(r[2]) for r in rules)) > MAX_RUNS:
+        raise ValueError(f"over {MAX_RUNS} sentences or rules are not broadcast")
     known = known_pieces(spark, Book(own, rules))
     shared = spark.sparkContext.broadcast((own, rules))
     books: list[Book] = []

@@ -1,3 +1,4 @@
+import pathlib
 import random
 import re
 import textwrap
@@ -127,3 +128,48 @@ def test_wrapped_texts(spark):
         (1, "MIT", "mit_file"), (2, "Apache-2.0", "apache_header"), (3, "GPL-3.0-or-later", "gpl3_header"), (4, "GPL-2.0-or-later", "gpl2_header"), (5, "BSD-2-Clause", "bsd2_text"),
         (8, "Apache-2.0", "apache_grant"), (9, "MIT", "mit_this"), (11, "MPL-2.0", "mpl_terms"),
     ]
+
+
+def test_whole_texts(spark):
+    """A text is found as it stands, wrapped anew behind a comment leader, and by its parts where some are missing."""
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in ("lor", "ips", "dol", "sit", "am", "con") for b in ("em", "um", "or", "et", "is", "a")]
+    sentence = lambda n=14: " ".join(rng.choice(words) for _ in range(n)).capitalize() + "."
+    common = [" ".join(sentence() for _ in range(3)) for _ in range(4)]
+    first = "A LICENCE\n\nCopyright (c) 2020 <holder>\n\n" + "\n\n".join(textwrap.fill(f"{i}. " + " ".join(sentence() for _ in range(5)), 72) for i in range(8))
+    second = "B LICENCE\n\n" + "\n\n".join(common) + "\n\n" + " ".join(sentence() for _ in range(12))
+    third = "\n\n".join(common) + "\n\n" + sentence()
+    texts = [("A-1", first), ("B-1", second), ("C-1", third), ("D-1", "<name> 2020"), (None, "x"), ("E-1", None)]
+    table = spark.createDataFrame(texts, "licence string, text string")
+    again = "\n".join(f"// {x}" for p in L.paragraphs(first) for x in [*textwrap.wrap(p, 50), ""])
+    cut = first[: first.index("5. ")]
+    rows = [(1, first), (2, again), (3, second), (4, third), (5, cut), (6, "Words.\n\n" + "\n\n".join(common)), (7, first.replace("<holder>", "Jane Doe") + "\nReleased under the MIT License"), (8, first + "\n" + first)]
+    got = {}
+    for r in L.scan(documents(spark, rows), texts_table=table).collect():
+        got.setdefault(r.doc_id, []).append(r.rule)
+    parts = got.pop(5)
+    assert {i: sorted(x) for i, x in got.items()} == {1: ["A-1/text"], 2: ["A-1/text"], 3: ["B-1/text"], 4: ["C-1/text"], 7: ["A-1/text", "mit_released"], 8: ["A-1/text"] * 2}
+    assert len(parts) >= 2 and all(x.startswith("A-1/part-") for x in parts)
+
+
+def test_licence_files_of_this_machine(spark):
+    """Common licences, where the system has their texts: each file is found as such, as it stands and wrapped at 50 columns."""
+    folder = pathlib.Path("/usr/share/common-licenses")
+    names = [x.name for x in sorted(folder.iterdir()) if x.is_file() and not x.is_symlink()] if folder.is_dir() else []
+    if not names:
+        pytest.skip("no licence texts on this machine")
+    texts = [(n, (folder / n).read_text("utf-8", "replace")) for n in names]
+    table = spark.createDataFrame(texts, "licence string, text string")
+    rows = [(2 * i, t) for i, (_, t) in enumerate(texts)] + [(2 * i + 1, "\n".join(f" * {x}" for p in L.paragraphs(t) for x in [*textwrap.wrap(p, 50, break_long_words=False, break_on_hyphens=False), ""])) for i, (_, t) in enumerate(texts)]
+    got = {(r.doc_id, r.rule) for r in L.scan(documents(spark, rows), texts_table=table).collect()}
+    assert {(2 * i + j, f"{n}/text") for i, n in enumerate(names) for j in (0, 1)} <= got
+
+
+def test_rules_are_bounded(spark, monkeypatch):
+    own = spark.createDataFrame([("a", "Use it")], "sid string, sentence string")
+    rules = spark.createDataFrame([(f"r{i}", "X", ["a"], 0) for i in range(8)], "rule string, licence string, sids array<string>, gap int")
+    monkeypatch.setattr(L, "MAX_RUNS", 7)
+    with pytest.raises(ValueError, match="sentences or rules"):
+        L.scan(documents(spark, [(1, "Use it")]), sentences_table=own, rules_table=rules)
+    with pytest.raises(ValueError, match="characters"):
+        L.scan(documents(spark, [(1, "Use it")]), sentences_table=own, rules_table=rules.limit(2), texts_table=spark.createDataFrame([("A", "word " * 100)], "licence string, text string"))

@@ -12,7 +12,9 @@ A writer's row holds whole records up to about SEGMENT bytes, and a file holds F
 file of over 2 GB must be cut before; contents are never shuffled.
 
 A header that does not fit the version block, a length that is no number, and a payload that ends early give an error row of
-read_arc() each; reading goes on at the next line that is a header. convert() leaves them out.
+read_arc() each; reading goes on at the next line that is a header. convert() leaves them out. A WARC file that is cut, no WARC
+file or no whole gzip stream gives one error row of read_warc() after its records up to there (of a wrong gzip stream, up to the
+read of some KB that fails), as what follows has no known place.
 
 Defined cases: a null html is an empty payload; a null url is written as "-"; ids are written in decimal, and a null id as
 "-", read back as null; repeated rows with one id are records of their own; ties of equal payloads go to the smallest id; an
@@ -298,28 +300,40 @@ def parse_warc(stream):
         yield headers, block
 
 
-WARC_ROW = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("page_id", pa.int64()), ("uri", pa.string()), ("date", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to_record", pa.string()), ("intact", pa.bool_())])
-WARC_DDL = "record_id string, record_type string, page_id bigint, uri string, date string, payload binary, payload_bytes bigint, payload_digest string, refers_to_record string, intact boolean"
+WARC_ROW = pa.schema([("file", pa.string()), ("place", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string()), ("page_id", pa.int64()), ("uri", pa.string()), ("date", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to_record", pa.string()), ("intact", pa.bool_()), ("error", pa.string())])
+WARC_DDL = "file string, place bigint, record_id string, record_type string, page_id bigint, uri string, date string, payload binary, payload_bytes bigint, payload_digest string, refers_to_record string, intact boolean, error string"
+
+
+def _warc_row(h: dict, block: bytes, payloads: bool) -> dict:
+    head, body = _http(block)
+    revisit, said = h["warc-type"] == "revisit", h.get("warc-payload-digest", "").removeprefix("sha1:")
+    digest = said if revisit else base32_sha1(body)
+    return {
+        "record_id": h["warc-record-id"].strip("<>"), "record_type": h["warc-type"], "page_id": _page_id(_header(head, "X-Page-Id")),
+        "uri": h.get("warc-target-uri"), "date": h.get("warc-date"), "payload": None if revisit or not payloads else body,
+        "payload_bytes": int(_header(head, "Content-Length") or 0) if revisit else len(body), "payload_digest": digest,
+        "refers_to_record": h["warc-refers-to"].strip("<>") if "warc-refers-to" in h else None,
+        "intact": digest == said and h.get("warc-block-digest") == f"sha1:{base32_sha1(block)}",
+    }
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The records of WARC files. Digests are computed from what was read and held against the headers (intact); those of a
-    revisit are of the payload that it refers to, as its headers declare them."""
+    """The records of WARC files; file and place say where a record stands. Digests are computed from what was read and held
+    against the headers (intact); those of a revisit are of the payload that it refers to, as its headers declare them. error,
+    where it is not null, says why the file is not read on."""
 
     def run(batches):
         def rows():
-            for _, stream in _each_file(batches):
-                for h, block in parse_warc(stream):
-                    head, body = _http(block)
-                    revisit, said = h["warc-type"] == "revisit", h.get("warc-payload-digest", "").removeprefix("sha1:")
-                    digest = said if revisit else base32_sha1(body)
-                    yield {
-                        "record_id": h["warc-record-id"].strip("<>"), "record_type": h["warc-type"], "page_id": _page_id(_header(head, "X-Page-Id")),
-                        "uri": h.get("warc-target-uri"), "date": h.get("warc-date"), "payload": None if revisit or not payloads else body,
-                        "payload_bytes": int(_header(head, "Content-Length") or 0) if revisit else len(body), "payload_digest": digest,
-                        "refers_to_record": h["warc-refers-to"].strip("<>") if "warc-refers-to" in h else None,
-                        "intact": digest == said and h.get("warc-block-digest") == f"sha1:{base32_sha1(block)}",
-                    }
+            for file, stream in _each_file(batches):
+                n = 0
+                try:
+                    for h, block in parse_warc(stream):
+                        yield {"file": file, "place": n, **_warc_row(h, block, payloads)}
+                        n += 1
+                except KeyError as e:
+                    yield {"file": file, "place": n, "error": f"no header {e.args[0]}"}
+                except (ValueError, EOFError, OSError, zlib.error) as e:  # what parse_warc() and gzip say of wrong bytes
+                    yield {"file": file, "place": n, "error": str(e)}
 
         yield from _out(rows(), WARC_ROW)
 

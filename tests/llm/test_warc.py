@@ -111,3 +111,26 @@ def test_files_of_one_name_in_two_folders(spark, tmp_path):
     assert all(r.refers_to == ids[r.refers_to_record] for r in got if r.record_type == "revisit")
     again = {r.record_id for r in W.read_arc(spark, f"file:{tmp_path}/in").collect()}
     assert again == {r.record_id for r in got}
+
+
+def test_wrong_warc_files_give_error_rows(spark, tmp_path):
+    """Records before the fault are read, the fault is a row, and other files are not touched by it."""
+    record = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:%d>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    two = record % 1 + record % 2
+    cases = {
+        "good.warc": two, "good.warc.gz": gzip.compress(record % 1) + gzip.compress(record % 2), "cut.warc": two[:-6], "foreign.warc": record % 1 + b"<html>\n", "empty.warc": b"", "gone.warc.gz": gzip.compress(two)[:-9],
+        "length.warc": (record % 1).replace(b": 3", b": x"), "none.warc": record % 1 + (record % 2).replace(b"Content-Length: 3\r\n", b""), "noise.warc.gz": gzip.compress(record % 1) + b"\x1f\x8bnoise", "id.warc": (record % 1).replace(b"WARC-Record-ID", b"X"),
+    }
+    for name, data in cases.items():
+        (tmp_path / name).write_bytes(data)
+    found = {}
+    for r in sorted(W.read_warc(spark, str(tmp_path)).collect(), key=lambda r: (r.file, r.place)):
+        found.setdefault(r.file.rpartition("/")[2], []).append(r.error is None)
+        assert (r.record_id is None) == (r.error is not None)
+    assert {k: v for k, v in found.items() if k not in ("gone.warc.gz", "noise.warc.gz")} == {
+        "good.warc": [True, True], "good.warc.gz": [True, True], "cut.warc": [True, False], "foreign.warc": [True, False], "length.warc": [False], "none.warc": [True, False], "id.warc": [False],
+    }
+    assert found["gone.warc.gz"][-1] is False and found["noise.warc.gz"][-1] is False
+    errors = {r.file.rpartition("/")[2]: r.error for r in W.read_warc(spark, str(tmp_path)).where("error IS NOT NULL").collect()}
+    assert "declares 3 bytes, 1 are left" in errors["cut.warc"] and errors["none.warc"] == "no header content-length" and "no WARC version line" in errors["foreign.warc"]
+    assert W.resolve(W.read_warc(spark, str(tmp_path))).where("error IS NULL").count() == sum(x.count(True) for x in found.values())

@@ -182,21 +182,19 @@ def telling_pairs(sample: DataFrame, n1: int, n0: int, score: float = PAIR_SCORE
                 else:
                     packed.append(np.packbits(held, axis=0).T)
             bits.append(np.concatenate(packed, axis=1) if packed else None)
-        a, b = np.nonzero(both >= least[c])
-        a, b, seen = (x[a < b + at] for x in (a, b, both[a, b].astype(np.int64)))
-        best = np.maximum(own[words[a]], own[words[b + at]]) + more
-
-        def strong(seen, other):
-            mine, theirs = (seen, other) if c else (other, seen)
-            s = deviance(mine, theirs, n1, n0)
-            return (s > score) & (s > best) & (seen / n[c] > other / n[1 - c])
-
-        can = strong(seen, np.zeros(len(seen), np.int64))
-        a, b, seen, best = (x[can] for x in (a, b, seen, best))
+        # What a pair could score if no text of the other class held it; most pairs end here.
+        ceiling, mine, found = deviance(np.arange(n[c] + 1), np.zeros(n[c] + 1), n[c], n[1 - c]), own[words], []
+        for i in range(0, end, TEXTS):
+            limit = np.maximum(np.maximum(mine[i : min(i + TEXTS, end), None], mine[None, at:end]) + more, score)
+            x, y = np.nonzero(ceiling[both[i : i + TEXTS].astype(np.int32)] > limit)
+            found.append((x[x + i < y + at] + i, y[x + i < y + at]))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        seen, best = both[a, b].astype(np.int64), np.maximum(mine[a], mine[b + at]) + more
         other = np.zeros(len(a), np.int64)
         for i in range(0, len(a), TEXTS):
             other[i : i + TEXTS] = np.bitwise_count(bits[1][a[i : i + TEXTS]] & bits[1][at + b[i : i + TEXTS]]).sum(axis=1, dtype=np.int64)
-        chosen = strong(seen, other)
+        got = deviance(seen, other, n[c], n[1 - c])
+        chosen = (got > score) & (got > best) & (seen / n[c] > other / n[1 - c])
         return words[a[chosen]], words[at + b[chosen]]
 
     def run(batches):

@@ -1,8 +1,10 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -285,6 +287,19 @@ def test_dense_topk(spark, pack):
     assert dense.dense_topk(frame("pos"), frame("qid").where("false"), 3).count() == 0
 
 
+def test_a_dense_task_holds_few_scores():
+    """Memory of a task does not grow with questions times vectors: five million scores, of which a twentieth is held at a time."""
+    rng = np.random.default_rng(0)
+    q, v = rng.normal(size=(500, 16)), rng.normal(size=(10_000, 16)).astype(np.float32)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), 16).cast(pa.list_(pa.float32()))], ["pos", "vec"])
+    tracemalloc.start()
+    (out,) = dense._winners([batch], {16: (np.arange(500), q)}, 3, 6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+    assert np.array_equal(np.sort(out.column("pos").to_numpy().reshape(500, 3)), np.sort(np.argsort(-(q @ v.T.astype(np.float64)), 1)[:, :3]))
+
+
 def clustered(rng, n, width):
     centres = rng.normal(size=(20, width))
     v = centres[rng.integers(0, 20, n)] + 0.1 * rng.normal(size=(n, width))

@@ -105,6 +105,40 @@ def test_blocks_that_cannot_win_are_left_out(spark):
     assert counts[0].value == own and counts[1].value < 0.5 * own
 
 
+@pytest.mark.parametrize("cells", [1 << 23, 2000])
+def test_many_long_questions_are_multiplied(spark, monkeypatch, cells):
+    """Questions that ask for much of the vocabulary: a matrix for each block of them, with the same results."""
+    monkeypatch.setattr(lexical, "MATRIX_CELLS", cells)
+    rng = random.Random(12)
+    words = [chr(0xAC00 + 40 * i) + chr(0xAC01 + 40 * i) for i in range(30)]
+    texts = [" ".join(rng.choices(words, [1 / (i + 3) for i in range(30)], k=rng.randint(0, 40))) for _ in range(300)]
+    questions = {i: texts[rng.randrange(300)] for i in range(280)}
+    index = lexical.build_index(chunks(spark, texts).repartition(3))
+    terms = lexical.query_terms(spark.createDataFrame(list(questions.items()), "qid int, question string"))
+    block = terms.select("qid", "term", "qf").toArrow()
+    asked = lexical.Asked(block.column("qid").to_numpy(), block.column("term").combine_chunks(), block.column("qf").to_numpy())
+    assert (asked.matrix() is not None) == (cells > 2000)
+    got, want = found(lexical.bm25_search(index, terms, 9)), scored(dict(enumerate(texts)), questions, 9)
+    assert {q: [p for p, _ in x] for q, x in got.items()} == {q: [p for p, _ in x] for q, x in want.items() if x}
+    assert all(abs(a - b) < 2e-6 for q, x in got.items() for (_, a), (_, b) in zip(x, want[q], strict=True))  # both are rounded
+
+
+def test_texts_are_taken_apart_a_few_at_a_time(spark, monkeypatch):
+    """A batch of long texts is cut by characters, null and empty texts too, and comes back in order."""
+    texts = ["가나다 ab" * 50, None, "", "12 3", "가나" * 30, None, "x"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "pos int, text string").coalesce(1)
+    own = lambda: [(r.c.length, dict(zip(r.c.terms, r.c.tfs, strict=True))) for r in frame.select("pos", lexical.counted(F.col("text")).alias("c")).orderBy("pos").collect()]
+    whole = own()
+    monkeypatch.setattr(lexical, "COUNT_CHARS", 7)
+    assert own() == whole and [n for n, _ in whole] == [sum(x.values()) for _, x in whole]
+    batch = pa.array(["".join(random.Random(i).choices("가나다라마바사아자차카타파하abcdefghij", k=3000)) for i in range(3000)])
+    tracemalloc.start()
+    lexical.take_apart(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 160 << 20
+
+
 def test_a_search_with_other_parameters(spark):
     texts, ask = topical(random.Random(9), 200, 4)
     index = lexical.build_index(chunks(spark, texts))

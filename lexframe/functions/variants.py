@@ -21,13 +21,12 @@ def is_nothing(v: Column) -> Column:
 
 
 def is_object(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    return get(v, "$", "map<string,variant>").isNotNull()  # one level; a schema is made of all that the value holds
 
 
 def as_list(v: Column) -> Column:
     """Nothing and "" are no elements, a list is its elements, anything else is one element."""
-    empty = F.array().cast(_NONE)
-    return F.when(is_nothing(v) | F.coalesce((F.schema_of_variant(v) == "STRING") & (get(v, "$", "string") == ""), F.lit(False)), empty).otherwise(F.coalesce(get(v, "$", _NONE), F.array(v)))
+    return F.coalesce(get(v, "$", _NONE), F.when(is_nothing(v) | F.coalesce(get(v, "$", "string") == "", F.lit(False)), F.array().cast(_NONE)).otherwise(F.array(v)))
 
 
 def objects(v: Column) -> Column:

@@ -124,7 +124,7 @@ def statute_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     scope; paragraphs as a list, one object or nothing, texts plain or as lists."""
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     s = lambda c: c.cast("string")
-    quoted = lambda c: F.to_json(F.struct(c.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("v")))) - 6)
+    quoted = lambda c: F.btrim(F.to_json(F.array(c)), F.lit("[]"))
     pair = lambda k, v: F.concat(F.lit(f'"{k}":'), v)
     obj = lambda *parts: F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
     lines = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))).alias("ls"))

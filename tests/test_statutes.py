@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lexframe.functions import variants as V
 from lexframe.operators import chunk, parse, versions
 from lexframe.sources import readers, writers
 
@@ -258,3 +259,21 @@ def test_build_lexicon(spark):
     doc = F.parse_json("j").alias("doc")
     got = {x.word: x.links for x in readers.build_lexicon(words, s.select("word", "page", doc), r.select("mst", doc)).collect()}
     assert [x.term for x in got["월급"]] == ["임금"] and got["없음"] is None
+
+
+def test_expiry_needs_no_texts_of_paragraphs(spark):
+    """Who asks for expiries alone does not pay for cleaning every paragraph; schemas of whole documents are never made."""
+    doc = '{"법령": {"기본정보": {}, "조문": {"조문단위": [{"조문번호": "1", "조문참고자료": "[제1조제1항, 제1조제3항의 개정규정은 2022년 12월 31일까지 유효함]", "항": [{"항번호": "①", "항내용": "가"}, {"항번호": "②"}, "나", {}]}]}}}'
+    articles = parse.parse_articles(spark.createDataFrame([("a", doc)], "doc_key string, doc string").withColumn("doc", F.parse_json("doc")), "2026-01-01")
+    some = articles.select("status", "expiry.scope", "expiry.paragraphs")
+    assert [tuple(r) for r in some.collect()] == [("partially_expired", "paragraphs", [1, 3])]
+    plan = some._jdf.queryExecution().optimizedPlan().toString()
+    assert "항내용" not in plan and "schema_of_variant" not in plan
+    assert [[(p.number, p.text, p.expired) for p in r.paragraphs] for r in articles.collect()] == [[(1, "가", True), (2, "", False), (None, "", False)]]
+
+
+def test_kinds_of_variants(spark):
+    values = ["null", '""', '"a"', "1", "true", "[]", '[1, "", null, {}, {"a": 1}]', "{}", '{"a": [1]}', None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, t string").withColumn("v", F.parse_json("t"))
+    got = df.select("i", F.size(V.as_list(F.col("v"))).alias("n"), F.size(V.objects(F.col("v"))).alias("o"), V.is_object(F.col("v")).alias("is")).orderBy("i").collect()
+    assert [(r.n, r.o, r["is"]) for r in got] == [(0, 0, False), (0, 0, False), (1, 0, False), (1, 0, False), (1, 0, False), (0, 0, False), (5, 2, False), (1, 1, True), (1, 1, True), (0, 0, False)]

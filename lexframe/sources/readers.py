@@ -20,9 +20,17 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("doc_key"), F.try_parse_json("value").alias("doc"))
 
 
-def load_corpus(spark: SparkSession, path: str, today: str, max_chars: int = 1000) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(chunks, articles, errors) of all statute documents of a folder."""
-    good, bad = split_errors(read_documents(spark, path))
+def read_packs(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_key, doc) as of read_documents(): one row per line of the files that write_documents() leaves. A line that cannot be read
+    is a document that is no JSON; where its doc_key is lost, the file's name takes its place."""
+    lines = spark.read.schema("doc_key string, value string").json(path)
+    return lines.select(F.coalesce("doc_key", "_metadata.file_name").alias("doc_key"), F.try_parse_json("value").alias("doc"))
+
+
+def load_corpus(spark: SparkSession, path: str, today: str, max_chars: int = 1000, packs: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chunks, articles, errors) of all statute documents of a folder, and of a folder of packs, if one is given."""
+    docs = read_documents(spark, path)
+    good, bad = split_errors(docs.unionByName(read_packs(spark, packs)) if packs else docs)
     articles = parse_documents(good, today)[1]
     return chunk_articles(articles, max_chars), articles, bad
 

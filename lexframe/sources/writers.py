@@ -1,4 +1,4 @@
-"""Writers: articles, chunks, answers; embeddings have a store of their own."""
+"""Writers: landed documents, articles, chunks, answers; embeddings have a store of their own."""
 
 from __future__ import annotations
 
@@ -23,6 +23,11 @@ def _clustered(rows: DataFrame, path: str, order: str, file_rows: int) -> None:
     laws.groupBy("file").agg(F.min("law_id").alias("first"), F.max("law_id").alias("last"), F.count("*").alias("rows")).coalesce(1).write.json(f"{path}/_laws")
 
 
+def write_documents(docs: DataFrame, path: str) -> None:
+    """Landed documents (doc_key, value), whatever their text, as JSON lines, many to a file: a file for each costs more than its work."""
+    docs.select("doc_key", "value").repartition("doc_key").write.json(path)
+
+
 def write_articles(articles: DataFrame, path: str, file_rows: int = FILE_ROWS) -> None:
     """Articles, deleted and expired ones too, as JSON lines by law."""
     _clustered(articles.withColumn("law_id", F.col("law.law_id")), path, "pos", file_rows)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from lexframe.plans import landing
 from lexframe.sources import readers, writers
 
-QUERIES = ["stored_articles", "error_documents"]
+QUERIES = ["load_corpus", "stored_articles", "error_documents"]
 
 
 @pytest.mark.parametrize("name", QUERIES)

@@ -362,6 +362,23 @@ def test_dense_index_skips_what_cannot_win(spark):
     assert packs > 40 and counts[0].value - counts[1].value < 0.5 * packs * len(q)  # pairs of a question and a pack that met
 
 
+def test_every_vector_is_a_question(spark, tmp_path):
+    """dense_topk asks with all rows; copies, longer vectors and several passes change nothing."""
+    from lexframe.plans import retrieval
+
+    rng = np.random.default_rng(4)
+    v = np.round(rng.normal(size=(1200, 4)), 2)
+    v[40:60], v[300] = v[7], 9
+    spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    s = np.round(v @ v.T, 6)
+    order = np.lexsort((np.broadcast_to(np.arange(1200), s.shape), -s))
+    got = retrieval.dense_topk(spark, str(tmp_path)).orderBy("qid", "rank").collect()
+    assert [(r.qid, r.vec_id) for r in got] == [(q, p) for q in range(1200) for p in order[q, :10].tolist()]
+    rows = retrieval._vectors(spark, str(tmp_path))
+    parts = dense.dense_topk(rows, rows.withColumnRenamed("pos", "qid"), 10, question_bytes=20_000).orderBy("qid", "rank").collect()
+    assert [(r.qid, r.pos, r.score, r.rank) for r in parts] == [tuple(r) for r in got]
+
+
 def test_dense_groups_are_bounded_by_bytes(spark):
     """At width 768, packs are at most PACK_BYTES and no group is held with more than about twice GROUP_BYTES."""
     rng = np.random.default_rng(2)

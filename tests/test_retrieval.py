@@ -363,7 +363,7 @@ def test_dense_index_skips_what_cannot_win(spark):
 
 
 def test_every_vector_is_a_question(spark, tmp_path):
-    """dense_topk asks with all rows; copies, longer vectors and several passes change nothing."""
+    """dense_topk and near_dup_candidates ask with all rows; copies, longer vectors and several passes change nothing."""
     from lexframe.plans import retrieval
 
     rng = np.random.default_rng(4)
@@ -374,6 +374,8 @@ def test_every_vector_is_a_question(spark, tmp_path):
     order = np.lexsort((np.broadcast_to(np.arange(1200), s.shape), -s))
     got = retrieval.dense_topk(spark, str(tmp_path)).orderBy("qid", "rank").collect()
     assert [(r.qid, r.vec_id) for r in got] == [(q, p) for q in range(1200) for p in order[q, :10].tolist()]
+    near = {r.qid: (r.other_qid, r.rank) for r in retrieval.near_dup_candidates(spark, str(tmp_path)).collect()}
+    assert near == {q: (next(p for p in order[q].tolist() if p != q), 1) for q in range(1200)}
     rows = retrieval._vectors(spark, str(tmp_path))
     parts = dense.dense_topk(rows, rows.withColumnRenamed("pos", "qid"), 10, question_bytes=20_000).orderBy("qid", "rank").collect()
     assert [(r.qid, r.pos, r.score, r.rank) for r in parts] == [tuple(r) for r in got]

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 _NONE = "array<variant>"
+#: Kinds that an object, a list, and a list of lists of lists can be read as, and nothing else can. They cost little: what is read as
+#: variants is written anew, an object or a list read as a text is written as JSON, and a text that is no boolean is an exception.
+_OBJECT, _LIST, _DEEP = "struct<x:boolean>", "array<struct<x:boolean>>", "array<array<array<struct<x:boolean>>>>"
 
 
 def get(v: Column, path: str, kind: str = "variant") -> Column:
@@ -21,7 +24,12 @@ def is_nothing(v: Column) -> Column:
 
 
 def is_object(v: Column) -> Column:
-    return get(v, "$", "map<string,variant>").isNotNull()  # one level; a schema is made of all that the value holds
+    return get(v, "$", _OBJECT).isNotNull()  # one level; a schema is made of all that the value holds
+
+
+def present(v: Column, path: str) -> Column:
+    """Whether there is a value at a path, be it null. Only what is neither an object nor a list is read as a variant."""
+    return F.coalesce(*(F.when(get(v, path, kind).isNotNull(), True) for kind in (_OBJECT, _LIST)), get(v, path).isNotNull())
 
 
 def as_list(v: Column) -> Column:
@@ -34,6 +42,11 @@ def objects(v: Column) -> Column:
     return F.filter(as_list(v), is_object)
 
 
+def structs(v: Column, fields: str) -> Column:
+    """objects() with these fields of theirs alone, each read as its kind, null where it cannot be: one pass over the value."""
+    return F.filter(F.coalesce(get(v, "$", f"array<struct<{fields}>>"), F.array(get(v, "$", f"struct<{fields}>"))), lambda s: s.isNotNull())
+
+
 #: The tokens of JSON as Spark writes it, without blanks: texts, brackets and marks, other values. What follows is a list's text.
 TOKENS = r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^{}\[\],:"]+'
 
@@ -58,12 +71,16 @@ def _leaves(tokens: Column) -> Column:
 def flatten_text(v: Column) -> Column:
     """The text of a value: lists, however deeply nested, are joined by line ends without their empty parts; an object that a list
     holds is one text, its JSON."""
+    join = lambda parts: F.array_join(F.filter(parts, lambda x: x != ""), "\n")
+    inner = F.zip_with(get(v, "$", "array<string>"), get(v, "$", "array<array<string>>"), lambda text, parts: F.when(parts.isNull(), text).otherwise(join(parts)))
+    deep = F.exists(get(v, "$", _DEEP), lambda a: F.coalesce(F.exists(a, lambda b: b.isNotNull()), F.lit(False)))
     written = F.to_json(v)
     tokens = F.regexp_extract_all(written, F.lit(TOKENS), F.lit(0))
     plain = F.filter(tokens, lambda t: ~t.isin("[", "]", ",", "null", '""'))
-    texts = F.transform(plain, lambda t: F.when(t.startswith('"'), get(F.parse_json(t), "$", "string")).otherwise(t))
+    escaped = lambda t: get(F.parse_json(t), "$", "string")
+    texts = F.transform(plain, lambda t: F.when(~t.startswith('"'), t).when(F.contains(t, F.lit("\\")), escaped(t)).otherwise(F.btrim(t, F.lit('"'))))
     joined = F.array_join(F.when(F.contains(written, F.lit("{")), _leaves(tokens)).otherwise(texts), "\n")
-    return F.when(is_nothing(v), "").when(get(v, "$", _NONE).isNotNull(), joined).otherwise(F.coalesce(get(v, "$", "string"), F.lit("")))
+    return F.when(get(v, "$", _LIST).isNotNull(), F.when(deep, joined).otherwise(join(inner))).otherwise(F.coalesce(get(v, "$", "string"), F.lit("")))
 
 
 def text(v: Column, name: str) -> Column:

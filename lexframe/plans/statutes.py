@@ -121,20 +121,22 @@ x AS (
 
 def statute_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_key, doc): a statute per customer. Headings, branch articles, deleted articles and paragraphs, notes of every
-    scope; paragraphs as a list, one object or nothing, texts plain or as lists."""
+    scope; paragraphs as a list, one object or nothing, texts plain or as lists. Rows are dealt out as they are, and JSON, which is
+    much longer, is written where its document is put together."""
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     s = lambda c: c.cast("string")
-    quoted = lambda c: F.btrim(F.to_json(F.array(c)), F.lit("[]"))
+    said = lambda c: F.coalesce(F.concat(F.lit('"'), c, F.lit('"')), F.lit("null"))
+    quoted = lambda c: F.when(c.rlike(r'["\\\x00-\x1F]'), F.btrim(F.to_json(F.array(c)), F.lit("[]"))).otherwise(said(c))
     pair = lambda k, v: F.concat(F.lit(f'"{k}":'), v)
     obj = lambda *parts: F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
-    lines = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))).alias("ls"))
+    lines = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))).alias("ls"))
 
     def para(x: Column, i: Column) -> Column:
         circled = F.substring(F.lit(CIRCLED), i + 1, F.lit(1))
         body = F.when(x["l_partkey"] % 13 == 0, F.concat(circled, F.lit(" 삭제 <2022.11.30>"))).otherwise(F.concat(circled, F.lit("  부품 "), s(x["l_partkey"]), F.lit(" <개정 2020.2."), s(x["l_suppkey"] % 9 + 1), F.lit(">")))
-        text = F.when(x["l_partkey"] % 3 == 0, F.concat(F.lit("["), quoted(body), F.lit(',"",["끝"]]'))).otherwise(quoted(body))
-        item = obj(pair("호번호", F.lit('"9의2. "')), pair("호내용", quoted(F.concat(F.lit(" 종류 "), x["l_returnflag"]))), pair("목", obj(pair("목번호", F.lit('"가."')), pair("목내용", quoted(s(x["l_suppkey"]))))))
-        return obj(pair("항번호", quoted(circled)), pair("항내용", text), F.when(x["l_suppkey"] % 2 == 0, pair("호", item)))
+        text = F.when(x["l_partkey"] % 3 == 0, F.concat(F.lit("["), said(body), F.lit(',"",["끝"]]'))).otherwise(said(body))
+        item = obj(pair("호번호", F.lit('"9의2. "')), pair("호내용", quoted(F.concat(F.lit(" 종류 "), x["l_returnflag"]))), pair("목", obj(pair("목번호", F.lit('"가."')), pair("목내용", said(s(x["l_suppkey"]))))))
+        return obj(pair("항번호", said(circled)), pair("항내용", text), F.when(x["l_suppkey"] % 2 == 0, pair("호", item)))
 
     num, br = s(F.col("o_orderkey") % 900 + 1), F.col("o_orderkey") % 7 == 0
     label = F.concat(F.lit("제"), num, F.lit("조"), F.when(br, "의2").otherwise(""))
@@ -147,18 +149,18 @@ def statute_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 6 == 1, F.concat(F.lit("[법 제1조 및 "), label, until)).when(k % 6 == 2, F.concat(F.lit("["), label, F.lit("제1항, "), label, F.lit("제3항"), until))
         .when(k % 6 == 3, F.concat(F.lit("[이 조 제2항제1호"), until)).when(k % 6 == 4, F.concat(F.lit("[법 "), label, until)).when(k % 6 == 5, F.concat(F.lit("["), label, F.lit("의 개정규정은 2030년 1월 5일까지 효력]")))
     )
-    paras = F.transform(F.coalesce("ls", F.array().cast("array<struct<l_linenumber:int,l_partkey:bigint,l_suppkey:bigint,l_returnflag:string>>")), para)
-    hang = F.when(F.size(paras) == 1, paras[0]).when(F.size(paras) > 1, F.concat(F.lit("["), F.array_join(paras, ","), F.lit("]")))
+    listed = lambda n, parts: F.concat(F.when(n > 1, "[").otherwise(""), F.array_join(parts, ","), F.when(n > 1, "]").otherwise(""))
+    hang = F.when(F.size("ls") > 0, pair("항", listed(F.size("ls"), F.transform("ls", para))))
     unit = obj(
-        pair("조문번호", quoted(num)), F.when(br, pair("조문가지번호", F.lit("2"))), pair("조문키", quoted(s(k))), pair("조문제목", quoted(F.col("o_orderpriority"))), pair("조문내용", quoted(content)),
-        pair("조문여부", F.when(k % 5 == 1, F.lit('"전문"')).otherwise(F.lit('"조문"'))), pair("조문변경여부", F.lit('"Y"')), F.when(note.isNotNull(), pair("조문참고자료", quoted(note))), F.when(hang.isNotNull(), pair("항", hang)),
+        pair("조문번호", said(num)), F.when(br, pair("조문가지번호", F.lit("2"))), pair("조문키", said(s(k))), pair("조문제목", quoted(F.col("o_orderpriority"))), pair("조문내용", quoted(content)),
+        pair("조문여부", F.when(k % 5 == 1, F.lit('"전문"')).otherwise(F.lit('"조문"'))), pair("조문변경여부", F.lit('"Y"')), F.when(note.isNotNull(), pair("조문참고자료", said(note))), hang,
     )
-    units = o.join(lines, F.col("l_orderkey") == k, "left").select("o_custkey", "o_orderkey", unit.alias("unit"))
-    docs = units.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "unit"))).alias("us"))
-    listed = F.when(F.size("us") == 1, F.col("us")[0]["unit"]).otherwise(F.concat(F.lit("["), F.array_join(F.transform("us", lambda u: u["unit"]), ","), F.lit("]")))
-    base = obj(pair("법령ID", quoted(s(F.col("o_custkey")))), pair("법령명_한글", quoted(F.concat(F.lit("법률 "), s(F.col("o_custkey"))))), pair("소관부처", F.lit('{"content":"부처"}')))
-    text = F.concat(F.lit('{"법령":'), obj(pair("법령키", quoted(s(F.col("o_custkey")))), pair("기본정보", base), pair("조문", obj(pair("조문단위", listed)))), F.lit("}"))
-    return docs.select(s(F.col("o_custkey")).alias("doc_key"), F.parse_json(text).alias("doc"))
+    units = o.join(lines, F.col("l_orderkey") == k, "left").repartition("o_custkey").select("o_custkey", "o_orderkey", unit.alias("unit"))
+    docs = units.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "unit"))).alias("us"))
+    base = obj(pair("법령ID", said(s(F.col("o_custkey")))), pair("법령명_한글", said(F.concat(F.lit("법률 "), s(F.col("o_custkey"))))), pair("소관부처", F.lit('{"content":"부처"}')))
+    text = F.concat(F.lit('{"법령":'), obj(pair("법령키", said(s(F.col("o_custkey")))), pair("기본정보", base), pair("조문", obj(pair("조문단위", listed(F.size("us"), F.col("us.unit")))))), F.lit("}"))
+    # Out of a generator, as a filter would else be moved below the parser and parse a document for each of its conditions.
+    return docs.select(s(F.col("o_custkey")).alias("doc_key"), F.explode(F.array(F.parse_json(text))).alias("doc"))
 
 
 @query(f"""WITH {UNITS} SELECT o_orderkey AS key, '법률 ' || o_custkey AS law_name, label, br AS branch, chapter, status, scope, n_paras::INT AS n_paragraphs,

@@ -1,3 +1,4 @@
+import os
 import random
 import json
 
@@ -277,3 +278,15 @@ def test_kinds_of_variants(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, t string").withColumn("v", F.parse_json("t"))
     got = df.select("i", F.size(V.as_list(F.col("v"))).alias("n"), F.size(V.objects(F.col("v"))).alias("o"), V.is_object(F.col("v")).alias("is")).orderBy("i").collect()
     assert [(r.n, r.o, r["is"]) for r in got] == [(0, 0, False), (0, 0, False), (1, 0, False), (1, 0, False), (1, 0, False), (0, 0, False), (5, 2, False), (1, 1, True), (1, 1, True), (0, 0, False)]
+
+
+def test_a_document_is_made_and_parsed_once(spark):
+    """JSON is written after the rows of its document are dealt out, and no filter parses it again."""
+    from lexframe.plans import statutes
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.exists(f"{data}/orders.parquet"):
+        pytest.skip("no test tables")
+    plan = statutes.parse_articles(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.find('"조문번호":') < plan.index("RepartitionByExpression")
+    assert not [line for line in plan.splitlines() if "Filter " in line and "parse_json" in line]

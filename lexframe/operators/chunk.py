@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import strip
+from ..sources.scratch import written
 from .parse import build_text
 
 
@@ -42,7 +43,11 @@ def length_picks(lengths: DataFrame) -> DataFrame:
     Median and 90th percentile are the elements at floor(n / 2) and floor(0.9 (n - 1)) of the sorted list. Lengths are counted
     by value first; the running counts are over distinct values only.
     """
-    counts = lengths.groupBy("length").agg(F.count("*").alias("n"))
+    return _picks(lengths.groupBy("length").agg(F.count("*").alias("n")))
+
+
+def _picks(counts: DataFrame) -> DataFrame:
+    """length_picks() of lengths and how many have each."""
     by_length = Window.orderBy("length")
     ranked = counts.select(
         "length", "n", F.sum("n").over(by_length.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
@@ -56,13 +61,19 @@ def length_picks(lengths: DataFrame) -> DataFrame:
 
 
 def summarize(articles: DataFrame) -> DataFrame:
-    """One row of counts by status, notes, branches, chapters and lengths of the articles that are not deleted."""
-    status = lambda s: F.count_if(F.col("status") == s).alias(s)
-    counts = articles.agg(
-        F.count("*").alias("articles"), *map(status, ("valid", "deleted", "expired", "partially_expired")), F.count_if(F.col("reference_note") != "").alias("with_note"),
-        F.count_if(F.coalesce(F.col("branch"), F.lit(0)) != 0).alias("with_branch"), F.count_distinct("chapter").alias("chapters"),
-    )
-    lengths = length_picks(articles.where("status <> 'deleted'").select(F.length("text").alias("length")))
+    """One row of counts by status, notes, branches, chapters and lengths of the articles that are not deleted.
+
+    Articles may be dear to make, so they are gone through once: into a table of counts by length and by chapter.
+    """
+    found = {s: F.col("status") == s for s in ("valid", "deleted", "expired", "partially_expired")}
+    found |= {"with_note": F.col("reference_note") != "", "with_branch": F.coalesce(F.col("branch"), F.lit(0)) != 0}
+    rows = articles.select("chapter", F.when(F.col("status") != "deleted", F.length("text")).alias("length"), *(c.alias(n) for n, c in found.items()))
+    cells = rows.groupingSets([["length"], ["chapter"]], "length", "chapter").agg(F.grouping("length").alias("by_chapter"), F.count("*").alias("n"), *(F.count_if(n).alias(n) for n in found))
+    cells = written(cells, "summary")
+    by_length = cells.where("by_chapter = 0")
+    total = lambda c: F.coalesce(F.sum(F.when(F.col("by_chapter") == 0, F.col(c))), F.lit(0))
+    counts = cells.agg(total("n").alias("articles"), *(total(n).alias(n) for n in found), F.count("chapter").alias("chapters"))
+    lengths = _picks(by_length.where("length IS NOT NULL").select("length", "n"))
     return counts.withColumn("_one", F.lit(1)).join(lengths.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 

@@ -290,3 +290,10 @@ def test_a_document_is_made_and_parsed_once(spark):
     plan = statutes.parse_articles(spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert 0 <= plan.find('"조문번호":') < plan.index("RepartitionByExpression")
     assert not [line for line in plan.splitlines() if "Filter " in line and "parse_json" in line]
+
+
+def test_a_summary_goes_through_articles_once(spark):
+    docs = spark.createDataFrame([("a", json.dumps(law(UNITS), ensure_ascii=False))], "doc_key string, t string").select("doc_key", F.parse_json("t").alias("doc"))
+    s = chunk.summarize(parse.parse_articles(docs, TODAY))
+    assert "variant_get" not in s._jdf.queryExecution().optimizedPlan().toString()
+    assert (s.first().articles, s.first().chapters) == (11, 2) and chunk.summarize(parse.parse_articles(docs.where("false"), TODAY)).first().articles == 0
